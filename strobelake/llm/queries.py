@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strobelake.llm import simhash_dedup
+from strobelake.llm import simhash_dedup, token_store, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_store": token_store.query,
+        "op8_url_filter": url_filter.query,
         "op10_simhash_dedup": simhash_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filter": url_filter.SQL}
