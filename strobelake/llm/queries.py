@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strobelake.llm import simhash_dedup, token_store, url_filter
+from strobelake.llm import decontaminate, simhash_dedup, token_store, toxicity, url_filter, warc_writer
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_store": token_store.query,
+        "op5_decontaminate": decontaminate.query,
+        "op6_warc_writer": warc_writer.query,
+        "op7_toxicity": toxicity.query,
         "op8_url_filter": url_filter.query,
         "op10_simhash_dedup": simhash_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.SQL}
+    return {"op6_warc_writer": warc_writer.SQL, "op8_url_filter": url_filter.SQL}
