@@ -14,7 +14,6 @@ table writes and returns nothing; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,9 +31,40 @@ SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>
 #: Pieces of text remembered with their ids in each Python worker, and the longest such piece.
 CACHE_ENTRIES, CACHE_LENGTH = 500_000, 48
 
-_SPACE = r"\t-\r \x85\xa0  -     　"
-#: Cuts only where the byte-level pre-tokenizer cuts too: after letters that an ASCII non-letter follows, and around white space as it does.
-_PIECES = re.compile(rf" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-@\[-`{{-\x7f]|\Z)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Kinds of bytes: ASCII white space, ASCII letters, other ASCII, and what starts and goes on Latin letters of two bytes.
+_SPACE, _LETTER, _OTHER, _LEAD, _NEXT = 1, 2, 4, 8, 16
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[:128] = _OTHER
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[0xC3:0xCA] = _LEAD
+_KIND[0x80:0xC0] = _NEXT
+
+
+def cut_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces begin in texts laid end to end.
+
+    Cuts only where the byte-level pre-tokenizer cuts whatever else the text holds: where
+    white space begins; before the last of several white spaces, and after it unless it
+    is a space; and after letters that other ASCII follows. Next to other white space or
+    scripts there is no cut.
+    """
+    kind = _KIND[data]
+    blank = kind == _SPACE
+    latin = np.zeros(len(data), dtype=bool)
+    latin[1:] = (kind[1:] == _NEXT) & (kind[:-1] == _LEAD)
+    sign = np.zeros(len(data), dtype=bool)
+    sign[1:] = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    solid = (kind & (_LETTER | _OTHER)).astype(bool) | latin
+    letter = (kind == _LETTER) | (latin & ~sign)
+    opens = (kind & (_LETTER | _OTHER | _LEAD)).astype(bool)
+    before_open = np.zeros(len(data), dtype=bool)
+    before_open[:-1] = opens[1:]
+    before_open[ends[ends > starts] - 1] = False
+    cut = np.zeros(len(data), dtype=bool)
+    cut[1:] = (blank[1:] & solid[:-1]) | (blank[1:] & blank[:-1] & before_open[1:]) | (opens[1:] & blank[:-1] & (data[:-1] != 32)) | (letter[:-1] & (kind[1:] == _OTHER))
+    cut[starts[ends > starts]] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
@@ -46,23 +76,57 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: np.array(e.ids, dtype="<i4").tobytes() for p, e in zip(pieces, found)}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        split = [_PIECES.findall(t) for t in texts]
+        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.widths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each token, one character of its byte alphabet for each
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token)
+
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each piece. Words that begin with a space are encoded joined, for the pre-tokenizer cuts before that space."""
+        joined = [p for p in pieces if p[0] == 32 and len(p) > 1 and _KIND[p[1]] == _LETTER and _KIND[p[-1]] in (_LETTER, _OTHER)]
+        alone = list(set(pieces).difference(joined))
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)
+        out = {p: np.array(e.ids, dtype="<i4").tobytes() for p, e in zip(alone, found)}
+        groups = [joined[at : at + 256] for at in range(0, len(joined), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b"".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<i4")
+            cuts = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(p) for p in group])) + 1
+            raw, low = ids.tobytes(), 0
+            for piece, high in zip(group, (4 * cuts).tolist()):
+                out[piece] = raw[low:high]
+                low = high
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, each with ``end_id`` at its end; how many each text has)."""
+        raw = texts.cast(pa.binary()).fill_null(b"")
+        raw = pa.concat_arrays([raw]) if raw.offset == 0 else pa.array(raw.to_pylist(), pa.binary())
+        bounds = np.frombuffer(raw.buffers()[1], dtype=np.int32)[: len(raw) + 1].astype(np.int64)
+        data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[: bounds[-1]]
+        cuts = cut_points(data, bounds[:-1], bounds[1:])
+        owner = np.searchsorted(bounds, cuts, side="right") - 1
+        offsets = np.append(cuts, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        index, wanted = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
         known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        fresh = set().union(*split).difference(known) if split else set()
+        if len(known) > CACHE_ENTRIES:  # what this block uses again stays
+            self.known = known = {p: known[p] for p in wanted if p in known}
+        fresh = [p for p in wanted if p not in known]
         long = [p for p in fresh if len(p) > CACHE_LENGTH]
         known.update(self._learn([p for p in fresh if len(p) <= CACHE_LENGTH]))
         look = known if not long else known | self._learn(long)
-        return [b"".join(map(look.__getitem__, pieces)) for pieces in split]
+        values = [look[p] for p in wanted]
+        size = np.array([len(v) // 4 for v in values], dtype=np.int64)
+        flat = np.frombuffer(b"".join(values), dtype="<i4")
+        first = np.cumsum(size) - size
+        count = size[index]
+        total = int(count.sum())
+        spread = np.arange(total)
+        source = spread + np.repeat(first[index] - (np.cumsum(count) - count), count)
+        out = np.full(total + len(raw), end_id, dtype=np.int32)
+        out[spread + np.repeat(owner, count)] = flat[source]
+        return out, np.bincount(owner, weights=count, minlength=len(raw)).astype(np.int64) + 1
 
 
 _encoders: dict[str, Encoder] = {}
@@ -74,14 +138,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _id_lists(buffers: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *(len(b) // 4 for b in buffers)], dtype=np.int64).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(buffers), dtype="<i4")))
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = 0, stripe_bytes: int = 64 << 20, block_chars: int = 4_000_000) -> None:
     """Encode (doc_id, text), append ``end_id`` to each document, and write ORC in ascending doc_id order."""
-    tail = np.array([end_id], dtype="<i4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, own = TaskContext.get().partitionId(), 0, encoder(tokenizer)
@@ -92,11 +150,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
                 high = max(low + 1, int(np.searchsorted(lengths, (lengths[low - 1] if low else 0) + block_chars, side="right")))
                 block = batch.slice(low, high - low)
                 low = high
-                ids = [x + tail for x in own.encode([t or "" for t in block.column(1).to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                ids, sizes = own.encode(block.column(1), end_id)
                 starts = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, dtype=np.int32)), block.column(0), pa.array(starts), pa.array(sizes), _id_lists(ids)], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, dtype=np.int32)), block.column(0), pa.array(starts), pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids))], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("n", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
