@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strobelake.llm import decontaminate, simhash_dedup, token_store, toxicity, url_filter, warc_writer
+from strobelake.llm import decontaminate, embedding_dedup, simhash_dedup, token_store, toxicity, url_filter, warc_writer
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": embedding_dedup.query,
         "op2_token_store": token_store.query,
         "op5_decontaminate": decontaminate.query,
         "op6_warc_writer": warc_writer.query,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_writer": warc_writer.SQL, "op8_url_filter": url_filter.SQL}
+    return {"op1_embedding_dedup": embedding_dedup.SQL, "op6_warc_writer": warc_writer.SQL, "op8_url_filter": url_filter.SQL}
