@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strobelake.llm import decontaminate, embedding_dedup, simhash_dedup, token_store, toxicity, url_filter, warc_writer
+from strobelake.llm import decontaminate, embedding_dedup, pii, sentencepiece_codec, simhash_dedup, token_store, toxicity, url_filter, warc_writer
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": embedding_dedup.query,
         "op2_token_store": token_store.query,
+        "op3_pii": pii.query,
+        "op4_sentencepiece": sentencepiece_codec.query,
         "op5_decontaminate": decontaminate.query,
         "op6_warc_writer": warc_writer.query,
         "op7_toxicity": toxicity.query,
