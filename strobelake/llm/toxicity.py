@@ -217,7 +217,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     return materialize(sketched.select("toxic", "text"), "toxic-training")
 
 
-def lexicon(rows: DataFrame, toxic_rows: int, clean_rows: int, most: int = 200, least: float = 30.0) -> tuple[dict[str, float], dict[str, float]]:
+def lexicon(rows: DataFrame, toxic_rows: int, clean_rows: int, most: int = 200, least: float = 20.0) -> tuple[dict[str, float], dict[str, float]]:
     """(terms, stems) with weights from 0 to 1: the most associated ones, none the beginning of another."""
     counts = rows.select("text", "toxic").mapInArrow(_term_counts, "kind string, term string, toxic long, clean long")
     counts = counts.groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
