@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strobelake.llm import decontaminate, embedding_dedup, pii, sentencepiece_codec, simhash_dedup, token_store, toxicity, url_filter, warc_writer
+from strobelake.llm import decontaminate, embedding_dedup, pii, quality, sentencepiece_codec, simhash_dedup, token_store, toxicity, url_filter, warc_writer
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_warc_writer": warc_writer.query,
         "op7_toxicity": toxicity.query,
         "op8_url_filter": url_filter.query,
+        "op9_quality": quality.query,
         "op10_simhash_dedup": simhash_dedup.query,
     }
 
