@@ -1,14 +1,71 @@
-"""Corpus pipeline: toxicity, near-duplicates, decontamination, personal data, token ids."""
+"""Corpus pipeline: toxic documents, near-duplicates and benchmark copies go, personal data is masked, texts become ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; run()
+writes each result as Parquet in the shared folder and reads it back for the next.
+
+Defined cases: an empty table passes through every stage; null texts count as empty
+and are kept unless they repeat; rows without doc_id are never dropped as duplicates;
+of rows that repeat doc_id and text one stays; other columns of the input pass
+through all stages but the last.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strobelake.llm import decontaminate, pii, sentencepiece_codec, simhash_dedup, toxicity
+from strobelake.llm.common import materialize, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays under the threshold; the model learns from the labels of these documents."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates: the one with the smallest doc_id."""
+    groups = simhash_dedup.components(docs)
+    dropped = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct(), "near-duplicates")
+    kept = docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    repeated = materialize(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_repeated")).count().where("count > 1").select("_repeated"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, kept["doc_id"] == F.col("_repeated"), "left_anti")
+    more = kept.join(repeated, kept["doc_id"] == F.col("_repeated"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more)
+
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, ids, n_tokens, ids_crc32) of each document."""
+    keep = ["doc_id", "lang", "source"]
+    return sentencepiece_codec.ids_crc32(sentencepiece_codec.encode(docs, keep), keep)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("sentencepiece", encode_pieces),
+]
+
+#: SQL expresses neither the model of toxicity nor the tokenizer; a brute-force version tests the stages.
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    from strobelake.llm.common import materialize, table
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)

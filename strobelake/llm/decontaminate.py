@@ -191,5 +191,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, cov
     return reduce(lambda a, b: a.unionByName(b), passes)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, coverage: float = 0.8, block_words: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that contain no item."""
+    spark = docs.sparkSession
+    rest = [c for c in docs.columns if c != "text"]
+    kept = docs.select(F.col("text").cast("string").alias("text"), *rest)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    for items in blocks(benchmark, block_words):
+        shared = spark.sparkContext.broadcast(Index(items, seed_words))
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fine = [not shared.value.judge(text, coverage) for text in byte_texts(batch.column(0))]
+                yield batch.filter(pa.array(fine, pa.bool_()))
+
+        kept = kept.mapInArrow(run, schema)
+    return kept.select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
