@@ -17,6 +17,7 @@ to U+FFFD; rows that repeat are encoded alike; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,7 +33,7 @@ from strobelake.llm.pieces import Memory, block_ranges, distinct_pieces, joined,
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 _MARK = SPACE.encode()
-PIECE_ENTRIES, PIECE_LENGTH, PAIR_ENTRIES = 400_000, 48, 2_000_000
+PIECE_ENTRIES, PIECE_LENGTH, PAIR_ENTRIES = 250_000, 48, 600_000
 BLOCK_BYTES = 4_000_000
 
 
@@ -47,7 +48,14 @@ class Codec:
         self.ids = {model.id_to_piece(i): i for i in plain}
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
         self.longest = max(map(len, self.ids))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.names = {i: p for p, i in self.ids.items()}
+        self.trie: dict = {}  # a node's children by character; its piece's id under the empty string
+        for piece, i in self.ids.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
         self.memory = Memory(self._learn, PIECE_ENTRIES, PIECE_LENGTH)
         self.spelt = [b""] * size
         for piece, i in self.ids.items():
@@ -83,62 +91,76 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def follows(self, a: str, b: str) -> bool:
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > PAIR_ENTRIES:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(a + b) == [a, b]
+    def follows(self, a: int, b: int) -> bool:
+        """Whether byte-pair encoding leaves piece b apart after piece a."""
+        one, two = self.names[a], self.names[b]
+        known = self.merge(one + two) == [one, two]
+        if len(self.pairs) > PAIR_ENTRIES:
+            self.pairs.clear()
+        self.pairs[a << 20 | b] = known
         return known
 
-    def viterbi(self, text: str) -> Iterator[str]:
-        """The pieces of ``text``, each as soon as it is sure."""
-        ids, longest, pairs = self.ids, self.longest, self.pairs
-        last: dict[int, str | None] = {0: None}  # position -> the piece that ends there
+    def viterbi(self, text: str) -> Iterator[tuple[int | None, int, int]]:
+        """(id, start, end) of the pieces of ``text``, each as soon as it is sure; the id is None for a character that is no piece."""
+        trie, pairs, follows, longest = self.trie, self.pairs, self.follows, self.longest
+        last: dict[int, tuple[int | None, int]] = {0: (None, 0)}  # position -> (piece that ends there, where it starts)
         committed, check = 0, 4 * longest
         n = len(text)
-        for end in range(1, n + 1):
-            for start in range(end - 1, max(committed, end - longest) - 1, -1):
-                if start not in last:
-                    continue
-                piece = text[start:end]
-                if piece not in ids and end - start > 1:
-                    continue
-                before = last[start]
-                if before is None or (pairs.get((before, piece)) or self.follows(before, piece)):
-                    last[end] = piece
+        for start in range(n):
+            here = last.get(start)
+            if here is None:
+                continue
+            before = here[0]
+            node = trie.get(text[start])
+            if node is None or "" not in node:  # no piece: nothing merges with it
+                last[start + 1] = (None, start)
+            end = start + 1
+            while node is not None:
+                i = node.get("")
+                if i is not None and end not in last:
+                    known = True if before is None else pairs.get(before << 20 | i)
+                    if known is None:
+                        known = follows(before, i)
+                    if known:
+                        last[end] = (i, start)
+                if end == n:
                     break
-            if end - committed >= check and end < n:
-                front = {k for k in range(max(committed, end - longest + 1), end + 1) if k in last}
+                node = node.get(text[end])
+                end += 1
+            if start - committed >= check:
+                front = {k for k in last if k > start}
                 while len(front) > 1:
                     top = max(front)
                     front.remove(top)
-                    front.add(top - len(last[top]))
+                    front.add(last[top][1])
                 meet = front.pop()
                 if meet > committed:
                     yield from self._path(last, committed, meet)
-                    last = {k: p for k, p in last.items() if k >= meet}
+                    last = {k: v for k, v in last.items() if k >= meet}
                     committed, check = meet, 4 * longest
                 else:
                     check *= 2
         yield from self._path(last, committed, n)
 
     @staticmethod
-    def _path(last: dict, low: int, high: int) -> list[str]:
+    def _path(last: dict, low: int, high: int) -> list[tuple[int | None, int, int]]:
         out = []
         while high > low:
-            out.append(last[high])
-            high -= len(last[high])
+            i, start = last[high]
+            out.append((i, start, high))
+            high = start
         return out[::-1]
 
     def _learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
         out = {}
         for part in parts:
             ids: list[int] = []
-            for piece in self.viterbi(part.decode().replace(" ", SPACE)):
-                i = self.ids.get(piece)
-                ids += [i] if i is not None else [self.byte[b] for b in piece.encode()]
+            text = part.decode().replace(" ", SPACE)
+            for i, start, end in self.viterbi(text):
+                if i is None:
+                    ids += [self.byte[b] for b in text[start:end].encode()]
+                else:
+                    ids.append(i)
             out[part] = np.array(ids, dtype="<i4").tobytes()
         return out
 
@@ -231,9 +253,27 @@ def ids_crc32(tokens: DataFrame, keep: list[str]) -> DataFrame:
     return chosen.mapInArrow(run, f"{_schema(chosen.drop('ids'))}, ids array<int>, n_tokens long, ids_crc32 long")
 
 
+def checked(tokens: DataFrame, model: str = MODEL) -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip) from (doc_id, sha256, ids): the ids decoded, and whether the text has that digest."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model)
+        for batch in batches:
+            column = batch.column(2)
+            lengths = np.diff(column.offsets.to_numpy()).astype(np.int64)
+            for low, high in block_ranges(lengths, BLOCK_BYTES):
+                ids = column.slice(low, high - low).flatten().to_numpy(zero_copy_only=False)
+                ends = np.append(0, np.cumsum(lengths[low:high]))
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])]
+                found = [hashlib.sha256(t.encode()).hexdigest() for t in own.decode(ids, lengths[low:high])]
+                same = [a == b for a, b in zip(found, batch.column(1).slice(low, high - low).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(lengths[low:high]), pa.array(crc, pa.int64()), pa.array(found), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
+
+    return tokens.select("doc_id", "sha256", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip): every text encoded, its ids decoded and compared with it."""
+    """Every text encoded, its ids decoded and compared with it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACE, " "), 256).alias("sha256"))
-    counted = ids_crc32(encode(docs, ["doc_id", "sha256"]), ["doc_id", "sha256"])
-    back = decode(counted, ["doc_id", "sha256", "n_tokens", "ids_crc32"])
-    return back.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"), (F.sha2("text", 256) == F.col("sha256")).alias("round_trip"))
+    return checked(encode(docs, ["doc_id", "sha256"]))
