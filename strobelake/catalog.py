@@ -8,11 +8,11 @@ import uuid
 from collections.abc import Callable
 from math import tau
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strobelake.functions import pixels as px
-from strobelake.operators import filters, flow, normalize, ranges, score, warp, windows
+from strobelake.operators import filters, flow, normalize, pairing, ranges, score, warp, windows
 from strobelake.plans import fields, incremental, preprocess
 from strobelake.sources import select, tables
 from strobelake.streaming import push
@@ -30,9 +30,14 @@ _RANGES = f"{_PHASE}, frame_range AS (SELECT seq, idx, list_min(data)::DOUBLE +
 _SEQUENCES = f"{_RANGES}, sequence_range AS (SELECT seq, min(min_value) AS min_value, max(max_value) AS max_value, arg_min(idx, (min_value, idx)) AS min_index, arg_min(idx, (-max_value, idx)) AS max_index, count(*) AS parts FROM frame_range GROUP BY seq)"
 
 
+def _round(value: Column | str, digits: int) -> Column:
+    """Rounded, with no negative zero."""
+    return F.round(value, digits) + F.lit(0.0)
+
+
 def _cells(frames: DataFrame, digits: int = 5) -> DataFrame:
     rows = filters.pixels(frames)
-    return rows.select("seq", "idx", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), (F.round(F.col("v").cast("double"), digits) + 0.0).alias("v"))
+    return rows.select("seq", "idx", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), _round(F.col("v").cast("double"), digits).alias("v"))
 
 
 def _filtered(kernel: object) -> Query:
@@ -76,7 +81,7 @@ def range_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def sequence_part_frames(spark: SparkSession, d: str) -> DataFrame:
     parts = ranges.sequence_parts(ranges.frame_ranges(tables.phase_frames(spark, d)), SETTINGS)
-    return parts.select("source", "min_index", "max_index", F.size("frames").alias("n_frames"), F.col("frames")[0]["source"].alias("first"), F.round(F.element_at("frames", -1)["max_value"], 6).alias("last_max"), "settings")
+    return parts.select("source", "min_index", "max_index", F.size("frames").alias("n_frames"), F.col("frames")[0]["source"].alias("first"), _round(F.element_at("frames", -1)["max_value"], 6).alias("last_max"), "settings")
 
 
 # --- selection ----------------------------------------------------------------------
@@ -109,7 +114,7 @@ def nonfinite_guard(spark: SparkSession, d: str) -> DataFrame:
 def unit_conversion(spark: SparkSession, d: str) -> DataFrame:
     metres = tables.phase_frames(spark, d).withColumn("data", F.transform("data", lambda v: v.cast("double") * F.col("height_scale"))).withColumn("unit", F.lit("m"))
     radians = metres.withColumn("data", px.to_radians(F.col("data"), F.col("unit"), F.col("height_scale")))
-    return radians.select("seq", "idx", F.round(px.total(F.col("data").cast("array<double>")), 4).alias("total"))
+    return radians.select("seq", "idx", _round(px.total(F.col("data").cast("array<double>")), 4).alias("total"))
 
 
 def contents_manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -172,26 +177,26 @@ def _work(spark: SparkSession) -> str:
 
 
 def median_t_r2(spark: SparkSession, d: str) -> DataFrame:
-    return windows.moving_median(tables.signal(spark, d), 2).withColumn("value", F.round("value", 6))
+    return windows.moving_median(tables.signal(spark, d), 2).withColumn("value", _round("value", 6))
 
 
 def gauss_t(spark: SparkSession, d: str) -> DataFrame:
-    return windows.moving_gaussian(tables.signal(spark, d), 1.0).withColumn("value", F.round("value", 6))
+    return windows.moving_gaussian(tables.signal(spark, d), 1.0).withColumn("value", _round("value", 6))
 
 
 def trim_spans(spark: SparkSession, d: str) -> DataFrame:
-    return windows.trimmed(tables.signal(spark, d), 1, 2).select("seq", "idx", F.round("value", 6).alias("value"))
+    return windows.trimmed(tables.signal(spark, d), 1, 2).select("seq", "idx", _round("value", 6).alias("value"))
 
 
 def signal_difference(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("seq").orderBy("idx")
-    rows = tables.signal(spark, d).withColumn("change", F.round(F.col("value") - F.lag("value").over(order), 6))
+    rows = tables.signal(spark, d).withColumn("change", _round(F.col("value") - F.lag("value").over(order), 6))
     return rows.where("change is not null").select("seq", "idx", "change")
 
 
 def median3d_relational(spark: SparkSession, d: str) -> DataFrame:
     rows = filters.median_by_offsets(tables.phase_frames(spark, d), filters.Median((1, 1, 1), "cuboid"))
-    return rows.select("seq", F.col("idx").cast("int").alias("idx"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), (F.round(F.col("v").cast("double"), 5) + 0.0).alias("v"))
+    return rows.select("seq", F.col("idx").cast("int").alias("idx"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), _round(F.col("v").cast("double"), 5).alias("v"))
 
 
 # --- normalisation ------------------------------------------------------------------
@@ -222,7 +227,7 @@ def normalize_injected_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 def normalize_clamped(spark: SparkSession, d: str) -> DataFrame:
     frames = normalize.injected(tables.phase_frames(spark, d), (-1.0, 1.0), "float32", (0.0, 10.0))
-    return frames.select("seq", "idx", F.round(px.total(F.col("data").cast("array<double>")), 3).alias("total"))
+    return frames.select("seq", "idx", _round(px.total(F.col("data").cast("array<double>")), 3).alias("total"))
 
 
 # --- motion and fields --------------------------------------------------------------
@@ -240,16 +245,16 @@ def _warped(padding: str) -> Query:
 def pair_scores(spark: SparkSession, d: str) -> DataFrame:
     pairs = flow.neighbours(tables.phase_frames(spark, d))
     a, b = F.col("prev"), F.col("curr")
-    return pairs.select("seq", "idx", F.round(score.mse(a, b), 6).alias("mse"), F.round(score.mae(a, b), 6).alias("mae"), F.round(score.psnr(a, b, 8.0), 6).alias("psnr"))
+    return pairs.select("seq", "idx", _round(score.mse(a, b), 6).alias("mse"), _round(score.mae(a, b), 6).alias("mae"), _round(score.psnr(a, b, 8.0), 6).alias("psnr"))
 
 
 def warp_consistency_mse(spark: SparkSession, d: str) -> DataFrame:
     scored = score.warp_consistency(_pairs(spark, d), 8.0)
-    return scored.select("seq", "idx", F.round("mse", 4).alias("mse"), F.round("mae", 4).alias("mae"))
+    return scored.select("seq", "idx", _round("mse", 4).alias("mse"), _round("mae", 4).alias("mae"))
 
 
 def warp_consistency_mean(spark: SparkSession, d: str) -> DataFrame:
-    return score.reduced(score.warp_consistency(_pairs(spark, d), 8.0), "seq").select("seq", F.round("mse", 4).alias("mse"), F.round("mae", 4).alias("mae"))
+    return score.reduced(score.warp_consistency(_pairs(spark, d), 8.0), "seq").select("seq", _round("mse", 4).alias("mse"), _round("mae", 4).alias("mae"))
 
 
 def ssim(spark: SparkSession, d: str) -> DataFrame:
@@ -260,13 +265,13 @@ def ssim(spark: SparkSession, d: str) -> DataFrame:
     tiled = frames.select("seq", "idx", *[F.lead("data", k).over(order).alias(f"d{k}") for k in range(5)]).where("d4 is not null")
     tile = lambda k: F.concat(row(F.col(f"d{k}"), F.col(f"d{k + 1}")), row(F.col(f"d{k + 2}"), F.col(f"d{k + 3}")))
     pairs = tiled.select("seq", "idx", F.lit(16).alias("height"), F.lit(16).alias("width"), tile(0).alias("a"), tile(1).alias("b"))
-    return score.with_ssim(pairs, "a", "b", 8.0).select("seq", "idx", F.round("ssim", 6).alias("ssim"))
+    return score.with_ssim(pairs, "a", "b", 8.0).select("seq", "idx", _round("ssim", 6).alias("ssim"))
 
 
 def _estimated(kind: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         pairs = flow.neighbours(normalize.injected(tables.phase_frames(spark, d), (-4.0, 4.0)))
-        return flow.estimate(pairs, flow.estimator(kind)).select("seq", "idx", F.round(px.mean(F.col("dx").cast("array<double>")), 3).alias("dx"), F.round(px.mean(F.col("dy").cast("array<double>")), 3).alias("dy"))
+        return flow.estimate(pairs, flow.estimator(kind)).select("seq", "idx", _round(px.mean(F.col("dx").cast("array<double>")), 3).alias("dx"), _round(px.mean(F.col("dy").cast("array<double>")), 3).alias("dy"))
 
     return query
 
@@ -286,7 +291,7 @@ def _field(*wanted: type, three: bool = False, aligned: bool = True) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         phase = tables.phase_frames(spark, d)
         found = fields.compile_graph(_graph(list(wanted), three), phase, tables.flow_frames(phase), aligned)
-        return fields.signals(found).select("seq", "idx", "metric", F.round("value", 5).alias("value"))
+        return fields.signals(found).select("seq", "idx", "metric", _round("value", 5).alias("value"))
 
     return query
 
@@ -294,20 +299,20 @@ def _field(*wanted: type, three: bool = False, aligned: bool = True) -> Query:
 def field_means(spark: SparkSession, d: str) -> DataFrame:
     phase = tables.phase_frames(spark, d)
     found = fields.signals(fields.compile_graph(_graph([fields.DryMass, fields.Velocity]), phase, tables.flow_frames(phase)))
-    return fields.weighted_means(found).select("metric", F.round("value", 5).alias("value"))
+    return fields.weighted_means(found).select("metric", _round("value", 5).alias("value"))
 
 
 _DRY = px.drymass_factor(PIXEL_SIZE, WAVELENGTH, ALPHA)
 _SPEED = PIXEL_SIZE * RATE
 _FIELD_SQL = {
-    "drymass_signal": f"WITH {_CELLS} SELECT seq, idx, 'dry_mass' AS metric, round(sum(v::DOUBLE * {_DRY!r}), 5) AS value FROM cells GROUP BY ALL",
-    "opd_variance": f"WITH {_CELLS}, changes AS (SELECT a.seq, a.idx, (b.v::DOUBLE - a.v::DOUBLE) * {WAVELENGTH / tau!r} AS c FROM cells a JOIN cells b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x) SELECT seq, idx, 'path_variance' AS metric, round(var_pop(c), 5) AS value FROM changes GROUP BY ALL",
-    "velocity": f"WITH {_FLOW} SELECT seq, idx, 'velocity' AS metric, round(avg(sqrt(dx * dx + dy * dy) * {_SPEED!r}), 5) AS value FROM flow GROUP BY ALL",
-    "acceleration": f"WITH {_FLOW} SELECT b.seq, b.idx, 'acceleration' AS metric, round(avg(sqrt((b.dx - a.dx) ** 2 + (b.dy - a.dy) ** 2) * {_SPEED * RATE!r}), 5) AS value FROM flow a JOIN flow b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL",
-    "force": f"WITH {_FLOW} SELECT b.seq, b.idx, 'force' AS metric, round(avg(abs(b.v::DOUBLE * {_DRY!r}) * sqrt((b.dx - a.dx) ** 2 + (b.dy - a.dy) ** 2) * {_SPEED * RATE!r}), 5) AS value FROM flow a JOIN flow b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL",
-    "kinetic_energy": f"WITH {_FLOW} SELECT seq, idx, 'kinetic_energy' AS metric, round(sum(v::DOUBLE * {_DRY!r} * (dx * dx + dy * dy) * {_SPEED**2!r}), 5) AS value FROM flow GROUP BY ALL",
-    "field_means": f"WITH {_FLOW}, per AS (SELECT seq, idx, sum(v::DOUBLE * {_DRY!r}) AS m, avg(sqrt(dx * dx + dy * dy) * {_SPEED!r}) AS s FROM flow GROUP BY ALL) SELECT 'dry_mass' AS metric, round(avg(m), 5) AS value FROM per UNION ALL SELECT 'velocity', round(avg(s), 5) FROM per",
-    "fields_aligned": f"WITH {_FLOW}, per AS (SELECT b.seq, b.idx, sum(b.v::DOUBLE * {_DRY!r}) AS m, avg(sqrt((b.dx - a.dx) ** 2 + (b.dy - a.dy) ** 2) * {_SPEED * RATE!r}) AS a FROM flow a JOIN flow b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL) SELECT seq, idx, 'dry_mass' AS metric, round(m, 5) AS value FROM per UNION ALL SELECT seq, idx, 'acceleration', round(a, 5) FROM per",
+    "drymass_signal": f"WITH {_CELLS} SELECT seq, idx, 'dry_mass' AS metric, round(sum(v::DOUBLE * {_DRY!r}), 5) + 0.0 AS value FROM cells GROUP BY ALL",
+    "opd_variance": f"WITH {_CELLS}, changes AS (SELECT a.seq, a.idx, (b.v::DOUBLE - a.v::DOUBLE) * {WAVELENGTH / tau!r} AS c FROM cells a JOIN cells b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x) SELECT seq, idx, 'path_variance' AS metric, round(var_pop(c), 5) + 0.0 AS value FROM changes GROUP BY ALL",
+    "velocity": f"WITH {_FLOW} SELECT seq, idx, 'velocity' AS metric, round(avg(sqrt(dx * dx + dy * dy) * {_SPEED!r}), 5) + 0.0 AS value FROM flow GROUP BY ALL",
+    "acceleration": f"WITH {_FLOW} SELECT b.seq, b.idx, 'acceleration' AS metric, round(avg(sqrt((b.dx - a.dx) ** 2 + (b.dy - a.dy) ** 2) * {_SPEED * RATE!r}), 5) + 0.0 AS value FROM flow a JOIN flow b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL",
+    "force": f"WITH {_FLOW} SELECT b.seq, b.idx, 'force' AS metric, round(avg(abs(b.v::DOUBLE * {_DRY!r}) * sqrt((b.dx - a.dx) ** 2 + (b.dy - a.dy) ** 2) * {_SPEED * RATE!r}), 5) + 0.0 AS value FROM flow a JOIN flow b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL",
+    "kinetic_energy": f"WITH {_FLOW} SELECT seq, idx, 'kinetic_energy' AS metric, round(sum(v::DOUBLE * {_DRY!r} * (dx * dx + dy * dy) * {_SPEED**2!r}), 5) + 0.0 AS value FROM flow GROUP BY ALL",
+    "field_means": f"WITH {_FLOW}, per AS (SELECT seq, idx, sum(v::DOUBLE * {_DRY!r}) AS m, avg(sqrt(dx * dx + dy * dy) * {_SPEED!r}) AS s FROM flow GROUP BY ALL) SELECT 'dry_mass' AS metric, round(avg(m), 5) + 0.0 AS value FROM per UNION ALL SELECT 'velocity', round(avg(s), 5) + 0.0 FROM per",
+    "fields_aligned": f"WITH {_FLOW}, per AS (SELECT b.seq, b.idx, sum(b.v::DOUBLE * {_DRY!r}) AS m, avg(sqrt((b.dx - a.dx) ** 2 + (b.dy - a.dy) ** 2) * {_SPEED * RATE!r}) AS a FROM flow a JOIN flow b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL) SELECT seq, idx, 'dry_mass' AS metric, round(m, 5) + 0.0 AS value FROM per UNION ALL SELECT seq, idx, 'acceleration', round(a, 5) + 0.0 FROM per",
 }
 
 
@@ -324,11 +329,23 @@ def _warp_sql(padding: str) -> str:
 
 def _displacement3d_sql() -> str:
     z = px.height_factor(WAVELENGTH, DELTA)
-    return f"WITH {_warp_cte('border')} SELECT w.seq, w.idx, 'displacement' AS metric, round(avg(sqrt((dx * {PIXEL_SIZE}) ** 2 + (dy * {PIXEL_SIZE}) ** 2 + ((w.v::DOUBLE - before::DOUBLE) * {z!r}) ** 2)), 5) AS value FROM warped w JOIN flow f ON f.seq = w.seq AND f.idx = w.idx AND f.y = w.y AND f.x = w.x GROUP BY ALL"
+    return f"WITH {_warp_cte('border')} SELECT w.seq, w.idx, 'displacement' AS metric, round(avg(sqrt((dx * {PIXEL_SIZE}) ** 2 + (dy * {PIXEL_SIZE}) ** 2 + ((w.v::DOUBLE - before::DOUBLE) * {z!r}) ** 2)), 5) + 0.0 AS value FROM warped w JOIN flow f ON f.seq = w.seq AND f.idx = w.idx AND f.y = w.y AND f.x = w.x GROUP BY ALL"
 
 
-def stream_push_diff(spark: SparkSession, d: str) -> DataFrame:
-    """The frames as a stream of files: state holds one frame for each sequence."""
+def strict_zip(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame against its filtered self."""
+    frames = tables.phase_frames(spark, d)
+    pairs = pairing.strict_zip(frames, filters.apply_filter(frames, filters.Median((1, 1, 0), "cuboid")))
+    return pairs.select("seq", "idx", _round(score.mae(F.col("prev"), F.col("curr")), 5).alias("mae"))
+
+
+def length_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and their orders as two sides that should be equally long."""
+    sides = [tables.read(spark, d, "orders").where(f"o_orderstatus = '{s}'").select(F.col("o_custkey").alias("seq")) for s in "FO"]
+    return pairing.length_faults(*sides)
+
+
+def _streamed(processor: push.Push, spark: SparkSession, d: str) -> DataFrame:
     root = f"{_work(spark)}/stream-{uuid.uuid4().hex}"
     frames = tables.phase_frames(spark, d).select("seq", "idx", "height", "width", "data")
     frames.repartition(4).write.parquet(f"{root}/in")
@@ -337,12 +354,23 @@ def stream_push_diff(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         arriving = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", "2").parquet(f"{root}/in")
-        stream = push.push(arriving, push.Difference()).writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
+        stream = push.push(arriving, processor).writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
         stream.awaitTermination()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    found = spark.read.schema("seq string, idx int, change array<float>").parquet(f"{root}/out")
-    return found.select("seq", "idx", F.round(px.total(F.col("change").cast("array<double>")), 4).alias("change"))
+    return spark.read.schema("seq string, idx int, " + ", ".join(f"{n} array<float>" for n in processor.names)).parquet(f"{root}/out")
+
+
+def stream_flow_push(spark: SparkSession, d: str) -> DataFrame:
+    """Flow between frames as they arrive."""
+    found = _streamed(push.FlowPush(flow.Farneback(levels=1)), spark, d)
+    return found.select("seq", "idx", _round(px.mean(F.col("dx").cast("array<double>")), 3).alias("dx"), _round(px.mean(F.col("dy").cast("array<double>")), 3).alias("dy"))
+
+
+def stream_push_diff(spark: SparkSession, d: str) -> DataFrame:
+    """The frames as a stream of files: state holds one frame for each sequence."""
+    found = _streamed(push.Difference(), spark, d)
+    return found.select("seq", "idx", _round(px.total(F.col("change").cast("array<double>")), 4).alias("change"))
 
 
 def _level_sql(value: str, tail: str = "", cells: str = "cells") -> str:
@@ -364,7 +392,7 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "short_sequences": (short_sequences, "SELECT user_id::VARCHAR AS seq, count(*) AS taken FROM events GROUP BY user_id HAVING count(*) < 66"),
     "gap_check": (gap_check, "SELECT l_orderkey AS seq, min(l_linenumber) AS first, max(l_linenumber) AS last, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_orderkey HAVING max(l_linenumber) - min(l_linenumber) + 1 <> count(*) OR min(l_linenumber) <> 1 OR count(*) <> count(DISTINCT l_linenumber)"),
     "nonfinite_guard": (nonfinite_guard, f"WITH {_PHASE} SELECT seq, printf('%05d_phase', idx) AS source_name FROM phase WHERE idx % 17 = 0 OR idx % 19 = 0"),
-    "unit_conversion": (unit_conversion, f"WITH {_CELLS} SELECT seq, idx, round(sum((v::DOUBLE * 2.0e-7 / 2.0e-7)::FLOAT::DOUBLE), 4) AS total FROM cells GROUP BY ALL"),
+    "unit_conversion": (unit_conversion, f"WITH {_CELLS} SELECT seq, idx, round(sum((v::DOUBLE * 2.0e-7 / 2.0e-7)::FLOAT::DOUBLE), 4) + 0.0 AS total FROM cells GROUP BY ALL"),
     "contents_manifest": (contents_manifest, f"WITH {_PHASE} SELECT seq, count(*) AS n_source, string_agg(printf('%05d_phase', idx), ',' ORDER BY idx) AS frames FROM phase GROUP BY seq"),
     "coverage_counts": (coverage_counts, "SELECT count(*) AS found, count(*) FILTER (n_regionkey < 3) AS selected, count(*) FILTER (n_nationkey % 3 = 0) AS covered, count(*) FILTER (n_nationkey % 6 = 0) AS reused, string_agg(n_name, ',' ORDER BY n_nationkey) FILTER (n_regionkey < 3 AND n_nationkey % 3 <> 0) AS skipped, string_agg(n_name, ',' ORDER BY n_nationkey) FILTER (n_regionkey >= 3 AND n_nationkey % 3 <> 0) AS unselected FROM nation"),
     "unsourced_outputs": (unsourced_outputs, "SELECT c_custkey AS seq FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"),
@@ -372,10 +400,10 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "part_faults": (part_faults, f"WITH {_PHASE} SELECT DISTINCT seq AS source, CASE seq WHEN '1' THEN 'a bound is not finite' WHEN '2' THEN 'the bounds are inverted' WHEN '4' THEN 'a position is outside its frames' ELSE 'filed under another name' END AS fault FROM phase WHERE seq IN ('1', '2', '4', '6')"),
     "verdict_counts": (verdict_counts, "SELECT count(*) FILTER (o_orderstatus = 'F') AS computed, count(*) FILTER (o_orderstatus NOT IN ('F', 'P')) AS unchanged, count(*) FILTER (o_orderstatus = 'P') AS failed FROM orders"),
     "preprocess_document": (preprocess_document, f"WITH {_RANGES}, strided AS (SELECT seq, (idx // 2)::INTEGER AS idx, min_value, max_value FROM frame_range WHERE idx % 2 = 0 AND seq <> '0') SELECT seq AS source, min(min_value) AS min_value, max(max_value) AS max_value, arg_min(idx, (min_value, idx)) AS min_index, arg_min(idx, (-max_value, idx)) AS max_index, count(*)::INTEGER AS frames, (SELECT count(DISTINCT seq) FROM phase) AS found, (SELECT count(DISTINCT seq) - 1 FROM phase) AS selected, (SELECT count(DISTINCT seq) - 1 FROM phase) AS covered, '0' AS unselected FROM strided GROUP BY seq"),
-    "median_t_r2": (median_t_r2, f"WITH {_SIGNAL} SELECT seq, idx, round(median(value) OVER (PARTITION BY seq ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS value FROM signal"),
-    "gauss_t": (gauss_t, f"WITH {_SIGNAL} SELECT a.seq, a.idx, round(sum(exp(-((b.idx - a.idx) * (b.idx - a.idx)) / 2.0) * b.value) / sum(exp(-((b.idx - a.idx) * (b.idx - a.idx)) / 2.0)), 6) AS value FROM signal a JOIN signal b ON b.seq = a.seq AND b.idx BETWEEN a.idx - 4 AND a.idx + 4 GROUP BY ALL"),
-    "trim_spans": (trim_spans, f"WITH {_SIGNAL}, sized AS (SELECT *, count(*) OVER (PARTITION BY seq) AS n FROM signal) SELECT seq, idx, round(value, 6) AS value FROM sized WHERE idx >= 1 AND idx < n - 2"),
-    "signal_difference": (signal_difference, f"WITH {_SIGNAL}, changes AS (SELECT seq, idx, round(value - lag(value) OVER (PARTITION BY seq ORDER BY idx), 6) AS change FROM signal) SELECT * FROM changes WHERE change IS NOT NULL"),
+    "median_t_r2": (median_t_r2, f"WITH {_SIGNAL} SELECT seq, idx, round(median(value) OVER (PARTITION BY seq ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) + 0.0 AS value FROM signal"),
+    "gauss_t": (gauss_t, f"WITH {_SIGNAL} SELECT a.seq, a.idx, round(sum(exp(-((b.idx - a.idx) * (b.idx - a.idx)) / 2.0) * b.value) / sum(exp(-((b.idx - a.idx) * (b.idx - a.idx)) / 2.0)), 6) + 0.0 AS value FROM signal a JOIN signal b ON b.seq = a.seq AND b.idx BETWEEN a.idx - 4 AND a.idx + 4 GROUP BY ALL"),
+    "trim_spans": (trim_spans, f"WITH {_SIGNAL}, sized AS (SELECT *, count(*) OVER (PARTITION BY seq) AS n FROM signal) SELECT seq, idx, round(value, 6) + 0.0 AS value FROM sized WHERE idx >= 1 AND idx < n - 2"),
+    "signal_difference": (signal_difference, f"WITH {_SIGNAL}, changes AS (SELECT seq, idx, round(value - lag(value) OVER (PARTITION BY seq ORDER BY idx), 6) + 0.0 AS change FROM signal) SELECT * FROM changes WHERE change IS NOT NULL"),
     "identity_filter": (_filtered(filters.Identity()), f"WITH {_CELLS} SELECT seq, idx, y::INTEGER AS y, x::INTEGER AS x, round(v::DOUBLE, 5) + 0.0 AS v FROM cells"),
     "median3d_ellipsoid_222": (_filtered(filters.Median((2, 2, 2), "ellipsoid")), _median_sql(2, 2, 2, True)),
     "median3d_cuboid_111": (_filtered(filters.Median((1, 1, 1), "cuboid")), _median_sql(1, 1, 1, False)),
@@ -386,13 +414,16 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "normalize_pairwise": (normalize_pairwise, f"WITH {_CELLS}, r AS (SELECT seq, idx, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi FROM cells GROUP BY ALL), p AS (SELECT a.seq, a.idx, least(a.lo, b.lo) AS lo, greatest(a.hi, b.hi) AS hi FROM r a JOIN r b ON b.seq = a.seq AND b.idx = a.idx + 1), after AS (SELECT seq, (idx - 1)::INTEGER AS idx, v FROM cells) " + _level_sql(_share("p.lo", "p.hi", 255.0), "JOIN p ON p.seq = c.seq AND p.idx = c.idx", "after")),
     "normalize_injected_dataset": (normalize_injected_dataset, f"WITH {_CELLS}, r AS (SELECT min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi FROM cells) " + _level_sql(_share("r.lo", "r.hi", 255.0), "CROSS JOIN r")),
     "normalize_injected_sequence": (normalize_injected_sequence, f"WITH {_CELLS}, r AS (SELECT seq, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi FROM cells GROUP BY seq) " + _level_sql(_share("r.lo", "r.hi", 65535.0, -32768.0), "JOIN r ON r.seq = c.seq")),
-    "normalize_clamped": (normalize_clamped, f"WITH {_CELLS} SELECT seq, idx, round(sum((least(greatest((v::DOUBLE + 1.0) / 2.0, 0.0), 1.0) * 10.0)::FLOAT::DOUBLE), 3) AS total FROM cells GROUP BY ALL"),
+    "normalize_clamped": (normalize_clamped, f"WITH {_CELLS} SELECT seq, idx, round(sum((least(greatest((v::DOUBLE + 1.0) / 2.0, 0.0), 1.0) * 10.0)::FLOAT::DOUBLE), 3) + 0.0 AS total FROM cells GROUP BY ALL"),
     "warp_border": (_warped("border"), _warp_sql("border")),
     "warp_zeros": (_warped("zeros"), _warp_sql("zeros")),
     "warp_reflection": (_warped("reflection"), _warp_sql("reflection")),
     "pair_scores": (pair_scores, f"WITH {_CELLS}, pairs AS (SELECT a.seq, a.idx, avg((b.v::DOUBLE - a.v::DOUBLE) ** 2) AS mse, avg(abs(b.v::DOUBLE - a.v::DOUBLE)) AS mae FROM cells a JOIN cells b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL) SELECT seq, idx, round(mse, 6) AS mse, round(mae, 6) AS mae, round(10 * log10(64.0::DOUBLE / mse), 6) AS psnr FROM pairs"),
     "warp_consistency_mse": (warp_consistency_mse, f"WITH {_warp_cte('border')} SELECT seq, idx, round(avg((v::DOUBLE - before::DOUBLE) ** 2), 4) AS mse, round(avg(abs(v::DOUBLE - before::DOUBLE)), 4) AS mae FROM warped GROUP BY ALL"),
     "warp_consistency_mean": (warp_consistency_mean, f"WITH {_warp_cte('border')}, per AS (SELECT seq, idx, avg((v::DOUBLE - before::DOUBLE) ** 2) AS mse, avg(abs(v::DOUBLE - before::DOUBLE)) AS mae FROM warped GROUP BY ALL) SELECT seq, round(avg(mse), 4) AS mse, round(avg(mae), 4) AS mae FROM per GROUP BY seq"),
+    "strict_zip": (strict_zip, f"WITH {_CELLS}, smooth AS ({_median_sql(1, 1, 0, False)[len('WITH ' + _CELLS) + 2:].replace('offsets AS', 'WITH offsets AS', 1).replace('round(median(q.v)::DOUBLE, 5) + 0.0', 'median(q.v)')}) SELECT c.seq, c.idx, round(avg(abs(s.v::DOUBLE - c.v::DOUBLE)), 5) AS mae FROM cells c JOIN smooth s ON s.seq = c.seq AND s.idx = c.idx AND s.y = c.y AND s.x = c.x GROUP BY ALL"),
+    "length_faults": (length_faults, "SELECT o_custkey AS seq, count(*) FILTER (o_orderstatus = 'F') AS \"left\", count(*) FILTER (o_orderstatus = 'O') AS \"right\" FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus = 'F') <> count(*) FILTER (o_orderstatus = 'O')"),
+    "stream_flow_push": (stream_flow_push, None),
     "ssim": (ssim, None),
     "flow_farneback": (_estimated("farneback"), None),
     "flow_tvl1": (_estimated("dual_tvl1"), None),
@@ -405,7 +436,7 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "fields_aligned": (_field(fields.DryMass, fields.Acceleration), _FIELD_SQL["fields_aligned"]),
     "field_means": (field_means, _FIELD_SQL["field_means"]),
     "displacement3d": (_field(fields.Displacement, three=True), _displacement3d_sql()),
-    "stream_push_diff": (stream_push_diff, f"WITH {_CELLS} SELECT a.seq, a.idx, round(sum((b.v - a.v)::DOUBLE), 4) AS change FROM cells a JOIN cells b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL"),
+    "stream_push_diff": (stream_push_diff, f"WITH {_CELLS} SELECT a.seq, a.idx, round(sum((b.v - a.v)::DOUBLE), 4) + 0.0 AS change FROM cells a JOIN cells b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL"),
 }
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -41,6 +44,14 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system, for Python workers go on to other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one task, batch by batch: a star for each local component."""
     for batch in batches:

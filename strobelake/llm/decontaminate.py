@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.llm.common import byte_texts, table
+from strobelake.llm.common import release, table
+from strobelake.llm.pieces import text_blocks
 
 #: Base of the Karp-Rabin hash, modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
+BLOCK_BYTES = 2_000_000
 _PUNCTUATION = string.punctuation.encode()
 RESULT = "doc_id long, item_id long, covered long, item_words long, coverage double, tiles long"
 
@@ -177,8 +179,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, cov
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                rows = [(i, *found) for i, text in zip(ids, byte_texts(batch.column(1))) for found in index.judge(text, coverage)]
+                ids, rows = batch.column(0).to_pylist(), []
+                for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+                    rows += [(i, *found) for i, text in zip(ids[low:high], texts) for found in index.judge(text, coverage)]
                 columns = list(zip(*rows)) or [[]] * 6
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "covered", "item_words", "coverage", "tiles"])
@@ -202,8 +205,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, coverage:
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                fine = [not shared.value.judge(text, coverage) for text in byte_texts(batch.column(0))]
+                fine = [not shared.value.judge(text, coverage) for _, _, texts in text_blocks(batch.column(0), BLOCK_BYTES) for text in texts]
                 yield batch.filter(pa.array(fine, pa.bool_()))
+            release()
 
         kept = kept.mapInArrow(run, schema)
     return kept.select(*docs.columns)

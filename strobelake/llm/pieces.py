@@ -17,6 +17,14 @@ def block_ranges(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         low = high
 
 
+def text_blocks(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, end row, UTF-8 texts) of a column of texts, about ``most`` bytes at a time; a null is an empty text."""
+    raw = column.cast(pa.binary())
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, dtype=np.int32)
+    for low, high in block_ranges(np.diff(offsets).astype(np.int64), most):
+        yield low, high, [t or b"" for t in raw.slice(low, high - low).to_pylist()]
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes one after another, and the bounds of the texts."""
     return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)], dtype=np.int64)

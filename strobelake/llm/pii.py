@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.llm.common import byte_texts, table
-from strobelake.llm.pieces import Memory, block_ranges, distinct_pieces, joined
+from strobelake.llm.common import release, table
+from strobelake.llm.pieces import Memory, distinct_pieces, joined, text_blocks
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 FIELD_KINDS = ("crf_secret", "crf_contact")
 KINDS = BASE_KINDS + FIELD_KINDS
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -187,7 +187,7 @@ class Field:
         self.names, self.weights, self.moves = names, weights, moves
         self.rows: dict[tuple[str, ...], int] = {}
         self.table = np.zeros((64, self.places, len(self.labels)), dtype=np.float32)
-        self.memory = Memory(lambda ps: {p: self.row(p) for p in ps}, 400_000, 64)
+        self.memory = Memory(lambda ps: {p: self.row(p) for p in ps}, 150_000, 64)
 
     def row(self, token: bytes) -> int:
         """The row of the score table that holds a token's features."""
@@ -342,16 +342,16 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*parameters)
         for batch in batches:
-            texts = byte_texts(batch.column(1))
-            for low, high in block_ranges(np.array([len(t) for t in texts], dtype=np.int64), BLOCK_BYTES):
+            for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
                 counts, digests, spans, added = [], [], [], []
-                for _, base, more in all_spans(texts[low:high], own):
+                for _, base, more in all_spans(texts, own):
                     counts.append([sum(s[0] == k for s in base) for k in BASE_KINDS])
                     digests.append(hashlib.sha256(_spelt(base).encode()).hexdigest())
                     spans.append(_spelt(base + more))
                     added.append(len(more))
                 numbers = [pa.array(c, pa.int64()) for c in zip(*counts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *numbers, pa.array(digests), pa.array(spans), pa.array(added, pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+        release()
 
     return chosen.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
@@ -378,10 +378,10 @@ def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
         own = Field(*parameters)
         for batch in batches:
             nulls = batch.column(0).is_null().to_pylist()
-            texts = byte_texts(batch.column(0))
-            for low, high in block_ranges(np.array([len(t) for t in texts], dtype=np.int64), BLOCK_BYTES):
-                clean = [None if null else redact(text, base + more) for null, (text, base, more) in zip(nulls[low:high], all_spans(texts[low:high], own))]
+            for low, high, texts in text_blocks(batch.column(0), BLOCK_BYTES):
+                clean = [None if null else redact(text, base + more) for null, (text, base, more) in zip(nulls[low:high], all_spans(texts, own))]
                 yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()), *batch.slice(low, high - low).columns[1:]], names=batch.schema.names)
+        release()
 
     clean = chosen.mapInArrow(run, schema)
     if "n_chars" in rest:

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.llm.common import byte_texts, table
-from strobelake.llm.pieces import block_ranges, distinct_pieces, joined
+from strobelake.llm.common import release, table
+from strobelake.llm.pieces import distinct_pieces, joined, text_blocks
 from strobelake.llm.toxicity import fit_logistic, held_out
 
 MAX_TRAIN_ROWS, MAX_POOL_ROWS = 10_000, 10_000
 ROUNDS, EACH_ROUND = 5, 0.05
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 _SIGNS = b"%&$*#|!?\".,:;-=+_<>{}[]()/\\@"
 _LANGS, _SOURCES = 8, 32
 
@@ -132,10 +132,9 @@ def views(docs: DataFrame) -> DataFrame:
 
 
 def _features(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    texts = byte_texts(batch.column(1))
     langs, sources, chars = (batch.column(k).to_pylist() for k in (2, 3, 4))
-    for low, high in block_ranges(np.array([len(t) for t in texts], dtype=np.int64), BLOCK_BYTES):
-        yield low, high, text_view(texts[low:high]), record_view(texts[low:high], langs[low:high], sources[low:high], chars[low:high])
+    for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+        yield low, high, text_view(texts), record_view(texts, langs[low:high], sources[low:high], chars[low:high])
 
 
 def _records(docs: DataFrame) -> DataFrame:
@@ -200,6 +199,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         for batch in batches:
             for low, high, text, record in _features(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *map(pa.array, model.scores(text, record))], names=["doc_id", "text_score", "record_score", "score"])
+        release()
 
     scored = _records(docs).mapInArrow(run, "doc_id long, text_score double, record_score double, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_score", "record_score", "score", (F.col("score") >= threshold).alias("kept"))

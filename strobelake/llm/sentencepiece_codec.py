@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.llm.common import byte_texts, table
-from strobelake.llm.pieces import Memory, block_ranges, distinct_pieces, joined, spell
+from strobelake.llm.common import release, table
+from strobelake.llm.pieces import Memory, block_ranges, distinct_pieces, joined, spell, text_blocks
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 _MARK = SPACE.encode()
-PIECE_ENTRIES, PIECE_LENGTH, PAIR_ENTRIES = 250_000, 48, 600_000
-BLOCK_BYTES = 4_000_000
+PIECE_ENTRIES, PIECE_LENGTH, PAIR_ENTRIES = 200_000, 48, 400_000
+BLOCK_BYTES = 2_000_000
 
 
 class Codec:
@@ -213,11 +213,11 @@ def encode(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            texts = byte_texts(batch.column(0))
-            for low, high in block_ranges(np.array([len(t) for t in texts], dtype=np.int64), BLOCK_BYTES):
-                ids, sizes = own.encode(texts[low:high])
+            for low, high, texts in text_blocks(batch.column(0), BLOCK_BYTES):
+                ids, sizes = own.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns[1:], lists], names=[*keep, "ids"])
+        release()
 
     return chosen.mapInArrow(run, f"{_schema(chosen.drop('_text'))}, ids array<int>")
 

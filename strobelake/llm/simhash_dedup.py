@@ -27,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.llm.common import byte_texts, connected_components, materialize, table
+from strobelake.llm.common import connected_components, materialize, release, table
+from strobelake.llm.pieces import text_blocks
 
 BITS = 64
+BLOCK_BYTES = 2_000_000
 #: Relative cost of a probe key (it is shuffled and sorted) and of a candidate (one comparison in the join).
 KEY_COST, CANDIDATE_COST = 1.0, 0.05
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -60,8 +62,10 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, width, seed) for t in byte_texts(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+                found = np.array([fingerprint(t, width, seed) for t in texts], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 

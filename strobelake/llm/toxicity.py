@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.llm.common import materialize, table
+from strobelake.llm.common import materialize, release, table
+from strobelake.llm.pieces import text_blocks
 
 #: Training rows used at most, chosen by the hash of their doc_id.
 MAX_TRAIN_ROWS = 12_000
@@ -39,6 +40,8 @@ _QUOTES = re.compile("[\"“”„«»‟]")
 _REPORT = frozenset(("said", "says", "wrote", "writes", "called", "quote", "quoted", "quoting", "reported", "according", "cited", "dit", "écrit", "sagte", "schrieb", "zitat", "dijo", "escribió", "cita"))
 WINDOW_WORDS, WINDOW_CHARS = 6, 80
 FUZZY_WEIGHT = 0.7
+#: Words that a Python worker remembers, and bytes of text looked at together.
+SEEN_WORDS, BLOCK_BYTES = 300_000, 2_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -116,7 +119,7 @@ class Scorer:
         self.hits: dict[str, tuple[float, bool]] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.seen) > 1_000_000:
+        if len(self.seen) > SEEN_WORDS:
             self.seen.clear()
             self.hits.clear()
         fresh = [w for w in words - self.seen if len(w) > 2]
@@ -271,25 +274,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row, or the columns ``keep`` with score and predicted."""
+    """(doc_id, held_out, score, predicted) for every row, or the columns ``keep`` (text among them) with score and predicted."""
     weights, bias = np.array(model.weights or [0.0] * 8), model.bias
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if keep is None else docs.select(*keep)
+    names = chosen.columns
+    at, out = names.index("text"), names if keep is not None else ["doc_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.terms, model.stems)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                x = scorer.features([t or "" for t in some.column(0).to_pylist()])
+            for low, high, texts in text_blocks(batch.column(at), BLOCK_BYTES):
+                x = scorer.features([t.decode() for t in texts])
                 p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -700, 700)))
-                yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(p)], names=[*some.schema.names[1:], "score"])
+                some = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in out), pa.array(p)], names=[*out, "score"])
+        release()
 
+    schema = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in out)
+    scored = chosen.mapInArrow(run, f"{schema}, score double")
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
-    text = F.col("text").cast("string").alias("_text")
     if keep is not None:
-        chosen = docs.select(text, *keep)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-        return chosen.mapInArrow(run, schema + ", score double").select(*keep, "score", predicted)
-    return docs.select(text, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+        return scored.select(*keep, "score", predicted)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,9 +139,9 @@ def run(frames: DataFrame, job: Job) -> Outcome:
     done = need.join(refused.select("seq"), "seq", "left_anti").select("seq", F.lit(True).alias("computed"), F.lit(None).cast("string").alias("reason"))
     unchanged = names.join(need, "seq", "left_anti").select("seq", F.lit(False).alias("computed"), F.lit(None).cast("string").alias("reason"))
     result = Outcome(done.unionByName(unchanged).unionByName(refused), text, path)
-    failed = refused.limit(1000).collect()
+    failed = {r["seq"]: r["reason"] for r in refused.limit(1000).collect()} | {str(r["source"]): f"bad range part: {r['fault']}" for r in bad.limit(1000).collect()}
     if failed:
-        raise IncompleteRun({r["seq"]: r["reason"] for r in failed})
+        raise IncompleteRun(failed)
     return result
 
 

@@ -122,6 +122,19 @@ class FrameTable:
         if not gone.isEmpty():
             self.commit(gone)
 
+    def vacuum(self) -> int:
+        """Delete the folders of runs that no manifest row names: leftovers of runs that failed or were replaced."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.root}/runs")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return 0
+        counted = {r["run"] for r in self.manifest().select("run").distinct().collect()}  # one name a run
+        stale = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName() not in counted]
+        for path in stale:
+            fs.delete(path, True)
+        return len(stale)
+
     def read(self, schema: object) -> DataFrame:
         """Frames of every sequence that counts, idx from 0."""
         counted = self.manifest().select("seq", "run")

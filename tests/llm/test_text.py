@@ -1,0 +1,315 @@
+"""Token store, SentencePiece codec, personal data, decontamination, toxicity and quality."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from strobelake.llm import decontaminate as dc
+from strobelake.llm import pii, quality, toxicity
+from strobelake.llm import sentencepiece_codec as spc
+from strobelake.llm import token_store as ts
+from strobelake.llm.common import new_path
+from strobelake.llm.pieces import joined
+
+DOC = "doc_id long, text string"
+ODD = ["", None, " ", "a  b", "a \n\nb", "a   ", "it's o'clock", "!\x1c!", "x²y Ⅷ", "日本 語", "a\xa0 ", "a\xa0  b", "a  \xa0b", "é, ×3 ÷.", "<|endoftext|> x", "▁a▁ b", "\x00", "😀 ok", "a" * 4000, " " * 300, "=-" * 900]
+
+
+def fuzz(n: int, seed: int, letters: str = " \n\ta\xa0b's,é.1×日́ Z$▁_theni\"()-😀") -> list[str]:
+    rng = random.Random(seed)
+    return ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(n)]
+
+
+def test_encoder_equals_the_library():
+    own = ts.encoder(ts.TOKENIZER)
+    texts = ODD + fuzz(4000, 1)
+    ids, sizes = own.encode(pa.array(texts, pa.string()), 0)
+    cuts = np.append(0, np.cumsum(sizes))
+    for k, text in enumerate(texts):
+        want = own.tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        assert ids[cuts[k] : cuts[k + 1]].tolist() == want, text
+    again, _ = own.encode(pa.array(["skipped", *texts], pa.string()).slice(1), 0)
+    assert (again == ids).all()
+
+
+def test_token_store_round_trip(spark):
+    texts = ODD + fuzz(300, 2)
+    rows = [(7 * k % 997, t) for k, t in enumerate(texts)]
+    path = new_path(spark, "tokens-test")
+    ts.write_tokens(spark.createDataFrame(rows, DOC).repartition(3), path)
+    got = ts.digests(ts.read_tokens(spark, path)).orderBy("start").collect()
+    tokenizer, start = ts.encoder(ts.TOKENIZER).tokenizer, 0
+    for r, (doc_id, text) in zip(got, sorted(rows, key=lambda x: x[0]), strict=True):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        start += len(ids)
+    some = ts.read_tokens(spark, path, [rows[5][0], rows[9][0]])
+    assert {r["doc_id"] for r in some.collect()} == {rows[5][0], rows[9][0]}
+    assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_store_empty_null_and_repeated(spark):
+    path = new_path(spark, "tokens-test")
+    ts.write_tokens(spark.createDataFrame([], DOC), path)
+    assert ts.digests(ts.read_tokens(spark, path)).count() == 0
+    path = new_path(spark, "tokens-test")
+    ts.write_tokens(spark.createDataFrame([(2, "x", 1), (2, "x", 1), (None, "y", 1)], DOC + ", ids int"), path)
+    assert [(r["doc_id"], r["start"]) for r in ts.read_tokens(spark, path).orderBy("start").collect()] == [(None, 0), (2, 2), (2, 4)]
+
+
+@pytest.fixture(scope="module")
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=spc.MODEL)
+
+
+def test_codec_equals_the_library(library):
+    own, texts = spc.codec(spc.MODEL), [t or "" for t in ODD] + fuzz(4000, 3) + ["ab" * 3000, "▁" * 80 + " " * 50]
+    ids, sizes = own.encode([t.encode() for t in texts])
+    cuts = np.append(0, np.cumsum(sizes))
+    for k, want in enumerate(library.encode(texts)):
+        assert ids[cuts[k] : cuts[k + 1]].tolist() == want, texts[k]
+    assert own.decode(ids, sizes) == library.decode(library.encode(texts)) == [t.replace("▁", " ") for t in texts]
+
+
+def test_pieces_are_committed_before_the_end():
+    text = "▁" + "the▁end▁of▁" * 60
+    steps = spc.codec(spc.MODEL).viterbi(text)
+    first = next(steps)
+    assert first[1] == 0 and "".join(text[a:b] for _, a, b in [first, *steps]) == text
+
+
+def test_codec_in_spark(spark):
+    rows = [(k, t) for k, t in enumerate(ODD)] + [(None, "z"), (1, "again"), (1, "again")]
+    frame = spark.createDataFrame(rows, DOC).withColumn("sha256", F.sha2(F.translate(F.coalesce("text", F.lit("")), spc.SPACE, " "), 256))
+    got = spc.checked(spc.encode(frame, ["doc_id", "sha256"])).collect()
+    assert len(got) == len(rows) and all(r["round_trip"] for r in got)
+    tokens = spc.encode(frame, ["doc_id"])
+    assert sorted(r["text"] for r in spc.decode(tokens, ["doc_id"]).collect()) == sorted((t or "").replace("▁", " ") for _, t in rows)
+    assert spc.encode(frame.limit(0), ["doc_id"]).count() == 0
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text: str) -> list[tuple[str, int, int]]:
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            double = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(digits[::-1]))
+            if {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 16 <= len(digits) <= 19 and double % 10 == 0, "phone": 8 <= len(digits) <= 15}[kind]:
+                out.append((kind, *m.span()))
+    return out
+
+
+@pytest.mark.parametrize("letters", ["a@.1-b %+", "0123456789.", "0 -1", "+1 ().-2a", "a.@b@c.d é@", "45 -"])
+def test_base_spans(letters):
+    for text in fuzz(4000, 4, letters) + ["4242424242424242", "4242 4242-4242 4242", "1.2.3.4.5.6.7.8", "+1 (743) 555-3824, x", "a@b@c.d", "1" * 3000, "a" * 5000 + "@", "300.1.1.1"]:
+        assert pii.base_spans(text) == brute_spans(text), text
+
+
+def brute_labels(field, tokens: list[bytes]) -> list[int]:
+    """Viterbi one token at a time."""
+    rows = [field.row(t) for t in tokens]
+    score = [field.table[r, 0] + (field.table[rows[k - 1], 1] if k else 0) + (field.table[rows[k + 1], 2] if k + 1 < len(rows) else 0) for k, r in enumerate(rows)]
+    best, back = score[0].copy(), []
+    for s in score[1:]:
+        step = best[:, None] + field.moves.astype(np.float32)
+        back.append(step.argmax(axis=0))
+        best = step.max(axis=0) + s
+    path = [int(best.argmax())]
+    for b in back[::-1]:
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def test_random_field():
+    field, hits, total = pii.default_field(), 0, 0
+    for text, spans in pii.labelled_table(2, 1234):
+        got = [(a, b, k) for k, a, b in field.spans(*joined([text.encode()]))[0]]
+        hits += got == spans
+        total += 1
+    assert hits / total > 0.95
+    data, bounds = joined([b'Call 555-123-4567. My token = "0123456789abcdef0123456789abcdef01234567"\nwe met at noon', b"", b"one", b"a b c at d dot com x"])
+    starts, ends, new = pii.tokens(data, bounds)
+    row = np.array([field.row(bytes(data[a:b])) for a, b in zip(starts, ends)])
+    got = field.viterbi(field.scores(row, new), new).tolist()
+    cut = [*np.flatnonzero(new).tolist(), len(starts)]
+    want = [y for a, b in zip(cut, cut[1:]) for y in brute_labels(field, [bytes(data[starts[k] : ends[k]]) for k in range(a, b)])]
+    assert got == want and max(got) > 0
+
+
+def test_pii_in_spark(spark):
+    rows = [(1, 'é token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" a@b.com'), (2, None), (3, ""), (None, "ip 1.2.3.4"), (1, "x")]
+    got = pii.find(spark.createDataFrame(rows, DOC)).collect()
+    first = next(r for r in got if r["doc_id"] == 1 and r["n_email"])
+    assert first["spans"] == "email:54:61,crf_secret:11:51" and (first["n_email"], first["n_ip"], first["n_added"]) == (1, 0, 1)
+    assert [r["n_ip"] for r in got if r["doc_id"] is None] == [1]
+    assert next(r for r in got if r["doc_id"] == 3)["base_sha256"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    clean = {(r["doc_id"], r["text"]) for r in pii.redacted(spark.createDataFrame(rows, DOC)).collect()}
+    assert clean == {(1, 'é token = "[SECRET]" [EMAIL]'), (2, None), (3, ""), (None, "ip [IP]"), (1, "x")}
+    assert pii.find(spark.createDataFrame([], DOC)).count() == 0
+    assert pii.train([]).spans(*joined([b"token = 1"])) == [[]]
+
+
+def brute_tiling(doc: list, item: list, width: int) -> int:
+    """Words of the item covered: the textbook loop."""
+    used_d, used_i, covered = set(), set(), 0
+    while True:
+        best = 0
+        for a in range(len(doc)):
+            for b in range(len(item)):
+                n = 0
+                while a + n < len(doc) and b + n < len(item) and doc[a + n] == item[b + n] and a + n not in used_d and b + n not in used_i:
+                    n += 1
+                if n > best:
+                    best, at = n, (a, b)
+        if best < width:
+            return covered
+        used_d.update(range(at[0], at[0] + best))
+        used_i.update(range(at[1], at[1] + best))
+        covered += best
+
+
+def test_tiling_covers_as_much_as_the_textbook():
+    rng = random.Random(0)
+    for _ in range(150):
+        item = [rng.choice("abcdef") for _ in range(rng.randrange(8, 30))]
+        cut = rng.randrange(len(item))
+        doc = [rng.choice("abcdefxyz") for _ in range(5)] + item[cut:] + [rng.choice("xyz")] * rng.randrange(3) + item[:cut] + [rng.choice("abc") for _ in range(9)]
+        index = dc.Index([(1, " ".join(item).encode())], 4)
+        found = index.judge(" ".join(doc).encode(), 0.0)
+        assert (found[0][1] if found else 0) == brute_tiling(doc, item, 4)
+
+
+def test_decontamination(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = {k: [word() for _ in range(rng.randrange(10, 40))] for k in range(12)} | {50: ["just", "three", "words"], 51: []}
+    items[13] = items[3]
+    prose = lambda n: [word() for _ in range(n)]
+    docs = [
+        (0, prose(50) + items[3] + prose(9)), (1, prose(50) + items[4][8:] + prose(3) + items[4][:8]), (2, prose(200)), (3, items[5][: len(items[5]) // 2]),
+        (4, [w.upper() + "," for w in items[6]]), (5, prose(4) + ["just", "three", "words"]), (6, []), (7, items[7] + items[8]),
+    ]
+    rows = [(k, " ".join(w)) for k, w in docs] + [(8, None), (None, " ".join(items[9]))]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(60, None)], "item_id long, text string")
+    want = {(0, 3), (0, 13), (1, 4), (4, 6), (5, 50), (7, 7), (7, 8), (None, 9)}
+    for block_words in (1_000_000, 60):
+        got = dc.contaminated(spark.createDataFrame(rows, DOC), benchmark, block_words=block_words).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want
+        assert all(r["coverage"] >= 0.8 for r in got)
+        kept = dc.clean(spark.createDataFrame(rows, DOC), benchmark, block_words=block_words)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 6, 8]
+    assert dc.contaminated(spark.createDataFrame(rows, DOC), benchmark.limit(0)).count() == 0
+    assert dc.contaminated(spark.createDataFrame([], DOC), benchmark).count() == 0
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_automaton_finds_all_words_within_one_edit():
+    rng = random.Random(2)
+    terms = ["idiot", "moron", "scum", "clown", "clowns", "réeux", "a", "ab"]
+    words = {"".join(rng.choice("abcdiotmrnsclwué") for _ in range(rng.randrange(1, 8))) for _ in range(3000)}
+    words |= {t[:k] + c + t[k + d :] for t in terms for k in range(len(t) + 1) for c in ("", "x", "i") for d in (0, 1)} - {""}
+    got = toxicity.Trie(terms).within_one(sorted(words))
+    for word in words:
+        near = sorted((distance(word, t), t) for t in terms)
+        assert got.get(word) == ((near[0][1], near[0][0]) if near[0][0] <= 1 else None), word
+    assert toxicity.Trie([]).within_one(["a"]) == {}
+
+
+def toxic_corpus(n: int = 900) -> tuple[list, list]:
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(("th", "er", "on", "an", "re", "he", "in")) for _ in range(rng.randint(2, 5)))
+    docs, labels = [], []
+    for k in range(n):
+        words = [word() for _ in range(rng.randrange(5, 60))]
+        toxic = k % 5 == 0
+        for _ in range(3 * toxic):
+            words.insert(rng.randrange(len(words)), rng.choice(["idiot", "moron", "clown", "scumbag"]))
+        docs.append((k, " ".join(words)))
+        labels.append((k, 1, int(toxic)))
+    return docs, labels
+
+
+def test_toxicity(spark):
+    docs, labels = toxic_corpus()
+    more = [(5000, "you idjot you moronn there"), (5001, ""), (5002, None), (None, "he said the word"), (5003, "an in re he"), (5003, "an in re he")]
+    frame, known = spark.createDataFrame(docs + more, DOC), spark.createDataFrame([*labels, (9999, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(frame, known)
+    assert {"idiot", "moron", "clown", "scumbag"} <= set(model.terms) | {w for w in ("scumbag",) if any(w.startswith(s) for s in model.stems)}
+    got = {(r["doc_id"], r["score"]): r for r in toxicity.score(frame, model).collect()}
+    rows = list(got.values())
+    truth = dict((k, t) for k, _, t in labels)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
+    assert len(held) > 100 and np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.98
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows if r["doc_id"] is not None)
+    by = {r["doc_id"]: r for r in rows}
+    assert by[5000]["predicted"] == 1 and by[5001]["predicted"] == 0 and by[5001]["score"] == by[5002]["score"]
+
+
+def test_quotation_counts_less():
+    scorer = toxicity.Scorer({"idiot": 1.0}, {})
+    abuse, quoted, told = scorer.features(["you are an idiot and more", 'they wrote on the wall "what an idiot" in red', "she said idiot in class"])
+    assert abuse[0] > 0 == quoted[0] == told[0] and quoted[2] > 0 and told[2] > 0
+
+
+def test_toxicity_without_labels(spark):
+    frame = spark.createDataFrame([(1, "a b"), (2, None)], DOC)
+    for rows, want in (([], 0.0), ([(1, 1, 1)], 1.0), ([(1, 1, 0)], 0.0)):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        assert [r["score"] for r in toxicity.score(frame, toxicity.fit(frame, labels)).collect()] == [want] * 2
+    assert toxicity.score(frame.limit(0), toxicity.Model()).count() == 0
+
+
+RECORD = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_quality(spark):
+    rng, rows, labels = random.Random(4), [], []
+    for k in range(1200):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randrange(20, 90))]
+        bad = k % 4 == 0
+        text = " ".join(w + "%%%" for w in words) if bad else " ".join(words) + "."
+        rows.append((k, text, "en", f"src{k % 4 if rng.random() < 0.7 else rng.randrange(4)}", len(text)))
+        if k % 2:
+            labels.append((k, int(not bad), 0))
+        elif k % 4 == 0 and k % 8 == 0:
+            labels.append((k, 0, 0))
+    rows += [(None, None, None, None, None), (9000, "", "xx", "new", -1), (9001, "a", "en", "src1", 1), (9001, "a", "en", "src1", 1)]
+    frame, known = spark.createDataFrame(rows, RECORD), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(frame, known)
+    got = quality.score(frame, model).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    right = [r["kept"] == (r["doc_id"] % 4 != 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 1200]
+    assert np.mean(right) > 0.98
+    assert quality.score(frame.limit(0), model).count() == 0
+    none = quality.score(frame, quality.fit(frame, known.limit(0))).select("score").distinct().collect()
+    assert [r["score"] for r in none] == [0.5]
+
+
+def test_text_view_counts():
+    texts = [b"", b"a a b", b"AB, cd.\nab", "é é".encode(), b"x" * 50]
+    got = quality.text_view(texts)
+    assert np.allclose(np.expm1(got[:, 0]), [0, 3, 3, 2, 1])
+    one_by_one = np.concatenate([quality.text_view([t]) for t in texts])
+    assert np.allclose(got, one_by_one)
+    assert [k for k, _ in groupby(got[:, -1])] == [1.0, 0.0]
