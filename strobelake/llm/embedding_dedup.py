@@ -2,11 +2,12 @@
 
 Equal vectors are one class with a multiplicity. Classes are hashed to shards of bounded
 size and each shard builds one graph. Every block of classes then searches every
-shard: the beam is widened until an audit against brute force passes and, for a
-vector whose beam is full of links, until its worst entry is no link. Links are
-confirmed by cosine in double precision, counted where they are found, and reduced
-to a spanning forest there, so what leaves a task grows with its vectors and not
-with their pairs.
+shard: the beam is widened until two audits pass (links of some of the block's vectors
+against brute force, and vectors planted at the least cosine from nodes of the shard,
+which must be found) and, for a vector whose beam is full of near ones, until its worst
+entry is clearly no link. Links are confirmed by cosine in double precision, counted
+where they are found, and reduced to a spanning forest there, so what leaves a task
+grows with its vectors and not with their pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing and keep their row; vectors of different lengths never link; equal
@@ -29,8 +30,10 @@ from strobelake.llm.common import connected_components, materialize, table
 #: Links of a node on upper layers and on the lowest, and the beam that looks for them.
 LINKS, LOW_LINKS, BUILD_BEAM = 12, 24, 64
 LEAST_SHARDS, SHARD_ROWS, BLOCK_ROWS = 8, 32_768, 8_192
-#: Rows searched together, candidates expanded in a step, vectors audited in a block.
-TOGETHER, EXPAND, AUDITED = 512, 4, 48
+#: Rows searched together, candidates expanded in a step, vectors audited in a block, and planted in a shard.
+TOGETHER, EXPAND, AUDITED, PLANTED = 512, 4, 48, 64
+#: Shares of audited links and of planted vectors to be found; a beam is widened while its worst cosine is not this far under the least.
+LINK_RECALL, PLANT_RECALL, SLACK = 0.99, 0.98, 0.05
 
 
 class Graph:
@@ -171,6 +174,17 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _planted(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, vectors at cosine ``least`` from them): the farthest that a search must still reach."""
+    rows = np.linspace(0, len(x) - 1, min(PLANTED, len(x))).astype(int)
+    v = x[rows].astype(np.float64)
+    side = np.random.default_rng(0).standard_normal(v.shape)
+    side -= (side * v).sum(axis=1, keepdims=True) * v
+    size = np.linalg.norm(side, axis=1, keepdims=True)
+    out = np.where(size > 1e-9, least * v + np.sqrt(1 - least**2) * side / np.maximum(size, 1e-9), v)
+    return rows, out.astype(np.float32)
+
+
 def links_in(graph: Graph, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(row of q, row of x) for every link found between a block and a shard, and the beam the audit asked for.
 
@@ -178,14 +192,14 @@ def links_in(graph: Graph, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids:
     """
     unit, length, q_length = _unit(q), np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
     audit = np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)
-    exact = unit[audit] @ graph.x.T
-    other = q_ids[audit][:, None] != ids[None, :]
-    nearest = np.where(other, exact, -np.inf).max(axis=1)
-    while True:  # widen until the audit finds its links and its nearest vectors
-        found, sims = graph.nearest(unit[audit], beam)
-        own = np.where((found >= 0) & (q_ids[audit][:, None] != ids[found]), sims, -np.inf)
-        want, got = ((exact >= least) & other).sum(), (own >= least).sum()
-        if beam >= len(x) or got >= 0.99 * min(want, beam) and (own.max(axis=1) >= nearest - 1e-5).mean() >= 0.9:
+    linked = (unit[audit] @ graph.x.T >= least) & (q_ids[audit][:, None] != ids[None, :])
+    source, plants = _planted(graph.x, least)
+    while beam < len(x):  # widen until the audits pass; rows that are widened later anyway don't count as missed
+        (found, sims), (seen, near) = graph.nearest(unit[audit], beam), graph.nearest(plants, beam)
+        settled, sure = sims[:, -1] < least - SLACK, near[:, -1] < least - SLACK
+        want = linked[settled].sum()
+        got = np.take_along_axis(linked, np.maximum(found, 0), axis=1)[settled][found[settled] >= 0].sum()
+        if got >= LINK_RECALL * want and (seen == source[:, None]).any(axis=1)[sure].sum() >= PLANT_RECALL * sure.sum():
             break
         beam *= 2
     pairs = []
@@ -196,7 +210,7 @@ def links_in(graph: Graph, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids:
         for at in range(0, len(todo), step):
             some = todo[at : at + step]
             found, sims = graph.nearest(unit[some], width)
-            full = (sims[:, -1] >= least - 1e-3) & (width < len(x))
+            full = (sims[:, -1] >= least - SLACK) & (width < len(x))
             again.append(some[full])
             a, b = np.nonzero((sims >= least - 1e-3) & (found >= 0) & ~full[:, None])
             a, b = some[a], found[a, b]
@@ -253,7 +267,7 @@ def pack_shard(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"packed": pa.array([key[1].as_py()], pa.int32()), "n": [len(ids)], "dim": pa.array([v.shape[1]], pa.int32()), "ids": [ids.tobytes()], "many": [many.tobytes()], "vectors": [v.tobytes()], "sizes": [graph.sizes], "layers": [[x.tobytes() for x in graph.layers]]})
 
 
-def near_duplicates(embeddings: DataFrame, least: float = 0.95, beam: int = 48, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, least: float = 0.95, beam: int = 16, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``embeddings`` (vec_id, embedding)."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     limit = F.lit(1.7976931348623157e308)

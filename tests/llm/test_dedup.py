@@ -158,3 +158,26 @@ def test_graph_recall():
     exact = np.argsort(-(q @ graph.x.T), axis=1)[:, :10]
     found, _ = graph.nearest(q, 96)
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(exact.tolist(), found.tolist())]) > 0.9
+
+
+def test_links_at_the_least_cosine_are_found():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 48))
+    cluster = x[:1] + 0.15 * rng.normal(size=(300, 48))
+    x = np.concatenate([x, cluster])
+    unit = ed._unit(x)
+    levels = np.floor(-np.log(rng.random(len(x))) / np.log(ed.LINKS)).astype(int)
+    order = np.argsort(-levels, kind="stable")
+    x = x[order]
+    graph = ed.Graph.build(unit[order], levels[order])
+    v = x[::13] / np.linalg.norm(x[::13], axis=1, keepdims=True)
+    side = rng.normal(size=v.shape)
+    side -= (side * v).sum(axis=1, keepdims=True) * v
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    q = 0.951 * v + np.sqrt(1 - 0.951**2) * side
+    ids, q_ids = np.arange(len(x)), np.arange(len(q)) + len(x)
+    a, b, beam = ed.links_in(graph, x, ids, q, q_ids, 0.95, 4)
+    exact = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T >= 0.95
+    found = np.zeros_like(exact)
+    found[a, b] = True
+    assert not (found & ~exact).any() and found.sum() >= 0.99 * exact.sum() and 4 <= beam < len(x)
