@@ -4,7 +4,7 @@ The lexicon (whole words and word stems) is chosen by its association with the t
 label in a bounded sample of labelled training rows. A word matches a stem that it
 starts with, and a whole term within one edit: the word's Levenshtein automaton, a
 pair of bit vectors over its positions, walks the lexicon trie, for a batch of words
-at once. The window around each hit tells quotation or report from abuse, and a
+at once. Words at one edit that clean training texts use themselves are no misspellings. The window around each hit tells quotation or report from abuse, and a
 logistic model turns weighted, unquoted and quoted hits into a score.
 
 Defined cases: a null text counts as empty and gets the score of a text without
@@ -33,13 +33,15 @@ from strobelake.llm.pieces import text_blocks
 
 #: Training rows used at most, chosen by the hash of their doc_id.
 MAX_TRAIN_ROWS = 12_000
-STEM_LENGTHS = range(4, 9)
+STEM_LENGTHS = range(3, 9)
 _WORD = re.compile(r"[^\W_]+(?:[@$*][^\W_]+)*")
 _QUOTES = re.compile("[\"“”„«»‟]")
 #: Words that report what others said.
 _REPORT = frozenset(("said", "says", "wrote", "writes", "called", "quote", "quoted", "quoting", "reported", "according", "cited", "dit", "écrit", "sagte", "schrieb", "zitat", "dijo", "escribió", "cita"))
 WINDOW_WORDS, WINDOW_CHARS = 6, 80
 FUZZY_WEIGHT = 0.7
+#: When a shorter stem goes first: its toxic rows and its association against the longer one's.
+WIDER_ROWS, WIDER_SHARE = 1.5, 0.5
 #: Words that a Python worker remembers, and bytes of text looked at together.
 SEEN_WORDS, BLOCK_BYTES = 300_000, 2_000_000
 
@@ -105,6 +107,7 @@ class Model:
 
     terms: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    usual: frozenset[str] = frozenset()
     weights: list[float] = field(default_factory=list)
     bias: float = 0.0
 
@@ -112,8 +115,8 @@ class Model:
 class Scorer:
     """Finds hits and their features; remembers a bounded number of words."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        self.trie, self.terms, self.stems = Trie(terms), terms, stems
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], usual: frozenset[str] = frozenset()):
+        self.trie, self.terms, self.stems, self.usual = Trie(terms), terms, stems, usual
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[float, bool]] = {}
@@ -125,7 +128,7 @@ class Scorer:
         fresh = [w for w in words - self.seen if len(w) > 2]
         self.seen |= words
         for word, (term, edits) in self.trie.within_one(fresh).items():
-            if edits == 0 or len(term) >= 5:
+            if edits == 0 or (len(term) >= 5 and word not in self.usual):
                 self.hits[word] = (self.terms[term] * (FUZZY_WEIGHT if edits else 1.0), False)
         for n in self.lengths:
             for w in fresh:
@@ -220,8 +223,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     return materialize(sketched.select("toxic", "text"), "toxic-training")
 
 
-def lexicon(rows: DataFrame, toxic_rows: int, clean_rows: int, most: int = 200, least: float = 20.0) -> tuple[dict[str, float], dict[str, float]]:
-    """(terms, stems) with weights from 0 to 1: the most associated ones, none the beginning of another."""
+def lexicon(rows: DataFrame, toxic_rows: int, clean_rows: int, most: int = 200, least: float = 20.0) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
+    """(terms, stems, usual): the most associated ones, none the beginning of another, with weights from 0 to 1, and the clean words at one edit from a term.
+
+    A shorter stem goes before one that it begins if it has at least half as many toxic rows again and is not much less associated.
+    """
     counts = rows.select("text", "toxic").mapInArrow(_term_counts, "kind string, term string, toxic long, clean long")
     counts = counts.groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     likely = counts.where((F.col("toxic") >= 4) & (F.col("toxic") * clean_rows > 2 * F.col("clean") * toxic_rows))
@@ -230,12 +236,26 @@ def lexicon(rows: DataFrame, toxic_rows: int, clean_rows: int, most: int = 200,
     scored = sorted(((association(r["toxic"], r["clean"], toxic_rows, clean_rows), r["kind"], r["term"], r["toxic"], r["clean"]) for r in top), key=lambda x: (-x[0], x[1] != "w", -len(x[2]), x[2]))
     terms: dict[str, float] = {}
     stems: dict[str, float] = {}
+    by_stem = {x[2]: x for x in scored if x[1] == "s"}
     for g, kind, term, toxic, clean in scored:
+        shorter = [by_stem[term[:n]] for n in STEM_LENGTHS if n < len(term) and term[:n] in by_stem]
+        wider = [x for x in shorter if x[3] >= WIDER_ROWS * toxic and x[0] >= WIDER_SHARE * g]
+        if wider:
+            g, kind, term, toxic, clean = max(wider, key=lambda x: x[0])
         if g < least or len(terms) + len(stems) >= most or any(t.startswith(term) or term.startswith(t) for t in (*terms, *stems)):
             continue
         p = (toxic / toxic_rows) / (toxic / toxic_rows + (clean + 0.5) / clean_rows)
         (terms if kind == "w" else stems)[term] = p
-    return terms, stems
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(terms)
+        for batch in batches:
+            found = trie.within_one(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, (_, edits) in found.items() if edits], pa.string())], names=["term"])
+
+    words = counts.where((F.col("kind") == "w") & (F.col("clean") >= 2) & (F.col("toxic") * clean_rows <= 2 * F.col("clean") * toxic_rows))
+    usual = frozenset(r["term"] for r in words.select("term").mapInArrow(near, "term string").collect())  # one edit from a term: bounded by ``most``
+    return terms, stems, usual
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -258,10 +278,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     toxic_rows, clean_rows = n.get(True, 0), n.get(False, 0)
     if not toxic_rows or not clean_rows:
         return Model(bias=math.inf if toxic_rows else -math.inf)
-    terms, stems = lexicon(rows, toxic_rows, clean_rows)
+    terms, stems, usual = lexicon(rows, toxic_rows, clean_rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, stems)
+        scorer = Scorer(terms, stems, usual)
         for batch in batches:
             x = scorer.features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
@@ -270,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     x, y = np.array([r["x"] for r in seen]), np.array([float(r["toxic"] > 0) for r in seen])
     order = np.lexsort((*x.T, y))
     weights, bias = fit_logistic(x[order], y[order])
-    return Model(terms, stems, weights.tolist(), bias)
+    return Model(terms, stems, usual, weights.tolist(), bias)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
@@ -281,11 +301,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str]
     at, out = names.index("text"), names if keep is not None else ["doc_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.terms, model.stems)
+        scorer = Scorer(model.terms, model.stems, model.usual)
         for batch in batches:
             for low, high, texts in text_blocks(batch.column(at), BLOCK_BYTES):
                 x = scorer.features([t.decode() for t in texts])
-                p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -700, 700)))
+                with np.errstate(over="ignore"):
+                    p = 1 / (1 + np.exp(-(x @ weights + bias)))
                 some = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in out), pa.array(p)], names=[*out, "score"])
         release()

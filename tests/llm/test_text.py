@@ -272,6 +272,23 @@ def test_quotation_counts_less():
     assert abuse[0] > 0 == quoted[0] == told[0] and quoted[2] > 0 and told[2] > 0
 
 
+def test_clean_words_at_one_edit_are_no_misspellings(spark):
+    docs, labels = toxic_corpus()
+    rng = random.Random(8)
+    docs = [(k, text + " moren" if k % 5 and rng.random() < 0.1 else text) for k, text in docs]
+    model = toxicity.fit(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "moren" in model.usual and "idjot" not in model.usual
+    scorer = toxicity.Scorer(model.terms, model.stems, model.usual)
+    usual, misspelt = scorer.features(["the moren was here", "the idjot was here"])
+    assert usual[0] == 0 < misspelt[0]
+
+
+def test_wide_stems_go_first(spark):
+    rows = [(1, f"some words bomente{chr(97 + k % 9)}o and more") for k in range(60)] + [(0, f"some words and more {'bomentexx' if k < 8 else ''}") for k in range(400)]
+    terms, stems, _ = toxicity.lexicon(spark.createDataFrame(rows, "toxic int, text string"), 60, 400)
+    assert not terms and len(stems) == 1 and "bomente".startswith(*stems)
+
+
 def test_toxicity_without_labels(spark):
     frame = spark.createDataFrame([(1, "a b"), (2, None)], DOC)
     for rows, want in (([], 0.0), ([(1, 1, 1)], 1.0), ([(1, 1, 0)], 0.0)):
