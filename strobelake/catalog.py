@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -162,10 +161,11 @@ def preprocess_document(spark: SparkSession, d: str) -> DataFrame:
     """The whole job over strided frames, and its document as rows."""
     frames = tables.phase_frames(spark, d).withColumn("unit", F.lit("rad"))
     job = preprocess.Job(target=f"{_work(spark)}/job-{uuid.uuid4().hex}", exclude=["0"], step=2, filter={"kind": "identity"})
-    done = json.loads(preprocess.run(frames, job).document)
-    c = done["coverage"]
-    rows = [(s["source"], s["min_value"], s["max_value"], s["min_index"], s["max_index"], len(s["frames"]), c["found"], c["selected"], c["covered"], ",".join(c["unselected"])) for s in done["dataset"]["sequences"]]
-    return spark.createDataFrame(rows, "source string, min_value double, max_value double, min_index int, max_index int, frames int, found long, selected long, covered long, unselected string")
+    part = "struct<source string, min_value double, max_value double, min_index int, max_index int, frames array<struct<source string>>>"
+    shape = f"coverage struct<found long, selected long, covered long, unselected array<string>>, dataset struct<sequences array<{part}>>"
+    done = spark.read.schema(shape).json(preprocess.run(frames, job).path, multiLine=True)
+    rows = done.select("coverage", F.explode("dataset.sequences").alias("s"))
+    return rows.select("s.source", "s.min_value", "s.max_value", "s.min_index", "s.max_index", F.size("s.frames").alias("frames"), "coverage.found", "coverage.selected", "coverage.covered", F.array_join("coverage.unselected", ",").alias("unselected"))
 
 
 def _work(spark: SparkSession) -> str:

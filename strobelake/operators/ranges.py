@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strobelake.functions.pixels import finite_max, finite_min
@@ -13,25 +13,23 @@ def frame_ranges(frames: DataFrame) -> DataFrame:
     return frames.select("seq", "idx", F.col("source_name").alias("source"), finite_min(F.col("data")).alias("min_value"), finite_max(F.col("data")).alias("max_value"))
 
 
-def _fold(rows: DataFrame, key: str | None, position: str) -> DataFrame:
-    """Least and greatest values with the earliest position of each; one partial row for each key and task is shuffled."""
-    least = F.min(F.struct(F.col("min_value"), F.col(position).alias("at"))).alias("low")
-    most = F.max(F.struct(F.col("max_value"), (-F.col(position)).alias("at"))).alias("high")
-    ranged = rows.where("min_value is not null")
-    folded = (ranged.groupBy(key) if key else ranged.groupBy()).agg(least, most, F.count("*").alias("parts"))
-    return folded.select(*([key] if key else []), F.col("low.min_value").alias("min_value"), F.col("high.max_value").alias("max_value"), F.col("low.at").alias("min_index"), (-F.col("high.at")).alias("max_index"), F.col("parts"))
-
-
 def sequence_ranges(ranges: DataFrame) -> DataFrame:
-    """(seq, min_value, max_value, min_index, max_index, parts); ties go to the earliest frame."""
-    return _fold(ranges, "seq", "idx")
+    """(seq, min_value, max_value, min_index, max_index, parts); ties go to the earliest frame. One partial row for each sequence and task is shuffled."""
+    least, most = F.min(F.struct("min_value", "idx")).alias("low"), F.max(F.struct("max_value", (-F.col("idx")).alias("back"))).alias("high")
+    folded = ranges.where("min_value is not null").groupBy("seq").agg(least, most, F.count("*").alias("parts"))
+    return folded.select("seq", F.col("low.min_value").alias("min_value"), F.col("high.max_value").alias("max_value"), F.col("low.idx").alias("min_index"), (-F.col("high.back")).alias("max_index"), "parts")
 
 
 def dataset_range(sequences: DataFrame) -> DataFrame:
-    """One row over all sequences; positions count sequences in order of name. No row without any range."""
-    order = Window.orderBy("seq")  # one row a sequence, and no pixels
-    ranked = sequences.withColumn("rank", F.row_number().over(order) - 1)
-    return _fold(ranked, None, "rank").where("parts > 0")
+    """One row over all sequences; positions count sequences in order of name. No row without any range.
+
+    A position is how many names come before the one that holds it, so nothing is ranked in one task.
+    """
+    ends = sequences.where("min_value is not null").agg(F.min(F.struct("min_value", "seq")).alias("low"), F.min(F.struct((-F.col("max_value")).alias("sunk"), "seq")).alias("high"), F.count("*").alias("parts"))
+    ends = ends.where("parts > 0").select(F.col("low.min_value").alias("min_value"), (-F.col("high.sunk")).alias("max_value"), F.col("low.seq").alias("_low"), F.col("high.seq").alias("_high"), "parts")
+    counted = sequences.select("seq").crossJoin(F.broadcast(ends)).groupBy(*ends.columns)  # ends is one row
+    before = lambda name: F.count_if(F.col("seq") < F.col(name)).cast("int")
+    return counted.agg(before("_low").alias("min_index"), before("_high").alias("max_index")).select("min_value", "max_value", "min_index", "max_index", "parts")
 
 
 def sequence_parts(ranges: DataFrame, settings: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strobelake.functions.pixels import to_radians
@@ -13,7 +13,7 @@ from strobelake.operators.filters import apply_filter, describe, kernel
 from strobelake.operators.ranges import frame_ranges, sequence_parts
 from strobelake.plans.incremental import canonical, coverage, merge_parts, part_faults, reusable, to_compute, unsourced
 from strobelake.schema import FRAMES, SEQUENCE_RANGES, validate
-from strobelake.sinks.documents import dataset_block, document, save_document
+from strobelake.sinks.documents import document, read_document, save_document
 from strobelake.sinks.tables import FrameTable, check_apart, check_name, check_policies
 from strobelake.sources import select as sel
 
@@ -64,9 +64,13 @@ class Outcome:
     """What came of a run."""
 
     outcomes: DataFrame
-    document: str
     path: str
 
+    @property
+    def document(self) -> str:
+        """The document's text, read when asked for."""
+        return read_document(self.outcomes.sparkSession, self.path)
+
     def verdict(self) -> dict[str, int]:
         """How many sequences were computed, unchanged and failed."""
         row = self.outcomes.agg(F.count_if(F.col("computed")).alias("computed"), F.count_if(~F.col("computed") & F.col("reason").isNull()).alias("unchanged"), F.count_if(F.col("reason").isNotNull()).alias("failed")).first()
@@ -87,7 +91,7 @@ def run(frames: DataFrame, job: Job) -> Outcome:
     spark = frames.sparkSession
     settings = canonical(job.settings())
     known = sel.contents(sel.select_frames(frames, job.start, job.step, job.count))
-    known = known.withColumn("ordinal", F.row_number().over(Window.orderBy("seq")))  # a row a sequence
+    known = known.withColumn("ordinal", F.col("seq"))
     chosen = sel.select_sequences(frames, job.include, job.exclude)
     if chosen.isEmpty():
         raise ValueError("the selection leaves no sequence")
@@ -117,7 +121,7 @@ def run(frames: DataFrame, job: Job) -> Outcome:
 
     if job.write_frames:
         run_id, rows = sink.stage(filtered, settings) if not fine.isEmpty() else ("", None)
-        measured = spark.read.schema(FRAMES).parquet(f"{sink.root}/runs/{run_id}") if rows is not None else filtered
+        measured = spark.read.schema(FRAMES).parquet(sink.run_path(run_id)) if rows is not None else filtered
     else:
         rows, measured = None, filtered
     new = sequence_parts(frame_ranges(measured), settings)
@@ -134,11 +138,11 @@ def run(frames: DataFrame, job: Job) -> Outcome:
     parts = spark.read.schema(SEQUENCE_RANGES).parquet(generation).join(known.select(F.col("seq").alias("source")), "source", "left_semi")
     bad = part_faults(parts)
     sound = parts.join(bad.select("source"), "source", "left_anti")
-    text = document(job.settings(), coverage(known, names, sound, names.join(need, "seq", "left_anti")), dataset_block(sound, job.source or job.name))
+    text = document(job.settings(), coverage(known, names, sound, names.join(need, "seq", "left_anti")), sound, job.source or job.name)
     path = save_document(spark, job.target, job.name, text)
     done = need.join(refused.select("seq"), "seq", "left_anti").select("seq", F.lit(True).alias("computed"), F.lit(None).cast("string").alias("reason"))
     unchanged = names.join(need, "seq", "left_anti").select("seq", F.lit(False).alias("computed"), F.lit(None).cast("string").alias("reason"))
-    result = Outcome(done.unionByName(unchanged).unionByName(refused), text, path)
+    result = Outcome(done.unionByName(unchanged).unionByName(refused), path)
     failed = {r["seq"]: r["reason"] for r in refused.limit(1000).collect()} | {str(r["source"]): f"bad range part: {r['fault']}" for r in bad.limit(1000).collect()}
     if failed:
         raise IncompleteRun(failed)

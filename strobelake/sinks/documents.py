@@ -1,47 +1,62 @@
-"""The range document: settings, coverage and the folded range, as strict JSON."""
+"""The range document: settings, coverage and the folded range, as strict JSON.
+
+The document is one file for one reader. It is written as a stream: the parts of the
+sequences come to the writer in order of name, a partition at a time, and are never
+held together.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.operators.ranges import _fold
+from strobelake.operators.ranges import dataset_range
 from strobelake.plans.incremental import check_coverage
 from strobelake.sinks.tables import json_name
 
+_PART = ("source", "min_value", "max_value", "min_index", "max_index", "frames")
+
 
-def dataset_block(parts: DataFrame, source: str) -> DataFrame:
-    """One row (source, min_value, max_value, min_index, max_index, sequences) over range parts in order of name."""
-    ordered = parts.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "min_value", "max_value", "min_index", "max_index", "frames"))).alias("sequences"))
-    ranked = ordered.select(F.posexplode("sequences").alias("rank", "s")).select("rank", "s.min_value", "s.max_value")
-    folded = _fold(ranked, None, "rank").where("parts > 0")
-    return folded.crossJoin(ordered).select(F.lit(source).alias("source"), "min_value", "max_value", "min_index", "max_index", "sequences")  # one row each
+def _strict(value: object) -> str:
+    return json.dumps(value, allow_nan=False)
 
 
-def document(settings: Mapping, coverage: DataFrame, dataset: DataFrame) -> str:
-    """The JSON text; without any part there is no data set block. The document is what a single reader takes in, so it is put together on the driver."""
+def document(settings: Mapping, coverage: DataFrame, parts: DataFrame, source: str) -> Iterator[str]:
+    """The JSON text piece by piece; without any part there is no data set block."""
     covered = coverage.first().asDict(recursive=True)
     check_coverage(covered)
-    out = {"settings": dict(settings), "coverage": covered}
-    row = dataset.first()
-    if row is not None:
-        out["dataset"] = row.asDict(recursive=True)
-    return json.dumps(out, allow_nan=False, indent=2)
-
-
-def save_document(spark: SparkSession, root: str, name: str, text: str) -> str:
+    yield f'{{"settings": {_strict(dict(settings))},\n"coverage": {_strict(covered)}'
+    whole = dataset_range(parts.select(F.col("source").alias("seq"), "min_value", "max_value")).first()
+    if whole is not None:
+        folded = {"source": source} | {k: whole[k] for k in _PART[1:5]}
+        yield f',\n"dataset": {_strict(folded)[:-1]}, "sequences": ['
+        for k, row in enumerate(parts.select(*_PART).orderBy("source").toLocalIterator()):
+            yield (",\n" if k else "\n") + _strict(row.asDict(recursive=True))
+        yield "]}"
+    yield "}\n"
+
+
+def save_document(spark: SparkSession, root: str, name: str, text: Iterator[str]) -> str:
     """Write under a hidden temporary name and rename, through Hadoop's file system."""
     path = f"{root.rstrip('/')}/{json_name(name)}"
     jvm, target = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     temporary = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.{json_name(name)}.tmp")
     out = fs.create(temporary, True)
-    out.write(bytearray(text.encode()))
-    out.close()
+    try:
+        for piece in text:
+            out.write(bytearray(piece.encode()))
+    finally:
+        out.close()
     fs.delete(target, False)
     if not fs.rename(temporary, target):
         raise OSError(f"cannot move {temporary.toString()} to {path}")
     return path
+
+
+def read_document(spark: SparkSession, path: str) -> str:
+    """The text of a document."""
+    return spark.read.text(path, wholetext=True).first()[0]

@@ -1,6 +1,6 @@
 """Sequence-partitioned tables with a manifest: a run's partitions count once its manifest row is written.
 
-Under ``root``: ``runs/<run>/seq=...`` holds what a run wrote, ``manifest/`` one row for each
+Under ``root``: ``runs/run=<run>/seq=...`` holds what a run wrote, ``manifest/`` one row for each
 (seq, run) that counts. A reader takes each sequence from the newest run named for it,
 so a failed run, or one that is taken back, leaves nothing to see.
 """
@@ -15,6 +15,7 @@ from typing import Literal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strobelake.functions.pixels import all_finite
 
@@ -60,6 +61,9 @@ class FrameTable:
     spark: SparkSession
     root: str
 
+    def run_path(self, run: str) -> str:
+        return f"{self.root}/runs/run={run}"
+
     def manifest(self) -> DataFrame:
         """The newest row of each sequence that counts; a row without frames takes its sequence away."""
         try:
@@ -89,8 +93,8 @@ class FrameTable:
         sequences without frames are refused.
         """
         run = uuid.uuid4().hex
-        frames.where("data is not null").write.partitionBy("seq").parquet(f"{self.root}/runs/{run}")
-        written = self.spark.read.schema(frames.schema).parquet(f"{self.root}/runs/{run}")
+        frames.where("data is not null").write.partitionBy("seq").parquet(self.run_path(run))
+        written = self.spark.read.schema(frames.schema).parquet(self.run_path(run))
         per = written.groupBy("seq").agg(
             (F.max("idx") - F.min("idx") + 1).alias("span"), F.count("*").alias("n_frames"), F.sum((~all_finite(F.col("data"))).cast("int")).alias("bad"),
             F.sort_array(F.collect_list(F.struct("idx", "source_name"))).alias("rows"),
@@ -130,16 +134,16 @@ class FrameTable:
         if not fs.exists(root):
             return 0
         counted = {r["run"] for r in self.manifest().select("run").distinct().collect()}  # one name a run
-        stale = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName() not in counted]
+        stale = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().removeprefix("run=") not in counted]
         for path in stale:
             fs.delete(path, True)
         return len(stale)
 
-    def read(self, schema: object) -> DataFrame:
-        """Frames of every sequence that counts, idx from 0."""
+    def read(self, schema: T.StructType) -> DataFrame:
+        """Frames of every sequence that counts, idx from 0; run and seq are partitions, so other runs are not read."""
         counted = self.manifest().select("seq", "run")
-        every = self.spark.read.schema(schema).option("basePath", f"{self.root}/runs").parquet(f"{self.root}/runs/*").withColumn("run", F.regexp_extract(F.input_file_name(), r"/runs/([0-9a-f]{32})/", 1))
-        frames = every.join(F.broadcast(counted) if counted.count() < 100_000 else counted, ["seq", "run"], "left_semi").drop("run")
+        every = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())])).parquet(f"{self.root}/runs")
+        frames = every.join(F.broadcast(counted) if counted.count() < 100_000 else counted, ["seq", "run"], "left_semi").select(*schema.names)
         return frames.withColumn("idx", (F.row_number().over(Window.partitionBy("seq").orderBy("idx")) - 1).cast("int"))
 
 
