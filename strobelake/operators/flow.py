@@ -1,7 +1,8 @@
 """Dense optical flow between neighbouring frames, in numpy inside Arrow tasks.
 
 Farneback's two-frame method by polynomial expansion, and the duality-based TV-L1
-method of Zach, Pock and Bischof, each from its paper.
+method of Zach, Pock and Bischof, each from its paper. Both take (..., H, W) frames:
+small frames are worked on together, large ones pair by pair.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ from strobelake.operators.filters import to_array
 from strobelake.operators.warp import backward_warp
 
 
+#: Pixels worked on together.
+TOGETHER_PIXELS = 1 << 19
+
+
 def _correlate(a: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
-    """Correlation along one axis of (H, W) with the edge repeated."""
+    """Correlation along one axis (-2 or -1) with the edge repeated."""
     r, n = len(weights) // 2, a.shape[axis]
     pad = [(0, 0)] * a.ndim
     pad[axis] = (r, r)
@@ -28,14 +33,24 @@ def _correlate(a: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
     return np.moveaxis(out, 0, axis)
 
 
+def _both(a: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return _correlate(_correlate(a, weights, -2), weights, -1)
+
+
 def _resize(a: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Bilinear sampling at the new pixels' centres."""
-    h, w = a.shape
+    h, w = a.shape[-2:]
     y = np.clip((np.arange(shape[0]) + 0.5) * h / shape[0] - 0.5, 0, h - 1)
     x = np.clip((np.arange(shape[1]) + 0.5) * w / shape[1] - 0.5, 0, w - 1)
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    y1, x1, fy, fx = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1), (y - y0)[:, None], (x - x0)[None]
-    return (1 - fy) * ((1 - fx) * a[y0][:, x0] + fx * a[y0][:, x1]) + fy * ((1 - fx) * a[y1][:, x0] + fx * a[y1][:, x1])
+    y1, x1, fy, fx = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1), (y - y0)[:, None], x - x0
+    rows = (1 - fy) * a[..., y0, :] + fy * a[..., y1, :]
+    return (1 - fx) * rows[..., x0] + fx * rows[..., x1]
+
+
+def _grown(u: np.ndarray, shape: tuple[int, int], axis: int) -> np.ndarray:
+    """A flow component on a finer grid: its values grow with the pixels along its axis."""
+    return _resize(u, shape) * shape[axis] / u.shape[axis]
 
 
 def _pyramid(a: np.ndarray, levels: int, scale: float, least: int) -> list[np.ndarray]:
@@ -45,9 +60,9 @@ def _pyramid(a: np.ndarray, levels: int, scale: float, least: int) -> list[np.nd
     r = max(1, int(3 * sigma + 0.5))
     weights = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma**2))
     weights /= weights.sum()
-    while len(out) < levels and min(out[-1].shape) * scale >= least:
-        shape = tuple(max(1, round(n * scale)) for n in out[-1].shape)
-        out.append(_resize(_correlate(_correlate(out[-1], weights, 0), weights, 1), shape))
+    while len(out) < levels and min(out[-1].shape[-2:]) * scale >= least:
+        shape = tuple(max(1, round(n * scale)) for n in out[-1].shape[-2:])
+        out.append(_resize(_both(out[-1], weights), shape))
     return out
 
 
@@ -69,9 +84,9 @@ class Farneback:
         g /= g.sum()
         basis = [(0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1)]  # powers of x and y
         moments = np.array([[(g * d ** (p[0] + q[0])).sum() * (g * d ** (p[1] + q[1])).sum() for q in basis] for p in basis])
-        rows = {k: _correlate(a, g * d**k, 0) for k in (0, 1, 2)}
-        seen = np.stack([_correlate(rows[py], g * d**px, 1) for px, py in basis])
-        fit = np.einsum("ij,jhw->ihw", np.linalg.inv(moments), seen)
+        rows = {k: _correlate(a, g * d**k, -2) for k in (0, 1, 2)}
+        seen = np.stack([_correlate(rows[py], g * d**px, -1) for px, py in basis])
+        fit = np.einsum("ij,j...->i...", np.linalg.inv(moments), seen)
         return np.stack([fit[3], fit[5] / 2, fit[4]]), fit[1:3]
 
     def calc(self, prev: np.ndarray, curr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +95,10 @@ class Farneback:
         dx = dy = None
         box = np.full(self.window | 1, 1.0 / (self.window | 1))
         for one, two in reversed(pairs):
-            h, w = one.shape
             if dx is None:
-                dx, dy = np.zeros((h, w)), np.zeros((h, w))
+                dx, dy = np.zeros(one.shape), np.zeros(one.shape)
             else:
-                dx, dy = _resize(dx, (h, w)) * w / dx.shape[1], _resize(dy, (h, w)) * h / dy.shape[0]
+                dx, dy = _grown(dx, one.shape[-2:], -1), _grown(dy, one.shape[-2:], -2)
             (a1, b1), (a2, b2) = self.expand(one), self.expand(two)
             for _ in range(self.iterations):
                 moved = [backward_warp(c, dx, dy) for c in (*a2, *b2)]
@@ -92,7 +106,7 @@ class Farneback:
                 bx = (b1[0] - moved[3]) / 2 + xx * dx + xy * dy
                 by = (b1[1] - moved[4]) / 2 + xy * dx + yy * dy
                 terms = [xx * xx + xy * xy, xy * (xx + yy), xy * xy + yy * yy, xx * bx + xy * by, xy * bx + yy * by]
-                g11, g12, g22, h1, h2 = (_correlate(_correlate(t, box, 0), box, 1) for t in terms)
+                g11, g12, g22, h1, h2 = (_both(t, box) for t in terms)
                 det = g11 * g22 - g12 * g12 + 1e-9
                 dx, dy = (g22 * h1 - g12 * h2) / det, (g11 * h2 - g12 * h1) / det
         return dx.astype(np.float32), dy.astype(np.float32)
@@ -112,37 +126,48 @@ class DualTVL1:
     kind: str = "dual_tvl1"
 
     def calc(self, prev: np.ndarray, curr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        one, two = (_pyramid(f.astype(np.float64), self.scales, self.scale, 8) for f in (prev, curr))
+        """(dx, dy) from prev to curr; each pair stops by itself."""
+        shape = prev.shape
+        one, two = (_pyramid(f.reshape(-1, *shape[-2:]).astype(np.float64), self.scales, self.scale, 8) for f in (prev, curr))
         u = None
         for i0, i1 in reversed(list(zip(one, two))):
-            h, w = i0.shape
-            u = np.zeros((2, h, w)) if u is None else np.stack([_resize(u[0], (h, w)) * w / u.shape[2], _resize(u[1], (h, w)) * h / u.shape[1]])
-            p = np.zeros((2, 2, h, w))
-            gy, gx = np.gradient(i1) if min(h, w) > 1 else (np.zeros_like(i1),) * 2
+            n, h, w = i0.shape
+            u = np.zeros((2, n, h, w)) if u is None else np.stack([_grown(u[0], (h, w), -1), _grown(u[1], (h, w), -2)])
+            p = np.zeros((2, 2, n, h, w))
+            gy, gx = np.gradient(i1, axis=(-2, -1)) if min(h, w) > 1 else (np.zeros_like(i1),) * 2
             for _ in range(self.warps):
                 wx, wy = backward_warp(gx, *u), backward_warp(gy, *u)
-                steep = wx * wx + wy * wy
                 constant = backward_warp(i1, *u) - wx * u[0] - wy * u[1] - i0
-                for _ in range(self.outer * self.inner):
-                    rho = constant + wx * u[0] + wy * u[1]
-                    limit = self.lambda_ * self.theta
-                    step = np.where(rho < -limit * steep, limit, np.where(rho > limit * steep, -limit, -rho / np.maximum(steep, 1e-12)))
-                    v = u + np.where(steep > 1e-12, step, 0) * np.stack([wx, wy])
-                    new = v + self.theta * self._divergence(p)
-                    ux = np.concatenate([np.diff(new, axis=2), np.zeros((2, h, 1))], axis=2)
-                    uy = np.concatenate([np.diff(new, axis=1), np.zeros((2, 1, w))], axis=1)
-                    rate = self.tau / self.theta
-                    p = (p + rate * np.stack([ux, uy], axis=1)) / (1 + rate * np.sqrt(ux**2 + uy**2)[:, None])
-                    change, u = ((new - u) ** 2).sum(axis=0).mean(), new
-                    if change < self.epsilon**2:
-                        break
-        return u[0].astype(np.float32), u[1].astype(np.float32)
+                self._relax(u, p, constant, np.stack([wx, wy]))
+        return tuple(c.reshape(shape).astype(np.float32) for c in u)
+
+    def _relax(self, u: np.ndarray, p: np.ndarray, constant: np.ndarray, slope: np.ndarray) -> None:
+        """Alternate thresholding and dual steps on u and p in place, until a pair changes little."""
+        live = np.arange(u.shape[1])
+        v, q, limit, rate = u.copy(), p.copy(), self.lambda_ * self.theta, self.tau / self.theta
+        steep = (slope**2).sum(axis=0)
+        for _ in range(self.outer * self.inner):
+            rho = constant + (slope * v).sum(axis=0)
+            step = np.where(rho < -limit * steep, limit, np.where(rho > limit * steep, -limit, -rho / np.maximum(steep, 1e-12)))
+            new = v + np.where(steep > 1e-12, step, 0) * slope + self.theta * self._divergence(q)
+            ux, uy = np.zeros_like(new), np.zeros_like(new)
+            ux[..., :-1], uy[..., :-1, :] = np.diff(new, axis=-1), np.diff(new, axis=-2)
+            q = (q + rate * np.stack([ux, uy], axis=1)) / (1 + rate * np.sqrt(ux**2 + uy**2)[:, None])
+            moving = ((new - v) ** 2).sum(axis=0).mean(axis=(-2, -1)) >= self.epsilon**2
+            v = new
+            if not moving.all():
+                u[:, live], p[:, :, live] = v, q
+                live = live[moving]
+                if not len(live):
+                    return
+                v, q, constant, slope, steep = v[:, moving], q[:, :, moving], constant[moving], slope[:, moving], steep[moving]
+        u[:, live], p[:, :, live] = v, q
 
     @staticmethod
     def _divergence(p: np.ndarray) -> np.ndarray:
         px, py = p[:, 0].copy(), p[:, 1].copy()
-        px[:, :, -1], py[:, -1] = 0, 0
-        return np.diff(px, axis=2, prepend=0) + np.diff(py, axis=1, prepend=0)
+        px[..., -1], py[..., -1, :] = 0, 0
+        return np.diff(px, axis=-1, prepend=0) + np.diff(py, axis=-2, prepend=0)
 
 
 ESTIMATORS: dict[str, type] = {"farneback": Farneback, "dual_tvl1": DualTVL1}
@@ -168,12 +193,18 @@ def estimate(pairs: DataFrame, own: object) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, out = pa.Table.from_batches([batch]), []
-            for k in range(batch.num_rows):
-                one = rows.slice(k, 1)
-                shape = (one.column("height")[0].as_py(), one.column("width")[0].as_py())
-                out.append(own.calc(to_array(one.column("prev"), *shape)[0], to_array(one.column("curr"), *shape)[0]))
-            flows = [pa.array([o[c].ravel() for o in out], pa.list_(pa.float32())) for c in (0, 1)]
+            rows = pa.Table.from_batches([batch])
+            heights, widths = rows.column("height").to_numpy(), rows.column("width").to_numpy()
+            out: list = [None] * len(rows)
+            for h, w in sorted({(int(h), int(w)) for h, w in zip(heights, widths)}):
+                same = np.flatnonzero((heights == h) & (widths == w))
+                step = max(1, TOGETHER_PIXELS // max(1, h * w))
+                for some in (same[k : k + step] for k in range(0, len(same), step)):
+                    part = rows.take(pa.array(some))
+                    flows = own.calc(to_array(part.column("prev"), h, w), to_array(part.column("curr"), h, w))
+                    for k, dx, dy in zip(some, *flows):
+                        out[k] = (dx.ravel(), dy.ravel())
+            flows = [pa.array([o[c] for o in out], pa.list_(pa.float32())) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *flows], names=["seq", "idx", "height", "width", "prev", "curr", "dx", "dy"])
 
     columns = pairs.select("seq", "idx", "height", "width", "prev", "curr")

@@ -35,6 +35,18 @@ def test_flow_of_a_shifted_texture(own):
     assert abs(still[0]).max() < 0.1 and abs(still[1]).max() < 0.1
 
 
+@pytest.mark.parametrize("own", [flow.Farneback(), flow.DualTVL1()], ids=lambda o: o.kind)
+def test_pairs_worked_on_together_equal_single_ones(own):
+    rng = np.random.default_rng(0)
+    prev = (rng.random((5, 20, 17)) * 255).astype(np.uint8)
+    curr = np.roll(prev, 1, axis=2)
+    curr[2] = prev[2]
+    dx, dy = own.calc(prev, curr)
+    for k in range(5):
+        one = own.calc(prev[k], curr[k])
+        assert one[0].shape == (20, 17) and np.array_equal(one[0], dx[k]) and np.array_equal(one[1], dy[k])
+
+
 def test_estimate_labels_by_the_first_frame(spark):
     image = texture(32)
     frames = frames_of(spark, {"a": np.stack([np.roll(image, k, axis=1) for k in range(4)]), "b": image[None]})
