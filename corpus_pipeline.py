@@ -49,8 +49,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ids, n_tokens, ids_crc32) of each document."""
-    keep = ["doc_id", "lang", "source"]
-    return sentencepiece_codec.ids_crc32(sentencepiece_codec.encode(docs, keep), keep)
+    return sentencepiece_codec.encode(docs, ["doc_id", "lang", "source"], digests=True)
 
 
 STAGES = [

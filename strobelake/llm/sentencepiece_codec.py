@@ -206,8 +206,14 @@ def _schema(frame: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
 
 
-def encode(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
-    """The columns ``keep`` and ids array<int> of each text."""
+def crc32s(ids: np.ndarray, sizes: np.ndarray) -> list[int]:
+    """The CRC-32 of each row's ids as little-endian unsigned 32-bit integers."""
+    ends, raw = np.append(0, np.cumsum(sizes)), memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
+    return [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])]
+
+
+def encode(docs: DataFrame, keep: list[str], model: str = MODEL, digests: bool = False) -> DataFrame:
+    """The columns ``keep`` and ids array<int> of each text; with ``digests`` also n_tokens and ids_crc32."""
     chosen = docs.select(F.col("text").cast("string").alias("_text"), *keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +222,12 @@ def encode(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
             for low, high, texts in text_blocks(batch.column(0), BLOCK_BYTES):
                 ids, sizes = own.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns[1:], lists], names=[*keep, "ids"])
+                more = [pa.array(sizes, pa.int64()), pa.array(crc32s(ids, sizes), pa.int64())] if digests else []
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns[1:], lists, *more], names=names)
         release()
 
-    return chosen.mapInArrow(run, f"{_schema(chosen.drop('_text'))}, ids array<int>")
+    names = [*keep, "ids", *(["n_tokens", "ids_crc32"] if digests else [])]
+    return chosen.mapInArrow(run, f"{_schema(chosen.drop('_text'))}, ids array<int>" + ", n_tokens long, ids_crc32 long" * digests)
 
 
 def decode(tokens: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
@@ -239,20 +247,6 @@ def decode(tokens: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
     return chosen.mapInArrow(run, f"{_schema(chosen.drop('ids'))}, text string")
 
 
-def ids_crc32(tokens: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, ids, n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
-    chosen = tokens.select("ids", *keep)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0)
-            raw, ends = memoryview(column.values.to_numpy(zero_copy_only=False).astype("<u4")).cast("B"), column.offsets.to_numpy()
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], column, pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=[*keep, "ids", "n_tokens", "ids_crc32"])
-
-    return chosen.mapInArrow(run, f"{_schema(chosen.drop('ids'))}, ids array<int>, n_tokens long, ids_crc32 long")
-
-
 def checked(tokens: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip) from (doc_id, sha256, ids): the ids decoded, and whether the text has that digest."""
 
@@ -263,9 +257,7 @@ def checked(tokens: DataFrame, model: str = MODEL) -> DataFrame:
             lengths = np.diff(column.offsets.to_numpy()).astype(np.int64)
             for low, high in block_ranges(lengths, BLOCK_BYTES):
                 ids = column.slice(low, high - low).flatten().to_numpy(zero_copy_only=False)
-                ends = np.append(0, np.cumsum(lengths[low:high]))
-                raw = memoryview(ids.astype("<u4")).cast("B")
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])]
+                crc = crc32s(ids, lengths[low:high])
                 found = [hashlib.sha256(t.encode()).hexdigest() for t in own.decode(ids, lengths[low:high])]
                 same = [a == b for a, b in zip(found, batch.column(1).slice(low, high - low).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(lengths[low:high]), pa.array(crc, pa.int64()), pa.array(found), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])

@@ -95,6 +95,9 @@ def test_codec_in_spark(spark):
     assert len(got) == len(rows) and all(r["round_trip"] for r in got)
     tokens = spc.encode(frame, ["doc_id"])
     assert sorted(r["text"] for r in spc.decode(tokens, ["doc_id"]).collect()) == sorted((t or "").replace("▁", " ") for _, t in rows)
+    with_digests = spc.encode(frame, ["doc_id"], digests=True).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in with_digests) == sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got)
+    assert all(r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) for r in with_digests)
     assert spc.encode(frame.limit(0), ["doc_id"]).count() == 0
 
 
