@@ -64,7 +64,7 @@ def test_push_emits_n_minus_one_for_each_sequence_in_any_order(spark, tmp_path):
     frames = frames_of(spark, stack).select("seq", "idx", "height", "width", "data")
     for k, part in enumerate(("idx in (0, 3)", "idx in (2, 5, 3)", "idx in (1, 4, 0)")):  # early, repeated and late frames
         frames.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/part={k}")
-    arriving = spark.readStream.schema(frames.schema.add("part", "int")).option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
+    arriving = spark.readStream.schema(frames.schema.add("part", "integer")).option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
     query = push.push(arriving, push.Difference()).writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
     query.awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").where("seq is not null").orderBy("idx").collect()
