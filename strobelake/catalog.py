@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from math import tau
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strobelake.functions import pixels as px
@@ -189,8 +189,8 @@ def trim_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signal_difference(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("seq").orderBy("idx")
-    rows = tables.signal(spark, d).withColumn("change", _round(F.col("value") - F.lag("value").over(order), 6))
+    rows = windows.in_blocks(tables.signal(spark, d), 1, 0, windows.SIGNAL_BLOCK)
+    rows = windows.core(rows.withColumn("change", _round(F.col("value") - F.lag("value").over(windows.in_time()), 6)), windows.SIGNAL_BLOCK)
     return rows.where("change is not null").select("seq", "idx", "change")
 
 
@@ -260,9 +260,9 @@ def warp_consistency_mean(spark: SparkSession, d: str) -> DataFrame:
 def ssim(spark: SparkSession, d: str) -> DataFrame:
     """Four neighbouring frames tiled to 16 x 16, for SSIM's window does not fit into 8 x 8."""
     frames = tables.phase_frames(spark, d)
-    order = Window.partitionBy("seq").orderBy("idx")
     row = lambda a, b: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.concat(F.slice(a, y * 8 + 1, 8), F.slice(b, y * 8 + 1, 8))))
-    tiled = frames.select("seq", "idx", *[F.lead("data", k).over(order).alias(f"d{k}") for k in range(5)]).where("d4 is not null")
+    rows = windows.in_blocks(frames.select("seq", "idx", "data"), 0, 4, windows.FRAME_BLOCK)
+    tiled = windows.core(rows.select("*", *[F.lead("data", k).over(windows.in_time()).alias(f"d{k}") for k in range(5)]), windows.FRAME_BLOCK).where("d4 is not null")
     tile = lambda k: F.concat(row(F.col(f"d{k}"), F.col(f"d{k + 1}")), row(F.col(f"d{k + 2}"), F.col(f"d{k + 3}")))
     pairs = tiled.select("seq", "idx", F.lit(16).alias("height"), F.lit(16).alias("width"), tile(0).alias("a"), tile(1).alias("b"))
     return score.with_ssim(pairs, "a", "b", 8.0).select("seq", "idx", _round("ssim", 6).alias("ssim"))

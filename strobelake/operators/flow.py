@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strobelake.operators.filters import to_array
 from strobelake.operators.warp import backward_warp
+from strobelake.operators.windows import FRAME_BLOCK, core, in_blocks, in_time
 
 
 #: Pixels worked on together.
@@ -184,8 +185,8 @@ def estimator(kind: str, **parameters: object) -> object:
 
 def neighbours(frames: DataFrame) -> DataFrame:
     """(seq, idx, height, width, prev, curr): each frame with the next; none for the last."""
-    order = Window.partitionBy("seq").orderBy("idx")
-    return frames.select("seq", "idx", "height", "width", F.col("data").alias("prev"), F.lead("data").over(order).alias("curr")).where("curr is not null")
+    rows = in_blocks(frames.select("seq", "idx", "height", "width", F.col("data").alias("prev")), 0, 1, FRAME_BLOCK)
+    return core(rows.withColumn("curr", F.lead("prev").over(in_time())), FRAME_BLOCK).where("curr is not null")
 
 
 def estimate(pairs: DataFrame, own: object) -> DataFrame:

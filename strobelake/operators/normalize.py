@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import Literal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strobelake.functions.pixels import finite_max, finite_min, scale_between
+from strobelake.operators.windows import FRAME_BLOCK, core, in_blocks, in_time
 from strobelake.schema import INTEGER_SPANS, SPARK_TYPES
 
 Range = tuple[float, float]
@@ -43,9 +44,9 @@ def per_frame(frames: DataFrame, dtype: str = "uint8", target: Range | None = No
 
 def pairwise(frames: DataFrame, dtype: str = "uint8", target: Range | None = None) -> DataFrame:
     """(seq, idx, height, width, prev, curr): each frame with the next, both from their joint range."""
-    order = Window.partitionBy("seq").orderBy("idx")
     rows = frames.select("seq", "idx", "height", "width", "data", finite_min(F.col("data")).alias("low"), finite_max(F.col("data")).alias("high"))
-    rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("data", "low", "high")]).where("next_data is not null")
+    rows = in_blocks(rows, 0, 1, FRAME_BLOCK).select("*", *[F.lead(c).over(in_time()).alias(f"next_{c}") for c in ("data", "low", "high")])
+    rows = core(rows, FRAME_BLOCK).where("next_data is not null")
     rows = rows.withColumns({"low": F.least("low", "next_low"), "high": F.greatest("high", "next_high")})
     return rows.select("seq", "idx", "height", "width", _scaled(rows, F.col("low"), F.col("high"), dtype, target).alias("prev"), _scaled(rows, F.col("low"), F.col("high"), dtype, target, "next_data").alias("curr"))
 
