@@ -204,6 +204,8 @@ def read_warc(manifest: DataFrame, uri: str, with_payload: bool = False) -> Data
                     for record in _members(stream):
                         head, _, rest = record.partition(b"\r\n\r\n")
                         fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+                        if not head.startswith(b"WARC/") or b"Content-Length" not in fields:
+                            raise ValueError(f"{name}: no WARC record")
                         block = rest[: int(fields[b"Content-Length"])]
                         kind = fields[b"WARC-Type"].decode()
                         if kind == "warcinfo":

@@ -109,8 +109,12 @@ def test_damaged_files_are_refused(spark):
     fs, root = pyarrow.fs.FileSystem.from_uri(uri)
     name = manifest.first()["name"]
     raw = gzip.decompress(fs.open_input_stream(f"{root}/{name}", compression=None).read()).replace(b"body ", b"bady ")
-    with fs.open_output_stream(f"{root}/{name}") as out:
+    with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
         head, _, tail = raw.partition(b"\r\n\r\nWARC/1.1")
         out.write(gzip.compress(head + b"\r\n\r\n") + gzip.compress(b"WARC/1.1" + tail))
     with pytest.raises(Exception, match="digest does not match"):
         ww.read_warc(manifest, uri).collect()
+    with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+        out.write(gzip.compress(b"something else"))
+    with pytest.raises(Exception, match="no WARC record"):
+        ww.read_warc(manifest, uri).collect()
