@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer, and its reader.
 
-Records are cut into shards by ranges of page_id whose bounds come from exact sums over
-a fixed number of bins, so the same rows give the same files, byte for byte. Each
+Records are cut into shards by ranges of page_id whose bounds come from exact running
+sums of their sizes, so the same rows give the same files, byte for byte. Each
 task sorts its shards by page_id and streams gzip members (one for each record) into
 files under temporary names, starting another when the compressed size is reached.
 A task's files count only once its row of the manifest is committed: files are then
@@ -31,13 +31,15 @@ from urllib.parse import quote
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strobelake.llm.common import materialize, new_path, table
 
 MANIFEST = "shard int, seq int, temporary string, name string, records long, bytes long, sha256 string"
-BINS = 4096
+#: Shards at most (they grow beyond that), and bytes that a record weighs besides its payload.
+MAX_SHARDS, RECORD_BYTES = 16_384, 512
 _DATE = "2000-01-01T00:00:00Z"
 _BAD = re.compile(r"[\x00-\x20\x7f]")
 
@@ -46,20 +48,30 @@ def _b32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def range_shards(keys: DataFrame, key: str, weight: str, target: int) -> tuple[int, int, list[int]]:
-    """(low, width, shard of each bin): contiguous bins of ``key`` gathered up to ``target`` of summed ``weight``."""
-    ends = keys.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    if ends["low"] is None:
-        return 0, 1, [0]
-    low, width = ends["low"], (ends["high"] - ends["low"]) // BINS + 1
-    sums = dict(keys.where(F.col(key).isNotNull()).groupBy(((F.col(key) - low) / F.lit(width)).cast("long").alias("bin")).agg(F.sum(weight).alias("w")).collect())  # at most BINS rows
-    shards, shard, held = [], 0, 0
-    for b in range(BINS):
-        if held and held + sums.get(b, 0) > target:
-            shard, held = shard + 1, 0
-        held += sums.get(b, 0)
-        shards.append(shard)
-    return low, width, shards
+def shard_starts(keys: DataFrame, target: int) -> list[int]:
+    """The first page_id of each shard.
+
+    Pages in order of id are cut where the exact sum of their sizes passes a multiple of
+    ``target``, whatever gaps the ids leave; at most MAX_SHARDS + 1 ids come to the driver.
+    """
+    sizes = keys.where("page_id is not null").groupBy("page_id").agg(F.sum(F.col("size") + RECORD_BYTES).alias("w"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            w = batch.column(1).to_numpy()
+            before = held + np.cumsum(w) - w
+            held += int(w.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), part, dtype=np.int32)), batch.column(0), pa.array(before), batch.column(1)], names=["part", "page_id", "before", "w"])
+
+    placed = materialize(sizes.repartitionByRange("page_id").sortWithinPartitions("page_id").mapInArrow(run, "part int, page_id long, before long, w long"), "warc-sums")
+    sums = placed.groupBy("part").agg(F.sum("w").alias("n"))
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = F.broadcast(sums.select("part", earlier.alias("base")))  # a row a partition
+    step = F.lit(max(target, total // MAX_SHARDS + 1))
+    cut = placed.join(base, "part").groupBy(F.floor((F.col("before") + F.col("base")) / step).alias("shard")).agg(F.min("page_id").alias("start"))
+    return sorted(r["start"] for r in cut.collect())
 
 
 def _record(kind: str, record_id: str, url: str, payload: bytes, digest: str, refers: str | None) -> bytes:
@@ -104,18 +116,23 @@ def write_warc(pages: DataFrame, uri: str, roll_bytes: int = 16 << 20, shard_byt
     """Write a record for each row of (page_id, url, html) under ``uri`` and return the manifest, one row a file.
 
     ``uri`` is a folder that all executors reach, in a scheme that pyarrow.fs opens.
-    ``shard_bytes`` of payload go to a shard; payloads under ``min_bytes`` are never revisits.
+    ``shard_bytes`` of records go to a shard; payloads under ``min_bytes`` are never revisits.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     size = F.octet_length("html").cast("long")
     keys = materialize(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), size.alias("size")), "warc-keys")
-    low, width, shards = range_shards(keys, "page_id", "size", shard_bytes)
-    place = F.coalesce(F.element_at(F.lit(shards), ((F.col("page_id") - low) / F.lit(width)).cast("int") + 1), F.lit(0))
+    starts = np.array(shard_starts(keys, shard_bytes) or [0], dtype=np.int64)
+
+    @F.arrow_udf("int")
+    def place(ids: pa.Array) -> pa.Array:
+        at = np.searchsorted(starts, ids.fill_null(int(starts[0])).to_numpy(zero_copy_only=False), side="right") - 1
+        return pa.array(at.astype(np.int32))
+
     first = keys.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     roles = keys.select("page_id", "digest").distinct().join(first, "digest").select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.unhex("digest").alias("data"), "first")
     every = roles.unionByName(rows.select("page_id", F.lit(1).alias("kind"), "url", F.col("html").cast("binary").alias("data"), F.lit(None).cast("long").alias("first")))
-    every = every.withColumn("shard", place)
-    parts = max(shards[-1] + 1, pages.sparkSession.sparkContext.defaultParallelism)
+    every = every.withColumn("shard", place("page_id"))
+    parts = max(len(starts), pages.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(uri)

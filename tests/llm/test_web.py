@@ -97,6 +97,20 @@ def test_warc_is_deterministic(spark):
     assert seen[0] == seen[1]
 
 
+def test_shards_are_even_whatever_ids_are(spark):
+    ids = [*range(1000, 1400), -(2**62), 2**62, 2**62 + 1]
+    keys = spark.createDataFrame([(i, "d", 100) for i in ids] + [(None, "d", 100), (1000, "e", 100)], "page_id long, digest string, size long").repartition(5)
+    ids, weights = sorted(ids), {i: 100 + ww.RECORD_BYTES for i in ids} | {1000: 2 * (100 + ww.RECORD_BYTES)}
+    want, held, last = [], 0, -1
+    for i in ids:
+        if held // 50_000 != last:
+            want.append(i)
+            last = held // 50_000
+        held += weights[i]
+    assert ww.shard_starts(keys, 50_000) == want and len(want) > 4
+    assert ww.shard_starts(keys.limit(0), 50_000) == []
+
+
 def test_warc_empty(spark):
     uri = new_path(spark, "warc-test")
     manifest = ww.write_warc(spark.createDataFrame([], PAGE), uri)
