@@ -32,7 +32,7 @@ def plain(rows):
 def test_query_agrees_with_sql(spark, duck, name):
     got = catalog.queries()[name](spark, DIR)
     columns = sorted(got.columns)
-    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    want = duck.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
     assert plain(tuple(r) for r in got.select(*columns).collect()) == plain(want)
 
 
