@@ -1,10 +1,12 @@
 """Toxicity: a learned lexicon trie, Levenshtein automata for misspelt terms, and context windows.
 
 The lexicon (whole words and word stems) is chosen by its association with the toxic
-label in a bounded sample of labelled training rows. A word matches a stem that it
-starts with, and a whole term within one edit: the word's Levenshtein automaton, a
-pair of bit vectors over its positions, walks the lexicon trie, for a batch of words
-at once. Words at one edit that clean training texts use themselves are no misspellings. The window around each hit tells quotation or report from abuse, and a
+label in a bounded sample of labelled training rows. A word matches a whole term within
+one edit, and a stem within one edit of a beginning of the word: the word's Levenshtein
+automaton, a pair of bit vectors over its positions, walks the lexicon trie, for a batch
+of words at once. Words at one edit that clean training texts use themselves are no
+misspellings, and an entry takes no edits where rare words at one edit from it, each in one
+training text, are as typical of clean texts. The window around each hit tells quotation or report from abuse, and a
 logistic model turns weighted, unquoted and quoted hits into a score.
 
 Defined cases: a null text counts as empty and gets the score of a text without
@@ -40,6 +42,8 @@ _QUOTES = re.compile("[\"“”„«»‟]")
 _REPORT = frozenset(("said", "says", "wrote", "writes", "called", "quote", "quoted", "quoting", "reported", "according", "cited", "dit", "écrit", "sagte", "schrieb", "zitat", "dijo", "escribió", "cita"))
 WINDOW_WORDS, WINDOW_CHARS = 6, 80
 FUZZY_WEIGHT = 0.7
+#: Features of a text.
+WIDTH = 9
 #: When a shorter stem goes first: its toxic rows and its association against the longer one's.
 WIDER_ROWS, WIDER_SHARE = 1.5, 0.5
 #: Words that a Python worker remembers, and bytes of text looked at together.
@@ -51,54 +55,68 @@ def words_of(text: str) -> list[str]:
 
 
 class Trie:
-    """Whole terms as nested dictionaries; the empty key holds the term that ends there."""
+    """Terms and stems as nested dictionaries; the keys "" and "stem" hold the entry that ends there.
 
-    def __init__(self, terms: Iterable[str]):
+    A term takes whole words, a stem every word that begins with it; the entries ``strict`` without an edit.
+    """
+
+    def __init__(self, terms: Iterable[str], stems: Iterable[str] = (), strict: Iterable[str] = ()):
         self.root: dict = {}
-        self.terms = sorted(set(terms))
-        for term in self.terms:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
-        self.alphabet = sorted({c for t in self.terms for c in t})
-        lengths = [len(t) for t in self.terms]
+        self.terms, self.stems, self.strict = sorted(set(terms)), frozenset(stems), frozenset(strict)
+        for entries, key in ((self.terms, ""), (sorted(self.stems), "stem")):
+            for entry in entries:
+                node = self.root
+                for c in entry:
+                    node = node.setdefault(c, {})
+                node[key] = entry
+        entries = [*self.terms, *self.stems]
+        self.alphabet = sorted({c for t in entries for c in t})
+        lengths = [len(t) for t in entries]
         self.low, self.high = (min(lengths) - 1, max(lengths) + 1) if lengths else (1, 0)
 
-    def within_one(self, words: list[str]) -> dict[str, tuple[str, int]]:
-        """word -> (term, edits) for words at no more than one edit from a term, the fewest edits and then the first term first.
+    def near(self, words: list[str]) -> Iterator[tuple[str, str, int]]:
+        """(word, entry, edits) for every entry at no more than one edit from a word, or from a beginning of it for stems.
 
         Bit i of a state says that i letters of the word are read; r0 with no edit, r1
         with one at most. A letter of the trie advances both.
         """
-        words = [w for w in words if self.low <= len(w) <= self.high]
-        found: dict[str, tuple[str, int]] = {}
-        if not words:
-            return found
+        words = [w for w in words if self.low <= len(w) and (self.stems or len(w) <= self.high)]
+        if not words or not self.high:
+            return
         letters = np.array(words, dtype=f"<U{self.high}").view("<u4").reshape(len(words), self.high)
         powers = (1 << np.arange(self.high)).astype(np.int64)
         masks = {c: ((letters == ord(c)) @ powers) for c in self.alphabet}
-        ends = (1 << np.array([len(w) for w in words])).astype(np.int64)
+        size = np.array([len(w) for w in words])
+        ends = np.where(size <= self.high, 1 << np.minimum(size, self.high), 0).astype(np.int64)  # longer words end no term
+        within = (2 << np.minimum(size, self.high)).astype(np.int64) - 1
         start = np.ones(len(words), dtype=np.int64)
-        stack = [(self.root, np.arange(len(words)), start, start | start << 1)]
+        stack = [(self.root, np.arange(len(words)), start, (start | start << 1) & within)]
         while stack:
             node, at, r0, r1 = stack.pop()
             for c, below in node.items():
-                if not c:
-                    exact, near = (r0 & ends[at]) != 0, (r1 & ends[at]) != 0
-                    for k in at[exact | near].tolist():
-                        edits = 0 if words[k] == below else 1
-                        if (edits, below) < (found.get(words[k], ("", 9))[::-1]):
-                            found[words[k]] = (below, edits)
+                if c in ("", "stem"):
+                    wanted = within[at] if c else ends[at]
+                    exact = (r0 & wanted) != 0
+                    for k in at[exact].tolist():
+                        yield words[k], below, 0
+                    if below not in self.strict:
+                        for k in at[((r1 & wanted) != 0) & ~exact].tolist():
+                            yield words[k], below, 1
                     continue
                 m = masks[c][at]
                 n0 = (r0 & m) << 1
                 n1 = ((r1 & m) << 1) | r0 | (r0 << 1) | n0 | (n0 << 1)
-                n1 &= (ends[at] << 1) - 1
+                n1 &= within[at]
                 live = np.flatnonzero(n1)
                 if len(live):
                     stack.append((below, at[live], n0[live], n1[live]))
-        return found
+
+    def within_one(self, words: list[str]) -> dict[str, tuple[str, int]]:
+        """word -> (entry, edits): the fewest edits, then terms before stems, then the first entry."""
+        found: dict[str, tuple[int, bool, str]] = {}
+        for word, entry, edits in self.near(words):
+            found[word] = min((edits, entry in self.stems, entry), found.get(word, (9, True, "")))
+        return {word: (entry, edits) for word, (edits, _, entry) in found.items()}
 
 
 @dataclass
@@ -108,6 +126,7 @@ class Model:
     terms: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     usual: frozenset[str] = frozenset()
+    strict: frozenset[str] = frozenset()
     weights: list[float] = field(default_factory=list)
     bias: float = 0.0
 
@@ -115,44 +134,37 @@ class Model:
 class Scorer:
     """Finds hits and their features; remembers a bounded number of words."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], usual: frozenset[str] = frozenset()):
-        self.trie, self.terms, self.stems, self.usual = Trie(terms), terms, stems, usual
-        self.lengths = sorted({len(s) for s in stems}, reverse=True)
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], usual: frozenset[str] = frozenset(), strict: frozenset[str] = frozenset()):
+        self.trie, self.weights, self.stems, self.usual = Trie(terms, stems, strict), {**stems, **terms}, stems, usual
         self.seen: set[str] = set()
-        self.hits: dict[str, tuple[float, bool]] = {}
+        self.hits: dict[str, tuple[float, float, bool]] = {}
 
     def learn(self, words: set[str]) -> None:
+        """Keep (weight, share of a hit, is it by a stem) of the words that hit."""
         if len(self.seen) > SEEN_WORDS:
             self.seen.clear()
             self.hits.clear()
         fresh = [w for w in words - self.seen if len(w) > 2]
         self.seen |= words
-        for word, (term, edits) in self.trie.within_one(fresh).items():
-            if edits == 0 or (len(term) >= 5 and word not in self.usual):
-                self.hits[word] = (self.terms[term] * (FUZZY_WEIGHT if edits else 1.0), False)
-        for n in self.lengths:
-            for w in fresh:
-                if w[:n] in self.stems and w not in self.hits:
-                    self.hits[w] = (self.stems[w[:n]], True)
+        for word, (entry, edits) in self.trie.within_one(fresh).items():
+            if edits == 0 or word not in self.usual:
+                share = FUZZY_WEIGHT if edits else 1.0
+                self.hits[word] = (self.weights[entry] * share, share, entry in self.stems)
 
     def features(self, texts: list[str]) -> np.ndarray:
         split = [words_of(t) for t in texts]
         self.learn(set().union(*split) if split else set())
-        out = np.zeros((len(texts), 8))
+        out = np.zeros((len(texts), WIDTH))
         hits = self.hits
         for row, (text, words) in enumerate(zip(texts, split)):
             places = [i for i, w in enumerate(words) if w in hits]
             if not places:
                 continue
-            plain, quoted, stem, stems, near = 0.0, 0.0, 0.0, 0, 0
+            plain, quoted, stem, stems, stem_quoted, near = 0.0, 0.0, 0.0, 0.0, 0.0, 0
             lowered, cursor = text.lower(), 0
             open_quote = len(_QUOTES.findall(text)) > 1
             for i in places:
-                weight, is_stem = hits[words[i]]
-                if is_stem:
-                    stem += weight
-                    stems += 1
-                    continue
+                weight, share, is_stem = hits[words[i]]
                 around = words[max(0, i - WINDOW_WORDS) : i + WINDOW_WORDS + 1]
                 cursor = max(lowered.find(words[i], cursor), cursor)
                 told = not _REPORT.isdisjoint(around)
@@ -161,9 +173,14 @@ class Scorer:
                     told = told or bool(len(_QUOTES.findall(before)) % 2 and _QUOTES.search(after))
                 cursor += 1
                 near += "you" in around or "your" in around
-                plain, quoted = (plain, quoted + weight) if told else (plain + weight, quoted)
+                if not is_stem:
+                    plain, quoted = (plain, quoted + weight) if told else (plain + weight, quoted)
+                elif told:
+                    stem_quoted += weight
+                else:
+                    stem, stems = stem + weight, stems + share
             n = len(words)
-            out[row] = (math.log1p(plain), math.sqrt(plain / n), math.log1p(quoted), math.log1p(stems), math.log1p(stem), math.sqrt(stems / n), math.log1p(n) * (stems > 0), near > 0)
+            out[row] = (math.log1p(plain), math.sqrt(plain / n), math.log1p(quoted), math.log1p(stems), math.log1p(stem), math.sqrt(stems / n), math.log1p(n) * (stems > 0), near > 0, math.log1p(stem_quoted))
         return out
 
 
@@ -223,8 +240,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     return materialize(sketched.select("toxic", "text"), "toxic-training")
 
 
-def lexicon(rows: DataFrame, toxic_rows: int, clean_rows: int, most: int = 200, least: float = 20.0) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
-    """(terms, stems, usual): the most associated ones, none the beginning of another, with weights from 0 to 1, and the clean words at one edit from a term.
+def lexicon(rows: DataFrame, toxic_rows: int, clean_rows: int, most: int = 200, least: float = 20.0) -> tuple[dict[str, float], dict[str, float], tuple[frozenset[str], frozenset[str]]]:
+    """(terms, stems, (usual, strict)): the most associated ones, none the beginning of another, with weights from 0 to 1, the clean words at one edit from them, and the entries that take no edit.
 
     A shorter stem goes before one that it begins if it has at least half as many toxic rows again and is not much less associated.
     """
@@ -247,15 +264,31 @@ def lexicon(rows: DataFrame, toxic_rows: int, clean_rows: int, most: int = 200,
         p = (toxic / toxic_rows) / (toxic / toxic_rows + (clean + 0.5) / clean_rows)
         (terms if kind == "w" else stems)[term] = p
 
-    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(terms)
-        for batch in batches:
-            found = trie.within_one(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, (_, edits) in found.items() if edits], pa.string())], names=["term"])
-
-    words = counts.where((F.col("kind") == "w") & (F.col("clean") >= 2) & (F.col("toxic") * clean_rows <= 2 * F.col("clean") * toxic_rows))
-    usual = frozenset(r["term"] for r in words.select("term").mapInArrow(near, "term string").collect())  # one edit from a term: bounded by ``most``
-    return terms, stems, usual
+    def near(strict: frozenset[str]) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie = Trie(terms, stems, strict)
+            for batch in batches:
+                found: dict[str, list[str]] = {}
+                exact = set()
+                for word, entry, edits in trie.near(batch.column(0).to_pylist()):
+                    exact.update([word] * (edits == 0))
+                    found.setdefault(word, []).append(entry)
+                found = {w: e for w, e in found.items() if w not in exact}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.list_(pa.string()))], names=["term", "entries"])
+
+        own = words.select("term").mapInArrow(run, "term string, entries array<string>")
+        return own.join(words, "term")
+
+    def typical(toxic: Column, clean: Column) -> Column:
+        return (clean >= 2) & (toxic * clean_rows <= 2 * clean * toxic_rows)
+
+    words = materialize(counts.where(F.col("kind") == "w").select("term", "toxic", "clean"), "toxic-words")
+    # words of a single training row stand for those that no training row has
+    others = near(frozenset()).where(F.col("toxic") + F.col("clean") == 1).select(F.explode("entries").alias("entry"), "toxic", "clean")
+    others = others.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    strict = frozenset(r["entry"] for r in others.where(typical(F.col("toxic"), F.col("clean"))).collect())  # some of the entries
+    usual = frozenset(r["term"] for r in near(strict).where(typical(F.col("toxic"), F.col("clean"))).select("term").collect())  # words of the training rows at one edit from an entry
+    return terms, stems, (usual, strict)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -278,30 +311,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     toxic_rows, clean_rows = n.get(True, 0), n.get(False, 0)
     if not toxic_rows or not clean_rows:
         return Model(bias=math.inf if toxic_rows else -math.inf)
-    terms, stems, usual = lexicon(rows, toxic_rows, clean_rows)
+    terms, stems, (usual, strict) = lexicon(rows, toxic_rows, clean_rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, stems, usual)
+        scorer = Scorer(terms, stems, usual, strict)
         for batch in batches:
             x = scorer.features(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    seen = rows.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").collect()  # at most max_rows rows of eight numbers
+    seen = rows.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").collect()  # at most max_rows rows of WIDTH numbers
     x, y = np.array([r["x"] for r in seen]), np.array([float(r["toxic"] > 0) for r in seen])
     order = np.lexsort((*x.T, y))
     weights, bias = fit_logistic(x[order], y[order])
-    return Model(terms, stems, usual, weights.tolist(), bias)
+    return Model(terms, stems, usual, strict, weights.tolist(), bias)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row, or the columns ``keep`` (text among them) with score and predicted."""
-    weights, bias = np.array(model.weights or [0.0] * 8), model.bias
+    weights, bias = np.array(model.weights or [0.0] * WIDTH), model.bias
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if keep is None else docs.select(*keep)
     names = chosen.columns
     at, out = names.index("text"), names if keep is not None else ["doc_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.terms, model.stems, model.usual)
+        scorer = Scorer(model.terms, model.stems, model.usual, model.strict)
         for batch in batches:
             for low, high, texts in text_blocks(batch.column(at), BLOCK_BYTES):
                 x = scorer.features([t.decode() for t in texts])

@@ -292,6 +292,26 @@ def test_wide_stems_go_first(spark):
     assert not terms and len(stems) == 1 and "bomente".startswith(*stems)
 
 
+def test_misspelt_and_quoted_stems():
+    scorer = toxicity.Scorer({"scum": 1.0}, {"bomente": 1.0}, frozenset({"comentes"}))
+    exact, misspelt, usual, quoted, told, short = scorer.features(["a bomentexolipan b", "a bomnetexo bomentexo", "the comentes here", 'on the wall "what a bomentexo" in red', "she said bomentexo", "you scumm"])
+    assert exact[3] > 0 and misspelt[3] == exact[3] and not usual.any() and short[0] > 0
+    scorer = toxicity.Scorer({}, {"bomente": 1.0})
+    misspelt = scorer.features(["a bomexntexo b", "a bomenexo b", "a comentexo b"])
+    assert (misspelt[:, 3] > 0).all() and (misspelt[:, 3] < exact[3]).all()
+    assert quoted[3] == told[3] == 0 and quoted[8] > 0 and told[8] > 0
+    strict = toxicity.Scorer({"scum": 1.0}, {"bomente": 1.0}, strict=frozenset({"scum", "bomente"}))
+    assert not strict.features(["scumm comentexo"]).any() and strict.features(["scum"]).any()
+
+
+def test_rare_clean_words_near_a_stem_forbid_its_edits(spark):
+    rows = [(1, f"some words bomente{chr(97 + k % 9)}o and more") for k in range(60)]
+    for clean, strict in (("some words {} more", set()), ("some words comente{} more", {"bomente"})):
+        rest = [(0, clean.format("".join(chr(97 + int(c)) for c in str(k)))) for k in range(400)]
+        _, stems, (usual, found) = toxicity.lexicon(spark.createDataFrame(rows + rest, "toxic int, text string"), 60, 400)
+        assert bool(strict) == bool(found) and found <= set(stems)
+
+
 def test_toxicity_without_labels(spark):
     frame = spark.createDataFrame([(1, "a b"), (2, None)], DOC)
     for rows, want in (([], 0.0), ([(1, 1, 1)], 1.0), ([(1, 1, 0)], 0.0)):
