@@ -1,15 +1,19 @@
 """Quality by co-training: one classifier sees what a text says, the other what its record and layout say.
 
-Both start from the same labelled sample. In each round each view labels the rows of
-an unlabelled pool that it is surest of, for the other view to learn from. The views
-are then calibrated on labelled rows that neither was fitted on, a logistic model
-combines their calibrated logits, and every document is scored.
+Both start from the same labelled sample. In each round each view labels, of all
+unlabelled documents, those that it is surest of, for the other view to learn from. The
+features of the unlabelled documents are written once; a round finds its cut-offs in a
+histogram of their scores, and a fit sums Newton terms of fixed size. The views are then
+calibrated on labelled rows that neither was fitted on, a logistic model combines their
+calibrated logits, and every document is scored.
 
-The samples are bounded (``MAX_TRAIN_ROWS`` labelled rows, ``MAX_POOL_ROWS`` unlabelled ones,
-chosen by the hash of their doc_id); every document is scored whatever the size.
+The labelled sample is bounded (``MAX_TRAIN_ROWS`` rows, chosen by the hash of their
+doc_id); every document without label is a candidate, and every document is scored,
+whatever the size.
 
 Defined cases: a null text counts as empty; null lang, source or n_chars are values of
-their own; labels that are null, held out or without document are not used; a
+their own; labels that are null, held out or without document are not used;
+unlabelled rows that repeat count each, and those without doc_id too; a
 doc_id labelled twice counts as bad if any label does; without labels of both kinds
 every score is the share of good ones (0.5 without any); columns other than doc_id,
 text, lang, source and n_chars are ignored.
@@ -19,20 +23,24 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.llm.common import release, table
+from strobelake.llm.common import materialize, release, table
 from strobelake.llm.pieces import distinct_pieces, joined, text_blocks
 from strobelake.llm.toxicity import fit_logistic, held_out
 
-MAX_TRAIN_ROWS, MAX_POOL_ROWS = 10_000, 10_000
+MAX_TRAIN_ROWS = 10_000
 ROUNDS, EACH_ROUND = 5, 0.05
+#: Logits that a label for the other view needs, and bins of the histogram of logits.
+SURE, BINS = 2.0, 4096
+#: Newton steps at most, and the change of a weight that ends them.
+STEPS, CLOSE = 30, 1e-5
 BLOCK_BYTES = 2_000_000
 _SIGNS = b"%&$*#|!?\".,:;-=+_<>{}[]()/\\@"
 _LANGS, _SOURCES = 8, 32
@@ -91,15 +99,25 @@ class View:
     slope: float = 1.0
     shift: float = 0.0
 
-    @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray) -> View:
-        mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-        weights, bias = fit_logistic((x - mean) / spread, y, ridge=1.0)
-        return cls(mean, spread, weights, bias)
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.spread, -8, 8) @ self.weights + self.bias
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        raw = np.clip((x - self.mean) / self.spread, -8, 8) @ self.weights + self.bias
-        return np.clip(self.slope * raw + self.shift, -12, 12)
+        return np.clip(self.slope * self.raw(x) + self.shift, -12, 12)
+
+    def newton(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Gradient and Hessian of the log-likelihood of labels, one after the other."""
+        z = np.hstack([(x - self.mean) / self.spread, np.ones((len(x), 1))])
+        p = 1 / (1 + np.exp(-np.clip(z[:, :-1] @ self.weights + self.bias, -30, 30)))
+        return np.concatenate([z.T @ (y - p), (z.T @ (z * (p * (1 - p))[:, None])).ravel()])
+
+    def step(self, terms: np.ndarray, ridge: float = 1.0) -> float:
+        """Take a Newton step by the summed terms; the largest change of a weight."""
+        n = len(self.weights) + 1
+        penalty, w = np.diag([ridge] * (n - 1) + [1e-6]), np.append(self.weights, self.bias)
+        step = np.clip(np.linalg.solve(terms[n:].reshape(n, n) + penalty, terms[:n] - penalty @ w), -5, 5)
+        self.weights, self.bias = (w + step)[:-1], float((w + step)[-1])
+        return float(np.abs(step).max())
 
 
 @dataclass
@@ -141,31 +159,130 @@ def _records(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def co_train(text: np.ndarray, record: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_record: np.ndarray, rounds: int = ROUNDS, share: float = EACH_ROUND) -> Model:
-    """Fit both views on four fifths of the labelled rows and each other's surest labels; calibrate on the last fifth."""
+@dataclass
+class Cut:
+    """What a view labels in a round: rows beyond a bin, and of the bin at the edge those with a low hash."""
+
+    view: View
+    low: float
+    width: float
+    bad: tuple[int, float] = (-1, 0.0)
+    good: tuple[int, float] = (BINS, 0.0)
+
+    def bins(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = self.view.raw(x)
+        return z, np.clip(((z - self.low) / self.width).astype(np.int64), 0, BINS - 1)
+
+    def labels(self, x: np.ndarray, lot: np.ndarray) -> np.ndarray:
+        """0, 1, or nan for rows that the view is not sure of; ``lot`` from 0 to 1."""
+        z, k = self.bins(x)
+        out = np.full(len(x), np.nan)
+        out[(z < -SURE) & ((k < self.bad[0]) | ((k == self.bad[0]) & (lot < self.bad[1])))] = 0
+        out[(z > SURE) & ((k > self.good[0]) | ((k == self.good[0]) & (lot < self.good[1])))] = 1
+        return out
+
+
+def cut_off(counts: np.ndarray, wanted: int) -> tuple[int, float]:
+    """The bin at which ``wanted`` rows are reached, from bin 0 on, and the share of it that is needed; beyond the last bin if there are fewer."""
+    sums = np.cumsum(counts)
+    k = int(np.searchsorted(sums, wanted))
+    if wanted <= 0 or k == len(counts):
+        return (-1 if wanted <= 0 else len(counts)), 0.0
+    return k, float((wanted - (sums[k] - counts[k])) / counts[k])
+
+
+def _given(x: np.ndarray, lot: np.ndarray, cuts: list[Cut]) -> np.ndarray:
+    """The label that the rounds gave each row first."""
+    out = np.full(len(x), np.nan)
+    for k, cut in enumerate(cuts):
+        free = np.flatnonzero(np.isnan(out))
+        out[free] = cut.labels(x[free], (lot[free] + k * 0.381966) % 1)
+    return out
+
+
+def _sums(pool: DataFrame, own: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all tasks of what ``own`` makes of (text features, record features, lots), a row of fixed length."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                text, record = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<f4").reshape(batch.num_rows, -1).astype(float) for k in (0, 1))
+                more = own(text, record, batch.column(2).to_numpy(zero_copy_only=False))
+                total = more if total is None else total + more
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "v"])
+
+    rows = pool.select("text_x", "record_x", "lot").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # of fixed length
+    out = np.zeros(max((r["k"] for r in rows), default=-1) + 1)
+    out[[r["k"] for r in rows]] = [r["v"] for r in rows]
+    return out
+
+
+def _padded(x: np.ndarray, n: int) -> np.ndarray:
+    return np.append(x, np.zeros(n - len(x)))
+
+
+def co_train(text: np.ndarray, record: np.ndarray, y: np.ndarray, pool: DataFrame | None, rounds: int = ROUNDS, share: float = EACH_ROUND) -> Model:
+    """Fit both views on four fifths of the labelled rows and each other's surest labels of the rows of ``pool``; calibrate on the last fifth."""
     last = np.arange(len(y)) % 5 == 4
     if len(set(y[last])) < 2 or len(set(y[~last])) < 2:
         last = np.zeros(len(y), dtype=bool)
-    x = ((text, pool_text), (record, pool_record))
-    given: list[dict[int, float]] = [{}, {}]  # pool row -> label that the other view gave it
-    good = y[~last].mean()
+    x, kept, good = (text, record), y[~last], y[~last].mean()
+    moments = lambda a, mid: np.concatenate([(a - mid).sum(axis=0), ((a - mid) ** 2).sum(axis=0)])
+    mids = [a[~last].mean(axis=0) for a in x]
+    size = 0
+    total = np.concatenate([moments(a[~last], mid) for a, mid in zip(x, mids)])
+    if pool is not None:
+        found = _padded(_sums(pool, lambda t, r, lot: np.concatenate([moments(t, mids[0]), moments(r, mids[1]), [len(t)]])), len(total) + 1)
+        total, size = total + found[:-1], round(found[-1])
+    fitted, n = [], size + len(kept)
+    for a, mid in zip(x, mids):
+        one, two, total = total[: len(mid)] / n, total[len(mid) : 2 * len(mid)] / n, total[2 * len(mid) :]
+        mean, spread = mid + one, np.sqrt(np.maximum(two - one**2, 0))
+        fitted.append(View(mean, np.maximum(spread, 1e-6), np.zeros(len(mid)), 0.0))
+    cuts: tuple[list[Cut], list[Cut]] = ([], [])  # what each view labels for the other
     for step in range(rounds + 1):
-        fitted = []
-        for (own, pool), extra in zip(x, given):
-            rows = sorted(extra)
-            fitted.append(View.fit(np.vstack([own[~last], pool[rows]]), np.append(y[~last], [extra[r] for r in rows])))
-        if step == rounds or not len(pool_text):
+        lengths = [(len(v.weights) + 1) * (len(v.weights) + 2) for v in fitted]
+        for _ in range(STEPS):
+            terms = np.concatenate([v.newton(a[~last], kept) for v, a in zip(fitted, x)])
+            if step:
+
+                def newton(t: np.ndarray, r: np.ndarray, lot: np.ndarray) -> np.ndarray:
+                    labels = _given(r, lot, cuts[1]), _given(t, lot, cuts[0])
+                    return np.concatenate([v.newton(a[~np.isnan(k)], k[~np.isnan(k)]) for v, a, k in zip(fitted, (t, r), labels)])
+
+                terms = terms + _padded(_sums(pool, newton), len(terms))
+            if max([fitted[0].step(terms[: lengths[0]]), fitted[1].step(terms[lengths[0] :])]) < CLOSE:
+                break
+        for v in fitted:
+            v.weights, v.bias = np.round(v.weights, 6), round(v.bias, 6)  # sums differ in their last digits with the order of tasks
+        if step == rounds or not size:
             break
-        for k, view in enumerate(fitted):
-            z, other = view.logit(x[k][1]), given[1 - k]
-            order = np.argsort(z, kind="stable")
-            n = int(share * len(z))
-            sure_bad = [r for r in order.tolist() if r not in other and z[r] < -2][: round(n * (1 - good))]
-            sure_good = [r for r in order[::-1].tolist() if r not in other and z[r] > 2][: round(n * good)]
-            other.update({r: 0.0 for r in sure_bad} | {r: 1.0 for r in sure_good})
+        new = []
+        for v in fitted:
+            reach = 8 * float(np.abs(v.weights).sum()) + abs(v.bias) + 1e-6
+            new.append(Cut(replace(v), -reach, 2 * reach / BINS))
+
+        def histogram(t: np.ndarray, r: np.ndarray, lot: np.ndarray) -> np.ndarray:
+            out = []
+            for k, a in enumerate((t, r)):
+                z, at = new[k].bins(a)
+                free = np.isnan(_given(a, lot, cuts[k]))
+                out += [np.bincount(at[free & side], minlength=BINS) for side in (z < -SURE, z > SURE)]
+            return np.concatenate(out).astype(float)
+
+        counts = _padded(_sums(pool, histogram), 4 * BINS).reshape(4, BINS)
+        wanted = int(share * size)
+        for k, cut in enumerate(new):
+            cut.bad = cut_off(counts[2 * k], round(wanted * (1 - good)))
+            at, part = cut_off(counts[2 * k + 1][::-1], round(wanted * good))
+            cut.good = (BINS - 1 - at, part)
+            cuts[k].append(cut)
     fold = last if last.any() else ~last
     logits = []
-    for (own, _), view in zip(x, fitted):
+    for own, view in zip(x, fitted):
         slope, shift = fit_logistic(view.logit(own[fold])[:, None], y[fold])
         view.slope, view.shift = (float(slope[0]), shift) if slope[0] > 0 else (0.0, float(np.log(good / (1 - good))))
         logits.append(view.logit(own[fold]))
@@ -173,23 +290,35 @@ def co_train(text: np.ndarray, record: np.ndarray, y: np.ndarray, pool_text: np.
     return Model(fitted[0], fitted[1], weights.tolist(), bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_pool: int = MAX_POOL_ROWS) -> Model:
+def candidates(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(text_x, record_x, lot) of every document without label: features as bytes of 32-bit numbers, and a hash from 0 to 1 of doc_id and text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, text, record in _features(batch):
+                some = batch.slice(low, high - low)
+                rows = [pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary()) for x in (text, record)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(5), *rows], names=["doc_id", "lot", "text_x", "record_x"])
+        release()
+
+    lot = (F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("lot")
+    made = lambda rows: rows.select("doc_id", "text", "lang", "source", "n_chars", lot).mapInArrow(run, "doc_id long, lot double, text_x binary, record_x binary")
+    records = _records(docs)
+    named = made(records.where("doc_id is not null")).join(labelled.select("doc_id"), "doc_id", "left_anti")
+    return materialize(named.unionByName(made(records.where("doc_id is null"))).select("text_x", "record_x", "lot"), "quality-candidates")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label is not null")
     own = named.groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = own.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    pool = ids.join(own, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool).withColumn("label", F.lit(None).cast("int"))
-    picked = F.broadcast(chosen.unionByName(pool))  # max_rows and max_pool bound it
-    rows = views(_records(docs).join(picked, "doc_id")).dropDuplicates(["doc_id"]).collect()  # at most max_rows + max_pool rows of fixed length
-    rows.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
-    seen, rest = [r for r in rows if r["label"] is not None], [r for r in rows if r["label"] is None]
+    seen = views(_records(docs).join(F.broadcast(chosen), "doc_id")).dropDuplicates(["doc_id"]).collect()  # at most max_rows rows of fixed length
+    seen.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
     y = np.array([float(r["label"] > 0) for r in seen])
     if len(set(y)) < 2:
         return Model(bias=12.0 if len(y) and y[0] else -12.0 if len(y) else 0.0)
-    matrix = lambda some, name: np.array([r[name] for r in some]).reshape(len(some), -1)
-    text, record = matrix(seen, "text_x"), matrix(seen, "record_x")
-    pools = (matrix(rest, "text_x"), matrix(rest, "record_x")) if rest else (text[:0], record[:0])
-    return co_train(text, record, y, *pools)
+    matrix = lambda name: np.array([r[name] for r in seen]).reshape(len(seen), -1)
+    return co_train(matrix("text_x"), matrix("record_x"), y, candidates(docs, own))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
