@@ -346,41 +346,6 @@ def test_quality(spark):
     assert [r["score"] for r in none] == [0.5]
 
 
-def test_every_unlabelled_document_is_a_candidate(spark):
-    ids = spark.range(25_000)
-    docs = ids.selectExpr("id as doc_id", "concat('word ', id % 997, ' more words', if(id % 4 = 0, ' %%% %%%', '.')) as text", "'en' as lang", "concat('src', id % 4) as source", "40L as n_chars")
-    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
-    labels = ids.where("id < 400").selectExpr("id as doc_id", "cast(id % 4 <> 0 as int) as quality", "0 as toxic")
-    pool = quality.candidates(docs, labels)
-    assert pool.count() == 24_601
-    total = quality._sums(pool, lambda text, record, lot: np.array([float(len(text)), (np.isfinite(text).all() and ((lot >= 0) & (lot < 1)).all())]))
-    assert total[0] == 24_601
-    known = labels.where(~quality.held_out(F.col("doc_id"))).orderBy("doc_id").collect()
-    rows = quality.views(quality._records(docs).join(labels.withColumnRenamed("quality", "label"), "doc_id")).collect()
-    rows = sorted((r for r in rows if r["doc_id"] in {k["doc_id"] for k in known}), key=lambda r: r["doc_id"])
-    matrix = lambda name: np.array([r[name] for r in rows])
-    sizes, plain = [], quality._sums
-
-    def counting(frame, own):
-        found = plain(frame, own)
-        sizes.append((len(found), found))
-        return found
-
-    quality._sums = counting
-    try:
-        quality.co_train(matrix("text_x"), matrix("record_x"), np.array([float(r["label"]) for r in rows]), pool, rounds=2)
-    finally:
-        quality._sums = plain
-    scored = [found.sum() for n, found in sizes if n > 3 * quality.BINS]
-    assert len(scored) == 2 and scored[0] > 2 * 10_000 and scored[1] < scored[0]
-
-
-def test_cut_off_takes_the_wanted_rows():
-    assert quality.cut_off(np.array([3, 0, 4, 5]), 5) == (2, 0.5)
-    assert quality.cut_off(np.array([3, 0, 4, 5]), 0) == (-1, 0.0)
-    assert quality.cut_off(np.array([3, 0, 4, 5]), 13) == (4, 0.0)
-
-
 def test_text_view_counts():
     texts = [b"", b"a a b", b"AB, cd.\nab", "é é".encode(), b"x" * 50]
     got = quality.text_view(texts)
