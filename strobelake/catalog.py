@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from math import tau
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -276,21 +276,14 @@ def _estimated(kind: str) -> Query:
     return query
 
 
-_MAKE = {
-    fields.DryMass: lambda: fields.DryMass(PIXEL_SIZE, WAVELENGTH, ALPHA), fields.PathChange: lambda: fields.PathChange(WAVELENGTH), fields.Displacement: lambda: fields.Displacement2D(PIXEL_SIZE),
-    fields.Velocity: lambda: fields.Velocity(RATE), fields.Acceleration: lambda: fields.Acceleration(RATE), fields.Force: fields.Force, fields.KineticEnergy: fields.KineticEnergy,
-}
-
-
-def _graph(wanted: list, three: bool = False) -> fields.Graph:
-    make = _MAKE | ({fields.Displacement: lambda: fields.Displacement3D(PIXEL_SIZE, WAVELENGTH, DELTA)} if three else {})
-    return fields.build_graph(wanted, lambda kind: make[kind]())
+def _plan(wanted: Sequence[str], three: bool = False) -> fields.Plan:
+    return fields.Plan(fields.standard(PIXEL_SIZE, WAVELENGTH, ALPHA, RATE, DELTA if three else None), wanted)
 
 
-def _field(*wanted: type, three: bool = False, aligned: bool = True) -> Query:
+def _field(*wanted: str, three: bool = False, aligned: bool = True) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         phase = tables.phase_frames(spark, d)
-        found = fields.compile_graph(_graph(list(wanted), three), phase, tables.flow_frames(phase), aligned)
+        found = fields.evaluate(_plan(wanted, three), phase, tables.flow_frames(phase), aligned)
         return fields.signals(found).select("seq", "idx", "metric", _round("value", 5).alias("value"))
 
     return query
@@ -298,7 +291,7 @@ def _field(*wanted: type, three: bool = False, aligned: bool = True) -> Query:
 
 def field_means(spark: SparkSession, d: str) -> DataFrame:
     phase = tables.phase_frames(spark, d)
-    found = fields.signals(fields.compile_graph(_graph([fields.DryMass, fields.Velocity]), phase, tables.flow_frames(phase)))
+    found = fields.signals(fields.evaluate(_plan(["dry_mass", "velocity"]), phase, tables.flow_frames(phase)))
     return fields.weighted_means(found).select("metric", _round("value", 5).alias("value"))
 
 
@@ -427,15 +420,15 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "ssim": (ssim, None),
     "flow_farneback": (_estimated("farneback"), None),
     "flow_tvl1": (_estimated("dual_tvl1"), None),
-    "drymass_signal": (_field(fields.DryMass), _FIELD_SQL["drymass_signal"]),
-    "opd_variance": (_field(fields.PathChange), _FIELD_SQL["opd_variance"]),
-    "velocity": (_field(fields.Velocity), _FIELD_SQL["velocity"]),
-    "acceleration": (_field(fields.Acceleration), _FIELD_SQL["acceleration"]),
-    "force": (_field(fields.Force), _FIELD_SQL["force"]),
-    "kinetic_energy": (_field(fields.KineticEnergy), _FIELD_SQL["kinetic_energy"]),
-    "fields_aligned": (_field(fields.DryMass, fields.Acceleration), _FIELD_SQL["fields_aligned"]),
+    "drymass_signal": (_field("dry_mass"), _FIELD_SQL["drymass_signal"]),
+    "opd_variance": (_field("path_change"), _FIELD_SQL["opd_variance"]),
+    "velocity": (_field("velocity"), _FIELD_SQL["velocity"]),
+    "acceleration": (_field("acceleration"), _FIELD_SQL["acceleration"]),
+    "force": (_field("force"), _FIELD_SQL["force"]),
+    "kinetic_energy": (_field("kinetic_energy"), _FIELD_SQL["kinetic_energy"]),
+    "fields_aligned": (_field("dry_mass", "acceleration"), _FIELD_SQL["fields_aligned"]),
     "field_means": (field_means, _FIELD_SQL["field_means"]),
-    "displacement3d": (_field(fields.Displacement, three=True), _displacement3d_sql()),
+    "displacement3d": (_field("displacement", three=True), _displacement3d_sql()),
     "stream_push_diff": (stream_push_diff, f"WITH {_CELLS} SELECT a.seq, a.idx, round(sum((b.v - a.v)::DOUBLE), 4) + 0.0 AS change FROM cells a JOIN cells b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL"),
 }
 

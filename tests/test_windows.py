@@ -42,16 +42,12 @@ def test_moving_windows_over_blocks(signal, monkeypatch):
 def test_frame_windows_over_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     frames = frames_of(spark, {"a": rng.random((11, 3, 4)), "b": rng.random((1, 3, 4)), "c": rng.random((5, 3, 4))})
-    make = {
-        fields.DryMass: lambda: fields.DryMass(0.15, 666.0, 0.18), fields.Displacement: lambda: fields.Displacement3D(0.15, 666.0, 0.04), fields.Velocity: lambda: fields.Velocity(25.0),
-        fields.Acceleration: lambda: fields.Acceleration(25.0), fields.PathChange: lambda: fields.PathChange(666.0),
-    }
-    graph = fields.build_graph([fields.Acceleration, fields.PathChange, fields.DryMass], lambda kind: make[kind]())
+    plan = fields.Plan(fields.standard(0.15, 666.0, 0.18, 25.0, 0.04), ["acceleration", "path_change", "dry_mass"])
 
     def results():
         return (
             sorted(map(str, flow.neighbours(frames).collect())), sorted(map(str, normalize.pairwise(frames).collect())),
-            *(sorted(map(str, fields.compile_graph(graph, frames, tables.flow_frames(frames), aligned).collect())) for aligned in (True, False)),
+            *(sorted(map(str, fields.evaluate(plan, frames, tables.flow_frames(frames), aligned).collect())) for aligned in (True, False)),
         )
 
     whole = results()
