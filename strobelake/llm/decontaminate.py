@@ -1,40 +1,49 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are lower-cased runs without white space, ASCII punctuation taken out. A document meets a benchmark item
-where they share a seed of ``seed_words`` words; for each such pair, the longest
-unmarked match is marked in both again and again until none of at least
-``seed_words`` words is left (running Karp-Rabin hashes find the matches), and the
-document is contaminated if the tiles cover at least ``coverage`` of the item's
-words, in whatever order they stand.
-
-The benchmark is taken in blocks of at most ``block_words`` words, each broadcast for one
-pass over the documents, so what is broadcast is bounded however large the benchmark is.
+Words are lower-cased runs without white space, ASCII punctuation taken out. Running
+Karp-Rabin hashes name every seed of ``seed_words`` words. One pass over the documents
+keeps those with a seed in a bitmap of the benchmark's seeds (of fixed size, so that it
+may saturate but not grow); an equi-join of these seeds with those of the benchmark
+gives the pairs that share enough of them, and each pair of texts is tiled: the longest
+unmarked match of words is marked in both again and again until none of at least
+``seed_words`` words is left. A document is contaminated if the tiles cover at least
+``coverage`` of the item's words, in whatever order they stand.
+
+Nothing of the benchmark passes through the driver but the bitmap and the few widths of
+seeds. Documents, like items, are judged once for each distinct text. Matches are kept as runs
+along diagonals, so a text of one repeated word costs no square of its length.
 
 Defined cases: null texts count as empty; an item of fewer words than a seed is one
 seed of its own length; an empty item matches nothing; items with equal texts are
-all reported; rows that repeat a doc_id are each judged and give one row for each
-item; other columns are ignored; empty tables give an empty result.
+all reported; of equally long matches the one earliest in the document, then in the
+item, is marked; very long texts are read whole, one at a time; rows that repeat a doc_id are
+each judged and give one row for each item; other columns are ignored, whatever
+their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import string
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.llm.common import release, table
-from strobelake.llm.pieces import text_blocks
+from strobelake.llm.common import fresh_names, materialize, release, table
+from strobelake.llm.pieces import joined, text_blocks
 
-#: Base of the Karp-Rabin hash, modulo 2**64.
+#: Base of the Karp-Rabin hashes, modulo 2**64: odd, so that it has an inverse.
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 BLOCK_BYTES = 2_000_000
+#: Bits of the map of seeds (4 MB at any size of the benchmark), and the parts of a hash that set them.
+MAP_BITS, MAP_SHIFTS = 25, (0, 20, 39)
 _PUNCTUATION = string.punctuation.encode()
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[list(b" \t\n\r\x0b\x0c")] = True
 RESULT = "doc_id long, item_id long, covered long, item_words long, coverage double, tiles long"
 
 
@@ -42,175 +51,227 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(None, _PUNCTUATION).split()
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2**64."""
+    out = np.ones(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        out[1:] = np.uint64(base)
+        return np.cumprod(out, dtype=np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes with their bits stirred."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
+
 def rolling(codes: np.ndarray, width: int) -> np.ndarray:
     """The Karp-Rabin hash of every window of ``width`` codes."""
     if len(codes) < width:
         return np.zeros(0, dtype=np.uint64)
     n = len(codes) - width + 1
     with np.errstate(over="ignore"):
-        out = np.zeros(n, dtype=np.uint64)
+        out = np.full(n, width, dtype=np.uint64)
         for k in range(width):
             out = out * np.uint64(_BASE) + codes[k : k + n]
-    return out
-
-
-def tile(doc: np.ndarray, item: np.ndarray, at_doc: np.ndarray, at_item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of two code sequences from their seed matches: (start in doc, start in item, words)."""
-    diagonal = at_doc - at_item
-    order = np.lexsort((at_doc, diagonal))
-    at_doc, at_item, diagonal = at_doc[order], at_item[order], diagonal[order]
-    cut = np.flatnonzero((np.diff(diagonal) != 0) | (np.diff(at_doc) != 1)) + 1
-    starts = np.concatenate([[0], cut])
-    ends = np.concatenate([cut, [len(at_doc)]])
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for s, e in zip(starts.tolist(), ends.tolist()):
-        runs[e - s + width - 1].append((int(at_doc[s]), int(at_item[s])))
-    used_doc: set[int] = set()
-    used_item = np.zeros(len(item), dtype=bool)
+    return mixed(out)
+
+
+def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash of each word of all texts, the bounds of the texts in them), by running sums over all bytes."""
+    data, bounds = joined([t.lower().translate(None, _PUNCTUATION) + b" " for t in texts])
+    space = _SPACES[data]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(data) else np.zeros(0, dtype=np.int64)
+    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]])) if len(data) else starts
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
+        codes = mixed((sums[ends] - sums[starts]) * powers(_INVERSE, len(data) + 1)[starts])
+    return codes, np.searchsorted(starts, bounds)
+
+
+def matches(doc: np.ndarray, item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(-words, start in doc, start in item) of every longest run of equal codes of at least ``width`` words; codes are 1 or more."""
+    order = np.argsort(doc, kind="stable")
+    low, high = np.searchsorted(doc[order], item, "left"), np.searchsorted(doc[order], item, "right")
+    ahead = np.append(doc, 0)  # the word after each place; none after the last
+    last = np.zeros(len(doc) + 1, dtype=np.int64)  # words of the run that ends before a place
+    runs, before = [], np.zeros(0, dtype=np.int64)
+    for j in range(len(item) + 1):
+        here = order[low[j] : high[j]] if j < len(item) else order[:0]
+        size = last[here] + 1
+        if len(before):
+            length = last[before]
+            over = (length >= width) & ((ahead[before] != item[j]) if j < len(item) else True)
+            runs += zip((-length[over]).tolist(), (before[over] - length[over]).tolist(), (j - length[over]).tolist())
+            last[before] = 0
+        before = here + 1
+        last[before] = size
+    return runs
+
+
+def stretches(free: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of at least ``width`` true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
+    for low, high in edges.reshape(-1, 2).tolist():
+        if high - low >= width:
+            yield low, high
+
+
+def tile(doc: np.ndarray, item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling of two sequences of codes: (start in doc, start in item, words)."""
+    waiting = matches(doc, item, width)
+    heapq.heapify(waiting)
+    free_doc, free_item = np.ones(len(doc), dtype=bool), np.ones(len(item), dtype=bool)
     tiles = []
-    while runs:
-        length = max(runs)
-        for d, i in runs.pop(length):
-            free = [not used_item[i + k] and d + k not in used_doc for k in range(length)]
-            if all(free):
-                tiles.append((d, i, length))
-                used_item[i : i + length] = True
-                used_doc.update(range(d, d + length))
-                continue
-            k = 0
-            while k < length:  # what stays free of the match waits for its own length
-                e = k
-                while e < length and free[e]:
-                    e += 1
-                if e - k >= width:
-                    runs[e - k].append((d + k, i + k))
-                k = e + 1
+    while waiting:
+        length, d, i = heapq.heappop(waiting)
+        both = free_doc[d : d - length] & free_item[i : i - length]
+        if not both.all():  # what stays free of the match waits for its own length
+            for low, high in stretches(both, width):
+                heapq.heappush(waiting, (low - high, d + low, i + low))
+            continue
+        tiles.append((d, i, -length))
+        free_doc[d : d - length] = free_item[i : i - length] = False
+        if next(stretches(free_item, width), None) is None:
+            break
     return tiles
 
 
-class Index:
-    """One block of the benchmark: codes of its words and the places of each seed."""
-
-    def __init__(self, items: list[tuple[int, bytes]], seed_words: int):
-        self.code: dict[bytes, int] = {}
-        self.items, self.widths = [], defaultdict(list)
-        for item_id, text in items:
-            words = words_of(text)
-            if words:
-                codes = np.array([self.code.setdefault(w, len(self.code) + 1) for w in words], dtype=np.uint64)
-                self.widths[min(seed_words, len(words))].append(len(self.items))
-                self.items.append((item_id, codes))
-        self.seeds = {}
-        for width, own in self.widths.items():
-            hashes, item, place = [], [], []
-            for k in own:
-                h = rolling(self.items[k][1], width)
-                hashes.append(h)
-                item.append(np.full(len(h), k))
-                place.append(np.arange(len(h)))
-            hashes = np.concatenate(hashes)
-            order = np.argsort(hashes, kind="stable")
-            self.seeds[width] = (hashes[order], np.concatenate(item)[order], np.concatenate(place)[order])
-
-    def judge(self, text: bytes, coverage: float) -> list[tuple[int, int, int, float, int]]:
-        """(item_id, covered, words, coverage, tiles) of each item that the text covers."""
-        get = self.code.get
-        codes = np.array([get(w, 0) for w in words_of(text)], dtype=np.uint64)
-        found = []
-        known = codes != 0
-        total = np.concatenate([[0], np.cumsum(known)])
-        for width, (hashes, item, place) in self.seeds.items():
-            if len(codes) < width:
-                continue
-            at = np.flatnonzero(total[width:] - total[:-width] == width)  # only windows of benchmark words alone
-            if not len(at):
-                continue
-            own = codes[at]
-            with np.errstate(over="ignore"):
-                for k in range(1, width):
-                    own = own * np.uint64(_BASE) + codes[at + k]
-            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-            met = high > low
-            if not met.any():
-                continue
-            at, low, counts = at[met], low[met], (high - low)[met]
-            spot = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            at_doc, at_item, which = np.repeat(at, counts), place[spot], item[spot]
-            for k in np.unique(which):
-                item_id, words = self.items[k]
-                here = which == k
-                d, i = at_doc[here], at_item[here]
-                same = np.ones(len(d), dtype=bool)  # equal hashes must be equal words
-                for j in range(width):
-                    same &= codes[d + j] == words[i + j]
-                if not same.any():
-                    continue
-                tiles = tile(codes, words, d[same], i[same], width)
-                covered = sum(t[2] for t in tiles)
-                if covered >= coverage * len(words):
-                    found.append((item_id, covered, len(words), covered / len(words), len(tiles)))
-        return found
-
-
-def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of at most ``block_words`` words (or one item)."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    held, words = [], 0
-    for row in items.toLocalIterator():
-        data = row["text"].encode()
-        n = len(data.split())
-        if held and words + n > block_words:
-            yield held
-            held, words = [], 0
-        held.append((row["item_id"], data))
-        words += n
-    if held:
-        yield held
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, coverage: float = 0.8, block_words: int = 2_000_000) -> DataFrame:
-    """One row (doc_id, item_id, covered, item_words, coverage, tiles) for each document and item that it contains."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def judge(doc: list[bytes], item: list[bytes], width: int) -> tuple[int, int]:
+    """(words covered, tiles) of an item in a document."""
+    code = {w: k for k, w in enumerate(dict.fromkeys(item), 1)}
+    get = code.get
+    found = tile(np.array([get(w, 0) for w in doc], dtype=np.int64), np.array([code[w] for w in item], dtype=np.int64), width)
+    return sum(t[2] for t in found), len(found)
 
-    def one(items: list[tuple[int, bytes]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Index(items, seed_words))
 
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                ids, rows = batch.column(0).to_pylist(), []
-                for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
-                    rows += [(i, *found) for i, text in zip(ids[low:high], texts) for found in index.judge(text, coverage)]
-                columns = list(zip(*rows)) or [[]] * 6
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "covered", "item_words", "coverage", "tiles"])
+def _digest(text: str | Column) -> Column:
+    return F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), 256)
 
-        return texts.mapInArrow(run, RESULT)
 
-    passes = [one(items) for items in blocks(benchmark, block_words)]
-    if not passes:
-        return spark.createDataFrame([], RESULT)
-    return reduce(lambda a, b: a.unionByName(b), passes)
+def _items(benchmark: DataFrame, seed_words: int) -> DataFrame:
+    """(item, text, n_words, width, seeds): each distinct text of the benchmark that has words, with its seeds."""
+    texts = benchmark.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct().select(_digest("text").alias("item"), "text")
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+                codes, bounds = word_codes(texts)
+                own = [codes[a:b] for a, b in zip(bounds, bounds[1:])]
+                width = [min(seed_words, len(c)) for c in own]
+                seeds = [rolling(c, w).view(np.int64) if w else c.view(np.int64) for c, w in zip(own, width)]
+                some = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns, pa.array([len(c) for c in own], pa.int64()), pa.array(width, pa.int32()), pa.array(seeds, pa.list_(pa.int64()))], names=["item", "text", "n_words", "width", "seeds"]
+                )
 
-def clean(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, coverage: float = 0.8, block_words: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` that contain no item."""
+    return texts.mapInArrow(run, "item string, text string, n_words long, width int, seeds array<long>").where("n_words > 0")
+
+
+def _seed_map(seeds: DataFrame) -> np.ndarray:
+    """The bits that the seeds set, packed in 64-bit words: at most 2 ** (MAP_BITS - 6) rows come to the driver."""
+    mask = (1 << MAP_BITS) - 1
+    bits = seeds.select(F.explode(F.array(*[F.expr(f"shiftrightunsigned(seed, {s}) & {mask}L") for s in MAP_SHIFTS])).alias("bit"))
+    words = bits.groupBy(F.expr("shiftright(bit, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("word")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return out.view(np.uint8)
+
+
+def _candidates(docs: DataFrame, widths: list[int], seen: np.ndarray) -> DataFrame:
+    """(doc_id, text, seeds): the documents with a seed in the map, and their distinct seeds in it."""
     spark = docs.sparkSession
-    rest = [c for c in docs.columns if c != "text"]
-    kept = docs.select(F.col("text").cast("string").alias("text"), *rest)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    for items in blocks(benchmark, block_words):
-        shared = spark.sparkContext.broadcast(Index(items, seed_words))
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                fine = [not shared.value.judge(text, coverage) for _, _, texts in text_blocks(batch.column(0), BLOCK_BYTES) for text in texts]
-                yield batch.filter(pa.array(fine, pa.bool_()))
-            release()
-
-        kept = kept.mapInArrow(run, schema)
-    return kept.select(*docs.columns)
+    shared = spark.sparkContext.broadcast(seen)  # MAP_BITS bits
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mask = shared.value, np.uint64((1 << MAP_BITS) - 1)
+        for batch in batches:
+            for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+                codes, bounds = word_codes(texts)
+                owners, found = [], []
+                for width in widths:
+                    seeds = rolling(codes, width)
+                    met = np.ones(len(seeds), dtype=bool)
+                    for shift in MAP_SHIFTS:
+                        at = np.flatnonzero(met)
+                        bit = (seeds[at] >> np.uint64(shift)) & mask
+                        met[at] = (held[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+                    at = np.flatnonzero(met)
+                    row = np.searchsorted(bounds, at, side="right") - 1
+                    inside = at + width <= bounds[row + 1]  # no window goes over into the next text
+                    owners.append(row[inside])
+                    found.append(seeds[at[inside]])
+                owner, seed = np.concatenate(owners), np.concatenate(found).view(np.int64)
+                if not len(owner):
+                    continue
+                order = np.lexsort((seed, owner))
+                owner, seed = owner[order], seed[order]
+                new = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(seed) != 0)])
+                rows, first = np.unique(owner[new], return_index=True)
+                some = batch.slice(low, high - low).take(pa.array(rows))
+                lists = np.split(seed[new], first[1:])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "text", "seeds"])
+        release()
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, text string, seeds array<long>").withColumn("doc", _digest("text"))
+
+
+def _tiled(pairs: DataFrame, coverage: float) -> DataFrame:
+    """(doc, item, covered, item_words, coverage, tiles) of the pairs (doc, item, width, item_text, text) that pass."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, words = None, []
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):  # pairs come by document: its words are cut once
+                doc, item, width, benchmark, text = (batch.column(c)[k] for c in range(5))
+                if doc.as_py() != last:
+                    last, words = doc.as_py(), words_of(text.cast(pa.binary()).as_py())
+                wanted = words_of(benchmark.cast(pa.binary()).as_py())
+                covered, tiles = judge(words, wanted, width.as_py())
+                if covered >= coverage * len(wanted):
+                    rows.append((last, item.as_py(), covered, len(wanted), covered / len(wanted), tiles))
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            columns = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc", "item", "covered", "item_words", "coverage", "tiles"])
+
+    return pairs.select("doc", "item", "width", "item_text", "text").mapInArrow(run, "doc string, item string, covered long, item_words long, coverage double, tiles long")
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, seed_words: int, coverage: float) -> tuple[DataFrame, DataFrame]:
+    """(candidates (doc_id, doc, ...), matches (doc, item, covered, ...)), both written; doc and item are digests of texts."""
+    items = materialize(_items(benchmark, seed_words), "benchmark-items")
+    seeds = materialize(items.select("item", "n_words", "width", F.explode("seeds").alias("seed")).groupBy("seed", "item", "n_words", "width").agg(F.count("*").alias("places")), "benchmark-seeds")
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # 1 .. seed_words
+    candidates = materialize(_candidates(docs, widths, _seed_map(seeds)), "candidates") if widths else docs.sparkSession.createDataFrame([], "doc_id long, text string, seeds array<long>, doc string")
+    distinct = candidates.groupBy("doc").agg(F.first("seeds").alias("seeds"))  # equal texts have equal seeds
+    shared = distinct.select("doc", F.explode("seeds").alias("seed")).join(seeds, "seed")
+    # a tile of n words is n - width + 1 seeds, n / width at least: with fewer seeds in common no tiling covers enough
+    enough = F.sum("places") * F.first("width") >= F.lit(coverage) * F.first("n_words")
+    pairs = materialize(shared.groupBy("doc", "item").agg(enough.alias("enough")).where("enough").select("doc", "item"), "shared-seeds")
+    texts = candidates.join(pairs.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
+    known = items.select("item", "width", F.col("text").alias("item_text"))
+    return candidates, materialize(_tiled(pairs.join(known, "item").join(texts, "doc"), coverage), "contaminated")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, coverage: float = 0.8) -> DataFrame:
+    """One row (doc_id, item_id, covered, item_words, coverage, tiles) for each document and item that it contains."""
+    candidates, found = _matched(docs, benchmark, seed_words, coverage)
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _digest(F.col("text").cast("string")).alias("item"))
+    rows = candidates.select("doc_id", "doc").join(found, "doc").join(named, "item")
+    return rows.select("doc_id", "item_id", "covered", "item_words", "coverage", "tiles")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, coverage: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that contain no item."""
+    _, found = _matched(docs, benchmark, seed_words, coverage)
+    own, other = fresh_names(docs, "doc", "contaminated")
+    bad = found.select(F.col("doc").alias(other)).distinct()
+    keyed = docs.withColumn(own, _digest(F.col("text").cast("string")))
+    return keyed.join(bad, F.col(own) == F.col(other), "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

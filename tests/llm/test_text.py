@@ -190,12 +190,28 @@ def test_tiling_covers_as_much_as_the_textbook():
         item = [rng.choice("abcdef") for _ in range(rng.randrange(8, 30))]
         cut = rng.randrange(len(item))
         doc = [rng.choice("abcdefxyz") for _ in range(5)] + item[cut:] + [rng.choice("xyz")] * rng.randrange(3) + item[:cut] + [rng.choice("abc") for _ in range(9)]
-        index = dc.Index([(1, " ".join(item).encode())], 4)
-        found = index.judge(" ".join(doc).encode(), 0.0)
-        assert (found[0][1] if found else 0) == brute_tiling(doc, item, 4)
+        assert dc.judge(doc, item, 4)[0] == brute_tiling(doc, item, 4)
 
 
-def test_decontamination(spark):
+def test_tiling_of_repeated_words():
+    rng = random.Random(2)
+    for _ in range(150):  # few words and many ties
+        item, doc = [[rng.choice("ab") for _ in range(rng.randrange(1, n))] for n in (12, 40)]
+        assert dc.judge(doc, item, min(3, len(item)))[0] == brute_tiling(doc, item, min(3, len(item)))
+    assert dc.judge([b"very"] * 100_000, [b"very"] * 50, 5) == (50, 1)
+    assert dc.judge([b"a", b"b"] * 30_000, [b"b", b"a"] * 40 + [b"c"] * 9, 5) == (80, 1)
+
+
+def test_word_codes_are_those_of_the_words():
+    texts = [b"", b" ", b"One, two.three ONE\ttwothree", "\xe9t\xe9 \xe9t\xe9\u00a0x".encode(), b"-- - one"]
+    codes, bounds = dc.word_codes(texts)
+    words = [w for t in texts for w in dc.words_of(t)]
+    assert np.diff(bounds).tolist() == [len(dc.words_of(t)) for t in texts]
+    assert [[a == b for b in codes] for a in codes] == [[a == b for b in words] for a in words]
+    assert len(dc.word_codes([])[0]) == 0 and len(dc.rolling(codes[:2], 3)) == 0
+
+
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     items = {k: [word() for _ in range(rng.randrange(10, 40))] for k in range(12)} | {50: ["just", "three", "words"], 51: []}
@@ -208,16 +224,31 @@ def test_decontamination(spark):
     rows = [(k, " ".join(w)) for k, w in docs] + [(8, None), (None, " ".join(items[9]))]
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(60, None)], "item_id long, text string")
     want = {(0, 3), (0, 13), (1, 4), (4, 6), (5, 50), (7, 7), (7, 8), (None, 9)}
-    for block_words in (1_000_000, 60):
-        got = dc.contaminated(spark.createDataFrame(rows, DOC), benchmark, block_words=block_words).collect()
+    docs = spark.createDataFrame(rows, DOC)
+    for bits in (25, 7):  # a map of seeds with room, and a full one that lets all documents pass
+        monkeypatch.setattr(dc, "MAP_BITS", bits)
+        got = dc.contaminated(docs, benchmark).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want
         assert all(r["coverage"] >= 0.8 for r in got)
-        kept = dc.clean(spark.createDataFrame(rows, DOC), benchmark, block_words=block_words)
-        assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 6, 8]
+        assert sorted(r["doc_id"] for r in dc.clean(docs, benchmark).collect()) == [2, 3, 6, 8]
+    clashing = docs.withColumns({name: F.lit("x") for name in ("doc", "Item", "seeds", "contaminated", "text_")})
+    assert dc.clean(clashing, benchmark).columns == clashing.columns and dc.clean(clashing, benchmark).count() == 4
+    assert dc.contaminated(clashing.union(clashing), benchmark).count() == 2 * len(want)
     assert dc.contaminated(spark.createDataFrame(rows, DOC), benchmark.limit(0)).count() == 0
     assert dc.contaminated(spark.createDataFrame([], DOC), benchmark).count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """Repeated words, ties, a very long text, and seeds that many items share."""
+    rng = random.Random(3)
+    few, common = list("abcdef"), [f"w{k}" for k in range(6)]
+    items = [[rng.choice(few) for _ in range(rng.randrange(1, 14))] for _ in range(30)] + [common + [f"i{k}x{j}" for j in range(rng.randrange(3))] for k in range(30)]
+    docs = [[rng.choice(few) for _ in range(rng.randrange(60))] for _ in range(25)] + [["a"] * 5000 + common, common * 3, []]
+    got = dc.contaminated(spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], DOC), spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string"))
+    want = {(k, j, n) for k, d in enumerate(docs) for j, i in enumerate(items) if i and (n := brute_tiling(d, i, min(5, len(i)))) >= 0.8 * len(i)}
+    assert {(r["doc_id"], r["item_id"], r["covered"]) for r in got.collect()} == want and len(want) > 90
+
+
 def distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
