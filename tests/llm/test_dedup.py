@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from strobelake.llm import embedding_dedup as ed
 from strobelake.llm import simhash_dedup as sd
@@ -175,9 +176,71 @@ def test_links_at_the_least_cosine_are_found():
     side -= (side * v).sum(axis=1, keepdims=True) * v
     side /= np.linalg.norm(side, axis=1, keepdims=True)
     q = 0.951 * v + np.sqrt(1 - 0.951**2) * side
-    ids, q_ids = np.arange(len(x)), np.arange(len(q)) + len(x)
-    a, b, beam = ed.links_in(graph, x, ids, q, q_ids, 0.95, 4)
+    q_ids = np.arange(len(q)) + len(x)
+    shard = ed.Shard(np.arange(len(x)), np.ones(len(x), dtype=np.int64), x, graph.sizes, graph.layers)
+    found = ed.links_in(shard, q, q_ids, 0.95, 4)
     exact = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T >= 0.95
-    found = np.zeros_like(exact)
-    found[a, b] = True
-    assert not (found & ~exact).any() and found.sum() >= 0.99 * exact.sum() and 4 <= beam < len(x)
+    assert (found.counts <= exact.sum(axis=1)).all() and found.counts.sum() >= 0.99 * exact.sum() and found.beam >= 4
+    assert 0 < found.wanted and ed.LINK_RECALL * found.wanted <= found.got <= found.wanted
+
+
+def shard_of(x, many=None):
+    digest = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, len(x))
+    row = ed.pack_shard(np.arange(len(x)) * 7, np.ones(len(x), dtype=np.int64) if many is None else many, x, digest)
+    layers = [np.frombuffer(b, dtype=np.int32).reshape(s, -1) for b, s in zip(row["layers"], row["sizes"])]
+    return ed.Shard(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["many"], np.int64), ed.scaled(np.frombuffer(row["vectors"]).reshape(x.shape)), row["sizes"], layers)
+
+
+@pytest.mark.parametrize("recall", [0.99, 1.5])  # as it is, and audits that never pass: the whole shard is compared
+def test_counts_and_forest_of_a_block(recall, monkeypatch):
+    monkeypatch.setattr(ed, "LINK_RECALL", recall)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 12))
+    x = np.concatenate([c + s * rng.normal(size=(n, 12)) for c, s, n in zip(centres, [0.02, 0.1, 0.2, 0.25] * 10, [1, 3, 40, 200] * 10)])
+    many = rng.integers(1, 4, len(x))
+    shard = shard_of(x, many)
+    original = shard.ids // 7
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    exact = unit @ unit.T >= 0.95
+    np.fill_diagonal(exact, False)
+    found = ed.links_in(shard, ed.scaled(x), np.arange(len(x)) * 7, 0.95, 8)
+    assert (found.counts == exact @ many).mean() > 0.97 and (found.counts <= exact @ many).all()
+    edges = [(int(a), int(b)) for left, right in found.edges for a, b in zip(left, right)]
+    assert len(edges) < 6 * len(x)
+    low = components([(a // 7, b // 7) for a, b in edges], range(len(x)))
+    want = components(list(zip(*np.nonzero(exact))), range(len(x)))
+    assert sum(low[k] == want[k] for k in low) >= 0.99 * len(low) and sorted(original) == list(range(len(x)))
+
+
+def test_dense_clusters_cost_no_memory_of_pairs():
+    """20,000 unequal vectors that all link: 400 million links, in bands."""
+    import resource
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1, 32)) + 0.03 * rng.normal(size=(20_000, 32))
+    shard = shard_of(x)
+    found = ed.links_in(shard, ed.scaled(x), np.arange(len(x)) * 7, 0.95, 16)
+    assert (found.counts == len(x) - 1).all() and len(np.unique(shard.root)) == 1
+    assert sum(len(a) for a, _ in found.edges) < 3 * len(x)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 3_000_000
+
+
+def test_vectors_of_any_scale_and_many_lengths(spark):
+    rng = np.random.default_rng(7)
+    big = [1e200, 1e200], [1e200, 1e200], [1.0, 1.0], [5e-324, 5e-324], [1.7e308, -1.7e308], [-1e-160, 1e-160], [1e308, 1e-308], [0.0, -0.0], [-0.0, 3.0], [0.0, 1.0]
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate([*big, *rng.normal(size=(9, 2)), *rng.normal(size=(9, 3)), *rng.normal(size=(2, 2000))])]
+    got = ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    unit = [np.array(v) / max(map(abs, v)) if any(v) else None for _, v in rows]
+    links = [(a, b) for a, b in combinations(range(len(rows)), 2) if unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95 * np.linalg.norm(unit[a]) * np.linalg.norm(unit[b])]
+    low = components(links, range(len(rows)))
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(k, sum(k in e for e in links), low[k]) for k, _ in rows}
+    assert (0, 1) in links and (0, 2) in links and (2, 3) in links
+
+
+def test_repeated_ids_and_foreign_columns(spark):
+    rows = [(5, [1.0, 2.0], 1, 2), (5, [-2.0, 1.0], 1, 2), (2, [2.0, 4.1], 1, 2), (None, [2.0, 4.0], 1, 2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep int, fine int")
+    for name in ("v", "k1", "dim", "part", "Low", "n"):
+        frame = frame.withColumn(name, F.lit(0))
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in ed.near_duplicates(frame).collect()), key=str)
+    assert got == sorted([(5, 2, 2, False), (5, 0, 5, True), (2, 2, 2, True), (None, 2, 2, False)], key=str)
