@@ -6,13 +6,18 @@ filter on doc_id skips files and stripes by their statistics and then by the Blo
 filters, and a full read splits files at stripes. Each row holds its offset within
 its file, so that the offset in the whole corpus needs only one sum a file.
 
+Ids are those of the tokenizers library as it is loaded: a text that holds one of the
+tokenizer's added tokens, such as an end-of-text mark, is encoded whole by it.
+
 Defined cases: a null text counts as empty and yields the end id alone; a null
-doc_id sorts first; rows that repeat a doc_id are all kept, ordered by text; an empty
-table writes and returns nothing; other columns are ignored.
+doc_id sorts first; rows that repeat a doc_id are all kept, ordered by text; very long texts
+are encoded whole, one at a time; an empty
+table writes and returns nothing; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -20,6 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,7 +81,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        own = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"].encode() for t in own["added_tokens"]]
+        before = own["pre_tokenizer"] or {}
+        #: Whether ``cut_points`` knows where this tokenizer cuts; else each text is one piece.
+        self.cuttable = own["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.widths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each token, one character of its byte alphabet for each
@@ -84,7 +94,7 @@ class Encoder:
 
     def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each piece. Words that begin with a space are encoded joined, for the pre-tokenizer cuts before that space."""
-        joined = [p for p in pieces if p[0] == 32 and len(p) > 1 and _KIND[p[1]] == _LETTER and _KIND[p[-1]] in (_LETTER, _OTHER)]
+        joined = [p for p in pieces if self.cuttable and p[0] == 32 and len(p) > 1 and _KIND[p[1]] == _LETTER and _KIND[p[-1]] in (_LETTER, _OTHER) and not any(t in p for t in self.added)]
         alone = list(set(pieces).difference(joined))
         found = self.tokenizer.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)
         out = {p: np.array(e.ids, dtype="<i4").tobytes() for p, e in zip(alone, found)}
@@ -98,13 +108,26 @@ class Encoder:
                 low = high
         return out
 
+    def _cuts(self, raw: pa.Array, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where pieces begin; a text with an added token is a single piece."""
+        starts = bounds[:-1][np.diff(bounds) > 0]
+        if not self.cuttable:
+            return starts
+        cuts = cut_points(data, bounds[:-1], bounds[1:])
+        whole = np.zeros(len(raw), dtype=bool)
+        for token in self.added:
+            whole |= pc.match_substring(raw, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return cuts
+        return cuts[~whole[np.searchsorted(bounds, cuts, side="right") - 1] | np.isin(cuts, starts)]
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with ``end_id`` at its end; how many each text has)."""
         raw = texts.cast(pa.binary()).fill_null(b"")
         raw = pa.concat_arrays([raw]) if raw.offset == 0 else pa.array(raw.to_pylist(), pa.binary())
         bounds = np.frombuffer(raw.buffers()[1], dtype=np.int32)[: len(raw) + 1].astype(np.int64)
         data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[: bounds[-1]]
-        cuts = cut_points(data, bounds[:-1], bounds[1:])
+        cuts = self._cuts(raw, data, bounds)
         owner = np.searchsorted(bounds, cuts, side="right") - 1
         offsets = np.append(cuts, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
@@ -157,7 +180,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("n", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    options = {"compression": "zstd", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
+    options = {"compression": "zstd", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.rows.between.memory.checks": "100"}
     rows.mapInArrow(run, SCHEMA).write.options(**options).orc(path)
 
 

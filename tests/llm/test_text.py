@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from strobelake.llm import decontaminate as dc
 from strobelake.llm import pii, quality, toxicity
@@ -28,25 +30,86 @@ def fuzz(n: int, seed: int, letters: str = " \n\ta\xa0b's,é.1×日́ Z$▁_then
     return ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(n)]
 
 
+def fresh_tokenizer():
+    """The library as anybody loads it."""
+    return Tokenizer.from_file(ts.TOKENIZER)
+
+
 def test_encoder_equals_the_library():
-    own = ts.encoder(ts.TOKENIZER)
-    texts = ODD + fuzz(4000, 1)
+    own, library = ts.encoder(ts.TOKENIZER), fresh_tokenizer()
+    rng = random.Random(9)
+    marked = ["".join(rng.choice((*" ab\n", " the", "<|endoftext|>", "<|endof", "text|>")) for _ in range(12)) for _ in range(2000)]
+    texts = ODD + fuzz(4000, 1) + marked + [" some words<|endoftext|> more " * 500]
     ids, sizes = own.encode(pa.array(texts, pa.string()), 0)
     cuts = np.append(0, np.cumsum(sizes))
     for k, text in enumerate(texts):
-        want = own.tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        want = library.encode(text or "", add_special_tokens=False).ids + [0]
         assert ids[cuts[k] : cuts[k + 1]].tolist() == want, text
     again, _ = own.encode(pa.array(["skipped", *texts], pa.string()).slice(1), 0)
     assert (again == ids).all()
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A tokenizer that cuts elsewhere is not cut for it."""
+    for name, change in (("prefix", {"add_prefix_space": True}), ("plain", {"use_regex": False})):
+        own = json.loads(fresh_tokenizer().to_str())
+        own["pre_tokenizer"] |= change
+        path = str(tmp_path / f"{name}.json")
+        Tokenizer.from_str(json.dumps(own)).save(path)
+        texts, library = ODD + fuzz(300, 4), Tokenizer.from_file(path)
+        ids, sizes = ts.Encoder(path).encode(pa.array(texts, pa.string()), 0)
+        assert ids.tolist() == [i for t in texts for i in [*library.encode(t or "", add_special_tokens=False).ids, 0]]
+
+
+def test_stripes_are_bounded_indexed_and_skipped(spark):
+    """Row indexes and Bloom filters are in the files, stripes are read apart, and a filter on doc_id reads few of them."""
+    rng = random.Random(5)
+    rows = [(3 * k, "".join(rng.choice("abcdefgh \n") for _ in range(400))) for k in range(6000)]
+    path = new_path(spark, "tokens-test")
+    ts.write_tokens(spark.createDataFrame(rows, DOC).repartition(2), path, stripe_bytes=256 << 10)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = [f.getPath() for f in jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.getPath().getName().endswith(".orc")]
+    spans = []
+    for file in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(file, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        column = list(reader.getSchema().getFieldNames()).index("doc_id") + 1
+        assert reader.getRowIndexStride() == 1000
+        stripes = list(reader.getStripes())
+        statistics = list(reader.getStripeStatistics())
+        rows_reader = reader.rows()
+        for k, (stripe, own) in enumerate(zip(stripes, statistics)):
+            bounds = own.getColumnStatistics()[column]
+            spans.append((bounds.getMinimum(), bounds.getMaximum()))
+            kinds = [(s.getColumn(), s.getKind().toString()) for s in list(rows_reader.readStripeFooter(stripe).getStreamsList())]
+            assert (column, "ROW_INDEX") in kinds and (column, "BLOOM_FILTER_UTF8") in kinds
+            columns = list(rows_reader.readStripeFooter(stripe).getColumnsList())
+            assert columns[column].getKind().toString() == "DIRECT_V2"  # integer run-length encoding, version 2
+        rows_reader.close()
+    assert len(spans) > 3 * len(files)
+    spans.sort()
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))  # stripes hold disjoint ranges of ids
+    for ids, most in (([300], 1000), ([300, 15_000], 2000), ([-5], 0), ([301], 0)):  # 301 lies in a range but in no Bloom filter
+        some = spark.read.schema(ts.SCHEMA).orc(path).where(F.col("doc_id").isin(ids)).select("doc_id")
+        run = some._jdf.queryExecution()
+        assert run.toRdd().count() <= len(ids)
+        rows = run.executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+        assert rows <= most, (ids, rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 10))
+    try:
+        parts = spark.read.schema(ts.SCHEMA).orc(path).select(F.spark_partition_id().alias("p"), "doc_id").groupBy("p").count().collect()
+        assert len(parts) > 2 * len(files) and sum(r["count"] for r in parts) == 6000  # several tasks read stripes of one file
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["doc_id"] for r in ts.read_tokens(spark, path, [300, 301]).collect()] == [300]
+
+
 def test_token_store_round_trip(spark):
     texts = ODD + fuzz(300, 2)
     rows = [(7 * k % 997, t) for k, t in enumerate(texts)]
     path = new_path(spark, "tokens-test")
     ts.write_tokens(spark.createDataFrame(rows, DOC).repartition(3), path)
     got = ts.digests(ts.read_tokens(spark, path)).orderBy("start").collect()
-    tokenizer, start = ts.encoder(ts.TOKENIZER).tokenizer, 0
+    tokenizer, start = fresh_tokenizer(), 0
     for r, (doc_id, text) in zip(got, sorted(rows, key=lambda x: x[0]), strict=True):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
