@@ -3,16 +3,19 @@
 The lattice has an edge for each piece of the vocabulary (or single character). For a
 byte-pair model an edge may follow another only if encoding the two pieces together
 gives just these two; with that, each reachable position has exactly one best
-predecessor and the path to the end is the library's own encoding. Back pointers are
-kept for a window as long as the longest piece plus what is not yet committed; ids
-are committed as soon as the paths of all positions in the window meet in one
-boundary. Where no piece spans two neighbouring characters all paths meet at
+predecessor and the path to the end is the library's own encoding. Positions that may
+still be extended span no more than the longest piece. A back pointer is dropped once no
+path from there leads back to it, and an id is committed once all paths do, so that
+what is held is this window and the branches that have not met. Where no piece spans two
+neighbouring characters all paths meet at
 once, so texts are cut there and each distinct part is encoded once.
 
 Defined cases: null and empty texts have no ids; a character that is no piece becomes
 its UTF-8 bytes; the model marks spaces with U+2581, so that character comes back as
 a space; ids outside the vocabulary raise an error; bytes that form no character decode
-to U+FFFD; rows that repeat are encoded alike; other columns are ignored.
+to U+FFFD; rows that repeat are encoded alike; very long texts are encoded whole; an empty
+table gives an empty result; other columns are ignored, whatever their names, but for the names of
+the output, which are refused; a model of another kind than byte pairs is refused.
 """
 
 from __future__ import annotations
@@ -77,6 +80,12 @@ class Codec:
         self.letter[[ord(c) for c in letters]] = True
         self.ends_word = np.zeros(256, dtype=bool)  # ASCII that no piece has after a letter
         self.ends_word[[c for c in range(33, 127) if not chr(c).isalpha() and not any(a + chr(c) in spans for a in letters)]] = True
+        step = max(1, len(plain) // 500)
+        trial = [model.id_to_piece(i) + model.id_to_piece(j) for i, j in zip(plain[::step], plain[::-step])]
+        trial = [t.replace(SPACE, " ") for t in trial if not t.startswith(SPACE)]
+        ids, sizes = self.encode([t.encode() for t in trial])
+        if ids.tolist() != [i for own in model.encode(trial) for i in own]:
+            raise ValueError(f"{path} is no byte-pair model that this codec encodes for")
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair merging by score, the first of equals first; for two pieces at a time."""
@@ -100,56 +109,53 @@ class Codec:
         self.pairs[a << 20 | b] = known
         return known
 
-    def viterbi(self, text: str) -> Iterator[tuple[int | None, int, int]]:
-        """(id, start, end) of the pieces of ``text``, each as soon as it is sure; the id is None for a character that is no piece."""
-        trie, pairs, follows, longest = self.trie, self.pairs, self.follows, self.longest
-        last: dict[int, tuple[int | None, int]] = {0: (None, 0)}  # position -> (piece that ends there, where it starts)
-        committed, check = 0, 4 * longest
-        n = len(text)
+    def viterbi(self, text: str, held: list[int] | None = None) -> Iterator[tuple[int | None, int, int]]:
+        """(id, start, end) of the pieces of ``text``, each as soon as it is sure; the id is None for a character that is no piece.
+
+        ``held`` collects how many back pointers are kept after each character.
+        """
+        trie, pairs, follows = self.trie, self.pairs, self.follows
+        back: dict[int, tuple[int | None, int]] = {0: (None, 0)}  # position -> (piece that ends there, where it starts)
+        heirs: dict[int, int] = {0: 0}  # how many positions point back to one
+        heir: dict[int, int] = {0: 0}  # their sum: the position itself where there is one
+        base, n = 0, len(text)
         for start in range(n):
-            here = last.get(start)
+            here = back.get(start)
             if here is None:
                 continue
             before = here[0]
             node = trie.get(text[start])
             if node is None or "" not in node:  # no piece: nothing merges with it
-                last[start + 1] = (None, start)
+                back[start + 1] = (None, start)
+                heirs[start], heir[start], heirs[start + 1], heir[start + 1] = heirs[start] + 1, heir[start] + start + 1, 0, 0
             end = start + 1
             while node is not None:
                 i = node.get("")
-                if i is not None and end not in last:
+                if i is not None and end not in back:
                     known = True if before is None else pairs.get(before << 20 | i)
                     if known is None:
                         known = follows(before, i)
                     if known:
-                        last[end] = (i, start)
+                        back[end] = (i, start)
+                        heirs[start], heir[start], heirs[end], heir[end] = heirs[start] + 1, heir[start] + end, 0, 0
                 if end == n:
                     break
                 node = node.get(text[end])
                 end += 1
-            if start - committed >= check:
-                front = {k for k in last if k > start}
-                while len(front) > 1:
-                    top = max(front)
-                    front.remove(top)
-                    front.add(last[top][1])
-                meet = front.pop()
-                if meet > committed:
-                    yield from self._path(last, committed, meet)
-                    last = {k: v for k, v in last.items() if k >= meet}
-                    committed, check = meet, 4 * longest
-                else:
-                    check *= 2
-        yield from self._path(last, committed, n)
-
-    @staticmethod
-    def _path(last: dict, low: int, high: int) -> list[tuple[int | None, int, int]]:
-        out = []
-        while high > low:
-            i, start = last[high]
-            out.append((i, start, high))
-            high = start
-        return out[::-1]
+            dead = start
+            while not heirs[dead] and dead != base:  # no path goes on from here
+                _, before_it = back.pop(dead)
+                del heirs[dead], heir[dead]
+                heirs[before_it] -= 1
+                heir[before_it] -= dead
+                dead = before_it
+            while base <= start and heirs[base] == 1:  # all paths lead through one boundary
+                to = heir[base]
+                yield back[to][0], base, to
+                del back[base], heirs[base], heir[base]
+                base = to
+            if held is not None:
+                held.append(len(back))
 
     def _learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
         out = {}
@@ -214,7 +220,10 @@ def crc32s(ids: np.ndarray, sizes: np.ndarray) -> list[int]:
 
 def encode(docs: DataFrame, keep: list[str], model: str = MODEL, digests: bool = False) -> DataFrame:
     """The columns ``keep`` and ids array<int> of each text; with ``digests`` also n_tokens and ids_crc32."""
-    chosen = docs.select(F.col("text").cast("string").alias("_text"), *keep)
+    names = [*keep, "ids", *(["n_tokens", "ids_crc32"] if digests else [])]
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError(f"the columns {keep} clash with those of the result")
+    chosen = docs.select(F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"kept{k}") for k, c in enumerate(keep)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
@@ -226,13 +235,14 @@ def encode(docs: DataFrame, keep: list[str], model: str = MODEL, digests: bool =
                 yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns[1:], lists, *more], names=names)
         release()
 
-    names = [*keep, "ids", *(["n_tokens", "ids_crc32"] if digests else [])]
-    return chosen.mapInArrow(run, f"{_schema(chosen.drop('_text'))}, ids array<int>" + ", n_tokens long, ids_crc32 long" * digests)
+    return chosen.mapInArrow(run, f"{_schema(docs.select(*[F.col(f'`{c}`') for c in keep]))}, ids array<int>" + ", n_tokens long, ids_crc32 long" * digests)
 
 
 def decode(tokens: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
     """The columns ``keep`` and the text of each row's ids."""
-    chosen = tokens.select("ids", *keep)
+    if "text" in map(str.lower, keep):
+        raise ValueError("the result has a text of its own")
+    chosen = tokens.select(F.col("ids"), *[F.col(f"`{c}`").alias(f"kept{k}") for k, c in enumerate(keep)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
@@ -244,7 +254,7 @@ def decode(tokens: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
                 ids = part.flatten().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns[1:], pa.array(own.decode(ids, lengths[low:high]), pa.string())], names=[*keep, "text"])
 
-    return chosen.mapInArrow(run, f"{_schema(chosen.drop('ids'))}, text string")
+    return chosen.mapInArrow(run, f"{_schema(tokens.select(*[F.col(f'`{c}`') for c in keep]))}, text string")
 
 
 def checked(tokens: DataFrame, model: str = MODEL) -> DataFrame:

@@ -144,11 +144,32 @@ def test_codec_equals_the_library(library):
     assert own.decode(ids, sizes) == library.decode(library.encode(texts)) == [t.replace("▁", " ") for t in texts]
 
 
-def test_pieces_are_committed_before_the_end():
-    text = "▁" + "the▁end▁of▁" * 60
-    steps = spc.codec(spc.MODEL).viterbi(text)
-    first = next(steps)
-    assert first[1] == 0 and "".join(text[a:b] for _, a, b in [first, *steps]) == text
+@pytest.mark.parametrize("text", ["▁" + "the▁end▁of▁" * 300, "▁" + "thequickbrownfoxandso" * 200, "▁" + "ab" * 2000, "x²日" * 500, "▁" * 3000])
+def test_pieces_are_committed_as_soon_as_all_paths_meet(text):
+    """What is held stays near the longest piece, whatever the length of the text."""
+    own, held, at = spc.codec(spc.MODEL), [], 0
+    for piece, start, end in own.viterbi(text, held):
+        assert start == at and (end == start + 1 if piece is None else own.names[piece] == text[start:end])
+        at = end
+    assert at == len(text)
+    assert max(held) <= 2 * own.longest
+
+
+def test_other_models_are_refused(monkeypatch):
+    own = spc.Codec(spc.MODEL)
+    monkeypatch.setattr(spc.Codec, "follows", lambda self, a, b: True)  # as if pieces followed each other freely
+    with pytest.raises(ValueError):
+        spc.Codec(spc.MODEL)
+    assert own.longest > 4
+
+
+def test_codec_keeps_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "one two", "a", 5)], "doc_id long, text string, kept0 string, `a.b` long")
+    got = spc.encode(frame, ["doc_id", "text", "kept0", "a.b"])
+    assert got.columns == ["doc_id", "text", "kept0", "a.b", "ids"] and spc.decode(got.drop("text"), ["kept0", "a.b"]).first() == ("a", 5, "one two")
+    for name in ("ids", "IDS"):
+        with pytest.raises(ValueError):
+            spc.encode(frame.withColumn(name, F.lit(1)), ["doc_id", name])
 
 
 def test_codec_in_spark(spark):
