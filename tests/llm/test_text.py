@@ -461,6 +461,106 @@ def test_quality(spark):
     assert [r["score"] for r in none] == [0.5]
 
 
+def brute_quality(rows, fold_of, label_of, rounds):
+    """Co-training over whole arrays, one document at a time where the operator sums over tasks."""
+    q = quality
+    texts = [(r[1] or "").encode() for r in rows]
+    words = [sorted(set((dc.word_codes([t])[0] % np.uint64(q.WORDS)).astype(int).tolist())) for t in texts]
+    counts = np.concatenate([q.text_view([t]) for t in texts]).astype(np.float32).astype(float)
+    record = np.concatenate([q.record_marks([r[2]], [r[3]], [r[4]]) for r in rows])
+    folds = {f: [k for k, r in enumerate(rows) if fold_of.get(r[0]) == f] for f in range(4)}
+    label = np.array([label_of[r[0]] if r[0] in fold_of else -1 for r in rows])
+    mean, spread = counts[folds[1]].mean(axis=0), np.maximum(counts[folds[1]].std(axis=0), 1e-6)
+
+    def odds(n, size, marks, new, weight):
+        tally, total = np.zeros((2, size)), np.zeros(2)
+        for k in range(n):
+            y, w = (label[k], 1.0) if k in folds[0] else (new[k], weight)
+            if y >= 0 and w:
+                tally[y, marks[k]] += w
+                total[y] += w
+        return np.log((tally[1] + q.PRIOR) / (total[1] + 2 * q.PRIOR)) - np.log((tally[0] + q.PRIOR) / (total[0] + 2 * q.PRIOR))
+
+    def views(new_text, new_record):
+        share = lambda new, most: min(1.0, q.WEIGHT * most / max((new >= 0).sum(), 1))
+        n = len(folds[0])
+        w = odds(len(rows), q.WORDS, words, new_text, share(new_text, n))
+        r = odds(len(rows), q.RECORD_MARKS, record, new_record, share(new_record, n))
+        word = np.array([sum(w[own]) / max(len(own), 1) ** 0.5 for own in map(list, words)])
+        x = np.hstack([np.clip((counts - mean) / spread, -8, 8), word[:, None], np.ones((len(rows), 1))])
+        text, hessian = q._newton(x[folds[1]], label[folds[1]].astype(float))
+        gradient = np.zeros(len(text))
+        some = share(new_text, len(folds[1]))
+        for k in np.flatnonzero(new_text >= 0):
+            p = q.sure(x[k] @ text)
+            gradient += some * x[k] * (new_text[k] - p)
+            hessian = hessian + some * p * (1 - p) * np.outer(x[k], x[k])
+        step = np.linalg.solve(hessian, gradient)
+        text = text + step / max(1.0, np.abs(step).max())
+        good = np.log(np.mean(label[folds[0]] == 1) / np.mean(label[folds[0]] == 0))
+        z = np.stack([x @ text, r[record].sum(axis=1) + good], axis=1)
+        scales = [toxicity.fit_logistic(z[folds[2]][:, k : k + 1], label[folds[2]].astype(float)) for k in (0, 1)]
+        return np.stack([np.clip(a[0] * z[:, k] + b, -12, 12) if a[0] > 0 else np.full(len(z), np.log((label[folds[2]].sum() + 1) / (len(folds[2]) - label[folds[2]].sum() + 1))) for k, (a, b) in enumerate(scales)], axis=1)
+
+    none = np.full(len(rows), -1)
+    z = views(none, none)
+    free = label < 0
+    for turn in range(1, rounds + 1):
+        given, good = [], np.mean(label[folds[0]] == 1)
+        for k in (0, 1):
+            low, high = q.cut_scores(np.bincount(q._bin(z[free, k]), minlength=q.CUTS), turn * q.EACH_ROUND, good)
+            given.append(np.where(free & (z[:, k] >= high), 1, np.where(free & (z[:, k] <= low), 0, -1)))
+        z = views(given[1], given[0])
+    weights, bias = toxicity.fit_logistic(z[folds[3]], label[folds[3]].astype(float))
+    return q.sure(z @ weights + bias), given
+
+
+def test_quality_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SURE", 0.5)
+    rng, rows, label_of = random.Random(6), [], {}
+    for k in range(1500):
+        good = rng.random() < 0.6
+        words = [rng.choice("abcdefgh" if rng.random() < (0.75 if good else 0.6) else "xyz") * rng.randint(1, 3) for _ in range(rng.randrange(5, 40))]
+        text = " ".join(w + "!" * (rng.random() < (0.05 if good else 0.2)) for w in words)
+        rows.append((k, text, "en" if rng.random() < (0.9 if good else 0.5) else "de", f"{'gb'[good ^ (rng.random() < 0.9)]}{rng.randrange(12)}", len(text)))
+        if k % 3 < 2:
+            label_of[k] = int(good)
+    rows += [(None, None, None, None, None), (1499, rows[1499][1], "en", "web", 3)]
+    frame = spark.createDataFrame(rows, RECORD).repartition(5)
+    known = spark.createDataFrame(list(label_of.items()), "doc_id long, quality int")
+    ids = spark.createDataFrame([(k,) for k in label_of], "doc_id long").where(~toxicity.held_out(F.col("doc_id")))
+    parts = ids.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(6)).alias("p")).collect()
+    want, given = brute_quality(rows, {r["doc_id"]: (0, 0, 1, 1, 2, 3)[r["p"]] for r in parts}, label_of, 3)
+    assert all((g == y).any() for g in given for y in (0, 1))  # both views label both kinds
+    got = {(r["doc_id"], r["score"]) for r in quality.score(frame, quality.fit(frame, known)).collect()}
+    expected = dict(zip([r[0] for r in rows[:-1]], want))
+    assert max(abs(s - expected[k]) for k, s in got if k != 1499) < 1e-6
+    assert np.mean([(s > 0.5) == bool(label_of[k]) for k, s in got if k in label_of]) > 0.85
+
+
+def test_cuts_take_whole_bins():
+    n = np.zeros(quality.CUTS, dtype=int)
+    for z, many in ((9.0, 5), (8.0, 5), (3.0, 50), (-1.0, 40), (-4.0, 7), (-9.0, 3)):
+        n[quality._bin(np.array([z]))[0]] += many
+    low, high = quality.cut_scores(n, 0.2, 0.5)  # 11 of either kind
+    assert 3.0 < high <= 8.0 and -4.0 <= low < -1.0
+    low, high = quality.cut_scores(n, 0.2, 0.95)  # good ones must say more than the share of good ones does, bad ones less
+    assert 3.0 < high <= 9.0 and low == -np.inf
+    assert quality.cut_scores(n * 0, 0.5, 0.5) == (-np.inf, np.inf)
+
+
+def test_quality_of_odd_records(spark):
+    """Clashing columns, repeated labelled rows, long texts, and no documents."""
+    rows = [(k % 40, ("good words " if k % 2 else "%%% !!! ") * (1 + k % 7), "en", "s", 5) for k in range(400)] + [(50, "long " * 200_000, None, None, -3), (51, None, "", "", 1 << 40)]
+    frame = spark.createDataFrame(rows, RECORD)
+    for name in ("label", "fold", "words", "Counts", "score", "held_out"):
+        frame = frame.withColumn(name, F.lit("x"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, None), (None, 1), (99, 1)], "doc_id long, quality int")
+    model = quality.fit(frame, labels)
+    assert quality.score(frame, model).count() == len(rows)
+    assert quality.fit(frame.limit(0), labels).text is None and quality.score(frame.limit(0), model).count() == 0
+
+
 def test_text_view_counts():
     texts = [b"", b"a a b", b"AB, cd.\nab", "é é".encode(), b"x" * 50]
     got = quality.text_view(texts)
