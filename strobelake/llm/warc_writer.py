@@ -132,7 +132,7 @@ def write_warc(pages: DataFrame, uri: str, roll_bytes: int = 16 << 20, shard_byt
     roles = keys.select("page_id", "digest").distinct().join(first, "digest").select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.unhex("digest").alias("data"), "first")
     every = roles.unionByName(rows.select("page_id", F.lit(1).alias("kind"), "url", F.col("html").cast("binary").alias("data"), F.lit(None).cast("long").alias("first")))
     every = every.withColumn("shard", place("page_id"))
-    parts = max(len(starts), pages.sparkSession.sparkContext.defaultParallelism)
+    parts = len(starts)  # a task a shard
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(uri)
@@ -165,13 +165,13 @@ def write_warc(pages: DataFrame, uri: str, roll_bytes: int = 16 << 20, shard_byt
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("temporary", pa.string()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
-    sorted_rows = every.repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "kind", "data", "url").select("shard", "page_id", "kind", "url", "data", "first")
+    sorted_rows = every.repartitionById(parts, "shard").sortWithinPartitions("shard", "page_id", "kind", "data", "url").select("shard", "page_id", "kind", "url", "data", "first")
     written = materialize(sorted_rows.mapInArrow(run, MANIFEST), "warc-written")
     return _commit(written, uri)
 
 
 def _commit(written: DataFrame, uri: str) -> DataFrame:
-    """Rename what the manifest names, then write the manifest. Doing it again changes nothing."""
+    """Rename what the manifest names, see that each file has its size, then write the manifest. Doing it again changes nothing."""
 
     def rename(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(uri)
@@ -179,6 +179,10 @@ def _commit(written: DataFrame, uri: str) -> DataFrame:
             for temporary, name in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if fs.get_file_info(f"{root}/{temporary}").type == pyarrow.fs.FileType.File:
                     fs.move(f"{root}/{temporary}", f"{root}/{name}")
+            for name, size in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist()):
+                found = fs.get_file_info(f"{root}/{name}")
+                if found.type != pyarrow.fs.FileType.File or found.size != size:
+                    raise OSError(f"{name} is not there with its {size} bytes")
             yield batch
 
     path = f"{uri}/manifest.parquet"

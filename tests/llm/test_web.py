@@ -111,6 +111,32 @@ def test_shards_are_even_whatever_ids_are(spark):
     assert ww.shard_starts(keys.limit(0), 50_000) == []
 
 
+def test_a_task_holds_one_shard(spark):
+    """Each shard is written by one task of its own, and long rows, repeats and clashing columns change nothing."""
+    rows = [(k, f"http://a/{k}", "x" * 3000 + str(k)) for k in range(200)] + [(7, "http://again", "x" * 30007), (None, None, None), (999, "http://long", "y" * 3_000_000)]
+    frame = spark.createDataFrame(rows, PAGE).withColumns({c: F.lit("z") for c in ("shard", "kind", "data", "first", "digest", "size")})
+    uri = new_path(spark, "warc-test")
+    manifest = ww.write_warc(frame, uri, shard_bytes=100_000)
+    shards = manifest.select("shard").distinct().count()
+    assert shards > 5 and ww.read_warc(manifest, uri).count() == len(rows)
+    assert len([f for f in pyarrow.fs.FileSystem.from_uri(uri)[0].get_file_info(pyarrow.fs.FileSelector(pyarrow.fs.FileSystem.from_uri(uri)[1])) if f.base_name.startswith("pages-")]) == manifest.count()
+
+
+def test_a_lost_file_is_not_committed(spark):
+    uri = new_path(spark, "warc-test")
+    manifest = ww.write_warc(spark.createDataFrame([(1, "http://a", "body")], PAGE), uri)
+    fs, root = pyarrow.fs.FileSystem.from_uri(uri)
+    rows = manifest.collect()
+    assert ww._commit(spark.createDataFrame(rows, ww.MANIFEST), uri).count() == 1  # again
+    with fs.open_output_stream(f"{root}/{rows[0]['name']}", compression=None) as out:
+        out.write(b"cut")
+    with pytest.raises(Exception, match="is not there with its"):
+        ww._commit(spark.createDataFrame(rows, ww.MANIFEST), uri)
+    fs.delete_file(f"{root}/{rows[0]['name']}")
+    with pytest.raises(Exception, match="is not there with its"):
+        ww._commit(spark.createDataFrame(rows, ww.MANIFEST), uri)
+
+
 def test_warc_empty(spark):
     uri = new_path(spark, "warc-test")
     manifest = ww.write_warc(spark.createDataFrame([], PAGE), uri)
