@@ -6,11 +6,14 @@ lengths and a few cue words of a token and its neighbours; it is trained from a
 labelled table by gradient ascent on the exact likelihood. Texts are cut into
 sentences, and the sentences of a block are decoded together by Viterbi in numpy.
 
-Pattern spans always stay; a span of the field that overlaps one is left out.
+Pattern spans always stay; a span of the field that overlaps one is left out. A secret that the
+field finds is widened to the whole run around it without white space, quotes and delimiters,
+so that masking leaves nothing of it.
 
 Defined cases: null and empty texts have no spans; offsets count code points, ends
-are exclusive; rows that repeat are treated alike; an empty labelled table adds no
-spans; other columns are ignored.
+are exclusive; bytes that are no UTF-8 count as U+FFFD; of labels that score alike the first in order is taken;
+rows that repeat are treated alike; very long texts are read whole; an empty labelled table adds no
+spans; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.llm.common import release, table
+from strobelake.llm.common import map_rows, release, table
 from strobelake.llm.pieces import Memory, distinct_pieces, joined, text_blocks
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -89,11 +93,14 @@ _TEMPLATES = [
     "the password is {s:password}", "password : {s:password}", 'set secret_key = "{s:mixed}"', "key = {s:hex32}", "our access key : {s:mixed} do not share", 'with token = "{s:hex40}" as before',
     "write to {c:at}", "mail {c:bracket} today", "contact {c:bracket} or come by", "you may reach me under {c:at} soon",
     "call {c:dashed}", "tel . {c:spaced}", "phone {c:dashed} after noon", "telephone : {c:spaced}", "my number is {c:dashed} now", "fax {c:dashed}",
+    "Authorization : Bearer {s:jwt}", "authorization bearer {s:mixed}", 'export API_TOKEN = {s:prefixed}', "my token is {s:prefixed} , keep it", 'password = "{s:password}"', "the secret is {s:password}", "new password {s:password} set",
+    "call {c:dotted}", "phone {c:dotted} please", "my number is {c:dotted}", "call us on {c:short}", "tel {c:short}", "telephone {c:short} or write", "reach me at {c:dotted} today", "{w} {w} {w:plain} {w}", "in {w:year} and {w:year}", "from {w:plain} to {w:plain} {w}", "{w:decimal} and {w:decimal} percent",
+    "{w} {w} {w:serial} {w} {w}", "the {w:serial} of {w}", "{w} , {w:serial} . {w}", "{w} {w:noise} {w}", "{w:noise} {w:noise}", "{w:echo} {w}", "{w} {w:noise}",
     "we met at noon", "look at the dot on the map", "in 2019 sales rose by 12.5 percent", "version 1.2.3 came out", "pages 100 - 120 of the book", "the token was lost", "a key idea is this",
-    "he had no password", "Licensed under the Apache License , Version 2.0 .", "the price is 1,299 today", "THE END OF IT !!", "of%%% the&&& word$$$ is*** here###", "a | b | the | word",
+    "he had no password", "under the terms of version 2.0 of this licence", "the price is 1,299 today", "THE END OF IT !!", "{w:noise}", "{w:noise}", "{w:noise}", "a | b | the | word",
     "El perro de la casa", "Der Hund und das Haus", "Le chien de la maison", "from 9 to 5 each day", "at the end of the day", "room 1204 on floor 12", "it was 10 : 30 then", "she said \" no \" to all",
-    "the the the the the", "born in 1984 , at sea", "call it a day", "the phone rang twice", "a number of them", "my number one song", "secret plans and open talks", "order 48213 is on its way", "{w} {w} {w} {w} .", "{w} , {w} {w} is {w}", "{w} {w} at {w} {w}", "{w} or {w} . {w}", "1 {w} 2 {w} 30 {w}",
-    "{w} at at {w}", "At At At At At", "{w} {w} at . {w}", "| at | {w} | at", ", at at {w}", "{w} at {w} at {w}", "at {w} {w} at", "( {w} ) {w} at the", "{w} dot {w} {w}", "is {w} at {w} {w}",
+    "{w:echo}", "born in 1984 , at sea", "call it a day", "the phone rang twice", "a number of them", "my number one song", "secret plans and open talks", "order 48213 is on its way", "{w} {w} {w} {w} .", "{w} , {w} {w} is {w}", "{w} {w} at {w} {w}", "{w} or {w} . {w}", "1 {w} 2 {w} 30 {w}",
+    "{w} at at {w}", "{w:echo}", "{w:echo}", "{w} {w} at . {w}", "| at | {w} | at", ", at at {w}", "{w} at {w} at {w}", "at {w} {w} at", "( {w} ) {w} at the", "{w} dot {w} {w}", "is {w} at {w} {w}",
 ]
 
 
@@ -106,14 +113,22 @@ def _filler(kind: str, rng: random.Random) -> str:
         "password": lambda: word() + some(rng.randint(2, 4), digits) + word(), "at": lambda: f"{word()} at {word()} dot {rng.choice(('com', 'org', 'net'))}",
         "bracket": lambda: f"{word()} [at] {word()} [dot] {rng.choice(('com', 'org', 'net'))}" if rng.random() < 0.5 else f"{word()} (at) {word()} (dot) {rng.choice(('com', 'org', 'net'))}",
         "dashed": lambda: f"{some(3, digits)}-{some(3, digits)}-{some(4, digits)}", "spaced": lambda: f"0{some(2, digits)} {some(4, digits)} {some(4, digits)}", "w": word,
+        "jwt": lambda: ".".join(some(rng.randint(16, 30), digits + "abcdefghijABCDEFGHIJ-_") for _ in range(rng.randint(1, 3))), "prefixed": lambda: f"{some(rng.randint(2, 4), 'abcdefghijk')}_{some(rng.randint(20, 36), digits + 'ABCDEFGHabcdefgh')}",
+        "dotted": lambda: f"{some(3, digits)}.{some(3, digits)}.{some(4, digits)}", "short": lambda: f"0{some(rng.randint(2, 3), digits)} {some(rng.randint(6, 7), digits)}",
+        "noise": lambda: " ".join(word() + rng.choice(string.punctuation) * rng.randint(1, 4) for _ in range(5)), "echo": lambda: " ".join([rng.choice((word(), *sorted(CUES)))] * 5),
+        "serial": lambda: some(rng.randint(9, 19), digits), "plain": lambda: some(rng.randint(1, 5), digits), "year": lambda: f"{rng.choice((18, 19, 20))}{some(2, digits)}", "decimal": lambda: f"{some(rng.randint(1, 3), digits)}.{some(rng.randint(1, 2), digits)}",
     }[kind]()
 
 
 def labelled_table(copies: int = 3, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, [(start, end, kind)]): each template filled ``copies`` times."""
+    return filled_rows(_TEMPLATES, copies, seed)
+
+
+def filled_rows(templates: list[str], copies: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
     rng, rows = random.Random(seed), []
     for _ in range(copies):
-        for template in _TEMPLATES:
+        for template in templates:
             text, spans, at = "", [], 0
             for m in re.finditer(r"\{(\w)(?::(\w+))?\}", template):
                 text += template[at : m.start()]
@@ -128,7 +143,7 @@ def labelled_table(copies: int = 3, seed: int = 7) -> list[tuple[str, list[tuple
 # --- features -----------------------------------------------------------------------
 
 #: Cue words, the word-identity features.
-CUES = frozenset(("token", "key", "secret", "password", "api", "access", "call", "phone", "telephone", "tel", "fax", "number", "at", "dot", "mail", "email", "write", "contact", "reach", "com", "org", "net", "is", "my"))
+CUES = frozenset(("token", "key", "secret", "password", "api", "access", "call", "phone", "telephone", "tel", "fax", "number", "at", "dot", "mail", "email", "write", "contact", "reach", "com", "org", "net", "is", "my", "bearer", "authorization", "us", "me", "on"))
 _HEX = re.compile(rb"(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]{16,}\Z")
 
 
@@ -318,6 +333,26 @@ def default_field() -> Field:
     return train(labelled_table())
 
 
+_SECRET_RUN = re.compile(r"[^\s\"'`=:,;()\[\]{}<>|\\]+")
+_TAIL = ".!?"
+
+
+def widened(text: str, span: tuple[str, int, int], base: list[tuple[str, int, int]]) -> tuple[str, int, int]:
+    """A secret with the rest of the run that it lies in, up to the next pattern span and without closing signs; other spans as they are."""
+    kind, a, b = span
+    if kind != "crf_secret":
+        return span
+    low, high = a, b
+    while low and _SECRET_RUN.match(text[low - 1]) and not any(s < low <= e for _, s, e in base):
+        low -= 1
+    more = _SECRET_RUN.match(text, b)
+    if more:
+        high = min([more.end(), *(s for _, s, _ in base if s >= b)])
+        while high > b and text[high - 1] in _TAIL:
+            high -= 1
+    return kind, low, high
+
+
 def all_spans(texts: list[bytes], field: Field) -> Iterator[tuple[str, list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(text, pattern spans, spans the field adds) of each text, in code points."""
     data, bounds = joined(texts)
@@ -326,7 +361,18 @@ def all_spans(texts: list[bytes], field: Field) -> Iterator[tuple[str, list[tupl
         text = raw.decode()
         base = base_spans(text)
         moved = [(kind, int(points[low + a] - points[low]), int(points[low + b] - points[low])) for kind, a, b in more]
-        yield text, base, sorted((s for s in moved if not any(s[1] < e and b < s[2] for _, b, e in base)), key=lambda s: (KINDS.index(s[0]), s[1]))
+        yield text, base, joined_spans([widened(text, s, base) for s in moved if not any(s[1] < e and b < s[2] for _, b, e in base)])
+
+
+def joined_spans(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """By kind and start; spans of a kind that overlap are one."""
+    out: list[tuple[str, int, int]] = []
+    for kind, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])):
+        if out and out[-1][0] == kind and a < out[-1][2]:
+            out[-1] = (kind, out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((kind, a, b))
+    return out
 
 
 def _spelt(spans: list[tuple[str, int, int]]) -> str:
@@ -370,23 +416,23 @@ def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """``docs`` with personal data replaced in text, and n_chars counted anew where there is that column."""
     field = field or default_field()
     parameters = (field.names, field.weights, field.moves)
-    rest = [c for c in docs.columns if c != "text"]
-    chosen = docs.select(F.col("text").cast("string").alias("text"), *rest)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
+    at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*parameters)
         for batch in batches:
-            nulls = batch.column(0).is_null().to_pylist()
-            for low, high, texts in text_blocks(batch.column(0), BLOCK_BYTES):
+            column = batch.column(at).cast(pa.string())
+            nulls = column.is_null().to_pylist()
+            for low, high, texts in text_blocks(column, BLOCK_BYTES):
                 clean = [None if null else redact(text, base + more) for null, (text, base, more) in zip(nulls[low:high], all_spans(texts, own))]
-                yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()), *batch.slice(low, high - low).columns[1:]], names=batch.schema.names)
+                some = batch.slice(low, high - low).columns
+                yield pa.RecordBatch.from_arrays([*some[:at], pa.array(clean, pa.string()), *some[at + 1 :]], names=batch.schema.names)
         release()
 
-    clean = chosen.mapInArrow(run, schema)
-    if "n_chars" in rest:
+    clean = map_rows(docs, run)
+    if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    return clean
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
