@@ -7,12 +7,13 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -51,6 +52,17 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """Every column, whatever its name."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df`` with its rows changed by ``run``, which sees columns c0, c1, ... in their order, for mapInArrow takes no name with a dot."""
+    plain = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(df.schema.fields)])
+    return df.toDF(*plain.names).mapInArrow(run, plain).toDF(*df.columns)
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null is an empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

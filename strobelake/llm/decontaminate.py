@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.llm.common import fresh_names, materialize, release, table
+from strobelake.llm.common import columns_of, fresh_names, materialize, release, table
 from strobelake.llm.pieces import joined, text_blocks
 
 #: Base of the Karp-Rabin hashes, modulo 2**64: odd, so that it has an inverse.
@@ -271,7 +271,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, coverage:
     own, other = fresh_names(docs, "doc", "contaminated")
     bad = found.select(F.col("doc").alias(other)).distinct()
     keyed = docs.withColumn(own, _digest(F.col("text").cast("string")))
-    return keyed.join(bad, F.col(own) == F.col(other), "left_anti").select(*docs.columns)
+    return keyed.join(bad, F.col(own) == F.col(other), "left_anti").select(*columns_of(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,18 @@ def block_ranges(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         low = high
 
 
+def valid(column: pa.Array) -> pa.Array:
+    """A column of texts in which bytes that are no UTF-8 are U+FFFD."""
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([None if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()], pa.string())
+    return column
+
+
 def text_blocks(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(first row, end row, UTF-8 texts) of a column of texts, about ``most`` bytes at a time; a null is an empty text."""
-    raw = column.cast(pa.binary())
+    """(first row, end row, UTF-8 texts) of a column of texts, about ``most`` bytes at a time; a null is an empty text, and bytes that are no UTF-8 are U+FFFD."""
+    raw = valid(column).cast(pa.binary())
     offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, dtype=np.int32)
     for low, high in block_ranges(np.diff(offsets).astype(np.int64), most):
         yield low, high, [t or b"" for t in raw.slice(low, high - low).to_pylist()]

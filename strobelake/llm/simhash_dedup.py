@@ -10,8 +10,10 @@ candidate counts estimated over all fingerprints.
 Defined cases: a null text counts as empty; documents without words have
 fingerprint zero and are linked like any other; repeated rows and equal
 fingerprints form one class; a null doc_id keeps its row and takes part in its
-class, whose component is the smallest doc_id that is not null; an empty table
-gives an empty result; other columns are ignored.
+class, whose component is the smallest doc_id that is not null; very long texts are read whole;
+bytes that are no UTF-8 count as U+FFFD; an empty table gives an empty result; other columns are
+ignored, whatever their names. Of each class ``one_of_each`` keeps the row with the smallest doc_id, of
+several texts under it the one with the least hash, of rows that repeat both one, and every row without doc_id.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.llm.common import connected_components, materialize, release, table
+from strobelake.llm.common import columns_of, connected_components, fresh_names, materialize, release, table
 from strobelake.llm.pieces import text_blocks
 
 BITS = 64
@@ -58,16 +60,17 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long."""
+    """(doc_id, fp, text_hash) with fp as a signed long; rows with one doc_id and text_hash are one document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
                 found = np.array([fingerprint(t, width, seed) for t in texts], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(found.view(np.int64)), batch.column(2).slice(low, high - low)], names=["doc_id", "fp", "text_hash"])
         release()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -174,20 +177,43 @@ def pivot_links(classes: DataFrame, plan: list[tuple[list[int], int]], radius: i
     return met.select("fp", F.explode(F.array_distinct(near)).alias("b")).select(F.col("fp").alias("a"), "b").distinct()
 
 
-def components(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
+def _grouped(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of ``docs``, (fp, first): the least (doc_id, text_hash) of each fingerprint's component)."""
     prints = materialize(fingerprints(docs, width), "prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "print-classes")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    classes = materialize(prints.groupBy("fp").agg(least.alias("first"), F.count("*").alias("n")), "print-classes")
     n, together = bit_counts(classes)
     _, plan = allocate(n, together, radius)
     first = connected_components(pivot_links(classes, plan, radius), "pivot-links")
-    labelled = materialize(classes.join(first, classes.fp == first.id, "left").select("fp", "low", F.coalesce("component", "fp").alias("label")), "labelled")
+    labelled = materialize(classes.join(first, classes.fp == first.id, "left").select("fp", "first", F.coalesce("component", "fp").alias("label")), "labelled")
     links = near_pairs(labelled.select("fp", "label"), plan, radius, unlike="label").select("class_a", "class_b").distinct()
     second = connected_components(links, "links")
-    final = labelled.join(second, labelled.label == second.id, "left").select("fp", "low", F.coalesce("component", "label").alias("root"))
-    lowest = final.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = final.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    final = labelled.join(second, labelled.label == second.id, "left").select("fp", "first", F.coalesce("component", "label").alias("root"))
+    lowest = final.groupBy("root").agg(F.min("first").alias("first"))
+    return prints, final.select("fp", "root").join(lowest, "root").select("fp", "first")
+
+
+def components(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
+    prints, named = _grouped(docs, width, radius)
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each group of near-duplicates, and all rows without doc_id."""
+    prints, named = _grouped(docs, width, radius)
+    known = prints.where("doc_id is not null")
+    gone_id, gone_hash, own_hash = fresh_names(docs, "gone_id", "gone_hash", "own_hash")
+    others = known.join(named, "fp").where(F.struct("doc_id", "text_hash") != F.col("first"))
+    dropped = materialize(others.select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct(), "near-duplicates")
+    repeated = materialize(known.groupBy(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).count().where("count > 1").select(gone_id, gone_hash), "repeated-rows")
+    keyed = docs.withColumn(own_hash, F.xxhash64(F.col("text").cast("string")))
+    same = (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.col(own_hash) == F.col(gone_hash))
+    kept = keyed.join(dropped, same, "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*columns_of(docs))
+    more = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", own_hash])
+    return kept.join(repeated, same, "left_anti").unionByName(more).select(*columns_of(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

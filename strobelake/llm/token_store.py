@@ -12,7 +12,7 @@ tokenizer's added tokens, such as an end-of-text mark, is encoded whole by it.
 Defined cases: a null text counts as empty and yields the end id alone; a null
 doc_id sorts first; rows that repeat a doc_id are all kept, ordered by text; very long texts
 are encoded whole, one at a time; an empty
-table writes and returns nothing; other columns are ignored, whatever their names.
+table writes and returns nothing; bytes that are no UTF-8 count as U+FFFD; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strobelake.llm.common import new_path, table
+from strobelake.llm.pieces import valid
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -123,7 +124,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with ``end_id`` at its end; how many each text has)."""
-        raw = texts.cast(pa.binary()).fill_null(b"")
+        raw = valid(texts).cast(pa.binary()).fill_null(b"")
         raw = pa.concat_arrays([raw]) if raw.offset == 0 else pa.array(raw.to_pylist(), pa.binary())
         bounds = np.frombuffer(raw.buffers()[1], dtype=np.int32)[: len(raw) + 1].astype(np.int64)
         data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[: bounds[-1]]

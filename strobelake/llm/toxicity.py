@@ -9,11 +9,16 @@ misspellings, and an entry takes no edits where rare words at one edit from it,
 training text, are as typical of clean texts. The window around each hit tells quotation or report from abuse, and a
 logistic model turns weighted, unquoted and quoted hits into a score.
 
+Words of one or two letters are no terms. Of training rows with one label that share two of three
+min-hashes of their three-word runs one stays, so that near copies count once; rows with
+different labels never become one. The least association alone decides how many entries there are.
+
 Defined cases: a null text counts as empty and gets the score of a text without
-hits; a null doc_id is not held out; rows that repeat are scored alike; labels that
+hits; bytes that are no UTF-8 count as U+FFFD; a null doc_id is not held out; rows that repeat are scored alike; labels that
 are null or whose document is missing are ignored, a doc_id labelled twice counts
-as toxic if any label does; without labels of both kinds every score is the share of
-toxic training rows (0 without any); other columns are ignored.
+as toxic if any label does, one that has several texts teaches with the first in order; without labels of both kinds every score is the share of
+toxic training rows (0 without any); of entries that are equally associated terms go before stems, longer before
+shorter ones, then by their letters; very long texts are read whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strobelake.llm.common import materialize, release, table
+from strobelake.llm.common import map_rows, materialize, release, table
 from strobelake.llm.pieces import text_blocks
 
 #: Training rows used at most, chosen by the hash of their doc_id.
@@ -46,6 +51,8 @@ FUZZY_WEIGHT = 0.7
 WIDTH = 9
 #: When a shorter stem goes first: its toxic rows and its association against the longer one's.
 WIDER_ROWS, WIDER_SHARE = 1.5, 0.5
+#: Letters of the entries that an automaton of 64 bits reads.
+AUTOMATON = 60
 #: Words that a Python worker remembers, and bytes of text looked at together.
 SEEN_WORDS, BLOCK_BYTES = 300_000, 2_000_000
 
@@ -54,6 +61,16 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def one_edit(a: str, b: str) -> int:
+    """0 for equal words, 1 for words at one edit, 2 beyond."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > 1:
+        return 2
+    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return 1 if a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :] else 2
+
+
 class Trie:
     """Terms and stems as nested dictionaries; the keys "" and "stem" hold the entry that ends there.
 
@@ -62,7 +79,9 @@ class Trie:
 
     def __init__(self, terms: Iterable[str], stems: Iterable[str] = (), strict: Iterable[str] = ()):
         self.root: dict = {}
-        self.terms, self.stems, self.strict = sorted(set(terms)), frozenset(stems), frozenset(strict)
+        terms = set(terms)
+        self.terms, self.stems, self.strict = sorted(t for t in terms if len(t) <= AUTOMATON), frozenset(stems), frozenset(strict)
+        self.long = sorted(terms.difference(self.terms))
         for entries, key in ((self.terms, ""), (sorted(self.stems), "stem")):
             for entry in entries:
                 node = self.root
@@ -80,6 +99,10 @@ class Trie:
         Bit i of a state says that i letters of the word are read; r0 with no edit, r1
         with one at most. A letter of the trie advances both.
         """
+        for entry in self.long:
+            for word in words:
+                if abs(len(word) - len(entry)) < 2 and (edits := one_edit(word, entry)) < 2 - (entry in self.strict):
+                    yield word, entry, edits
         words = [w for w in words if self.low <= len(w) and (self.stems or len(w) <= self.high)]
         if not words or not self.high:
             return
@@ -161,17 +184,16 @@ class Scorer:
             if not places:
                 continue
             plain, quoted, stem, stems, stem_quoted, near = 0.0, 0.0, 0.0, 0.0, 0.0, 0
-            lowered, cursor = text.lower(), 0
-            open_quote = len(_QUOTES.findall(text)) > 1
+            lowered = text.lower()
+            open_quote = len(_QUOTES.findall(lowered)) > 1
+            starts = [m.start() for m in _WORD.finditer(lowered)] if open_quote else []
             for i in places:
                 weight, share, is_stem = hits[words[i]]
                 around = words[max(0, i - WINDOW_WORDS) : i + WINDOW_WORDS + 1]
-                cursor = max(lowered.find(words[i], cursor), cursor)
                 told = not _REPORT.isdisjoint(around)
                 if open_quote:
-                    before, after = text[max(0, cursor - WINDOW_CHARS) : cursor], text[cursor : cursor + WINDOW_CHARS]
+                    before, after = lowered[max(0, starts[i] - WINDOW_CHARS) : starts[i]], lowered[starts[i] : starts[i] + WINDOW_CHARS]
                     told = told or bool(len(_QUOTES.findall(before)) % 2 and _QUOTES.search(after))
-                cursor += 1
                 near += "you" in around or "your" in around
                 if not is_stem:
                     plain, quoted = (plain, quoted + weight) if told else (plain + weight, quoted)
@@ -201,7 +223,7 @@ def _term_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = {w for w in words_of(text) if len(w) > 2}
-            terms = {"w" + w for w in words if len(w) <= 20}
+            terms = {"w" + w for w in words}
             terms.update("s" + w[:n] for w in words for n in STEM_LENGTHS if len(w) > n)
             counts[bool(label)].update(terms)
     terms = [t for t in counts[1] | counts[0]]
@@ -232,15 +254,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     own = own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # max_rows bounds what is broadcast
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))  # max_rows bounds what is broadcast
     sketched = rows.mapInArrow(_sketch, "doc_id long, toxic int, text string, m0 long, m1 long, m2 long")
-    for m in ("m0", "m1", "m2"):
-        lowest = F.min_by(F.struct("doc_id", "toxic", "text", "m0", "m1", "m2"), F.struct("doc_id", "text"))
-        sketched = sketched.groupBy(F.col(m).alias("k")).agg(lowest.alias("r")).select("r.*")
+    for pair in (("m0", "m1"), ("m0", "m2"), ("m1", "m2")):
+        first = F.min(F.struct("doc_id", "toxic", "text", "m0", "m1", "m2"))
+        sketched = sketched.groupBy(*[F.col(m).alias(f"k{m}") for m in pair], (F.col("toxic") > 0).alias("label")).agg(first.alias("r")).select("r.*")
     return materialize(sketched.select("toxic", "text"), "toxic-training")
 
 
-def lexicon(rows: DataFrame, toxic_rows: int, clean_rows: int, most: int = 200, least: float = 20.0) -> tuple[dict[str, float], dict[str, float], tuple[frozenset[str], frozenset[str]]]:
+def log_likelihood(toxic: Column, clean: Column, toxic_rows: int, clean_rows: int) -> Column:
+    """``association`` of a term that toxic texts have more often, as a column."""
+    share = (toxic + clean) / (toxic_rows + clean_rows)
+    part = lambda seen, rows, of: F.when((seen > 0) & (of > 0), 2 * seen * F.log(seen / (rows * of))).otherwise(0.0)
+    return part(toxic, toxic_rows, share) + part(toxic_rows - toxic, toxic_rows, 1 - share) + part(clean, clean_rows, share) + part(clean_rows - clean, clean_rows, 1 - share)
+
+
+def lexicon(rows: DataFrame, toxic_rows: int, clean_rows: int, least: float = 20.0) -> tuple[dict[str, float], dict[str, float], tuple[frozenset[str], frozenset[str]]]:
     """(terms, stems, (usual, strict)): the most associated ones, none the beginning of another, with weights from 0 to 1, the clean words at one edit from them, and the entries that take no edit.
 
     A shorter stem goes before one that it begins if it has at least half as many toxic rows again and is not much less associated.
@@ -248,19 +277,23 @@ def lexicon(rows: DataFrame, toxic_rows: int, clean_rows: int, most: int = 200,
     counts = rows.select("text", "toxic").mapInArrow(_term_counts, "kind string, term string, toxic long, clean long")
     counts = counts.groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     likely = counts.where((F.col("toxic") >= 4) & (F.col("toxic") * clean_rows > 2 * F.col("clean") * toxic_rows))
-    expected = (F.col("toxic") + F.col("clean")) * toxic_rows / (toxic_rows + clean_rows)
-    top = likely.orderBy(F.desc(F.col("toxic") * F.log(F.col("toxic") / expected)), F.desc("kind"), F.desc(F.length("term")), "term").limit(20 * most).collect()
+    top = likely.where(log_likelihood(F.col("toxic"), F.col("clean"), toxic_rows, clean_rows) >= WIDER_SHARE * least).collect()  # words of at most max_rows texts
     scored = sorted(((association(r["toxic"], r["clean"], toxic_rows, clean_rows), r["kind"], r["term"], r["toxic"], r["clean"]) for r in top), key=lambda x: (-x[0], x[1] != "w", -len(x[2]), x[2]))
     terms: dict[str, float] = {}
     stems: dict[str, float] = {}
     by_stem = {x[2]: x for x in scored if x[1] == "s"}
+    taken: set[str] = set()  # entries, and all their beginnings in begun
+    begun: set[str] = set()
     for g, kind, term, toxic, clean in scored:
         shorter = [by_stem[term[:n]] for n in STEM_LENGTHS if n < len(term) and term[:n] in by_stem]
         wider = [x for x in shorter if x[3] >= WIDER_ROWS * toxic and x[0] >= WIDER_SHARE * g]
         if wider:
             g, kind, term, toxic, clean = max(wider, key=lambda x: x[0])
-        if g < least or len(terms) + len(stems) >= most or any(t.startswith(term) or term.startswith(t) for t in (*terms, *stems)):
+        beginnings = [term[:n] for n in range(1, len(term) + 1)]
+        if g < least or term in begun or not taken.isdisjoint(beginnings):
             continue
+        taken.add(term)
+        begun.update(beginnings)
         p = (toxic / toxic_rows) / (toxic / toxic_rows + (clean + 0.5) / clean_rows)
         (terms if kind == "w" else stems)[term] = p
 
@@ -326,30 +359,40 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     return Model(terms, stems, usual, strict, weights.tolist(), bias)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row, or the columns ``keep`` (text among them) with score and predicted."""
+def _probability(scorer: Scorer, texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-(scorer.features([t.decode() for t in texts]) @ weights + bias)))
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row."""
+    weights, bias = np.array(model.weights or [0.0] * WIDTH), model.bias
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.terms, model.stems, model.usual, model.strict)
+        for batch in batches:
+            for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(_probability(scorer, texts, weights, bias))], names=["doc_id", "score"])
+        release()
+
+    scored = chosen.mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def harmless(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, in all their columns."""
+    at = docs.columns.index("text")
     weights, bias = np.array(model.weights or [0.0] * WIDTH), model.bias
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if keep is None else docs.select(*keep)
-    names = chosen.columns
-    at, out = names.index("text"), names if keep is not None else ["doc_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.terms, model.stems, model.usual, model.strict)
         for batch in batches:
-            for low, high, texts in text_blocks(batch.column(at), BLOCK_BYTES):
-                x = scorer.features([t.decode() for t in texts])
-                with np.errstate(over="ignore"):
-                    p = 1 / (1 + np.exp(-(x @ weights + bias)))
-                some = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in out), pa.array(p)], names=[*out, "score"])
+            for low, high, texts in text_blocks(batch.column(at).cast(pa.string()), BLOCK_BYTES):
+                yield batch.slice(low, high - low).filter(pa.array(_probability(scorer, texts, weights, bias) < threshold))
         release()
 
-    schema = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in out)
-    scored = chosen.mapInArrow(run, f"{schema}, score double")
-    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
-    if keep is not None:
-        return scored.select(*keep, "score", predicted)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+    return map_rows(docs, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

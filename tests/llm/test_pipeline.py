@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from strobelake.llm import pii
@@ -38,6 +39,7 @@ def sf_dir(spark, tmp_path_factory):
         rows.append((k, text, "en", "src0", len(text), "n"))
         labels.append((k, 1, int(k % 8 == 0)))
     rows += [(900, None, None, None, None, None), (901, "", "en", "src1", 0, ""), (None, "rows without id stay", "en", "s", 20, ""), (5, rows[5][1], "en", "src0", rows[5][4], "n")]
+    rows += [(12, "one more text " + " ".join(prose(40)), "en", "src0", 9, "second text of an id"), (950, " ".join(prose(30_000)), "en", "src0", 9, "very long")]
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
@@ -56,8 +58,8 @@ def brute(rows, items):
     kept, seen = [], set()
     for k, r in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if group[j] == group[k] and rows[j][0] is not None]
-        if r[0] is None or (r[0] == min(ids) and (r[0], r[1]) not in seen):
-            seen.add((r[0], r[1]))
+        if r[0] is None or (r[0] == min(ids) and (r[0], group[k]) not in seen):
+            seen.add((r[0], group[k]))
             kept.append(r)
     kept = [r for r in kept if not any(t in (r[1] or "") for _, t in items)]
     own, field, out = spc.codec(spc.MODEL), pii.default_field(), []
@@ -82,7 +84,11 @@ def test_pipeline_agrees_with_plain_python(spark, sf_dir):
 def test_stages_keep_the_columns_and_pass_empty_tables(spark, sf_dir):
     root = sf_dir[0]
     docs = spark.read.parquet(f"{root}/documents.parquet")
+    for name in ("score", "predicted", "_dropped", "gone_id", "Gone_Hash", "own_hash", "ids", "n_tokens", "doc", "kept0", "fp", "m0", "a.b", "label"):
+        docs = docs.withColumn(name, F.lit(name))
     for name, stage in cp.STAGES[:-1]:
         assert stage(spark, docs, root).columns == docs.columns, name
+    assert all(r["a.b"] == "a.b" and r["score"] == "score" for r in cp.drop_near_duplicates(spark, docs, root).select("`a.b`", "score").collect())
+    assert cp.encode_pieces(spark, docs, root).count() == docs.count()
     for name, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), root).count() == 0, name
