@@ -5,14 +5,14 @@ writes each result as Parquet in the shared folder and reads it back for the nex
 
 Defined cases: an empty table passes through every stage; null texts count as empty
 and are kept unless they repeat; rows without doc_id are never dropped as duplicates;
-of rows that repeat doc_id and text one stays; other columns of the input pass
+of rows that repeat doc_id and text one stays, and a second text under a doc_id is judged by
+itself; very long texts are read whole; other columns of the input, whatever their names, pass
 through all stages but the last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strobelake.llm import decontaminate, pii, sentencepiece_codec, simhash_dedup, toxicity
 from strobelake.llm.common import materialize, table
@@ -20,21 +20,12 @@ from strobelake.llm.common import materialize, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays under the threshold; the model learns from the labels of these documents."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.harmless(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates: the one with the smallest doc_id."""
-    groups = simhash_dedup.components(docs)
-    dropped = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct(), "near-duplicates")
-    kept = docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
-    repeated = materialize(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_repeated")).count().where("count > 1").select("_repeated"), "repeated-ids")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, kept["doc_id"] == F.col("_repeated"), "left_anti")
-    more = kept.join(repeated, kept["doc_id"] == F.col("_repeated"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more)
+    return simhash_dedup.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
