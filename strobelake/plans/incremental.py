@@ -73,7 +73,7 @@ def coverage(contents: DataFrame, selected: DataFrame, parts: DataFrame, reused:
 def check_coverage(row: Mapping) -> None:
     """The counts must add up."""
     if row["covered"] + len(row["skipped"]) + len(row["unselected"]) != row["found"] or row["selected"] > row["found"] or row["reused"] > row["covered"]:
-        raise ValueError(f"coverage does not add up: {dict(row)}")
+        raise ValueError(f"found sequences are not each covered, skipped or unselected once: {dict(row)}")
 
 
 def part_faults(parts: DataFrame) -> DataFrame:

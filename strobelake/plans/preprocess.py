@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,24 +11,33 @@ from pyspark.sql import functions as F
 from strobelake.functions.pixels import to_radians
 from strobelake.operators.filters import apply_filter, describe, kernel
 from strobelake.operators.ranges import frame_ranges, sequence_parts
-from strobelake.plans.incremental import canonical, coverage, merge_parts, part_faults, reusable, to_compute, unsourced
-from strobelake.schema import FRAMES, SEQUENCE_RANGES, validate
+from strobelake.plans.incremental import canonical, complete_folders, coverage, merge_parts, part_faults, reusable, to_compute, unsourced
+from strobelake.schema import FRAMES, SEQUENCE_RANGES, shape_faults
 from strobelake.sinks.documents import document, read_document, save_document
-from strobelake.sinks.tables import FrameTable, check_apart, check_name, check_policies
+from strobelake.sinks.tables import FrameTable, check_apart, check_name, check_policies, commit_together
 from strobelake.sources import select as sel
 
 
 class IncompleteRun(RuntimeError):
-    """Some sequences failed; ``reasons`` says why."""
+    """Some sequences failed; ``outcome`` is what the run would have returned, with every reason."""
 
-    def __init__(self, reasons: Mapping[str, str]):
-        self.reasons = dict(reasons)
-        super().__init__(f"{len(self.reasons)} failed: " + "; ".join(f"{k}: {v}" for k, v in sorted(self.reasons.items())[:5]))
+    def __init__(self, outcome: Outcome, count: int, first: Mapping[str, str]):
+        self.outcome, self.count = outcome, count
+        super().__init__(f"{count} failed: " + "; ".join(f"{k}: {v}" for k, v in first.items()))
+
+    @property
+    def reasons(self) -> dict[str, str]:
+        """Every reason by sequence, read when asked for."""
+        return {r["seq"]: r["reason"] for r in self.outcome.outcomes.where("reason is not null").toLocalIterator()}
 
 
 @dataclass(frozen=True)
 class Job:
-    """What a run does. Selection is not part of the settings that reuse compares."""
+    """What a run does. Selection is not part of the settings that reuse compares.
+
+    ``first`` is the number that source frames must start at; ``vacuum`` deletes frames that
+    no longer count once the run is committed, so no other run may be writing.
+    """
 
     target: str
     name: str = "ranges"
@@ -38,9 +47,11 @@ class Job:
     start: int = 0
     step: int = 1
     count: int | None = None
+    first: int | None = None
     if_short: str = "take"
     filter: Mapping = field(default_factory=lambda: {"kind": "median", "radius": [2, 2, 2], "shape": "ellipsoid"})
     write_frames: bool = True
+    vacuum: bool = False
     if_present: str = "error"
     if_unsourced: str = "keep"
 
@@ -110,13 +121,19 @@ def run(frames: DataFrame, job: Job) -> Outcome:
         sink.open(names, job.if_present, job.if_unsourced)
 
     kept_parts = reusable(old, known, settings) if job.if_present == "reuse" else names.limit(0)
-    kept_frames = reusable(sink.manifest().select(F.col("seq").alias("source"), "settings", "frames"), known, settings) if job.if_present == "reuse" and job.write_frames else names.limit(0)
+    kept_frames = names.limit(0)
+    if job.if_present == "reuse" and job.write_frames:
+        kept_frames = reusable(sink.manifest().select(F.col("seq").alias("source"), "settings", "frames"), known, settings)
+        kept_frames = kept_frames.join(complete_folders(sink.counts(), sink.manifest()), "seq", "left_semi")
     need = to_compute(names, *([kept_parts, kept_frames] if job.write_frames else [kept_parts])).persist()
     todo = taken.join(need, "seq", "left_semi")
-    gapped = sel.gaps(chosen).select("seq", F.lit(False).alias("computed"), F.lit("frame numbers have gaps").alias("reason")).join(need, "seq", "left_semi")
-    fine, refused = sel.split_finite(todo.join(gapped.select("seq"), "seq", "left_anti"))
-    refused = refused.unionByName(gapped).persist()
-    radians = validate(fine).withColumn("data", to_radians(F.col("data"), F.col("unit"), F.col("height_scale"))).withColumn("unit", F.lit("rad"))
+    fault = lambda rows, reason: rows.select("seq", F.lit(False).alias("computed"), reason.alias("reason")).join(need, "seq", "left_semi")
+    gapped = fault(sel.gaps(chosen, job.first), F.lit("frame numbers have gaps" + ("" if job.first is None else f" or don't start at {job.first}")))
+    shaped = fault(shape_faults(todo), F.col("fault")).join(gapped, "seq", "left_anti")
+    unfit = gapped.unionByName(shaped).persist()
+    fine, refused = sel.split_finite(todo.join(unfit.select("seq"), "seq", "left_anti"))
+    refused = refused.unionByName(unfit).persist()
+    radians = fine.withColumn("data", to_radians(F.col("data"), F.col("unit"), F.col("height_scale"))).withColumn("unit", F.lit("rad"))
     filtered = apply_filter(radians, job.kernel())
 
     if job.write_frames:
@@ -129,11 +146,12 @@ def run(frames: DataFrame, job: Job) -> Outcome:
     gone = unsourced(merge.select(F.col("source").alias("seq")), known)
     if job.if_unsourced == "delete":
         merge = merge.join(gone.select(F.col("seq").alias("source")), "source", "left_anti")
-    generation = _write_parts(spark, merge, parts_root)
-    if rows is not None:
-        sink.commit(rows)
+    generation, publish = _write_parts(spark, merge, parts_root)
+    commit_together([] if rows is None else [(sink, rows)], publish)
     if job.write_frames and job.if_unsourced == "delete":
         sink.drop(unsourced(sink.manifest(), known))
+    if job.write_frames and job.vacuum:
+        sink.vacuum()
 
     parts = spark.read.schema(SEQUENCE_RANGES).parquet(generation).join(known.select(F.col("seq").alias("source")), "source", "left_semi")
     bad = part_faults(parts)
@@ -142,10 +160,13 @@ def run(frames: DataFrame, job: Job) -> Outcome:
     path = save_document(spark, job.target, job.name, text)
     done = need.join(refused.select("seq"), "seq", "left_anti").select("seq", F.lit(True).alias("computed"), F.lit(None).cast("string").alias("reason"))
     unchanged = names.join(need, "seq", "left_anti").select("seq", F.lit(False).alias("computed"), F.lit(None).cast("string").alias("reason"))
-    result = Outcome(done.unionByName(unchanged).unionByName(refused), path)
-    failed = {r["seq"]: r["reason"] for r in refused.limit(1000).collect()} | {str(r["source"]): f"bad range part: {r['fault']}" for r in bad.limit(1000).collect()}
-    if failed:
-        raise IncompleteRun(failed)
+    broken = bad.select(F.coalesce("source", F.lit("?")).alias("seq"), F.lit(False).alias("computed"), F.concat(F.lit("bad range part: "), "fault").alias("reason"))
+    whole = done.unionByName(unchanged).join(broken.select("seq"), "seq", "left_anti")
+    result = Outcome(whole.unionByName(refused.join(broken.select("seq"), "seq", "left_anti")).unionByName(broken), path)
+    failed = result.outcomes.where("reason is not null")
+    count = failed.count()
+    if count:
+        raise IncompleteRun(result, count, {r["seq"]: r["reason"] for r in failed.orderBy("seq").limit(5).collect()})
     return result
 
 
@@ -160,8 +181,8 @@ def _newest_parts(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([], SEQUENCE_RANGES) if newest is None else _read_parts(spark, f"{root}/{newest}")
 
 
-def _write_parts(spark: SparkSession, parts: DataFrame, root: str) -> str:
-    """A new generation of parts; the row that names it is written last."""
+def _write_parts(spark: SparkSession, parts: DataFrame, root: str) -> tuple[str, Callable[[], None]]:
+    """(path of a new generation of parts, what writes the row that names it, by which it counts)."""
     try:
         newest = spark.read.schema("generation long").parquet(f"{root}/generations").agg(F.max("generation")).first()[0] or 0
     except Exception as error:
@@ -170,8 +191,7 @@ def _write_parts(spark: SparkSession, parts: DataFrame, root: str) -> str:
         newest = 0
     path = f"{root}/{newest + 1}"
     parts.write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(newest + 1,)], "generation long").write.mode("append").parquet(f"{root}/generations")
-    return path
+    return path, lambda: spark.createDataFrame([(newest + 1,)], "generation long").write.mode("append").parquet(f"{root}/generations")
 
 
 def sweep(frames: DataFrame, job: Job, filters: Mapping[str, Mapping]) -> dict[str, Outcome]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Literal
 
@@ -21,7 +21,7 @@ from strobelake.functions.pixels import all_finite
 
 IfPresent = Literal["error", "overwrite", "reuse"]
 IfUnsourced = Literal["keep", "delete"]
-MANIFEST = "seq string, run string, ordinal long, n_frames long, settings string, frames array<string>"
+MANIFEST = "seq string, run string, ordinal long, n_frames long, settings string, frames array<string>, first int"
 _SAFE = re.compile(r"[A-Za-z0-9._ -]+\Z")
 
 
@@ -96,14 +96,14 @@ class FrameTable:
         frames.where("data is not null").write.partitionBy("seq").parquet(self.run_path(run))
         written = self.spark.read.schema(frames.schema).parquet(self.run_path(run))
         per = written.groupBy("seq").agg(
-            (F.max("idx") - F.min("idx") + 1).alias("span"), F.count("*").alias("n_frames"), F.sum((~all_finite(F.col("data"))).cast("int")).alias("bad"),
+            F.min("idx").alias("first"), (F.max("idx") - F.min("idx") + 1).alias("span"), F.count("*").alias("n_frames"), F.sum((~all_finite(F.col("data"))).cast("int")).alias("bad"),
             F.sort_array(F.collect_list(F.struct("idx", "source_name"))).alias("rows"),
         )
         faults = per.where("span <> n_frames or bad > 0").orderBy("seq").limit(5).collect()
         empty = frames.select("seq").distinct().join(per.select("seq"), "seq", "left_anti").orderBy("seq").limit(5).collect()
         if faults or empty:
             raise ValueError("; ".join([f"{r['seq']}: " + ("non-finite pixels" if r["bad"] else "a gap between frames") for r in faults] + [f"{r['seq']}: no frame" for r in empty]))
-        rows = per.select("seq", F.lit(run).alias("run"), F.lit(0).cast("long").alias("ordinal"), "n_frames", F.lit(settings).alias("settings"), F.col("rows.source_name").alias("frames"))
+        rows = per.select("seq", F.lit(run).alias("run"), F.lit(0).cast("long").alias("ordinal"), "n_frames", F.lit(settings).alias("settings"), F.col("rows.source_name").alias("frames"), "first")
         return run, rows
 
     def commit(self, rows: DataFrame) -> None:
@@ -122,7 +122,7 @@ class FrameTable:
 
     def drop(self, sequences: DataFrame) -> None:
         """Take sequences away (or a run back), leaving older rows in place but overruled."""
-        gone = sequences.select("seq", F.lit("").alias("run"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).cast("long").alias("n_frames"), F.lit(None).cast("string").alias("settings"), F.lit(None).cast("array<string>").alias("frames"))
+        gone = sequences.select("seq", F.lit("").alias("run"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).cast("long").alias("n_frames"), F.lit(None).cast("string").alias("settings"), F.lit(None).cast("array<string>").alias("frames"), F.lit(None).cast("int").alias("first"))
         if not gone.isEmpty():
             self.commit(gone)
 
@@ -141,14 +141,24 @@ class FrameTable:
 
     def read(self, schema: T.StructType) -> DataFrame:
         """Frames of every sequence that counts, idx from 0; run and seq are partitions, so other runs are not read."""
-        counted = self.manifest().select("seq", "run")
+        counted = self.manifest().select("seq", "run", F.coalesce("first", F.lit(0)).alias("_first"))  # a stage leaves no gaps
         every = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())])).parquet(f"{self.root}/runs")
-        frames = every.join(F.broadcast(counted) if counted.count() < 100_000 else counted, ["seq", "run"], "left_semi").select(*schema.names)
-        return frames.withColumn("idx", (F.row_number().over(Window.partitionBy("seq").orderBy("idx")) - 1).cast("int"))
+        frames = every.join(F.broadcast(counted) if counted.count() < 100_000 else counted, ["seq", "run"])
+        return frames.withColumn("idx", (F.col("idx") - F.col("_first")).cast("int")).select(*schema.names)
+
+    def counts(self) -> DataFrame:
+        """(seq) once for every frame that the runs named in the manifest hold; only the partitions' names and row counts are read."""
+        try:
+            every = self.spark.read.schema("seq string, run string").parquet(f"{self.root}/runs")
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return self.spark.createDataFrame([], "seq string")
+        return every.join(self.manifest().select("seq", "run"), ["seq", "run"], "left_semi").select("seq")
 
 
-def commit_together(staged: Sequence[tuple[FrameTable, DataFrame]]) -> None:
-    """Commit several sinks; if one cannot, those that did take theirs back."""
+def commit_together(staged: Sequence[tuple[FrameTable, DataFrame]], then: Callable[[], None] = lambda: None) -> None:
+    """Commit several sinks, and what ``then`` publishes; if one cannot, those that did take theirs back."""
     done: list[tuple[FrameTable, DataFrame]] = []
     try:
         for sink, rows in staged:
@@ -156,6 +166,7 @@ def commit_together(staged: Sequence[tuple[FrameTable, DataFrame]]) -> None:
             before = sink.spark.createDataFrame(before.collect(), MANIFEST)  # a row a sequence of this run
             sink.commit(rows)
             done.append((sink, before))
+        then()
     except Exception:
         for (sink, before), (_, rows) in zip(done, staged):
             sink.drop(rows.join(before.select("seq"), "seq", "left_anti"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from strobelake.schema import FLOWS
 
+#: Bytes of an array file read for its header; longer headers take one more read.
+HEADER_BYTES = 256
 ARRAYS = "seq string, idx int, source_name string, height int, width int, dtype string, fault string, data array<float>"
 
 
@@ -56,7 +58,7 @@ def npy_bytes(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def _described(raw: bytes, channels: int, with_data: bool) -> tuple[int | None, int | None, str | None, str | None, list | None]:
+def _described(raw: bytes, channels: int, with_data: bool, size: int | None = None) -> tuple[int | None, int | None, str | None, str | None, list | None]:
     try:
         shape, dtype, at = npy_header(raw)
         if len(shape) != (3 if channels > 1 else 2) or (channels > 1 and shape[0] != channels) or min(shape) < 1:
@@ -64,7 +66,7 @@ def _described(raw: bytes, channels: int, with_data: bool) -> tuple[int | None,
         if dtype not in ("<f4", "|f4"):
             return *shape[-2:], dtype, f"type {dtype}", None
         if not with_data:
-            return *shape[-2:], dtype, None, None
+            return *shape[-2:], dtype, None if size in (None, at + 4 * int(np.prod(shape))) else "the file is cut short", None
         data = np.frombuffer(raw, dtype="<f4", offset=at)
         if len(data) != int(np.prod(shape)):
             return *shape[-2:], dtype, "the file is cut short", None
@@ -73,18 +75,43 @@ def _described(raw: bytes, channels: int, with_data: bool) -> tuple[int | None,
         return None, None, None, str(error), None
 
 
-def read_arrays(spark: SparkSession, files: DataFrame, root: str, channels: int = 1, with_data: bool = True, pattern: str = "*.npy") -> DataFrame:
-    """Files of ``discover`` with shape, type, fault and, if asked for, data; a file at fault has no data."""
+_TYPES = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float32())]
+_NAMES = ["seq", "idx", "source_name", "height", "width", "dtype", "fault", "data"]
+
+
+def read_headers(files: DataFrame, channels: int = 1) -> DataFrame:
+    """Files of ``discover`` with shape, type and fault, and no data: only the first bytes of each are read, and the size that is known is held against them.
+
+    Paths must be in a scheme that pyarrow.fs opens.
+    """
+    import pyarrow.fs
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for seq, idx, name, path, size in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, own = pyarrow.fs.FileSystem.from_uri(path)
+                with fs.open_input_stream(own, compression=None, buffer_size=0) as file:
+                    raw = file.read(HEADER_BYTES)
+                    if len(raw) == HEADER_BYTES and raw[:6] == b"\x93NUMPY":
+                        raw += file.read(max(0, 12 + int.from_bytes(raw[8 : 10 if raw[6] == 1 else 12], "little") - len(raw)))
+                rows.append((seq, idx, name, *_described(raw, channels, False, size)))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*rows)) or [[]] * len(_TYPES), _TYPES)], names=_NAMES)
+
+    return files.select("seq", F.col("source_idx").alias("idx"), "source_name", "path", "bytes").mapInArrow(run, ARRAYS)
+
+
+def read_arrays(spark: SparkSession, files: DataFrame, root: str, channels: int = 1, pattern: str = "*.npy") -> DataFrame:
+    """Files of ``discover`` with shape, type, fault and data; a file at fault has no data."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
     rows = files.join(raw, "path").select("seq", F.col("source_idx").alias("idx"), "source_name", "content")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):  # a file at a time bounds memory
-                height, width, dtype, fault, data = _described(batch.column(3)[k].as_py(), channels, with_data)
+                height, width, dtype, fault, data = _described(batch.column(3)[k].as_py(), channels, True)
                 values = [batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), height, width, dtype, fault, None if fault else data]
-                types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float32())]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["seq", "idx", "source_name", "height", "width", "dtype", "fault", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _TYPES)], names=_NAMES)
 
     return rows.mapInArrow(run, ARRAYS)
 
@@ -108,7 +135,7 @@ def flow_faults(spark: SparkSession, root: str, level: Literal["names", "headers
     faults = per.where("last - first + 1 <> n or first is null").select("seq", F.lit("file numbers have gaps").alias("fault"))
     if level == "names":
         return faults
-    arrays = read_arrays(spark, files, root, channels=2, with_data=level == "data")
+    arrays = read_arrays(spark, files, root, channels=2) if level == "data" else read_headers(files, channels=2)
     shapes = arrays.where("fault is null").groupBy("seq").agg(F.countDistinct("height", "width").alias("n")).where("n > 1").select("seq", F.lit("shapes differ").alias("fault"))
     return faults.unionByName(arrays.where("fault is not null").select("seq", F.concat("source_name", F.lit(": "), "fault").alias("fault"))).unionByName(shapes)
 

@@ -73,3 +73,19 @@ def test_push_emits_n_minus_one_for_each_sequence_in_any_order(spark, tmp_path):
         assert np.allclose(r["change"], (stack["a"][r["idx"] + 1] - stack["a"][r["idx"]]).ravel(), atol=1e-6)
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert F is not None
+
+
+def test_headers_move_no_pixels(spark, tmp_path):
+    """Shapes and cut files are told from the first bytes and the size; headers longer than a read, and of version 2, are read whole."""
+    import numpy as np
+
+    (tmp_path / "a").mkdir()
+    for k in range(3):
+        np.save(tmp_path / f"a/{k:05d}_flow.npy", np.ones((2, 40, 50), dtype=np.float32))
+    raw = (tmp_path / "a/00000_flow.npy").read_bytes()
+    (tmp_path / "a/00003_flow.npy").write_bytes(raw[:-4])
+    head = b"{'descr': '<f4', 'fortran_order': False, 'shape': (2, 40, 50), }" + b" " * 3000 + b"\n"
+    (tmp_path / "a/00004_flow.npy").write_bytes(b"\x93NUMPY\x02\x00" + len(head).to_bytes(4, "little") + head + raw[128:])
+    (tmp_path / "a/00005_flow.npy").write_bytes(b"no array")
+    found = {r["idx"]: (r["height"], r["fault"], r["data"]) for r in files.read_headers(files.discover(spark, f"file://{tmp_path}"), 2).collect()}
+    assert found[0] == found[4] == (40, None, None) and found[3][1] == "the file is cut short" and found[5][1].startswith("no array file")

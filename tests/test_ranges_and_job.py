@@ -93,6 +93,11 @@ def test_commit_together_takes_back(spark, tmp_path):
     with pytest.raises(OSError):
         sinks.commit_together(staged)
     assert good.manifest().count() == 0
+    with pytest.raises(OSError):  # what is published last takes all sinks back
+        sinks.commit_together(staged[:1], lambda: (_ for _ in ()).throw(OSError("full")))
+    assert good.manifest().count() == 0
+    sinks.commit_together(staged[:1])
+    assert good.manifest().count() == 1
 
 
 @pytest.fixture
@@ -138,6 +143,33 @@ def test_job_isolates_failures(spark, tree, tmp_path):
     assert document["coverage"]["skipped"] == ["TL_01"] and len(document["dataset"]["sequences"]) == 2
 
 
+def test_job_names_every_fault_and_goes_on(spark, tree, tmp_path):
+    """Sequences of the wrong shape or first number fail by themselves, and every reason is kept."""
+    short = tree.withColumn("data", F.when((F.col("seq") == "TL_00") & (F.col("idx") == 1), F.slice("data", 1, 7)).otherwise(F.col("data")))
+    late = short.withColumn("source_idx", F.col("source_idx") + F.when(F.col("seq") == "TL_02", 4).otherwise(0))
+    with pytest.raises(preprocess.IncompleteRun) as error:
+        preprocess.run(late, preprocess.Job(target=f"file://{tmp_path}/out", filter={"kind": "identity"}, first=0))
+    assert error.value.count == 2 and set(error.value.reasons) == {"TL_00", "TL_02"} and "start at 0" in error.value.reasons["TL_02"]
+    assert error.value.outcome.verdict() == {"computed": 1, "unchanged": 0, "failed": 2}
+    many = spark.range(1500).select(F.concat(F.lit("s"), "id").alias("seq"), F.lit(False).alias("computed"), F.lit("broken").alias("reason"))
+    assert len(preprocess.IncompleteRun(preprocess.Outcome(many, ""), 1500, {}).reasons) == 1500
+
+
+def test_job_computes_folders_that_lost_files_again(spark, tree, tmp_path):
+    import shutil
+
+    job = preprocess.Job(target=f"file://{tmp_path}/out", filter={"kind": "identity"}, if_present="reuse", vacuum=True)
+    preprocess.run(tree, job)
+    (folder,) = (tmp_path / "out/frames/runs").glob("run=*/seq=TL_01")
+    shutil.rmtree(folder)
+    assert preprocess.run(tree, job).verdict() == {"computed": 1, "unchanged": 2, "failed": 0}
+    table = sinks.FrameTable(spark, f"file://{tmp_path}/out/frames")
+    assert set(stacks(table.read(FRAMES))) == {"TL_00", "TL_01", "TL_02"}
+    table.stage(tree, "{}")  # a run that never commits
+    assert len(list((tmp_path / "out/frames/runs").glob("run=*"))) == 3
+    assert table.vacuum() == 1 and set(stacks(table.read(FRAMES))) == {"TL_00", "TL_01", "TL_02"}
+
+
 def test_units_and_sweep(spark, tmp_path):
     scale = 2.0e-7
     metres = frames_of(spark, {"a": np.linspace(0, 4 * scale, 20).reshape(1, 4, 5)}, unit="m", height_scale=scale)

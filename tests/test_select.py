@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from helpers import frames_of
 from pyspark.sql import functions as F
 
+from strobelake.sources import tables
 from strobelake.schema import validate
 from strobelake.sources import select as sel
 
@@ -83,3 +85,13 @@ def test_contents_and_empty(spark, frames):
     got = {r["seq"]: r["frames"] for r in sel.contents(frames).collect()}
     assert got["a"] == [f"{k:05d}_phase" for k in range(4)]
     assert sel.contents(frames.limit(0)).count() == 0
+
+
+def test_positions_by_stretches_are_those_of_a_window(spark):
+    """Ranks within stretches and counts before them give row numbers, nulls and one large key included."""
+    rows = [("big" if k % 3 else None if k % 5 == 0 else f"s{k % 4}", (k * 37) % 1009 - 200) for k in range(1009)]
+    frame = spark.createDataFrame(rows, "seq string, n long").repartition(7)
+    got = tables.numbered(frame, "seq", ["n"], F.floor(F.col("n") / 50))
+    order = Window.partitionBy("seq").orderBy("n")
+    want = frame.withColumn("idx", (F.row_number().over(order) - 1).cast("int"))
+    assert got.columns == ["seq", "n", "idx"] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
