@@ -170,6 +170,8 @@ def preprocess_document(spark: SparkSession, d: str) -> DataFrame:
 
 def _work(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return found.rstrip("/") if found else "file://" + tempfile.mkdtemp(prefix="strobelake-")
 
 
