@@ -270,6 +270,19 @@ def ssim(spark: SparkSession, d: str) -> DataFrame:
     return score.with_ssim(pairs, "a", "b", 8.0).select("seq", "idx", _round("ssim", 6).alias("ssim"))
 
 
+def _ssim_sql() -> str:
+    """Each window position by itself: weighted moments of 11 x 11 pixels, over the 36 positions inside 16 x 16."""
+    side, c1, c2 = score.SSIM_SIDE // 2, (score.SSIM_K1 * 8.0) ** 2, (score.SSIM_K2 * 8.0) ** 2
+    return f"""WITH {_CELLS}, sizes AS (SELECT seq, count(*) AS n FROM phase GROUP BY seq),
+        tiled AS (SELECT a.seq, a.idx - q AS idx, (q // 2) * 8 + a.y AS y, (q % 2) * 8 + a.x AS x, a.v::DOUBLE AS a, b.v::DOUBLE AS b
+            FROM cells a JOIN cells b ON b.seq = a.seq AND b.idx = a.idx + 1 AND b.y = a.y AND b.x = a.x JOIN sizes s ON s.seq = a.seq, range(4) t(q) WHERE a.idx >= q AND a.idx - q + 4 < n),
+        weights AS (SELECT k, exp(-(k * k) / {2 * score.SSIM_SIGMA**2}) / sum(exp(-(k * k) / {2 * score.SSIM_SIGMA**2})) OVER () AS w FROM range(-{side}, {side + 1}) t(k)),
+        moments AS (SELECT seq, idx, t.y - v.k AS cy, t.x - h.k AS cx, sum(v.w * h.w * a) AS ma, sum(v.w * h.w * b) AS mb, sum(v.w * h.w * a * a) AS aa, sum(v.w * h.w * b * b) AS bb, sum(v.w * h.w * a * b) AS ab
+            FROM tiled t, weights v, weights h WHERE t.y - v.k BETWEEN {side} AND {15 - side} AND t.x - h.k BETWEEN {side} AND {15 - side} GROUP BY ALL)
+        SELECT seq, idx::INTEGER AS idx, round(avg((2 * ma * mb + {c1!r}) * (2 * (ab - ma * mb) + {c2!r}) / ((ma * ma + mb * mb + {c1!r}) * (aa - ma * ma + bb - mb * mb + {c2!r}))), 6) + 0.0 AS ssim
+        FROM moments GROUP BY seq, idx"""
+
+
 def _estimated(kind: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         pairs = flow.neighbours(normalize.injected(tables.phase_frames(spark, d), (-4.0, 4.0)))
@@ -419,7 +432,7 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "strict_zip": (strict_zip, f"WITH {_CELLS}, smooth AS ({_median_sql(1, 1, 0, False)[len('WITH ' + _CELLS) + 2:].replace('offsets AS', 'WITH offsets AS', 1).replace('round(median(q.v)::DOUBLE, 5) + 0.0', 'median(q.v)')}) SELECT c.seq, c.idx, round(avg(abs(s.v::DOUBLE - c.v::DOUBLE)), 5) AS mae FROM cells c JOIN smooth s ON s.seq = c.seq AND s.idx = c.idx AND s.y = c.y AND s.x = c.x GROUP BY ALL"),
     "length_faults": (length_faults, "SELECT o_custkey AS seq, count(*) FILTER (o_orderstatus = 'F') AS \"left\", count(*) FILTER (o_orderstatus = 'O') AS \"right\" FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus = 'F') <> count(*) FILTER (o_orderstatus = 'O')"),
     "stream_flow_push": (stream_flow_push, None),
-    "ssim": (ssim, None),
+    "ssim": (ssim, _ssim_sql()),
     "flow_farneback": (_estimated("farneback"), None),
     "flow_tvl1": (_estimated("dual_tvl1"), None),
     "drymass_signal": (_field("dry_mass"), _FIELD_SQL["drymass_signal"]),

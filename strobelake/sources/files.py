@@ -23,6 +23,7 @@ def discover(spark: SparkSession, root: str, subpath: str = "", pattern: str = "
     """(seq, source_name, source_idx, path, bytes) of the files under ``root``; a sequence is the path between root and subpath.
 
     Only names are listed; contents are not read. The number in a name gives source_idx.
+    With a subpath, what lies inside a sequence is part of it and no sequence of its own.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", F.col("length").alias("bytes"))
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
@@ -35,6 +36,11 @@ def discover(spark: SparkSession, root: str, subpath: str = "", pattern: str = "
         found = found.where((F.col("folder") == tail) | F.col("folder").endswith("/" + tail))
         found = found.withColumn("folder", F.expr(f"left(folder, greatest(length(folder) - {len(tail) + 1}, 0))"))
     rows = found.select(F.col("folder").alias("seq"), "source_name", F.try_to_number(F.regexp_extract("source_name", r"([0-9]+)", 1), F.lit("9999999999")).cast("int").alias("source_idx"), "path", "bytes")
+    if tail:
+        above = F.filter(F.transform(F.sequence(F.lit(0), F.size(F.split("seq", "/"))), lambda k: F.array_join(F.slice(F.split("seq", "/"), F.lit(1), k), "/")), lambda f: f != F.col("seq"))
+        sequences = rows.select("seq").distinct()  # a row a sequence
+        inner_ones = sequences.select("seq", F.explode(above).alias("outer")).join(sequences.select(F.col("seq").alias("outer")), "outer", "left_semi")
+        rows = rows.join(inner_ones.select("seq").distinct(), "seq", "left_anti")
     if rows.isEmpty():
         raise ValueError(f"no sequence under {root} holds {subpath or pattern}")
     return rows

@@ -1,7 +1,8 @@
 """Streams of frames that arrive one by one: each is paired with the one before, whose frame is the only state.
 
-A frame that comes too early waits in the state until the gap before it closes; one that
-was already seen is left out. Results are labelled by the first frame of their pair.
+A frame that comes too early waits until the gap before it closes: a few in the task, the others as bytes in the
+state, which RocksDB keeps on disk. One that was already seen is left out. A frame whose column ``reset`` is true starts
+anew: it is paired with none before it. Results are labelled by the first frame of their pair.
 """
 
 from __future__ import annotations
@@ -11,42 +12,63 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "next int, data array<float>"
-WAITING = "data array<float>, height int, width int"
+STATE = "next int, data binary, waiting int"
+WAITING = "data binary, height int, width int, reset boolean"
+#: Early frames that a task holds before others go to the state.
+HELD = 64
 
 
 class Push(StatefulProcessor):
-    """Calls ``calc(previous, current)`` on (H, W) arrays and emits one flat result for each pair."""
+    """Calls ``calc(previous, current)`` on (H, W) arrays and emits one flat result for each pair.
 
-    def __init__(self, calc: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], first: int = 0):
-        self.calc, self.first = calc, first
+    ``patience`` is how many frames may wait for a missing one at the end of a batch; the stream fails beyond it.
+    """
+
+    names: tuple[str, ...] = ("value",)
+
+    def __init__(self, calc: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], first: int = 0, patience: int | None = None):
+        self.calc, self.first, self.patience = calc, first, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", STATE)
         self.waiting = handle.getMapState("waiting", "idx int", WAITING)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        want, before = self.last.get() if self.last.exists() else (self.first, None)
+        want, before, stored = self.last.get() if self.last.exists() else (self.first, None, 0)
+        held: dict[int, tuple] = {}
         for frame in rows:
+            out = []
             for row in frame.sort_values("idx").itertuples(index=False):
-                if row.idx >= want and not self.waiting.containsKey((int(row.idx),)):
-                    self.waiting.updateValue((int(row.idx),), ([float(v) for v in row.data], int(row.height), int(row.width)))
-        out = []
-        while self.waiting.containsKey((want,)):
-            data, height, width = self.waiting.getValue((want,))
-            self.waiting.removeKey((want,))
-            if before is not None:
-                a, b = (np.asarray(x, dtype=np.float32).reshape(height, width) for x in (before, data))
-                out.append((key[0], want - 1, *(c.ravel().astype(float).tolist() for c in self.calc(a, b))))
-            before, want = data, want + 1
-        if before is not None:
-            self.last.update((want, [float(v) for v in before]))
-        columns = ["seq", "idx", *self.names]
-        yield pd.DataFrame({c: pd.Series([r[k] for r in out], dtype=object if k not in (1,) else "int32") for k, c in enumerate(columns)})
-
-    names: tuple[str, ...] = ("value",)
+                idx = int(row.idx)
+                if idx < want or idx in held or (stored and self.waiting.containsKey((idx,))):
+                    continue
+                held[idx] = (np.asarray(row.data, dtype=np.float32).tobytes(), int(row.height), int(row.width), bool(row.reset))
+                while want in held or (stored and self.waiting.containsKey((want,))):
+                    if want in held:
+                        data, height, width, reset = held.pop(want)
+                    else:
+                        data, height, width, reset = self.waiting.getValue((want,))
+                        self.waiting.removeKey((want,))
+                        stored -= 1
+                    if before is not None and not reset:
+                        a, b = (np.frombuffer(x, dtype=np.float32).reshape(height, width) for x in (before, data))
+                        out.append((key[0], want - 1, *(c.ravel().astype(np.float32) for c in self.calc(a, b))))
+                    before, want = bytes(data), want + 1
+                if len(held) > HELD:
+                    latest = max(held)
+                    self.waiting.updateValue((latest,), held.pop(latest))
+                    stored += 1
+            columns = ["seq", "idx", *self.names]
+            yield pd.DataFrame({c: pd.Series([r[k] for r in out], dtype="int32" if c == "idx" else object) for k, c in enumerate(columns)})
+        for idx, value in held.items():
+            self.waiting.updateValue((idx,), value)
+        stored += len(held)
+        if self.patience is not None and stored > self.patience:
+            raise ValueError(f"{key[0]}: frame {want} is missing and {stored} frames wait for it")
+        self.last.update((want, before, stored))
 
     def close(self) -> None:
         pass
@@ -57,8 +79,8 @@ class Difference(Push):
 
     names = ("change",)
 
-    def __init__(self) -> None:
-        super().__init__(lambda a, b: [b - a])
+    def __init__(self, **limits: int | None) -> None:
+        super().__init__(lambda a, b: [b - a], **limits)
 
 
 class FlowPush(Push):
@@ -66,11 +88,13 @@ class FlowPush(Push):
 
     names = ("dx", "dy")
 
-    def __init__(self, estimator: object):
-        super().__init__(lambda a, b: list(estimator.calc(a, b)))
+    def __init__(self, estimator: object, **limits: int | None):
+        super().__init__(lambda a, b: list(estimator.calc(a, b)), **limits)
 
 
 def push(frames: DataFrame, processor: Push) -> DataFrame:
-    """A streaming DataFrame (seq, idx, results) from one with (seq, idx, height, width, data); needs the RocksDB state store."""
+    """A streaming DataFrame (seq, idx, results) from one with (seq, idx, height, width, data) and, if wanted, reset; needs the RocksDB state store."""
     schema = "seq string, idx int, " + ", ".join(f"{n} array<float>" for n in processor.names)
-    return frames.select("seq", "idx", "height", "width", "data").groupBy("seq").transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in frames.columns else F.lit(False)
+    rows = frames.select("seq", "idx", "height", "width", "data", reset.alias("reset"))
+    return rows.groupBy("seq").transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None")

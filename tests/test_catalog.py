@@ -39,3 +39,14 @@ def test_query_agrees_with_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_other_queries_give_rows(spark, name):
     assert catalog.queries()[name](spark, DIR).count() > 0
+
+
+def test_streamed_flow_equals_the_flow_of_the_table(spark):
+    from strobelake.operators import flow
+    from strobelake.sources import tables
+
+    flows = flow.estimate(flow.neighbours(tables.phase_frames(spark, DIR)), flow.Farneback(levels=1)).collect()
+    mean = lambda v: sum(map(float, v)) / len(v)
+    want = {(r["seq"], r["idx"]): (mean(r["dx"]), mean(r["dy"])) for r in flows}
+    got = {(r["seq"], r["idx"]): (r["dx"], r["dy"]) for r in catalog.queries()["stream_flow_push"](spark, DIR).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) <= 1e-3 for k in want for a, b in zip(got[k], want[k]))

@@ -24,6 +24,9 @@ def test_discovery(spark, tmp_path):
     assert [(r["seq"], r["source_idx"]) for r in rows] == [("TL_00", 0), ("TL_00", 1), ("plate_A/2026-03-11/TL_01", 0), ("plate_A/2026-03-11/TL_01", 1)]
     with pytest.raises(ValueError, match="no sequence"):
         files.discover(spark, str(tmp_path), "Missing")
+    save(tmp_path / "TL_00" / "inner" / "Phase" / "00000_phase.npy", np.zeros((2, 3), dtype=np.float32))  # part of TL_00
+    save(tmp_path / "TL_001" / "Phase" / "00000_phase.npy", np.zeros((2, 3), dtype=np.float32))
+    assert {r["seq"] for r in files.discover(spark, str(tmp_path), "Phase").collect()} == {"TL_00", "TL_001", "plate_A/2026-03-11/TL_01"}
 
 
 def test_flow_files_round_trip_and_levels(spark, tmp_path):
@@ -57,22 +60,43 @@ def test_headers():
         files.npy_header(files.npy_bytes(np.asfortranarray(np.zeros((3, 4)))))
 
 
-def test_push_emits_n_minus_one_for_each_sequence_in_any_order(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
+def streamed(spark, path, parts, processor):
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in/part={k}")
+    arriving = spark.readStream.schema(parts[0].schema.add("part", "integer")).option("maxFilesPerTrigger", "1").parquet(f"{path}/in")
+    query = push.push(arriving, processor).writeStream.option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start(f"{path}/out")
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/out").where("seq is not null").orderBy("seq", "idx").collect()
+
+
+def test_push_emits_n_minus_one_for_each_sequence_in_any_order(spark, tmp_path, rocks):
     rng = np.random.default_rng(0)
     stack = {"a": rng.random((6, 2, 2)), "b": rng.random((1, 2, 2))}
     frames = frames_of(spark, stack).select("seq", "idx", "height", "width", "data")
-    for k, part in enumerate(("idx in (0, 3)", "idx in (2, 5, 3)", "idx in (1, 4, 0)")):  # early, repeated and late frames
-        frames.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/part={k}")
-    arriving = spark.readStream.schema(frames.schema.add("part", "integer")).option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
-    query = push.push(arriving, push.Difference()).writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
-    query.awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out").where("seq is not null").orderBy("idx").collect()
+    got = streamed(spark, tmp_path, [frames.where(p) for p in ("idx in (0, 3)", "idx in (2, 5, 3)", "idx in (1, 4, 0)")], push.Difference())  # early, repeated and late frames
     assert [(r["seq"], r["idx"]) for r in got] == [("a", k) for k in range(5)]
     for r in got:
         assert np.allclose(r["change"], (stack["a"][r["idx"] + 1] - stack["a"][r["idx"]]).ravel(), atol=1e-6)
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert F is not None
+
+
+def test_push_of_many_early_frames_resets_and_patience(spark, tmp_path, rocks):
+    """More frames wait than a task holds; a reset pairs with none before it; a gap that stays open fails the stream if asked to."""
+    n = 2 * push.HELD + 9
+    stack = np.arange(n, dtype=float)[:, None, None] ** 2 * np.ones((1, 1, 2))
+    frames = frames_of(spark, {"a": stack}).select("seq", "idx", "height", "width", "data", (F.col("idx") == 70).alias("reset"))
+    got = streamed(spark, tmp_path / "1", [frames.where("idx > 0"), frames.where("idx = 0")], push.Difference())
+    assert [r["idx"] for r in got] == [k for k in range(n - 1) if k != 69]
+    assert all(r["change"] == [2.0 * r["idx"] + 1] * 2 for r in got)
+    with pytest.raises(Exception, match="frame 0 is missing"):
+        streamed(spark, tmp_path / "2", [frames.where("idx > 0")], push.Difference(patience=20))
 
 
 def test_headers_move_no_pixels(spark, tmp_path):

@@ -47,6 +47,65 @@ def test_pairs_worked_on_together_equal_single_ones(own):
         assert one[0].shape == (20, 17) and np.array_equal(one[0], dx[k]) and np.array_equal(one[1], dy[k])
 
 
+def test_farneback_against_a_fit_and_a_solve_for_each_pixel():
+    """One level by loops: a least-squares quadratic around each pixel, then a 2 x 2 system of each pixel's window."""
+    rng = np.random.default_rng(3)
+    own = flow.Farneback(levels=1, window=5, iterations=2, poly_n=2, poly_sigma=1.1)
+    one = texture(24)[3:14, 2:15] + 5 * rng.random((11, 13))
+    two = np.roll(one, 1, axis=1) + rng.random((11, 13))
+    r, half = own.poly_n, own.window // 2
+    d = np.arange(-r, r + 1)
+    y, x = (v.ravel() for v in np.meshgrid(d, d, indexing="ij"))
+    root = np.sqrt(np.exp(-(x**2 + y**2) / (2 * own.poly_sigma**2)))
+    basis = np.stack([np.ones_like(x), x, y, x * x, y * y, x * y], axis=1) * root[:, None]
+
+    def quadratics(image):
+        wide = np.pad(image, r, mode="edge")
+        fits = np.zeros((*image.shape, 5))
+        for i, j in np.ndindex(*image.shape):
+            c = np.linalg.lstsq(basis, wide[i : i + 2 * r + 1, j : j + 2 * r + 1].ravel() * root, rcond=None)[0]
+            fits[i, j] = c[3], c[5] / 2, c[4], c[1], c[2]
+        return fits
+
+    f1, f2 = quadratics(one), quadratics(two)
+    h, w = one.shape
+    flow_xy = np.zeros((h, w, 2))
+    for _ in range(own.iterations):
+        terms = np.zeros((h, w, 5))
+        for i, j in np.ndindex(h, w):
+            u = flow_xy[i, j]
+            px, py = np.clip(j + u[0], 0, w - 1), np.clip(i + u[1], 0, h - 1)
+            j0, i0 = int(px), int(py)
+            j1, i1, fx, fy = min(j0 + 1, w - 1), min(i0 + 1, h - 1), px - int(px), py - int(py)
+            there = (1 - fy) * ((1 - fx) * f2[i0, j0] + fx * f2[i0, j1]) + fy * ((1 - fx) * f2[i1, j0] + fx * f2[i1, j1])
+            xx, xy, yy = (f1[i, j, :3] + there[:3]) / 2
+            a = np.array([[xx, xy], [xy, yy]])
+            g, rhs = a.T @ a, a.T @ ((f1[i, j, 3:] - there[3:]) / 2 + a @ u)
+            terms[i, j] = g[0, 0], g[0, 1], g[1, 1], *rhs
+        wide = np.pad(terms, ((half, half), (half, half), (0, 0)), mode="edge")
+        for i, j in np.ndindex(h, w):
+            m = wide[i : i + 2 * half + 1, j : j + 2 * half + 1].mean(axis=(0, 1))
+            flow_xy[i, j] = np.linalg.solve([[m[0], m[1]], [m[1], m[2]]], m[3:])
+    dx, dy = own.calc(one, two)
+    assert np.allclose(dx, flow_xy[..., 0], atol=1e-3) and np.allclose(dy, flow_xy[..., 1], atol=1e-3)
+
+
+def test_tvl1_lowers_its_energy():
+    """lambda |I1(x + u) - I0(x)| + |grad u| is less than for no flow and for flows beside the one found."""
+    own = flow.DualTVL1(scales=1, warps=5, epsilon=0.0)
+    image = texture(32).astype(float)
+    moved = np.roll(image, 1, axis=1)
+    found = np.stack(own.calc(image, moved)).astype(float)
+
+    def energy(u):
+        rest = np.abs(warp.backward_warp(moved, *u) - image)
+        slopes = [np.gradient(c) for c in u]
+        return (own.lambda_ * rest).sum() + sum(np.hypot(*g).sum() for g in slopes)
+
+    noise = np.random.default_rng(0).normal(0, 0.3, found.shape)
+    assert energy(found) < 0.5 * energy(0 * found) and all(energy(found) < energy(v) for v in (found + 1, found - 1, found + noise))
+
+
 def test_estimate_labels_by_the_first_frame(spark):
     image = texture(32)
     frames = frames_of(spark, {"a": np.stack([np.roll(image, k, axis=1) for k in range(4)]), "b": image[None]})
