@@ -15,18 +15,23 @@ def is_finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) != F.lit(_INF))
 
 
+def _ends_finite(data: Column) -> Column:
+    """True where the least and the greatest pixel are finite, and so all are: NaN counts as the greatest. Null for an empty frame."""
+    return is_finite(F.array_min(data)) & is_finite(F.array_max(data))
+
+
 def all_finite(data: Column) -> Column:
-    """True for an empty frame."""
-    return F.forall(data, is_finite)
+    """True for an empty frame; null pixels aside. Pixels are looked at one by one only where an end is not finite."""
+    return F.when(_ends_finite(data), F.lit(True)).otherwise(F.forall(data, is_finite))
 
 
 def finite_min(data: Column) -> Column:
     """The least finite pixel as double, or null."""
-    return F.array_min(F.filter(data, is_finite)).cast("double") + F.lit(0.0)
+    return F.when(_ends_finite(data), F.array_min(data)).otherwise(F.array_min(F.filter(data, is_finite))).cast("double") + F.lit(0.0)
 
 
 def finite_max(data: Column) -> Column:
-    return F.array_max(F.filter(data, is_finite)).cast("double") + F.lit(0.0)
+    return F.when(_ends_finite(data), F.array_max(data)).otherwise(F.array_max(F.filter(data, is_finite))).cast("double") + F.lit(0.0)
 
 
 def to_radians(data: Column, unit: Column, height_scale: Column) -> Column:
