@@ -22,6 +22,7 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -71,7 +72,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -337,20 +338,66 @@ _SECRET_RUN = re.compile(r"[^\s\"'`=:,;()\[\]{}<>|\\]+")
 _TAIL = ".!?"
 
 
-def widened(text: str, span: tuple[str, int, int], base: list[tuple[str, int, int]]) -> tuple[str, int, int]:
-    """A secret with the rest of the run that it lies in, up to the next pattern span and without closing signs; other spans as they are."""
-    kind, a, b = span
-    if kind != "crf_secret":
-        return span
-    low, high = a, b
-    while low and _SECRET_RUN.match(text[low - 1]) and not any(s < low <= e for _, s, e in base):
-        low -= 1
-    more = _SECRET_RUN.match(text, b)
-    if more:
-        high = min([more.end(), *(s for _, s, _ in base if s >= b)])
-        while high > b and text[high - 1] in _TAIL:
-            high -= 1
-    return kind, low, high
+class Widening:
+    """The runs of one text that a secret may fill, cut once; every span is then placed by bisection."""
+
+    def __init__(self, text: str, base: list[tuple[str, int, int]]):
+        self.text = text
+        runs = [m.span() for m in _SECRET_RUN.finditer(text)]
+        self.starts, self.ends = [a for a, _ in runs], [b for _, b in runs]
+        self.base_starts, self.base_ends = sorted(a for _, a, _ in base), sorted(b for _, _, b in base)
+        self.bare: dict[int, int] = {}
+
+    def _without_tail(self, high: int) -> int:
+        if high not in self.bare:
+            end = high
+            while end and self.text[end - 1] in _TAIL:
+                end -= 1
+            self.bare[high] = end
+        return self.bare[high]
+
+    def low(self, a: int) -> int:
+        """Where the run begins that reaches up to ``a``, but not before the end of a pattern's span."""
+        k = bisect_left(self.starts, a) - 1
+        begin = self.starts[k] if k >= 0 and a <= self.ends[k] else a
+        j = bisect_right(self.base_ends, a) - 1
+        return max(begin, self.base_ends[j]) if j >= 0 else begin
+
+    def high(self, b: int) -> int:
+        """Where the run ends that goes on at ``b``, but not after the next pattern's span begins, closing signs left out."""
+        k = bisect_right(self.starts, b) - 1
+        if k < 0 or b >= self.ends[k]:
+            return b
+        j = bisect_left(self.base_starts, b)
+        end = min(self.ends[k], self.base_starts[j]) if j < len(self.base_starts) else self.ends[k]
+        return max(b, self._without_tail(end))
+
+
+def widened(text: str, spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Secrets with the rest of the run that they lie in, up to the next pattern span and without closing signs; other spans as they are."""
+    if not any(kind == "crf_secret" for kind, _, _ in spans):
+        return spans
+    runs = Widening(text, base)
+    return [(kind, runs.low(a), runs.high(b)) if kind == "crf_secret" else (kind, a, b) for kind, a, b in spans]
+
+
+def apart(spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap no pattern span."""
+    taken = joined_ranges((a, b) for _, a, b in base)
+    starts = [a for a, _ in taken]
+    clear = lambda a, b: (k := bisect_left(starts, b) - 1) < 0 or taken[k][1] <= a
+    return [s for s in spans if clear(s[1], s[2])]
+
+
+def joined_ranges(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def all_spans(texts: list[bytes], field: Field) -> Iterator[tuple[str, list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
@@ -361,7 +408,7 @@ def all_spans(texts: list[bytes], field: Field) -> Iterator[tuple[str, list[tupl
         text = raw.decode()
         base = base_spans(text)
         moved = [(kind, int(points[low + a] - points[low]), int(points[low + b] - points[low])) for kind, a, b in more]
-        yield text, base, joined_spans([widened(text, s, base) for s in moved if not any(s[1] < e and b < s[2] for _, b, e in base)])
+        yield text, base, joined_spans(widened(text, apart(moved, base), base))
 
 
 def joined_spans(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

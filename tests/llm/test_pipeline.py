@@ -40,6 +40,7 @@ def sf_dir(spark, tmp_path_factory):
         labels.append((k, 1, int(k % 8 == 0)))
     rows += [(900, None, None, None, None, None), (901, "", "en", "src1", 0, ""), (None, "rows without id stay", "en", "s", 20, ""), (5, rows[5][1], "en", "src0", rows[5][4], "n")]
     rows += [(12, "one more text " + " ".join(prose(40)), "en", "src0", 9, "second text of an id"), (950, " ".join(prose(30_000)), "en", "src0", 9, "very long")]
+    rows += [(951, " ".join(prose(40)) + " 1.2.3." + "0" * 5000 + " and " + "0" * 4400 + ".1.1.1 password=" + "a1/" * 100_000, "en", "src0", 9, "numbers and runs of great length")]
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
