@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strobelake.llm import decontaminate, embedding_dedup, pii, quality, sentencepiece_codec, simhash_dedup, token_store, toxicity, url_filter, warc_writer
+from strobelake.llm import decontaminate, embedding_dedup, importance_resampling, pii, quality, sentencepiece_codec, simhash_dedup, spelling_variants, token_store, toxicity, url_filter, vector_search, warc_writer
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.query,
         "op9_quality": quality.query,
         "op10_simhash_dedup": simhash_dedup.query,
+        "op11_spelling_variants": spelling_variants.query,
+        "op12_vector_search": vector_search.query,
+        "op13_importance_resampling": importance_resampling.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": embedding_dedup.SQL, "op6_warc_writer": warc_writer.SQL, "op8_url_filter": url_filter.SQL}
+    return {"op1_embedding_dedup": embedding_dedup.SQL, "op6_warc_writer": warc_writer.SQL, "op8_url_filter": url_filter.SQL, "op12_vector_search": vector_search.SQL}
