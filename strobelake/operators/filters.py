@@ -9,6 +9,7 @@ only on the frames within the radius, so blocks give what whole sequences give.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Literal
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from strobelake.operators.windows import gaussian_weights, middle
 
-#: Bytes of neighbour samples held at once; a block is worked through in bands of rows.
-BAND_BYTES = 128 << 20
+#: Pixels whose neighbours are selected from at once: few enough that a processor's cache holds them.
+SELECTED = 1 << 14
 CHUNK = 32
 
 
@@ -66,39 +67,117 @@ class Median:
         return self.radius[2]
 
     def offsets(self) -> list[tuple[int, int, int]]:
+        """(dx, dy, dt) of the neighbourhood, from how far each of its rows reaches."""
         rx, ry, rz = self.radius
-        box = [(x, y, z) for z in range(-rz, rz + 1) for y in range(-ry, ry + 1) for x in range(-rx, rx + 1)]
-        inside = lambda o: sum((d / r) ** 2 for d, r in zip(o, self.radius) if r) <= 1
-        return [o for o in box if self.shape == "cuboid" or inside(o)]
+        if self.shape == "cuboid":
+            reach = {(dy, dz): rx for dz in range(-rz, rz + 1) for dy in range(-ry, ry + 1)}
+        else:  # in whole numbers: (dx ry rz)^2 <= (rx ry rz)^2 - (dy rx rz)^2 - (dz rx ry)^2, an axis without radius counting as one of radius 1
+            ux, uy, uz = (max(r, 1) for r in self.radius)
+            left = {(dy, dz): (ux * uy * uz) ** 2 - (dy * ux * uz) ** 2 - (dz * ux * uy) ** 2 for dz in range(-rz, rz + 1) for dy in range(-ry, ry + 1)}
+            reach = {row: min(rx, math.isqrt(rest) // (uy * uz)) for row, rest in left.items() if rest >= 0}
+        return [(dx, dy, dz) for (dy, dz), most in reach.items() for dx in range(-most, most + 1)]
 
     def apply(self, window: np.ndarray) -> np.ndarray:
-        """Every frame of a (T, H, W) window filtered over the whole window."""
-        (rx, ry, rz), offsets = self.radius, self.offsets()
-        t, h, w = window.shape
-        padded = np.pad(window.astype(np.float32), ((rz, rz), (ry, ry), (rx, rx)), constant_values=np.nan)
-        out = np.empty((t, h, w), dtype=np.float32)
-        rows = max(1, BAND_BYTES // max(1, 4 * len(offsets) * w))
-        flat = [(k, y) for k in range(t) for y in range(0, h, max(1, min(h, rows)))]
-        frames = max(1, rows // h)
-        if frames > 1:  # several whole frames fit in a band
-            for k in range(0, t, frames):
-                n = min(frames, t - k)
-                out[k : k + n] = _middle(np.stack([padded[k + rz + dz : k + rz + dz + n, ry + dy : ry + dy + h, rx + dx : rx + dx + w] for dx, dy, dz in offsets]))
-            return out
-        for k, y in flat:
-            n = min(rows, h - y)
-            out[k, y : y + n] = _middle(np.stack([padded[k + rz + dz, y + ry + dy : y + ry + dy + n, rx + dx : rx + dx + w] for dx, dy, dz in offsets]))
+        """Every frame of a (T, H, W) window filtered over the whole window.
+
+        Pixels near an edge lack the same neighbours as those beside them, so a frame falls into rectangles in which
+        all have the same ones; each is selected by itself, a few rows at a time.
+        """
+        window = np.ascontiguousarray(window, dtype=np.float32)
+        (rx, ry, _), (t, h, w), offsets = self.radius, window.shape, self.offsets()
+        out = np.empty_like(window)
+        for k in range(t):
+            there = [o for o in offsets if 0 <= k + o[2] < t]
+            for top, bottom in _stretches(h, ry):
+                for left, right in _stretches(w, rx):
+                    own = [(dx, dy, dz) for dx, dy, dz in there if 0 <= top + dy and bottom + dy <= h and 0 <= left + dx and right + dx <= w]
+                    step = max(1, SELECTED // (right - left))
+                    for y in range(top, bottom, step):
+                        end = min(bottom, y + step)
+                        out[k, y:end, left:right] = select_middle([window[k + dz, y + dy : end + dy, left + dx : right + dx] for dx, dy, dz in own])
+        self._mend(window, out, offsets)
         return out
 
-
-def _middle(samples: np.ndarray) -> np.ndarray:
-    """The median along the first axis without NaN; NaN where nothing is left."""
-    ordered = np.sort(samples, axis=0)  # NaN last
-    n = (~np.isnan(ordered)).sum(axis=0)
-    low = np.take_along_axis(ordered, np.maximum((n - 1) // 2, 0)[None], axis=0)[0]
-    high = np.take_along_axis(ordered, np.minimum(n // 2, len(ordered) - 1)[None], axis=0)[0]
-    out = np.where(n % 2 == 1, low, (low + high) / np.float32(2))
-    return np.where(n > 0, out, np.float32(np.nan)).astype(np.float32)
+    @staticmethod
+    def _mend(window: np.ndarray, out: np.ndarray, offsets: list[tuple[int, int, int]]) -> None:
+        """Pixels with a NaN around them, whose neighbours are fewer, one list of samples each."""
+        bad = np.isnan(window)
+        if not bad.any():
+            return
+        shift, shape = np.array([(z, y, x) for x, y, z in offsets]), np.array(window.shape)
+        touched = np.zeros_like(bad)
+        for s in shift:  # whose neighbour at this offset is missing
+            here = tuple(slice(max(0, -d), max(0, n - max(0, d))) for d, n in zip(s, shape))
+            there = tuple(slice(max(0, d), max(0, n + min(0, d))) for d, n in zip(s, shape))
+            touched[here] |= bad[there]
+        flat = np.flatnonzero(touched)
+        for at in range(0, len(flat), SELECTED):
+            places = np.stack(np.unravel_index(flat[at : at + SELECTED], window.shape), axis=1)[:, None, :] + shift
+            inside = ((places >= 0) & (places < shape)).all(axis=2)
+            samples = np.where(inside, window[tuple(np.moveaxis(np.where(inside[..., None], places, 0), 2, 0))], np.nan)
+            with np.errstate(all="ignore"), warnings.catch_warnings():
+                warnings.simplefilter("ignore", RuntimeWarning)  # of places without any value
+                out.ravel()[flat[at : at + SELECTED]] = np.nanmedian(samples, axis=1)
+
+
+def _stretches(n: int, radius: int) -> list[tuple[int, int]]:
+    """0 to n cut where the edges begin to matter: a place at a time within ``radius`` of an end, the rest as one."""
+    near = [*range(min(radius, n)), *range(max(radius, n - radius), n)]
+    whole = [(radius, n - radius)] if n > 2 * radius else []
+    return sorted([(k, k + 1) for k in near] + whole)
+
+
+def select_middle(samples: list[np.ndarray]) -> np.ndarray:
+    """The median of equally shaped arrays place by place; the mean of the two middle ones of an even count.
+
+    Of more than half of the samples, the least and the largest cannot be in the middle. Both are dropped, one more
+    sample comes in, and so on, all by exchanges of whole arrays: no place is sorted.
+    """
+    n = len(samples)
+    more = iter(samples)
+    spare: list[np.ndarray] = []
+
+    def exchange(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lesser, larger), in arrays that are not needed any more."""
+        low = np.minimum(a, b, out=spare.pop() if spare else np.empty_like(a))
+        high = np.maximum(a, b, out=b)
+        spare.append(a)
+        return low, high
+
+    def take() -> np.ndarray:
+        got = next(more)
+        mine = spare.pop() if spare else np.empty_like(got, order="C", subok=False)
+        np.copyto(mine, got)
+        return mine
+
+    held = [take() for _ in range(min(n, n // 2 + 2))]
+    left = n - len(held)
+    while len(held) > 2:
+        lows, highs = [], []
+        for k in range(0, len(held) - 1, 2):
+            low, high = exchange(held[k], held[k + 1])
+            lows.append(low)
+            highs.append(high)
+        if len(held) % 2:  # one without a partner is on either side
+            low, lows[0] = exchange(lows[0], held[-1])
+            single, highs[0] = exchange(lows[0], highs[0])
+            lows[0] = low
+            rest = [single]
+        else:
+            rest = []
+        least = lows[0]
+        for other in lows[1:]:
+            least, larger = exchange(least, other)
+            rest.append(larger)
+        most = highs[0]
+        for other in highs[1:]:
+            lesser, most = exchange(most, other)
+            rest.append(lesser)
+        spare += [least, most]
+        held = rest
+        held += [take() for _ in range(min(1, left))]
+        left -= min(1, left)
+    return held[0] if len(held) == 1 else (held[0] + held[1]) / np.float32(2)
 
 
 @dataclass(frozen=True)

@@ -37,8 +37,8 @@ def test_banding_changes_nothing(monkeypatch):
     window = np.random.default_rng(1).random((5, 9, 6)).astype(np.float32)
     kernel = filters.Median((2, 2, 2))
     want = kernel.apply(window)
-    for bytes_ in (1, 3000, 30_000):
-        monkeypatch.setattr(filters, "BAND_BYTES", bytes_)
+    for pixels in (1, 7, 30, 1 << 20):
+        monkeypatch.setattr(filters, "SELECTED", pixels)
         assert (kernel.apply(window) == want).all()
 
 
@@ -81,6 +81,34 @@ def test_neighbourhood_sizes(radius, sizes):
     assert tuple(len(filters.Median(radius, s).offsets()) for s in ("cuboid", "ellipsoid")) == sizes
 
 
+@pytest.mark.parametrize("radius,shape", [((1, 1, 1), "cuboid"), ((2, 2, 2), "ellipsoid"), ((3, 1, 2), "ellipsoid"), ((5, 5, 1), "ellipsoid"), ((0, 0, 0), "cuboid")])
+@pytest.mark.parametrize("size", [(7, 4, 5), (1, 1, 1), (3, 9, 8), (2, 1, 6), (4, 12, 13)])
+def test_median_is_exactly_that_of_the_sorted_neighbours(radius, shape, size):
+    """Ties, even counts, awkward magnitudes, and neighbours that are NaN: bit for bit."""
+    rng, kernel = np.random.default_rng(size[1]), filters.Median(radius, shape)
+    few, wide = rng.integers(0, 4, size), rng.choice([1e-38, 1e-3, 1.0, 3e38], size) * rng.uniform(-1, 1, size)
+    for given in (few, wide, np.where(rng.random(size) < 0.3, np.nan, few), np.where(rng.random(size) < 0.95, np.nan, wide)):
+        window = given.astype(np.float32)
+        want = np.full(size, np.nan, dtype=np.float32)
+        for k, y, x in np.ndindex(*size):
+            near = [window[k + dz, y + dy, x + dx] for dx, dy, dz in kernel.offsets() if 0 <= k + dz < size[0] and 0 <= y + dy < size[1] and 0 <= x + dx < size[2]]
+            near, n = sorted(v for v in near if v == v), sum(v == v for v in near)
+            if n:
+                with np.errstate(over="ignore"):
+                    want[k, y, x] = near[n // 2] if n % 2 else (near[n // 2 - 1] + near[n // 2]) / np.float32(2)
+        with np.errstate(over="ignore"):
+            assert np.array_equal(kernel.apply(window), want, equal_nan=True)
+
+
+def test_ellipsoids_hold_what_lies_within_them():
+    from fractions import Fraction
+
+    for radius in ((2, 2, 2), (3, 1, 2), (0, 2, 1), (4, 4, 0), (5, 3, 1), (0, 0, 0)):
+        inside = {(x, y, z) for z in range(-6, 7) for y in range(-6, 7) for x in range(-6, 7) if all(abs(d) <= r for d, r in zip((x, y, z), radius)) and sum(Fraction(d, r) ** 2 for d, r in zip((x, y, z), radius) if r) <= 1}
+        got = filters.Median(radius).offsets()
+        assert set(got) == inside and len(got) == len(inside)
+
+
 def test_parameters():
     assert filters.Median(2).radius == (2, 2, 2) and filters.Median((2, 1)).radius == (2, 2, 1) and filters.Gaussian(1).sigma == (1.0, 1.0, 1.0)
     for bad, error in ((True, TypeError), (1.5, TypeError), (-1, ValueError), ((1, 2, 3, 4), ValueError)):
