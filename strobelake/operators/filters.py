@@ -9,7 +9,6 @@ only on the frames within the radius, so blocks give what whole sequences give.
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Literal
@@ -100,7 +99,7 @@ class Median:
 
     @staticmethod
     def _mend(window: np.ndarray, out: np.ndarray, offsets: list[tuple[int, int, int]]) -> None:
-        """Pixels with a NaN around them, whose neighbours are fewer, one list of samples each."""
+        """Pixels with a NaN around them, by how many numbers there are."""
         bad = np.isnan(window)
         if not bad.any():
             return
@@ -115,9 +114,12 @@ class Median:
             places = np.stack(np.unravel_index(flat[at : at + SELECTED], window.shape), axis=1)[:, None, :] + shift
             inside = ((places >= 0) & (places < shape)).all(axis=2)
             samples = np.where(inside, window[tuple(np.moveaxis(np.where(inside[..., None], places, 0), 2, 0))], np.nan)
-            with np.errstate(all="ignore"), warnings.catch_warnings():
-                warnings.simplefilter("ignore", RuntimeWarning)  # of places without any value
-                out.ravel()[flat[at : at + SELECTED]] = np.nanmedian(samples, axis=1)
+            here, numbers = flat[at : at + SELECTED], ~np.isnan(samples)
+            count = numbers.sum(axis=1)
+            out.ravel()[here] = np.nan
+            for n in np.unique(count[count > 0]).tolist():  # places with as many numbers are selected together
+                own = count == n
+                out.ravel()[here[own]] = select_middle(list(samples[own][numbers[own]].reshape(-1, n).T))
 
 
 def _stretches(n: int, radius: int) -> list[tuple[int, int]]:
