@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 from collections.abc import Iterable, Iterator
 from typing import Literal
 
@@ -58,13 +59,27 @@ def npy_header(raw: bytes) -> tuple[tuple[int, ...], str, int]:
     return tuple(fields["shape"]), fields["descr"], 8 + wide + size
 
 
+def read_head(file: object) -> bytes:
+    """The first bytes of an open array file, as many as its header has."""
+    raw = file.read(HEADER_BYTES)
+    if len(raw) == HEADER_BYTES and raw[:6] == b"\x93NUMPY":
+        raw += file.read(max(0, 12 + int.from_bytes(raw[8 : 10 if raw[6] == 1 else 12], "little") - len(raw)))
+    return raw
+
+
+def file_number(name: str) -> int | None:
+    """The first number in a file's name, if it is one that an index can be."""
+    found = re.search("[0-9]+", name)
+    return int(found[0]) if found and len(found[0]) <= 10 and int(found[0]) < 1 << 31 else None
+
+
 def npy_bytes(array: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.save(out, array, allow_pickle=False)
     return out.getvalue()
 
 
-def _described(raw: bytes, channels: int, with_data: bool, size: int | None = None) -> tuple[int | None, int | None, str | None, str | None, list | None]:
+def described(raw: bytes, channels: int, with_data: bool, size: int | None = None) -> tuple[int | None, int | None, str | None, str | None, list | None]:
     try:
         shape, dtype, at = npy_header(raw)
         if len(shape) != (3 if channels > 1 else 2) or (channels > 1 and shape[0] != channels) or min(shape) < 1:
@@ -98,72 +113,48 @@ def read_headers(files: DataFrame, channels: int = 1) -> DataFrame:
             for seq, idx, name, path, size in zip(*(c.to_pylist() for c in batch.columns)):
                 fs, own = pyarrow.fs.FileSystem.from_uri(path)
                 with fs.open_input_stream(own, compression=None, buffer_size=0) as file:
-                    raw = file.read(HEADER_BYTES)
-                    if len(raw) == HEADER_BYTES and raw[:6] == b"\x93NUMPY":
-                        raw += file.read(max(0, 12 + int.from_bytes(raw[8 : 10 if raw[6] == 1 else 12], "little") - len(raw)))
-                rows.append((seq, idx, name, *_described(raw, channels, False, size)))
+                    raw = read_head(file)
+                rows.append((seq, idx, name, *described(raw, channels, False, size)))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*rows)) or [[]] * len(_TYPES), _TYPES)], names=_NAMES)
 
     return files.select("seq", F.col("source_idx").alias("idx"), "source_name", "path", "bytes").mapInArrow(run, ARRAYS)
 
 
-def read_arrays(spark: SparkSession, files: DataFrame, root: str, channels: int = 1, pattern: str = "*.npy") -> DataFrame:
-    """Files of ``discover`` with shape, type, fault and data; a file at fault has no data."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
-    rows = files.join(raw, "path").select("seq", F.col("source_idx").alias("idx"), "source_name", "content")
+def read_arrays(spark: SparkSession, root: str, channels: int = 1, pixels: bool = True) -> DataFrame:
+    """Array files under ``root`` with shape, type, fault and, if wanted, pixels, each file read once where its task runs; a file at fault has no pixels."""
+    from strobelake.sources import array_files
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):  # a file at a time bounds memory
-                height, width, dtype, fault, data = _described(batch.column(3)[k].as_py(), channels, True)
-                values = [batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), height, width, dtype, fault, None if fault else data]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _TYPES)], names=_NAMES)
-
-    return rows.mapInArrow(run, ARRAYS)
+    array_files.register(spark)
+    return spark.read.format("array_files").option("channels", channels).option("pixels", str(pixels).lower()).load(root)
 
 
 def read_flows(spark: SparkSession, root: str, on_nonfinite: Literal["error", "null"] = "error") -> DataFrame:
     """Flow files (2, H, W) as flows; a file at fault refuses the read, or is null where only its values are."""
-    arrays = read_arrays(spark, discover(spark, root), root, channels=2)
+    arrays = read_arrays(spark, root, channels=2)
     bad = arrays.where("fault is not null" + (" and fault <> 'non-finite values'" if on_nonfinite == "null" else "")).select("source_name", "fault").limit(3).collect()
     if bad:
         raise ValueError("; ".join(f"{r['source_name']}: {r['fault']}" for r in bad))
-    half = F.col("height") * F.col("width")
-    return arrays.select("seq", "idx", "height", "width", F.slice("data", F.lit(1), half).alias("dx"), F.slice("data", half + 1, half).alias("dy")).to(FLOWS)
+    return arrays.select("seq", "idx", "height", "width", "dx", "dy").to(FLOWS)
 
 
 def flow_faults(spark: SparkSession, root: str, level: Literal["names", "headers", "data"] = "headers") -> DataFrame:
     """(seq, fault) of flow folders: by file numbers, then also by shapes and types, then also by values."""
     if level not in ("names", "headers", "data"):
         raise ValueError(f"level is names, headers or data, not {level!r}")
-    files = discover(spark, root)
-    per = files.groupBy("seq").agg(F.min("source_idx").alias("first"), F.max("source_idx").alias("last"), F.count("*").alias("n"))
+    per = discover(spark, root).groupBy("seq").agg(F.min("source_idx").alias("first"), F.max("source_idx").alias("last"), F.count("*").alias("n"))
     faults = per.where("last - first + 1 <> n or first is null").select("seq", F.lit("file numbers have gaps").alias("fault"))
     if level == "names":
         return faults
-    arrays = read_arrays(spark, files, root, channels=2) if level == "data" else read_headers(files, channels=2)
+    arrays = read_arrays(spark, root, channels=2, pixels=level == "data")
     shapes = arrays.where("fault is null").groupBy("seq").agg(F.countDistinct("height", "width").alias("n")).where("n > 1").select("seq", F.lit("shapes differ").alias("fault"))
     return faults.unionByName(arrays.where("fault is not null").select("seq", F.concat("source_name", F.lit(": "), "fault").alias("fault"))).unionByName(shapes)
 
 
-def write_flow_files(flows: DataFrame, root: str) -> None:
-    """Each flow as <seq>/<idx>_flow.npy, under a temporary name first, by pyarrow's file systems; flows that are null are refused."""
-    import pyarrow.fs
+def write_flow_files(flows: DataFrame, root: str, overwrite: bool = False) -> None:
+    """Each flow as <seq>/<idx>_flow.npy, committed together; flows that are null are left out, and none at all is refused."""
+    from strobelake.sources import array_files
 
     if flows.where("dx is not null").isEmpty():
         raise ValueError("there is no flow to write")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pyarrow.fs.FileSystem.from_uri(root)
-        for batch in batches:
-            for row in batch.to_pylist():
-                folder = f"{base}/{row['seq']}"
-                fs.create_dir(folder, recursive=True)
-                field = np.array([row["dx"], row["dy"]], dtype=np.float32).reshape(2, row["height"], row["width"])
-                name = f"{row['idx']:05d}_flow.npy"
-                with fs.open_output_stream(f"{folder}/.{name}.tmp") as out:
-                    out.write(npy_bytes(field))
-                fs.move(f"{folder}/.{name}.tmp", f"{folder}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
-
-    flows.where("dx is not null and dy is not null").select("seq", "idx", "height", "width", "dx", "dy").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    array_files.register(flows.sparkSession)
+    flows.where("dx is not null and dy is not null").write.format("array_files").option("channels", 2).mode("overwrite" if overwrite else "append").save(root)
