@@ -23,29 +23,47 @@ def _reflect(p: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(p, period - p)
 
 
-def backward_warp(image: np.ndarray, dx: np.ndarray, dy: np.ndarray, padding: Padding = "border") -> np.ndarray:
-    """(..., H, W) images sampled at (x + dx, y + dy); integers are rounded half to even and clamped to their type."""
+def check_padding(padding: str) -> None:
     if padding not in ("border", "zeros", "reflection"):
         raise ValueError(f"no padding {padding!r}")
-    *lead, h, w = image.shape
-    source = image.reshape(-1, h, w).astype(np.float64)
-    y, x = np.meshgrid(np.arange(h, dtype=np.float64), np.arange(w, dtype=np.float64), indexing="ij")
-    px = x + dx.reshape(-1, h, w) if w > 1 else np.zeros((len(source), h, w))
-    py = y + dy.reshape(-1, h, w) if h > 1 else np.zeros((len(source), h, w))
+
+
+def targets(dx: np.ndarray, dy: np.ndarray, size: tuple[int, int], origin: tuple[int, int], padding: Padding) -> tuple[np.ndarray, np.ndarray]:
+    """(y, x) in a frame of ``size`` that the pixels of (N, h, w) offsets, whose first is at ``origin``, point at."""
+    (height, width), (_, h, w) = size, dx.shape
+    y, x = np.meshgrid(np.arange(h, dtype=np.float64) + origin[0], np.arange(w, dtype=np.float64) + origin[1], indexing="ij")
+    px = x + dx if width > 1 else np.zeros(dx.shape)
+    py = y + dy if height > 1 else np.zeros(dy.shape)
     if padding == "border":
-        px, py = np.clip(px, 0, w - 1), np.clip(py, 0, h - 1)
+        px, py = np.clip(px, 0, width - 1), np.clip(py, 0, height - 1)
     elif padding == "reflection":
-        px, py = _reflect(px, w), _reflect(py, h)
-    x0, y0 = np.floor(px), np.floor(py)
+        px, py = _reflect(px, width), _reflect(py, height)
+    return py, px
+
+
+def sampled(source: np.ndarray, py: np.ndarray, px: np.ndarray, size: tuple[int, int], origin: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """Bilinear samples at places of a frame of ``size``, of which ``source`` (N, h, w) holds the pixels from ``origin`` on; outside the frame there is 0."""
+    (height, width), (_, h, w) = size, source.shape
+    y0, x0 = np.floor(py), np.floor(px)
     fx, fy = px - x0, py - y0
-    out = np.zeros(source.shape)
+    out = np.zeros(py.shape)
     n = np.arange(len(source))[:, None, None]
     for ky, wy in ((0, 1 - fy), (1, fy)):
         for kx, wx in ((0, 1 - fx), (1, fx)):
             cx, cy = x0 + kx, y0 + ky
-            inside = (cx >= 0) & (cx <= w - 1) & (cy >= 0) & (cy <= h - 1)
-            ix, iy = np.clip(cx, 0, w - 1).astype(int), np.clip(cy, 0, h - 1).astype(int)
+            inside = (cx >= 0) & (cx <= width - 1) & (cy >= 0) & (cy <= height - 1)
+            ix, iy = np.clip(cx - origin[1], 0, w - 1).astype(int), np.clip(cy - origin[0], 0, h - 1).astype(int)
             out += np.where(inside, wx * wy * source[n, iy, ix], 0)
+    return out
+
+
+def backward_warp(image: np.ndarray, dx: np.ndarray, dy: np.ndarray, padding: Padding = "border") -> np.ndarray:
+    """(..., H, W) images sampled at (x + dx, y + dy); integers are rounded half to even and clamped to their type."""
+    check_padding(padding)
+    *lead, h, w = image.shape
+    source = image.reshape(-1, h, w).astype(np.float64)
+    py, px = targets(dx.reshape(-1, h, w), dy.reshape(-1, h, w), (h, w), (0, 0), padding)
+    out = sampled(source, py, px, (h, w))
     if np.issubdtype(image.dtype, np.integer):
         span = np.iinfo(image.dtype)
         out = np.clip(np.rint(out), span.min, span.max)
