@@ -138,9 +138,9 @@ def unsourced_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 def reuse_plan(spark: SparkSession, d: str) -> DataFrame:
     frames = tables.phase_frames(spark, d)
-    parts = ranges.sequence_parts(ranges.frame_ranges(frames), SETTINGS)
+    parts = ranges.part_rows(ranges.frame_ranges(frames), SETTINGS)
     parts = parts.where("source <> '7'").withColumn("settings", F.when(F.col("source") == "5", "{}").otherwise(F.col("settings")))
-    contents = select.contents(frames.where("not (seq = '3' and idx = 4)"))
+    contents = select.content_digests(frames.where("not (seq = '3' and idx = 4)"))
     return incremental.reuse_plan(parts, contents, contents.where("seq <> '9'"), SETTINGS)
 
 

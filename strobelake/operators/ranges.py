@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strobelake.functions.digests import sequence_digest
 from strobelake.functions.pixels import finite_max, finite_min
 
 
@@ -40,6 +41,17 @@ def sequence_parts(ranges: DataFrame, settings: str) -> DataFrame:
     return folded.select(F.col("seq").alias("source"), "min_value", "max_value", F.col("min_index").cast("int"), F.col("max_index").cast("int"), "frames", F.lit(settings).alias("settings"))
 
 
+def part_rows(ranges: DataFrame, settings: str) -> DataFrame:
+    """A part for each sequence without the list of its frames: its range, how many frames there are, the digest of their names, and the settings."""
+    some = F.col("min_value").isNotNull()
+    least, most = F.min(F.when(some, F.struct("min_value", "idx"))), F.max(F.when(some, F.struct("max_value", (-F.col("idx")).alias("back"))))
+    rows = ranges.groupBy("seq").agg(least.alias("low"), most.alias("high"), F.count("*").alias("n_frames"), sequence_digest(F.col("idx"), F.col("source")).alias("digest")).where("low is not null")
+    return rows.select(
+        F.col("seq").alias("source"), "low.min_value", "high.max_value", F.col("low.idx").cast("int").alias("min_index"), (-F.col("high.back")).cast("int").alias("max_index"),
+        "n_frames", F.lit(settings).alias("settings"), "digest",
+    )
+
+
 def unmeasurable(ranges: DataFrame) -> DataFrame:
     """(seq, source) of frames without any finite value, which a meter refuses."""
     return ranges.where("min_value is null").select("seq", "source")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from strobelake.functions.pixels import to_radians
 from strobelake.operators.filters import apply_filter, describe, kernel
-from strobelake.operators.ranges import frame_ranges, sequence_parts
-from strobelake.plans.incremental import canonical, complete_folders, coverage, merge_parts, part_faults, reusable, to_compute, unsourced
-from strobelake.schema import FRAMES, SEQUENCE_RANGES, shape_faults
+from strobelake.operators.ranges import frame_ranges, part_rows
+from strobelake.plans.incremental import canonical, complete_folders, covered, part_faults, reusable, to_compute, unsourced
+from strobelake.schema import shape_faults
 from strobelake.sinks.documents import document, read_document, save_document
+from strobelake.sinks.parts import PartTable
 from strobelake.sinks.tables import FrameTable, check_apart, check_name, check_policies, commit_together
 from strobelake.sources import select as sel
 
@@ -88,20 +89,11 @@ class Outcome:
         return row.asDict()
 
 
-def _read_parts(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(SEQUENCE_RANGES).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], SEQUENCE_RANGES)
-
-
 def run(frames: DataFrame, job: Job) -> Outcome:
     """Run over a frames table. Sequences at fault are left out and named; IncompleteRun is raised once all else is committed."""
     spark = frames.sparkSession
     settings = canonical(job.settings())
-    known = sel.contents(sel.select_frames(frames, job.start, job.step, job.count))
+    known = sel.content_digests(sel.select_frames(frames, job.start, job.step, job.count))
     known = known.withColumn("ordinal", F.col("seq"))
     chosen = sel.select_sequences(frames, job.include, job.exclude)
     if chosen.isEmpty():
@@ -111,8 +103,8 @@ def run(frames: DataFrame, job: Job) -> Outcome:
     names = chosen.select("seq").distinct()
 
     sink = FrameTable(spark, f"{job.target.rstrip('/')}/frames")
-    parts_root = f"{job.target.rstrip('/')}/{job.name}.parts"
-    old = _newest_parts(spark, parts_root)
+    table = PartTable(spark, f"{job.target.rstrip('/')}/{job.name}.parts")
+    old = table.current()
     if job.if_present == "error":
         found = old.select(F.col("source").alias("seq")).join(names, "seq", "left_semi").limit(5).collect()
         if found:
@@ -123,7 +115,7 @@ def run(frames: DataFrame, job: Job) -> Outcome:
     kept_parts = reusable(old, known, settings) if job.if_present == "reuse" else names.limit(0)
     kept_frames = names.limit(0)
     if job.if_present == "reuse" and job.write_frames:
-        kept_frames = reusable(sink.manifest().select(F.col("seq").alias("source"), "settings", "frames"), known, settings)
+        kept_frames = reusable(sink.manifest().select(F.col("seq").alias("source"), "settings", "digest"), known, settings)
         kept_frames = kept_frames.join(complete_folders(sink.counts(), sink.manifest()), "seq", "left_semi")
     need = to_compute(names, *([kept_parts, kept_frames] if job.write_frames else [kept_parts])).persist()
     todo = taken.join(need, "seq", "left_semi")
@@ -136,27 +128,24 @@ def run(frames: DataFrame, job: Job) -> Outcome:
     radians = fine.withColumn("data", to_radians(F.col("data"), F.col("unit"), F.col("height_scale"))).withColumn("unit", F.lit("rad"))
     filtered = apply_filter(radians, job.kernel())
 
-    if job.write_frames:
-        run_id, rows = sink.stage(filtered, settings) if not fine.isEmpty() else ("", None)
-        measured = spark.read.schema(FRAMES).parquet(sink.run_path(run_id)) if rows is not None else filtered
-    else:
-        rows, measured = None, filtered
-    new = sequence_parts(frame_ranges(measured), settings)
-    merge = merge_parts(old, new)
-    gone = unsourced(merge.select(F.col("source").alias("seq")), known)
-    if job.if_unsourced == "delete":
-        merge = merge.join(gone.select(F.col("seq").alias("source")), "source", "left_anti")
-    generation, publish = _write_parts(spark, merge, parts_root)
-    commit_together([] if rows is None else [(sink, rows)], publish)
+    run_id, rows = sink.stage(filtered, settings) if job.write_frames and not fine.isEmpty() else ("", None)
+    # frames are measured while they are written; where they are not, once
+    measured = frame_ranges(filtered).persist() if rows is None else sink.ranges(run_id)
+    new = part_rows(measured, settings)
+    gone = unsourced(old.select(F.col("source").alias("seq")), known).select(F.col("seq").alias("source"))
+    staged = table.stage(new, measured.select(F.col("seq").alias("source"), "idx", F.col("source").alias("name"), "min_value", "max_value"), gone if job.if_unsourced == "delete" else None)
+    commit_together([] if rows is None else [(sink, rows)], lambda: table.publish(staged))
+    if rows is None:
+        measured.unpersist()
     if job.write_frames and job.if_unsourced == "delete":
         sink.drop(unsourced(sink.manifest(), known))
     if job.write_frames and job.vacuum:
         sink.vacuum()
 
-    parts = spark.read.schema(SEQUENCE_RANGES).parquet(generation).join(known.select(F.col("seq").alias("source")), "source", "left_semi")
-    bad = part_faults(parts)
+    parts = table.current().join(known.select(F.col("seq").alias("source")), "source", "left_semi")
+    bad = part_faults(parts, table.frames(parts))
     sound = parts.join(bad.select("source"), "source", "left_anti")
-    text = document(job.settings(), coverage(known, names, sound, names.join(need, "seq", "left_anti")), sound, job.source or job.name)
+    text = document(job.settings(), covered(known, names, sound, names.join(need, "seq", "left_anti")), sound, table.frames(sound), job.source or job.name)
     path = save_document(spark, job.target, job.name, text)
     done = need.join(refused.select("seq"), "seq", "left_anti").select("seq", F.lit(True).alias("computed"), F.lit(None).cast("string").alias("reason"))
     unchanged = names.join(need, "seq", "left_anti").select("seq", F.lit(False).alias("computed"), F.lit(None).cast("string").alias("reason"))
@@ -170,30 +159,6 @@ def run(frames: DataFrame, job: Job) -> Outcome:
     return result
 
 
-def _newest_parts(spark: SparkSession, root: str) -> DataFrame:
-    """The parts of the newest generation."""
-    try:
-        newest = spark.read.schema("generation long").parquet(f"{root}/generations").agg(F.max("generation")).first()[0]
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        newest = None
-    return spark.createDataFrame([], SEQUENCE_RANGES) if newest is None else _read_parts(spark, f"{root}/{newest}")
-
-
-def _write_parts(spark: SparkSession, parts: DataFrame, root: str) -> tuple[str, Callable[[], None]]:
-    """(path of a new generation of parts, what writes the row that names it, by which it counts)."""
-    try:
-        newest = spark.read.schema("generation long").parquet(f"{root}/generations").agg(F.max("generation")).first()[0] or 0
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        newest = 0
-    path = f"{root}/{newest + 1}"
-    parts.write.mode("overwrite").parquet(path)
-    return path, lambda: spark.createDataFrame([(newest + 1,)], "generation long").write.mode("append").parquet(f"{root}/generations")
-
-
 def sweep(frames: DataFrame, job: Job, filters: Mapping[str, Mapping]) -> dict[str, Outcome]:
     """One run for each filter over the shared source; frames are not written in a sweep."""
     from dataclasses import replace

@@ -8,6 +8,7 @@ from typing import Literal
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strobelake.functions.digests import sequence_digest
 from strobelake.functions.pixels import all_finite
 
 Names = Sequence[str] | str | None
@@ -93,6 +94,11 @@ def contents(frames: DataFrame) -> DataFrame:
     return named.select("seq", F.size("rows").alias("n_source"), F.col("rows.source_name").alias("frames"))
 
 
+def content_digests(frames: DataFrame) -> DataFrame:
+    """(seq, n_source, digest): how many frames every sequence has, and 32 bytes that stand for their names in order."""
+    return frames.groupBy("seq").agg(F.count("*").alias("n_source"), sequence_digest(F.col("idx"), F.col("source_name")).alias("digest"))
+
+
 def renumber(frames: DataFrame) -> DataFrame:
     """idx counted from 0 in the order it has, for frames whose numbers have gaps."""
     order = Window.partitionBy("seq").orderBy("idx")

@@ -12,6 +12,7 @@ from strobelake.plans import incremental as inc
 from strobelake.plans import preprocess
 from strobelake.schema import FRAMES
 from strobelake.sinks import tables as sinks
+from strobelake.sinks.parts import PartTable
 
 
 def bounds(spark, pairs):
@@ -100,6 +101,73 @@ def test_commit_together_takes_back(spark, tmp_path):
     assert good.manifest().count() == 1
 
 
+def test_a_revoked_run_leaves_what_counted_before(spark, tmp_path):
+    sink = sinks.FrameTable(spark, f"file://{tmp_path}/t")
+    first, second = frames_of(spark, {"a": np.ones((2, 1, 1)), "b": np.ones((1, 1, 1))}), frames_of(spark, {"a": np.zeros((3, 1, 1))})
+    for frames, fails in ((first, False), (second, True)):
+        staged = [(sink, sink.stage(frames, "{}")[1])]
+        if fails:
+            with pytest.raises(OSError):
+                sinks.commit_together(staged, lambda: (_ for _ in ()).throw(OSError("full")))
+        else:
+            sinks.commit_together(staged)
+    assert {k: v.shape[0] for k, v in stacks(sink.read(FRAMES)).items()} == {"a": 2, "b": 1}
+
+
+def test_claims_are_never_shared(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: sinks.claim(spark, f"file://{tmp_path}/claims"), range(24)))
+    assert len(set(got)) == 24
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_runs_at_the_same_time_lose_nothing(spark, tree, tmp_path, monkeypatch, same):
+    """A run that begins, reads and commits while another is between its reading and its commit."""
+    target, inner = f"file://{tmp_path}/out", []
+    other = preprocess.Job(target=target, include=["TL_01", "TL_02"] if same else ["TL_02"], filter={"kind": "identity"}, if_present="overwrite")
+    commit = preprocess.commit_together
+
+    def interleaved(staged, then):
+        if not inner:
+            inner.append(None)
+            inner[0] = preprocess.run(tree, other).verdict()
+        commit(staged, then)
+
+    monkeypatch.setattr(preprocess, "commit_together", interleaved)
+    done = preprocess.run(tree, preprocess.Job(target=target, include=["TL_00", "TL_01"], filter={"kind": "identity"}, if_present="overwrite"))
+    assert inner[0]["failed"] == 0 and done.verdict() == {"computed": 2, "unchanged": 0, "failed": 0}
+    assert set(stacks(sinks.FrameTable(spark, f"{target}/frames").read(FRAMES))) == {"TL_00", "TL_01", "TL_02"}
+    parts = PartTable(spark, f"{target}/ranges.parts").current()
+    assert sorted(r["source"] for r in parts.collect()) == ["TL_00", "TL_01", "TL_02"]
+    assert json.loads(done.document)["coverage"]["covered"] == 3
+
+
+def test_frames_are_read_once_and_measured_while_written(spark, tree, tmp_path):
+    """The pixels that a run wrote are not read again: ranges come from columns beside them."""
+    sink = sinks.FrameTable(spark, f"file://{tmp_path}/t")
+    run, _ = sink.stage(tree, "{}")
+    got = sink.ranges(run)
+    scanned = got._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert "data" not in scanned and "_low" in scanned
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ranges.frame_ranges(tree).collect()))
+
+
+def test_digests_tell_order_names_and_counts(spark):
+    from strobelake.sources import select as sel
+
+    frames = frames_of(spark, {s: np.ones((4, 1, 1)) for s in "abcd"})
+    digests = lambda f: {r["seq"]: r["digest"] for r in sel.content_digests(f).collect()}
+    whole = digests(frames)
+    assert len(set(whole.values())) == 1 and len(whole["a"]) == 64
+    swapped = frames.withColumn("idx", F.when(F.col("seq") == "a", 3 - F.col("idx")).otherwise(F.col("idx")))
+    fewer = swapped.where("not (seq = 'b' and idx = 3)").withColumn("source_name", F.when((F.col("seq") == "c") & (F.col("idx") == 1), "other").otherwise(F.col("source_name")))
+    other = digests(fewer.repartition(5))
+    assert other["d"] == whole["d"] and len({other[s] for s in "abcd"}) == 4
+    assert digests(frames.unionByName(frames.where("seq = 'a' and idx = 0")).unionByName(frames.where("seq = 'a' and idx = 0")))["a"] != whole["a"]
+
+
 @pytest.fixture
 def tree(spark):
     rng = np.random.default_rng(0)
