@@ -3,6 +3,11 @@
 A frame that comes too early waits until the gap before it closes: a few in the task, the others as bytes in the
 state, which RocksDB keeps on disk. One that was already seen is left out. A frame whose column ``reset`` is true starts
 anew: it is paired with none before it. Results are labelled by the first frame of their pair.
+
+With a ``timeout`` a gap is waited for that long, counted from the batch in which it was seen. Then each frame that never came is
+named by a row with ``missing`` set and no results, and the sequence goes on after the gap. The timer is part of the state: a stream
+that is started again goes on waiting where it stopped. Batches without data go on while a timer may come due, so a stream that shall end with
+its data (``availableNow``) needs ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
 """
 
 from __future__ import annotations
@@ -25,16 +30,20 @@ class Push(StatefulProcessor):
     """Calls ``calc(previous, current)`` on (H, W) arrays and emits one flat result for each pair.
 
     ``patience`` is how many frames may wait for a missing one at the end of a batch; the stream fails beyond it.
+    ``timeout`` is how many milliseconds a missing frame is waited for; None waits for ever.
     """
 
     names: tuple[str, ...] = ("value",)
 
-    def __init__(self, calc: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], first: int = 0, patience: int | None = None):
-        self.calc, self.first, self.patience = calc, first, patience
+    def __init__(self, calc: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], first: int = 0, patience: int | None = None, timeout: int | None = None):
+        self.calc, self.first, self.patience, self.timeout = calc, first, patience, timeout
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", STATE)
         self.waiting = handle.getMapState("waiting", "idx int", WAITING)
+        if self.timeout is not None:
+            self.due = handle.getValueState("due", "idx int, at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         want, before, stored = self.last.get() if self.last.exists() else (self.first, None, 0)
@@ -46,29 +55,63 @@ class Push(StatefulProcessor):
                 if idx < want or idx in held or (stored and self.waiting.containsKey((idx,))):
                     continue
                 held[idx] = (np.asarray(row.data, dtype=np.float32).tobytes(), int(row.height), int(row.width), bool(row.reset))
-                while want in held or (stored and self.waiting.containsKey((want,))):
-                    if want in held:
-                        data, height, width, reset = held.pop(want)
-                    else:
-                        data, height, width, reset = self.waiting.getValue((want,))
-                        self.waiting.removeKey((want,))
-                        stored -= 1
-                    if before is not None and not reset:
-                        a, b = (np.frombuffer(x, dtype=np.float32).reshape(height, width) for x in (before, data))
-                        out.append((key[0], want - 1, *(c.ravel().astype(np.float32) for c in self.calc(a, b))))
-                    before, want = bytes(data), want + 1
+                want, before, stored = self._advance(key, want, before, stored, held, out)
                 if len(held) > HELD:
                     latest = max(held)
                     self.waiting.updateValue((latest,), held.pop(latest))
                     stored += 1
-            columns = ["seq", "idx", *self.names]
-            yield pd.DataFrame({c: pd.Series([r[k] for r in out], dtype="int32" if c == "idx" else object) for k, c in enumerate(columns)})
+            yield self._rows(out)
         for idx, value in held.items():
             self.waiting.updateValue((idx,), value)
         stored += len(held)
         if self.patience is not None and stored > self.patience:
             raise ValueError(f"{key[0]}: frame {want} is missing and {stored} frames wait for it")
         self.last.update((want, before, stored))
+        if self.timeout is not None:
+            self._wait(want if stored else None, timerValues.getCurrentProcessingTimeInMs())
+
+    def _advance(self, key: tuple, want: int, before: bytes | None, stored: int, held: dict[int, tuple], out: list[tuple]) -> tuple[int, bytes | None, int]:
+        """Take the frames that follow, as far as they are there; (next wanted, the frame before it, how many wait in the state)."""
+        while want in held or (stored and self.waiting.containsKey((want,))):
+            if want in held:
+                data, height, width, reset = held.pop(want)
+            else:
+                data, height, width, reset = self.waiting.getValue((want,))
+                self.waiting.removeKey((want,))
+                stored -= 1
+            if before is not None and not reset:
+                a, b = (np.frombuffer(x, dtype=np.float32).reshape(height, width) for x in (before, data))
+                out.append((key[0], want - 1, *(c.ravel().astype(np.float32) for c in self.calc(a, b)), False))
+            before, want = bytes(data), want + 1
+        return want, before, stored
+
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        """Results as the stream gives them; only a stream with a timeout has the column ``missing``."""
+        columns = ["seq", "idx", *self.names, *(["missing"] if self.timeout is not None else [])]
+        return pd.DataFrame({c: pd.Series([r[k] for r in out], dtype={"idx": "int32", "missing": "bool"}.get(c, object)) for k, c in enumerate(columns)})
+
+    def _wait(self, missing: int | None, now: int) -> None:
+        """One timer for the first missing frame: another gap gets a time of its own, a closed one none."""
+        due = self.due.get() if self.due.exists() else None
+        if due is not None and due[0] != missing:
+            self.handle.deleteTimer(due[1])
+            self.due.clear()
+            due = None
+        if missing is not None and due is None:
+            self.handle.registerTimer(now + self.timeout)
+            self.due.update((missing, now + self.timeout))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        want, before, stored = self.last.get()
+        self.due.clear()
+        out: list[tuple] = []
+        if stored:
+            there = min(k[0] for k in self.waiting.keys())
+            out += [(key[0], idx, *[None] * len(self.names), True) for idx in range(want, there)]
+            want, before, stored = self._advance(key, there, None, stored, {}, out)
+            self.last.update((want, before, stored))
+            self._wait(want if stored else None, timerValues.getCurrentProcessingTimeInMs())
+        yield self._rows(out)
 
     def close(self) -> None:
         pass
@@ -94,7 +137,7 @@ class FlowPush(Push):
 
 def push(frames: DataFrame, processor: Push) -> DataFrame:
     """A streaming DataFrame (seq, idx, results) from one with (seq, idx, height, width, data) and, if wanted, reset; needs the RocksDB state store."""
-    schema = "seq string, idx int, " + ", ".join(f"{n} array<float>" for n in processor.names)
+    schema = "seq string, idx int, " + ", ".join(f"{n} array<float>" for n in processor.names) + (", missing boolean" if processor.timeout is not None else "")
     reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in frames.columns else F.lit(False)
     rows = frames.select("seq", "idx", "height", "width", "data", reset.alias("reset"))
-    return rows.groupBy("seq").transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    return rows.groupBy("seq").transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None" if processor.timeout is None else "ProcessingTime")

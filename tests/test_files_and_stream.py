@@ -113,3 +113,39 @@ def test_headers_move_no_pixels(spark, tmp_path):
     (tmp_path / "a/00005_flow.npy").write_bytes(b"no array")
     found = {r["idx"]: (r["height"], r["fault"], r["data"]) for r in files.read_headers(files.discover(spark, f"file://{tmp_path}"), 2).collect()}
     assert found[0] == found[4] == (40, None, None) and found[3][1] == "the file is cut short" and found[5][1].startswith("no array file")
+
+
+@pytest.fixture
+def data_batches_only(spark):
+    """A stream that ends with its data: else batches go on as long as a timer may come due."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_a_gap_that_never_closes_is_named_after_its_time(spark, tmp_path, rocks, data_batches_only):
+    """Frames 2 and 3 never come: the gap is named once the time is over, in a stream that was started again, and the sequence goes on."""
+    import time
+
+    stack = {"a": np.arange(7.0)[:, None, None] ** 2 * np.ones((1, 1, 2)), "b": np.arange(4.0)[:, None, None] * np.ones((1, 1, 2))}
+    frames = frames_of(spark, stack).select("seq", "idx", "height", "width", "data")
+    schema, wait = frames.schema, 20_000
+
+    def go(part, name):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/part={name}")
+        arriving = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        query = push.push(arriving, push.Difference(timeout=wait)).writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+        assert query.awaitTermination(120)
+        return {(r["seq"], r["idx"]): (r["change"], r["missing"]) for r in spark.read.parquet(f"{tmp_path}/out").where("seq is not null").collect()}
+
+    first = go(frames.where("(seq = 'a' and idx in (0, 1, 4, 5)) or (seq = 'b' and idx in (0, 2))"), 1)
+    assert first == {("a", 0): ([1.0, 1.0], False)}
+    second = go(frames.where("seq = 'b' and idx = 1"), 2)  # this gap closes in time
+    assert not any(missing for _, missing in second.values()) and ("b", 1) in second
+    time.sleep(wait / 1000 + 1)
+    third = go(frames.where("seq = 'b' and idx = 3"), 3)
+    assert {k for k, (_, missing) in third.items() if missing} == {("a", 2), ("a", 3)} and third["a", 2][0] is None
+    assert third["a", 4] == ([9.0, 9.0], False) and ("a", 3) in third and third["b", 2] == ([1.0, 1.0], False)
+    last = go(frames.where("seq = 'a' and idx = 6"), 4)
+    assert last["a", 5] == ([11.0, 11.0], False) and len(last) == 8
