@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strobelake.functions import pixels as px
-from strobelake.operators import filters, flow, normalize, pairing, ranges, score, warp, windows
-from strobelake.plans import fields, incremental, preprocess
-from strobelake.sources import select, tables
+from strobelake.operators import filters, flow, normalize, pairing, ranges, score, tiles, warp, windows
+from strobelake.plans import fields, incremental, preprocess, range_tree, views
+from strobelake.sinks.tables import FrameTable
+from strobelake.sources import array_files, files, select, tables
 from strobelake.streaming import push
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +66,7 @@ def frame_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sequence_range(spark: SparkSession, d: str) -> DataFrame:
-    return ranges.sequence_ranges(ranges.frame_ranges(tables.phase_frames(spark, d)))
+    return ranges.sequence_ranges(tables.phase_ranges(spark, d))
 
 
 def dataset_range(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +84,15 @@ def sequence_part_frames(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("source", "min_index", "max_index", F.size("frames").alias("n_frames"), F.col("frames")[0]["source"].alias("first"), _round(F.element_at("frames", -1)["max_value"], 6).alias("last_max"), "settings")
 
 
+def range_tree_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as a part of a two-level fold: first those of half the days, then all, replaced in their branches."""
+    users = tables.read(spark, d, "events").select(F.col("user_id").cast("string").alias("source"), "value", (F.dayofmonth("ts") % 2 == 0).alias("early"))
+    tree = range_tree.RangeTree(spark, f"{_work(spark)}/tree-{uuid.uuid4().hex}")
+    for rows in (users.where("early"), users):
+        tree.update(rows.groupBy("source").agg(F.min("value").alias("min_value"), F.max("value").alias("max_value")))
+    return tree.fold()
+
+
 # --- selection ----------------------------------------------------------------------
 
 
@@ -153,8 +163,8 @@ def part_faults(spark: SparkSession, d: str) -> DataFrame:
 
 def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
     """Orders as outcomes: computed, unchanged and failed."""
-    rows = tables.read(spark, d, "orders").select((F.col("o_orderstatus") == "F").alias("computed"), F.when(F.col("o_orderstatus") == "P", "pending").alias("reason"))
-    return rows.agg(F.count_if("computed").alias("computed"), F.count_if(~F.col("computed") & F.col("reason").isNull()).alias("unchanged"), F.count_if(F.col("reason").isNotNull()).alias("failed"))
+    rows = tables.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("seq"), (F.col("o_orderstatus") == "F").alias("computed"), F.when(F.col("o_orderstatus") == "P", "pending").alias("reason"))
+    return preprocess.verdict_counts(rows)
 
 
 def preprocess_document(spark: SparkSession, d: str) -> DataFrame:
@@ -168,6 +178,46 @@ def preprocess_document(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("s.source", "s.min_value", "s.max_value", "s.min_index", "s.max_index", F.size("s.frames").alias("frames"), "coverage.found", "coverage.selected", "coverage.covered", F.array_join("coverage.unselected", ",").alias("unselected"))
 
 
+def frame_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every frame as nanometres written to an array file and read back: metres with their scale, taken to radians."""
+    array_files.register(spark)
+    root = f"{_work(spark)}/frames-{uuid.uuid4().hex}"
+    tables.phase_frames(spark, d).withColumn("unit", F.lit("nm")).write.format("array_files").mode("append").save(root)
+    back = spark.read.format("array_files").option("committed", "true").load(root)
+    radians = px.to_radians(F.col("data"), F.col("unit"), F.col("height_scale")).cast("array<double>")
+    return back.select("seq", "idx", "source_name", "height", "width", "unit", "pixel_size", _round(px.total(radians), 4).alias("total"))
+
+
+def flow_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every flow written to an array file and read back."""
+    root = f"{_work(spark)}/flows-{uuid.uuid4().hex}"
+    files.write_flow_files(tables.flow_frames(tables.phase_frames(spark, d)), root)
+    total = lambda c: _round(px.total(F.col(c).cast("array<double>")), 4).alias(c)
+    return files.read_flows(spark, root).select("seq", "idx", total("dx"), total("dy"))
+
+
+def cached_or_computed(spark: SparkSession, d: str) -> DataFrame:
+    """The sequences of odd numbers from a table that holds them, the others computed, behind one name."""
+    frames, kernel = tables.phase_frames(spark, d), filters.Median((1, 1, 0), "cuboid")
+    sink = FrameTable(spark, f"{_work(spark)}/cache-{uuid.uuid4().hex}")
+    sink.commit(sink.stage(filters.apply_filter(frames.where("cast(seq as int) % 2 = 1"), kernel), SETTINGS)[1])
+    return _cells(views.cached_or_computed(sink, frames, kernel, SETTINGS))
+
+
+def median3d_tiled(spark: SparkSession, d: str) -> DataFrame:
+    """The median over tiles of 3 x 3 pixels with a halo."""
+    cut = tiles.cut(tables.phase_frames(spark, d), 3)
+    return _cells(tiles.whole(tiles.filter_tiles(cut, 3, filters.Median((2, 2, 2), "ellipsoid")), 3))
+
+
+def warp_tiled(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame warped onto the one before, tile by tile."""
+    pairs = _pairs(spark, d)
+    following = pairs.select("seq", "idx", "height", "width", F.col("curr").alias("data")).where("data is not null")
+    warped = tiles.warp_tiles(tiles.cut(following, 5), tiles.cut(pairs.select("seq", "idx", "height", "width", "dx", "dy"), 5, ("dx", "dy")), 5)
+    return _cells(tiles.whole(warped.where("data is not null"), 5), 4)
+
+
 def _work(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local"):
@@ -408,6 +458,12 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "part_faults": (part_faults, f"WITH {_PHASE} SELECT DISTINCT seq AS source, CASE seq WHEN '1' THEN 'a bound is not finite' WHEN '2' THEN 'the bounds are inverted' WHEN '4' THEN 'a position is outside its frames' ELSE 'filed under another name' END AS fault FROM phase WHERE seq IN ('1', '2', '4', '6')"),
     "verdict_counts": (verdict_counts, "SELECT count(*) FILTER (o_orderstatus = 'F') AS computed, count(*) FILTER (o_orderstatus NOT IN ('F', 'P')) AS unchanged, count(*) FILTER (o_orderstatus = 'P') AS failed FROM orders"),
     "preprocess_document": (preprocess_document, f"WITH {_RANGES}, strided AS (SELECT seq, (idx // 2)::INTEGER AS idx, min_value, max_value FROM frame_range WHERE idx % 2 = 0 AND seq <> '0') SELECT seq AS source, min(min_value) AS min_value, max(max_value) AS max_value, arg_min(idx, (min_value, idx)) AS min_index, arg_min(idx, (-max_value, idx)) AS max_index, count(*)::INTEGER AS frames, (SELECT count(DISTINCT seq) FROM phase) AS found, (SELECT count(DISTINCT seq) - 1 FROM phase) AS selected, (SELECT count(DISTINCT seq) - 1 FROM phase) AS covered, '0' AS unselected FROM strided GROUP BY seq"),
+    "range_tree_updates": (range_tree_updates, "WITH users AS (SELECT user_id::VARCHAR AS seq, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY user_id), ranked AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1)::INTEGER AS r FROM users) SELECT min(min_value) AS min_value, max(max_value) AS max_value, arg_min(r, (min_value, r)) AS min_index, arg_min(r, (-max_value, r)) AS max_index, count(*) AS parts FROM ranked"),
+    "frame_files": (frame_files, f"WITH {_CELLS} SELECT seq, idx, printf('%05d_phase.npy', idx) AS source_name, 8 AS height, 8 AS width, 'm' AS unit, 0.15::DOUBLE AS pixel_size, round(sum(v::DOUBLE * 1e-9 / 2.0e-7), 4) + 0.0 AS total FROM cells GROUP BY seq, idx"),
+    "flow_files": (flow_files, f"WITH {_FLOW} SELECT seq, idx, round(sum(dx), 4) + 0.0 AS dx, round(sum(dy), 4) + 0.0 AS dy FROM flow GROUP BY seq, idx"),
+    "cached_or_computed": (cached_or_computed, _median_sql(1, 1, 0, False)),
+    "median3d_tiled": (median3d_tiled, _median_sql(2, 2, 2, True)),
+    "warp_tiled": (warp_tiled, _warp_sql("border")),
     "median_t_r2": (median_t_r2, f"WITH {_SIGNAL} SELECT seq, idx, round(median(value) OVER (PARTITION BY seq ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) + 0.0 AS value FROM signal"),
     "gauss_t": (gauss_t, f"WITH {_SIGNAL} SELECT a.seq, a.idx, round(sum(exp(-((b.idx - a.idx) * (b.idx - a.idx)) / 2.0) * b.value) / sum(exp(-((b.idx - a.idx) * (b.idx - a.idx)) / 2.0)), 6) + 0.0 AS value FROM signal a JOIN signal b ON b.seq = a.seq AND b.idx BETWEEN a.idx - 4 AND a.idx + 4 GROUP BY ALL"),
     "trim_spans": (trim_spans, f"WITH {_SIGNAL}, sized AS (SELECT *, count(*) OVER (PARTITION BY seq) AS n FROM signal) SELECT seq, idx, round(value, 6) + 0.0 AS value FROM sized WHERE idx >= 1 AND idx < n - 2"),

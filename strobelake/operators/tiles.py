@@ -155,7 +155,8 @@ def warp_tiles(images: DataFrame, flows: DataFrame, side: int, padding: Padding
     h, w = _extent(F.col("ty"), side, F.col("height")), _extent(F.col("tx"), side, F.col("width"))
     y, x = F.greatest(F.col("ty") * side, "_top"), F.greatest(F.col("tx") * side, "_left")
     high, wide = F.least(F.col("ty") * side + h, F.col("_bottom") + 1) - y, F.least(F.col("tx") * side + w, F.col("_right") + 1) - x
-    strips = met.select("seq", "idx", "_ty", "_tx", y.alias("y"), x.alias("x"), high.alias("h"), wide.alias("w"), _cut(F.col("data"), w, y - F.col("ty") * side, x - F.col("tx") * side, high, wide).alias("data"))
+    # names of their own, for images and flows may come from one table
+    strips = met.select(F.col("seq").alias("_seq"), F.col("idx").alias("_idx"), "_ty", "_tx", y.alias("y"), x.alias("x"), high.alias("h"), wide.alias("w"), _cut(F.col("data"), w, y - F.col("ty") * side, x - F.col("tx") * side, high, wide).alias("data"))
 
     def run(tile: pa.Table, parts: pa.Table) -> pa.Table:
         row = tile.to_pylist()[0] if len(tile) else None
@@ -177,6 +178,6 @@ def warp_tiles(images: DataFrame, flows: DataFrame, side: int, padding: Padding
 
     out = pa.schema([("seq", pa.string()), ("idx", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("ty", pa.int32()), ("tx", pa.int32()), ("data", pa.list_(pa.float32()))])
     schema = "seq string, idx int, height int, width int, ty int, tx int, data array<float>"
-    warped = asked.groupBy("seq", "idx", "ty", "tx").cogroup(strips.groupBy("seq", "idx", "_ty", "_tx")).applyInArrow(run, schema)
+    warped = asked.groupBy("seq", "idx", "ty", "tx").cogroup(strips.groupBy("_seq", "_idx", "_ty", "_tx")).applyInArrow(run, schema)
     still = own.where("dx is null or dy is null").select("seq", "idx", "height", "width", "ty", "tx", F.lit(None).cast("array<float>").alias("data"))
     return warped.unionByName(still)

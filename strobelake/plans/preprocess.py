@@ -85,8 +85,13 @@ class Outcome:
 
     def verdict(self) -> dict[str, int]:
         """How many sequences were computed, unchanged and failed."""
-        row = self.outcomes.agg(F.count_if(F.col("computed")).alias("computed"), F.count_if(~F.col("computed") & F.col("reason").isNull()).alias("unchanged"), F.count_if(F.col("reason").isNotNull()).alias("failed")).first()
-        return row.asDict()
+        return verdict_counts(self.outcomes).first().asDict()
+
+
+def verdict_counts(outcomes: DataFrame) -> DataFrame:
+    """One row of how many outcomes (seq, computed, reason) were computed, unchanged and failed."""
+    failed = F.col("reason").isNotNull()
+    return outcomes.agg(F.count_if(F.col("computed")).alias("computed"), F.count_if(~F.col("computed") & ~failed).alias("unchanged"), F.count_if(failed).alias("failed"))
 
 
 def run(frames: DataFrame, job: Job) -> Outcome:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strobelake.functions.pixels import finite_max, finite_min
 from strobelake.operators.windows import with_count
 
 #: Pixels of a side, and ids of a label that are ranked together.
@@ -42,6 +43,14 @@ def phase_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def phase_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges (seq, idx, source, min_value, max_value) of ``phase_frames``, each frame reduced where it is read: no pixel is shuffled to number it."""
+    data = F.col("embedding")
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("seq"), "vec_id", finite_min(data).alias("min_value"), finite_max(data).alias("max_value"))
+    rows = numbered(rows, "seq", ["vec_id"], F.floor(F.col("vec_id") / STRETCH))
+    return rows.select("seq", "idx", F.format_string("%05d_phase", "idx").alias("source"), "min_value", "max_value")
+
+
 def flow_frames(frames: DataFrame) -> DataFrame:
     """A flow for each frame but the last of a sequence (null there), from a fixed formula of idx, x and y."""
     cells = F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)
