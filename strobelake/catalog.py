@@ -268,13 +268,11 @@ def normalize_pairwise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_injected_dataset(spark: SparkSession, d: str) -> DataFrame:
-    frames = tables.phase_frames(spark, d)
-    return _totals(normalize.injected(frames, ranges.dataset_range(ranges.sequence_ranges(ranges.frame_ranges(frames)))))
+    return _totals(normalize.injected(tables.phase_frames(spark, d), dataset_range(spark, d)))
 
 
 def normalize_injected_sequence(spark: SparkSession, d: str) -> DataFrame:
-    frames = tables.phase_frames(spark, d)
-    return _totals(normalize.injected(frames, ranges.sequence_ranges(ranges.frame_ranges(frames)), "int16", scope="sequence"))
+    return _totals(normalize.injected(tables.phase_frames(spark, d), sequence_range(spark, d), "int16", scope="sequence"))
 
 
 def normalize_clamped(spark: SparkSession, d: str) -> DataFrame:
@@ -286,8 +284,7 @@ def normalize_clamped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    frames = tables.phase_frames(spark, d)
-    return flow.neighbours(frames).join(tables.flow_frames(frames).drop("height", "width"), ["seq", "idx"])
+    return flow.neighbours(tables.moving_frames(spark, d), "dx", "dy")
 
 
 def _warped(padding: str) -> Query:
@@ -347,16 +344,14 @@ def _plan(wanted: Sequence[str], three: bool = False) -> fields.Plan:
 
 def _field(*wanted: str, three: bool = False, aligned: bool = True) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        phase = tables.phase_frames(spark, d)
-        found = fields.evaluate(_plan(wanted, three), phase, tables.flow_frames(phase), aligned)
+        found = fields.evaluate(_plan(wanted, three), tables.moving_frames(spark, d), aligned=aligned)
         return fields.signals(found).select("seq", "idx", "metric", _round("value", 5).alias("value"))
 
     return query
 
 
 def field_means(spark: SparkSession, d: str) -> DataFrame:
-    phase = tables.phase_frames(spark, d)
-    found = fields.signals(fields.evaluate(_plan(["dry_mass", "velocity"]), phase, tables.flow_frames(phase)))
+    found = fields.signals(fields.evaluate(_plan(["dry_mass", "velocity"]), tables.moving_frames(spark, d)))
     return fields.weighted_means(found).select("metric", _round("value", 5).alias("value"))
 
 

@@ -183,9 +183,9 @@ def estimator(kind: str, **parameters: object) -> object:
     return ESTIMATORS[kind](**parameters)
 
 
-def neighbours(frames: DataFrame) -> DataFrame:
-    """(seq, idx, height, width, prev, curr): each frame with the next; none for the last."""
-    rows = in_blocks(frames.select("seq", "idx", "height", "width", F.col("data").alias("prev")), 0, 1, FRAME_BLOCK)
+def neighbours(frames: DataFrame, *keep: str) -> DataFrame:
+    """(seq, idx, height, width, columns to keep, prev, curr): each frame with the next; none for the last."""
+    rows = in_blocks(frames.select("seq", "idx", "height", "width", *keep, F.col("data").alias("prev")), 0, 1, FRAME_BLOCK)
     # A pair costs far more work than its bytes tell, so blocks are dealt over a stated number of tasks, which Spark doesn't merge by size.
     rows = rows.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq", "_block")
     return core(rows.withColumn("curr", F.lead("prev").over(in_time())), FRAME_BLOCK).where("curr is not null")

@@ -32,6 +32,11 @@ def core(rows: DataFrame, size: int) -> DataFrame:
     return rows.where(F.floor(F.col("idx") / size) == F.col("_block")).drop("_block")
 
 
+def followed(by: int) -> Column:
+    """Whether ``by`` more rows come after a row; within blocks that look as far ahead, so nothing is counted."""
+    return F.lead("idx", by).over(in_time()).isNotNull() if by else F.lit(True)
+
+
 def with_count(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` with the number of rows of their sequence, counted by a partial aggregation."""
     return rows.join(rows.groupBy("seq").agg(F.count("*").alias(name)), "seq")

@@ -16,8 +16,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], span: Column) -> DataFrame:
-    """``rows`` with idx, their position from 0 among those of their ``key`` in ``order``.
+def numbered(rows: DataFrame, key: str, order: list[str], span: Column, total: str | None = None) -> DataFrame:
+    """``rows`` with idx, their position from 0 among those of their ``key`` in ``order``, and in ``total`` how many those are.
 
     ``span`` cuts each key into consecutive stretches by its order (ranges of ids, days). Rows are ranked within a
     stretch and the stretches before it are summed from counts, so that no key is a single task.
@@ -26,20 +26,21 @@ def numbered(rows: DataFrame, key: str, order: list[str], span: Column) -> DataF
     counts = cut.groupBy(key, "_span").agg(F.count("*").alias("_n"))
     whole = Window.partitionBy(key)
     before = F.coalesce(F.sum("_n").over(whole.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col(key).alias("_key"), F.col("_span").alias("_start"), before.alias("_before"))  # a row a stretch
+    sizes = [F.sum("_n").over(whole).alias(total)] if total else []
+    starts = counts.select(F.col(key).alias("_key"), F.col("_span").alias("_start"), before.alias("_before"), *sizes)  # a row a stretch
     own = F.row_number().over(Window.partitionBy(key, "_span").orderBy(*order)) - 1
     same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_start"))
     found = cut.withColumn("_own", own).join(starts, same)
     return found.withColumn("idx", (F.col("_before") + F.col("_own")).cast("int")).drop("_span", "_own", "_before", "_key", "_start")
 
 
-def phase_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label's vectors in order of vec_id, as frames of 8 x 8 pixels in radians."""
+def phase_frames(spark: SparkSession, sf_dir: str, total: str | None = None) -> DataFrame:
+    """Each label's vectors in order of vec_id, as frames of 8 x 8 pixels in radians; with ``total`` also how many its label has."""
     rows = read(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("seq"), "vec_id", F.col("embedding").alias("data"))
-    rows = numbered(rows, "seq", ["vec_id"], F.floor(F.col("vec_id") / STRETCH))
+    rows = numbered(rows, "seq", ["vec_id"], F.floor(F.col("vec_id") / STRETCH), total)
     return rows.select(
         "seq", "idx", F.col("idx").alias("source_idx"), F.format_string("%05d_phase", "idx").alias("source_name"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"),
-        F.lit(0.15).alias("pixel_size"), F.lit(2.0e-7).alias("height_scale"), F.lit("rad").alias("unit"), "data",
+        F.lit(0.15).alias("pixel_size"), F.lit(2.0e-7).alias("height_scale"), F.lit("rad").alias("unit"), "data", *([total] if total else []),
     )
 
 
@@ -51,15 +52,24 @@ def phase_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "idx", F.format_string("%05d_phase", "idx").alias("source"), "min_value", "max_value")
 
 
-def flow_frames(frames: DataFrame) -> DataFrame:
-    """A flow for each frame but the last of a sequence (null there), from a fixed formula of idx, x and y."""
+def _flow() -> dict[str, Column]:
+    """A flow by a fixed formula of idx, x and y; null at the last of n frames."""
     cells = F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)
     x, y = lambda k: k % F.col("width"), lambda k: F.floor(k / F.col("width"))
     dx = F.transform(cells, lambda k: (((x(k) * 3 + F.col("idx") * 2) % 5 - 2) * 0.25).cast("float"))
     dy = F.transform(cells, lambda k: (((y(k) * 2 + F.col("idx")) % 5 - 2) * 0.25).cast("float"))
-    rows = with_count(frames.select("seq", "idx", "height", "width"), "n")
     last = F.col("idx") == F.col("n") - 1
-    return rows.select("seq", "idx", "height", "width", F.when(~last, dx).alias("dx"), F.when(~last, dy).alias("dy"))
+    return {"dx": F.when(~last, dx), "dy": F.when(~last, dy)}
+
+
+def flow_frames(frames: DataFrame) -> DataFrame:
+    """A flow for each of ``frames`` but the last of a sequence (null there)."""
+    return with_count(frames.select("seq", "idx", "height", "width"), "n").withColumns(_flow()).drop("n")
+
+
+def moving_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``phase_frames`` with their flow beside them: numbered and counted once, and never joined with themselves."""
+    return phase_frames(spark, sf_dir, total="n").withColumns(_flow()).drop("n")
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
