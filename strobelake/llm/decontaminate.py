@@ -4,14 +4,14 @@ Words are lower-cased runs without white space, ASCII punctuation taken out. Run
 Karp-Rabin hashes name every seed of ``seed_words`` words. One pass over the documents
 keeps those with a seed in a bitmap of the benchmark's seeds (of fixed size, so that it
 may saturate but not grow); an equi-join of these seeds with those of the benchmark
-gives the pairs that share enough of them, and each pair of texts is tiled: the longest
-unmarked match of words is marked in both again and again until none of at least
-``seed_words`` words is left. A document is contaminated if the tiles cover at least
+gives the pairs that share enough of them, and each pair of texts is tiled: running
+Karp-Rabin scans for matches of falling lengths, and the longest unmarked match of words is
+marked in both again and again until none of at least ``seed_words`` words is left. A document is contaminated if the tiles cover at least
 ``coverage`` of the item's words, in whatever order they stand.
 
 Nothing of the benchmark passes through the driver but the bitmap and the few widths of
-seeds. Documents, like items, are judged once for each distinct text. Matches are kept as runs
-along diagonals, so a text of one repeated word costs no square of its length.
+seeds. Documents, like items, are judged once for each distinct text. Of pairs of equal windows only those that begin a
+longest match are kept, so a text of one repeated word holds no square of its length.
 
 Defined cases: null texts count as empty; an item of fewer words than a seed is one
 seed of its own length; an empty item matches nothing; items with equal texts are
@@ -39,6 +39,8 @@ from strobelake.llm.pieces import joined, text_blocks
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 BLOCK_BYTES = 2_000_000
+#: Pairs of windows with equal hashes that a scan looks at together.
+PAIRS = 1 << 20
 #: Bits of the map of seeds (4 MB at any size of the benchmark), and the parts of a hash that set them.
 MAP_BITS, MAP_SHIFTS = 25, (0, 20, 39)
 _PUNCTUATION = string.punctuation.encode()
@@ -91,24 +93,19 @@ def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.searchsorted(starts, bounds)
 
 
-def matches(doc: np.ndarray, item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(-words, start in doc, start in item) of every longest run of equal codes of at least ``width`` words; codes are 1 or more."""
-    order = np.argsort(doc, kind="stable")
-    low, high = np.searchsorted(doc[order], item, "left"), np.searchsorted(doc[order], item, "right")
-    ahead = np.append(doc, 0)  # the word after each place; none after the last
-    last = np.zeros(len(doc) + 1, dtype=np.int64)  # words of the run that ends before a place
-    runs, before = [], np.zeros(0, dtype=np.int64)
-    for j in range(len(item) + 1):
-        here = order[low[j] : high[j]] if j < len(item) else order[:0]
-        size = last[here] + 1
-        if len(before):
-            length = last[before]
-            over = (length >= width) & ((ahead[before] != item[j]) if j < len(item) else True)
-            runs += zip((-length[over]).tolist(), (before[over] - length[over]).tolist(), (j - length[over]).tolist())
-            last[before] = 0
-        before = here + 1
-        last[before] = size
-    return runs
+def sums(codes: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Running Karp-Rabin sums: the hash of any window is a difference of two, brought to the power of its start."""
+    out = np.zeros(len(codes) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(mixed(codes.astype(np.uint64)) * ahead[: len(codes)], out=out[1:])
+    return out
+
+
+def room(usable: np.ndarray) -> np.ndarray:
+    """How many usable places follow each other from each place on."""
+    places = np.arange(len(usable))
+    stop = np.where(usable, len(usable), places)
+    return np.minimum.accumulate(stop[::-1])[::-1] - places
 
 
 def stretches(free: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
@@ -119,23 +116,78 @@ def stretches(free: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
             yield low, high
 
 
+class Scan:
+    """Two sequences of codes (0: a word that the other lacks) with their running hashes and what is marked in them."""
+
+    def __init__(self, doc: np.ndarray, item: np.ndarray):
+        n = max(len(doc), len(item)) + 1
+        ahead, self.back = powers(_BASE, n), powers(_INVERSE, n)
+        self.doc, self.item, self.doc_sums, self.item_sums = doc, item, sums(doc, ahead), sums(item, ahead)
+        self.free_doc, self.free_item = doc > 0, np.ones(len(item), dtype=bool)
+
+    def hashes(self, own: np.ndarray, at: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (own[at + size] - own[at]) * self.back[at]
+
+    def matches(self, size: int) -> list[tuple[int, int, int]]:
+        """(-words, start in doc, start in item) of every longest run of unmarked words with equal hashes, of ``size`` words at least."""
+        doc_room, item_room = room(self.free_doc), room(self.free_item)
+        d, i = np.flatnonzero(doc_room >= size), np.flatnonzero(item_room >= size)
+        if not len(d) or not len(i):
+            return []
+        doc_hash, item_hash = self.hashes(self.doc_sums, d, size), self.hashes(self.item_sums, i, size)
+        order = np.argsort(doc_hash, kind="stable")
+        low, high = np.searchsorted(doc_hash[order], item_hash, "left"), np.searchsorted(doc_hash[order], item_hash, "right")
+        runs: list[tuple[int, int, int]] = []
+        ends = np.cumsum(high - low)
+        begin = 0
+        while begin < len(i):  # as many windows of the item at once as meet PAIRS windows of the document, or one
+            before = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+            count = high[begin:stop] - low[begin:stop]
+            shift = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            x, y = d[order[np.repeat(low[begin:stop], count) + shift]], np.repeat(i[begin:stop], count)
+            begin = stop
+            inner = (x > 0) & (y > 0)
+            inner[inner] = self.free_doc[x[inner] - 1] & self.free_item[y[inner] - 1] & (self.doc[x[inner] - 1] == self.item[y[inner] - 1])
+            x, y = x[~inner], y[~inner]  # where a run begins
+            most = np.minimum(doc_room[x], item_room[y])
+            length = np.full(len(x), size)
+            for step in (1 << k for k in reversed(range(int(most.max(initial=1)).bit_length()))):
+                at = np.flatnonzero(length + step <= most)
+                longer = length[at] + step
+                at = at[self.hashes(self.doc_sums, x[at], longer) == self.hashes(self.item_sums, y[at], longer)]
+                length[at] += step
+            runs += zip((-length).tolist(), x.tolist(), y.tolist())
+        return runs
+
+
 def tile(doc: np.ndarray, item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of two sequences of codes: (start in doc, start in item, words)."""
-    waiting = matches(doc, item, width)
-    heapq.heapify(waiting)
-    free_doc, free_item = np.ones(len(doc), dtype=bool), np.ones(len(item), dtype=bool)
-    tiles = []
-    while waiting:
-        length, d, i = heapq.heappop(waiting)
-        both = free_doc[d : d - length] & free_item[i : i - length]
-        if not both.all():  # what stays free of the match waits for its own length
-            for low, high in stretches(both, width):
-                heapq.heappush(waiting, (low - high, d + low, i + low))
-            continue
-        tiles.append((d, i, -length))
-        free_doc[d : d - length] = free_item[i : i - length] = False
-        if next(stretches(free_item, width), None) is None:
+    """Greedy tiling of two sequences of codes: (start in doc, start in item, words).
+
+    Running Karp-Rabin looks for matches of at least some length, from the longest that can be down by halves to
+    ``width``. The longest is marked first, if its words are equal as its hashes are; what a mark leaves of a match
+    waits for its own length, or is found by a later scan.
+    """
+    scan, tiles = Scan(doc, item), []
+    size = min(int(room(scan.free_doc).max(initial=0)), len(item))
+    while size >= width:
+        waiting = scan.matches(size)
+        heapq.heapify(waiting)
+        while waiting:
+            length, d, i = heapq.heappop(waiting)
+            same = scan.free_doc[d : d - length] & scan.free_item[i : i - length] & (doc[d : d - length] == item[i : i - length])
+            if not same.all():
+                for low, high in stretches(same, size):
+                    heapq.heappush(waiting, (low - high, d + low, i + low))
+                continue
+            tiles.append((d, i, -length))
+            scan.free_doc[d : d - length] = scan.free_item[i : i - length] = False
+            if next(stretches(scan.free_item, width), None) is None:
+                return tiles
+        if size == width:
             break
+        size = max(width, size // 2)
     return tiles
 
 

@@ -338,9 +338,9 @@ def test_pii_in_spark(spark):
     assert pii.train([]).spans(*joined([b"token = 1"])) == [[]]
 
 
-def brute_tiling(doc: list, item: list, width: int) -> int:
-    """Words of the item covered: the textbook loop."""
-    used_d, used_i, covered = set(), set(), 0
+def brute_tiles(doc: list, item: list, width: int) -> list[tuple[int, int, int]]:
+    """(start in doc, start in item, words) of the tiles: the textbook loop."""
+    used_d, used_i, tiles = set(), set(), []
     while True:
         best = 0
         for a in range(len(doc)):
@@ -351,10 +351,39 @@ def brute_tiling(doc: list, item: list, width: int) -> int:
                 if n > best:
                     best, at = n, (a, b)
         if best < width:
-            return covered
+            return tiles
         used_d.update(range(at[0], at[0] + best))
         used_i.update(range(at[1], at[1] + best))
-        covered += best
+        tiles.append((*at, best))
+
+
+def brute_tiling(doc: list, item: list, width: int) -> int:
+    return sum(n for _, _, n in brute_tiles(doc, item, width))
+
+
+@pytest.mark.parametrize("hashes", ["running", "all equal", "of three values"])
+def test_tiles_are_those_of_the_textbook(monkeypatch, hashes):
+    """The same tiles in the same order, also where hashes of unequal windows agree."""
+    own = dc.Scan.hashes
+    if hashes != "running":
+        monkeypatch.setattr(dc.Scan, "hashes", lambda self, sums, at, size: own(self, sums, at, size) % np.uint64(1 if hashes == "all equal" else 3))
+    rng = random.Random(len(hashes))
+    for _ in range(300):
+        item, width = [rng.choice("abc"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(1, 25))], rng.randrange(1, 6)
+        doc = [rng.choice("abcx") for _ in range(rng.randrange(40))]
+        code = {w: k for k, w in enumerate(dict.fromkeys(item), 1)}
+        assert dc.tile(np.array([code.get(w, 0) for w in doc], dtype=np.int64), np.array([code[w] for w in item]), width) == brute_tiles(doc, item, width)
+    with pytest.MonkeyPatch.context() as few:
+        few.setattr(dc, "PAIRS", 3)
+        assert dc.judge([b"a", b"b"] * 50, [b"b", b"a"] * 9, 5) == (18, 1)
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    item = [f"t{k}" for k in range(60)]
+    docs = [(1, " ".join(["the"] * 300_000 + item[30:] + ["of"] * 300_000 + item[:30])), (2, " ".join(["the"] * 600_000))]
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, "the " * 50)], "item_id long, text string")
+    got = dc.contaminated(spark.createDataFrame(docs, DOC), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["covered"], r["tiles"]) for r in got) == [(1, 1, 60, 2), (1, 2, 50, 1), (2, 2, 50, 1)]
 
 
 def test_tiling_covers_as_much_as_the_textbook():
