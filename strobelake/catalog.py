@@ -121,8 +121,9 @@ def nonfinite_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unit_conversion(spark: SparkSession, d: str) -> DataFrame:
-    metres = tables.phase_frames(spark, d).withColumn("data", F.transform("data", lambda v: v.cast("double") * F.col("height_scale"))).withColumn("unit", F.lit("m"))
-    radians = metres.withColumn("data", px.to_radians(F.col("data"), F.col("unit"), F.col("height_scale")))
+    """The table's values as radians, metres and nanometres in turn, all taken to radians."""
+    unit = F.element_at(F.array(F.lit("rad"), F.lit("m"), F.lit("nm")), (F.col("idx") % 3 + 1).cast("int"))
+    radians = tables.phase_frames(spark, d).withColumn("data", px.to_radians(F.col("data"), unit, F.col("height_scale")))
     return radians.select("seq", "idx", _round(px.total(F.col("data").cast("array<double>")), 4).alias("total"))
 
 
@@ -445,7 +446,7 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "short_sequences": (short_sequences, "SELECT user_id::VARCHAR AS seq, count(*) AS taken FROM events GROUP BY user_id HAVING count(*) < 66"),
     "gap_check": (gap_check, "SELECT l_orderkey AS seq, min(l_linenumber) AS first, max(l_linenumber) AS last, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_orderkey HAVING max(l_linenumber) - min(l_linenumber) + 1 <> count(*) OR min(l_linenumber) <> 1 OR count(*) <> count(DISTINCT l_linenumber)"),
     "nonfinite_guard": (nonfinite_guard, f"WITH {_PHASE} SELECT seq, printf('%05d_phase', idx) AS source_name FROM phase WHERE idx % 17 = 0 OR idx % 19 = 0"),
-    "unit_conversion": (unit_conversion, f"WITH {_CELLS} SELECT seq, idx, round(sum((v::DOUBLE * 2.0e-7 / 2.0e-7)::FLOAT::DOUBLE), 4) + 0.0 AS total FROM cells GROUP BY ALL"),
+    "unit_conversion": (unit_conversion, f"WITH {_CELLS} SELECT seq, idx, round(sum(CASE idx % 3 WHEN 0 THEN v WHEN 1 THEN (v::DOUBLE / 2.0e-7)::FLOAT ELSE (v::DOUBLE * 1e-9 / 2.0e-7)::FLOAT END::DOUBLE), 4) + 0.0 AS total FROM cells GROUP BY ALL"),
     "contents_manifest": (contents_manifest, f"WITH {_PHASE} SELECT seq, count(*) AS n_source, string_agg(printf('%05d_phase', idx), ',' ORDER BY idx) AS frames FROM phase GROUP BY seq"),
     "coverage_counts": (coverage_counts, "SELECT count(*) AS found, count(*) FILTER (n_regionkey < 3) AS selected, count(*) FILTER (n_nationkey % 3 = 0) AS covered, count(*) FILTER (n_nationkey % 6 = 0) AS reused, string_agg(n_name, ',' ORDER BY n_nationkey) FILTER (n_regionkey < 3 AND n_nationkey % 3 <> 0) AS skipped, string_agg(n_name, ',' ORDER BY n_nationkey) FILTER (n_regionkey >= 3 AND n_nationkey % 3 <> 0) AS unselected FROM nation"),
     "unsourced_outputs": (unsourced_outputs, "SELECT c_custkey AS seq FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"),
