@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
 import time
@@ -472,6 +473,57 @@ def test_automaton_finds_all_words_within_one_edit():
     assert toxicity.Trie([]).within_one(["a"]) == {}
 
 
+def brute_toxicity(text: str, model: toxicity.Model) -> float:
+    """The score from its definition, a word and an entry at a time."""
+    lowered = text.lower()
+    found = list(re.finditer(r"[^\W_]+(?:[@$*][^\W_]+)*", lowered))
+    words = [m.group() for m in found]
+    sums = dict.fromkeys(("plain", "quoted", "stem", "stems", "stem_quoted", "you"), 0.0)
+    for i, (word, m) in enumerate(zip(words, found)):
+        ways = [(distance(word, term), False, term) for term in model.terms]
+        ways += [(min(distance(word[:n], stem) for n in range(len(word) + 1)), True, stem) for stem in model.stems]
+        ways = [way for way in ways if way[0] <= (way[2] not in model.strict)]
+        if len(word) < 3 or not ways:
+            continue
+        edits, is_stem, entry = min(ways)
+        if edits and word in model.usual:
+            continue
+        share = 0.7 if edits else 1.0
+        weight = share * (model.stems if is_stem else model.terms)[entry]
+        around = words[max(0, i - 6) : i + 7]
+        quotes = [c in '"“”„«»‟' for c in lowered]
+        inside = sum(quotes) > 1 and sum(quotes[max(0, m.start() - 80) : m.start()]) % 2 == 1 and any(quotes[m.start() : m.start() + 80])
+        told = inside or any(w in toxicity._REPORT for w in around)
+        sums["you"] += "you" in around or "your" in around
+        sums[("stem_quoted" if told else "stem") if is_stem else ("quoted" if told else "plain")] += weight
+        sums["stems"] += share * (is_stem and not told)
+    n = max(1, len(words))
+    log = lambda name: math.log(1 + sums[name])
+    x = [log("plain"), (sums["plain"] / n) ** 0.5, log("quoted"), log("stems"), log("stem"), (sums["stems"] / n) ** 0.5, math.log(1 + n) if sums["stems"] else 0.0, float(sums["you"] > 0), log("stem_quoted")]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights)) - model.bias))
+
+
+def test_toxicity_score_against_brute_force(spark):
+    rng = random.Random(12)
+    terms, stems = {"scum": 0.9, "idiot": 0.8, "idiots": 0.7, "tr@sh": 0.6, "ass": 0.5}, {"trott": 0.95, "imbéc": 0.65, "gilip": 0.75}
+    weights = [rng.uniform(-2, 2) for _ in range(toxicity.WIDTH)]
+    model = toxicity.Model(terms, stems, frozenset(("scam", "idiom")), frozenset(("ass", "gilip")), weights, -0.3)
+    entries = [*terms, *stems]
+
+    def word() -> str:
+        own = rng.choice([*entries, "scam", "idiom", "said", "you", "your", "schrieb", "the", "plain", "as", "a"])
+        if own in stems:
+            own += rng.choice(["", "el", "ile", "ollas"])
+        at = rng.randrange(len(own) + 1)
+        return rng.choice([own, own, own[:at] + rng.choice("aeiou@$é") + own[at:], own[:at] + own[at + 1 :], own[:at] + rng.choice("stuß") + own[at + 1 :], own.upper(), f'"{own}', f"{own}”", f"«{own}»", "w" * rng.randrange(1, 90)])
+
+    texts = [" ".join(word() for _ in range(rng.randrange(40))) for _ in range(500)] + ["", "ASS", "\"scum\"", "scum " * 300 + '"idiot" you']
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), DOC).repartition(3), model).collect()}
+    want = [brute_toxicity(t, model) for t in texts]
+    assert max(abs(got[k] - w) for k, w in enumerate(want)) < 1e-9
+    assert min(want) < 0.2 and max(want) > 0.8 and len({round(w, 6) for w in want}) > 300
+
+
 def toxic_corpus(n: int = 900) -> tuple[list, list]:
     rng = random.Random(3)
     word = lambda: "".join(rng.choice(("th", "er", "on", "an", "re", "he", "in")) for _ in range(rng.randint(2, 5)))
@@ -698,6 +750,32 @@ def test_quality_against_brute_force(spark, monkeypatch):
     assert np.mean([(s > 0.5) == bool(label_of[k]) for k, s in got if k in label_of]) > 0.85
 
 
+def test_both_views_teach_each_other(spark):
+    """Words and sources that no labelled row has are learned from the other view, and only by rounds."""
+    rng, rows, label_of, kind = random.Random(8), [], {}, {}
+    vocabulary = {(good, new): [f"w{good:d}{new:d}{k}x" for k in range(15)] for good in (True, False) for new in (True, False)}
+    plain = [f"plain{k}" for k in range(60)]
+    for k in range(3600):
+        good = rng.random() < 0.5
+        new_words, new_source = (False, False) if k < 900 else [(True, False), (False, True), (True, True)][k % 3]
+        words = [rng.choice(plain) for _ in range(20)] + [rng.choice(vocabulary[good, new_words]) for _ in range(8)]
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), "en", f"{'NK'[not new_source]}{'bg'[good]}{rng.randrange(4)}", 200))
+        kind[k] = (good, new_words, new_source)
+        if k < 900:
+            label_of[k] = int(good)
+    frame, known = spark.createDataFrame(rows, RECORD).repartition(4), spark.createDataFrame(list(label_of.items()), "doc_id long, quality int")
+
+    def right(rounds: int) -> dict[str, float]:
+        got = quality.score(frame, quality.fit(frame, known, rounds=rounds)).collect()
+        share = lambda column, new_words, new_source: float(np.mean([(r[column] >= 0.5) == kind[r["doc_id"]][0] for r in got if kind[r["doc_id"]][1:] == (new_words, new_source)]))
+        return {"text": share("text_score", True, False), "record": share("record_score", False, True), "both": share("score", True, True)}
+
+    alone, taught = right(0), right(3)
+    assert all(v < 0.65 for v in alone.values()), alone
+    assert all(v > 0.9 for v in taught.values()), (alone, taught)
+
+
 def test_cuts_take_whole_bins():
     n = np.zeros(quality.CUTS, dtype=int)
     for z, many in ((9.0, 5), (8.0, 5), (3.0, 50), (-1.0, 40), (-4.0, 7), (-9.0, 3)):
