@@ -5,7 +5,7 @@ shingle hashes set it. Bits that vary together form the partitions; each partiti
 i gets its own threshold t_i, with sum(t_i) = radius - partitions + 1 (t_i = -1:
 not probed), so that two fingerprints within the radius agree up to t_i bits in at
 least one partition. A dynamic program picks the cheapest thresholds from the
-candidate counts estimated over all fingerprints.
+candidate counts estimated over all fingerprints, with the bits' joint counts.
 
 Defined cases: a null text counts as empty; documents without words have
 fingerprint zero and are linked like any other; repeated rows and equal
@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import accumulate, combinations
-from math import comb
+from math import comb, exp, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -112,25 +112,39 @@ def correlated_groups(n: int, together: np.ndarray, parts: int) -> list[list[int
     return groups
 
 
-def distance_odds(p: np.ndarray, most: int) -> np.ndarray:
-    """P(two fingerprints differ in at most t of these bits), t = 0..most."""
+def distance_odds(n: int, together: np.ndarray, bits: list[int], most: int) -> np.ndarray:
+    """P(two fingerprints differ in at most t of these bits), t = 0..most.
+
+    The counts of bits set together give the exact mean and variance of that distance. Where the bits vary
+    together its variance exceeds that of independent ones, and a beta-binomial with both moments serves.
+    """
+    q = together[np.ix_(bits, bits)] / max(n, 1)
+    p = np.diag(q)
+    both = 2 * (q * (1 - p[:, None] - p + q) + (p[:, None] - q) * (p - q))  # two fingerprints differ in either bit
+    each, m = np.diag(both), len(bits)
+    rate, variance = each.mean(), both.sum() - each.sum() ** 2
+    alone = m * rate * (1 - rate)
+    rho = min((variance / alone - 1) / (m - 1), 1 - 1e-6) if m > 1 and alone > 1e-12 else 0.0
+    if rho > 1e-9:
+        x, y = rate * (1 / rho - 1), (1 - rate) * (1 / rho - 1)
+        beta = lambda u, v: lgamma(u) + lgamma(v) - lgamma(u + v)
+        return np.cumsum([comb(m, k) * exp(beta(k + x, m - k + y) - beta(x, y)) if k <= m else 0.0 for k in range(most + 1)])
     odds = np.zeros(most + 1)
     odds[0] = 1
-    for x in 2 * p * (1 - p):
-        odds[1:] = odds[1:] * (1 - x) + odds[:-1] * x
-        odds[0] *= 1 - x
+    for e in each:
+        odds[1:] = odds[1:] * (1 - e) + odds[:-1] * e
+        odds[0] *= 1 - e
     return np.cumsum(odds)
 
 
 def allocate(n: int, together: np.ndarray, radius: int) -> tuple[float, list[tuple[list[int], int]]]:
     """(cost, [(bits, threshold)]): the cheapest number of partitions and thresholds."""
-    p = np.diag(together) / max(n, 1)
     best: tuple[float, list] = (float("inf"), [])
     for parts in range(2, radius + 2):
         groups = correlated_groups(n, together, parts)
         state: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for bits in groups:
-            odds, grown = distance_odds(p[bits], radius), {}
+            odds, grown = distance_odds(n, together, bits, radius), {}
             for spent, (cost, chosen) in state.items():
                 for t in range(-1, radius + 1):
                     keys = sum(comb(len(bits), j) for j in range(t + 1))

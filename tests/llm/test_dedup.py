@@ -109,6 +109,35 @@ def test_pigeonhole_covers_every_pair_within_the_radius():
             assert any(len(set(flips.tolist()) & set(bits)) <= t for bits, t in plan), (plan, used)
 
 
+def test_candidate_estimates_of_bits_that_vary_together_agree_with_all_pairs():
+    rng = np.random.default_rng(1)
+    n = 4000
+    hidden = rng.integers(0, 2, (n, 8)).repeat(8, axis=1)
+    bits = np.where(rng.random((n, 64)) < 0.15, 1 - hidden, hidden)
+    together = np.rint(bits.T.astype(float) @ bits).astype(np.int64)
+    for group in sd.correlated_groups(n, together, 4):
+        own = bits[:, group].astype(float)
+        apart = own @ (1 - own).T
+        apart = np.rint(apart + apart.T)[np.triu_indices(n, 1)]
+        true = np.array([(apart <= t).mean() for t in range(5)])
+        found = sd.distance_odds(n, together, group, 4)
+        each = np.diag(together)[group] / n
+        alone = sd.distance_odds(n, np.where(np.eye(64, dtype=bool), together, np.outer(np.diag(together), np.diag(together)) / n), group, 4)
+        assert 0.1 < each.min() and (abs(np.log(found / true)) < np.log(4)).all()
+        assert (abs(np.log(found / true)) < abs(np.log(alone / true)) / 2).all()
+
+
+def test_candidate_estimates_without_spread():
+    zero = np.zeros((64, 64), dtype=np.int64)
+    for n, together in ((0, zero), (7, zero), (1, zero + 1), (5, zero + 5)):
+        assert (sd.distance_odds(n, together, list(range(16)), 4) == 1).all()
+        assert sd.allocate(n, together, 4)[1]
+    same = zero + 500  # all bits equal, half the rows set
+    odds = sd.distance_odds(1000, same, list(range(16)), 4)
+    assert np.allclose(odds, 0.5, atol=1e-3)
+    assert np.allclose(sd.distance_odds(1000, same, [3], 4), [0.5, 1, 1, 1, 1])
+
+
 VEC = "vec_id long, embedding array<float>, label int"
 
 
