@@ -22,6 +22,8 @@ from strobelake.operators.windows import gaussian_weights, middle
 
 #: Pixels whose neighbours are selected from at once: few enough that a processor's cache holds them.
 SELECTED = 1 << 14
+#: Frames of at most so many pixels are sorted place by place, this many values at once.
+SMALL, SORTED = 1 << 13, 1 << 20
 CHUNK = 32
 
 
@@ -80,10 +82,13 @@ class Median:
         """Every frame of a (T, H, W) window filtered over the whole window.
 
         Pixels near an edge lack the same neighbours as those beside them, so a frame falls into rectangles in which
-        all have the same ones; each is selected by itself, a few rows at a time.
+        all have the same ones; each is selected by itself, a few rows at a time. A small frame has so few pixels in
+        each that the calls would cost more than the work: there many frames are sorted together.
         """
         window = np.ascontiguousarray(window, dtype=np.float32)
         (rx, ry, _), (t, h, w), offsets = self.radius, window.shape, self.offsets()
+        if h * w <= SMALL:
+            return self._sorted(window, offsets)
         out = np.empty_like(window)
         for k in range(t):
             there = [o for o in offsets if 0 <= k + o[2] < t]
@@ -97,6 +102,27 @@ class Median:
         self._mend(window, out, offsets)
         return out
 
+    def _sorted(self, window: np.ndarray, offsets: list[tuple[int, int, int]]) -> np.ndarray:
+        """The same from the sorted neighbours of each pixel; those outside are NaN, which come last and are not counted."""
+        (rx, ry, rz), (t, h, w), n = self.radius, window.shape, len(offsets)
+        wide = np.pad(window, ((rz, rz), (ry, ry), (rx, rx)), constant_values=np.nan)
+        out = np.empty_like(window)
+        places = max(1, SORTED // n)
+        high = min(h, max(1, places // max(1, w)))
+        deep = max(1, places // max(1, h * w)) if high == h else 1
+        for k in range(0, t, deep):
+            for y in range(0, h, high):
+                d, e = min(deep, t - k), min(high, h - y)
+                seen = np.empty((d, e, w, n), dtype=np.float32)
+                for i, (dx, dy, dz) in enumerate(offsets):
+                    seen[..., i] = wide[k + rz + dz : k + rz + dz + d, y + ry + dy : y + ry + dy + e, rx + dx : rx + dx + w]
+                seen.sort(axis=-1)
+                count = n - np.isnan(seen).sum(axis=-1)
+                below, above = np.maximum(count - 1, 0) // 2, np.minimum(count // 2, n - 1)  # without numbers both find NaN
+                low, upper = (np.take_along_axis(seen, at[..., None], axis=-1)[..., 0] for at in (below, above))
+                out[k : k + d, y : y + e] = np.where(below == above, low, (low + upper) / np.float32(2))
+        return out
+
     @staticmethod
     def _mend(window: np.ndarray, out: np.ndarray, offsets: list[tuple[int, int, int]]) -> None:
         """Pixels with a NaN around them, by how many numbers there are."""

@@ -133,3 +133,23 @@ def test_registering_a_kernel(spark):
     with pytest.raises(TypeError):
         filters.register("bad", object)
     del filters.KERNELS["negative"]
+
+
+@pytest.mark.parametrize("own", [filters.Median((2, 2, 2)), filters.Median((1, 3, 0), "cuboid"), filters.Median((0, 0, 4)), filters.Median((5, 1, 1))], ids=repr)
+@pytest.mark.parametrize("values", [filters.SORTED, 700])
+def test_small_frames_are_sorted_together(own, values, monkeypatch):
+    """What the rectangles give, without a call for each of them: with NaN, infinities, even counts of the largest numbers and few values at once."""
+    rng = np.random.default_rng(2)
+    window = rng.normal(size=(9, 6, 7)).astype(np.float32)
+    window[rng.random(window.shape) < 0.1] = np.nan
+    window[3, 2:4, 2:5], window[6, 1, 1:3] = np.inf, (-np.inf, 3e38)
+    window[:, 4:, 5:] = np.nan
+    monkeypatch.setattr(filters, "SORTED", values)
+    calls, select = [], filters.select_middle
+    monkeypatch.setattr(filters, "select_middle", lambda samples: calls.append(1) or select(samples))
+    got = own.apply(window)
+    assert not calls
+    monkeypatch.setattr(filters, "SMALL", 0)
+    for pixels in (filters.SELECTED, 7):
+        monkeypatch.setattr(filters, "SELECTED", pixels)
+        assert np.array_equal(got, own.apply(window), equal_nan=True) and calls
