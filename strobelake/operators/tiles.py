@@ -10,19 +10,19 @@ holds ``chunk + 2 * reach`` layers of one tile and its halo, whatever the size o
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strobelake.operators.filters import Gaussian, Identity, Median, to_lists
+from strobelake.operators.filters import Gaussian, Identity, Median, to_array, to_lists
 from strobelake.operators.warp import Padding, check_padding, sampled, targets
 from strobelake.operators.windows import gaussian_weights
 
-#: Frames of a block in time, and bytes that a task may hold of one tile with its halo.
-CHUNK, TASK_BYTES = 16, 64 << 20
+#: Frames of a block in time, at least; bytes that a task may hold of one tile with its halo, and up to which small tiles' blocks get longer.
+CHUNK, TASK_BYTES, BLOCK_BYTES = 16, 64 << 20, 1 << 20
 
 
 def side_for(depth: int, around: int, held: int = TASK_BYTES, copies: int = 4) -> int:
@@ -33,6 +33,33 @@ def side_for(depth: int, around: int, held: int = TASK_BYTES, copies: int = 4) -
     return side
 
 
+def chunk_for(side: int, reach: tuple[int, int, int], copies: int = 4) -> int:
+    """Frames of a block in time: where tiles are small, so many that the cost of a group is shared by BLOCK_BYTES of them."""
+    rx, ry, rz = reach
+    return max(CHUNK, BLOCK_BYTES // (4 * copies * (side + 2 * rx) * (side + 2 * ry)) - 2 * rz)
+
+
+def _alike(*columns: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Each combination of values in ``columns`` with the places that have it."""
+    found, which, counts = np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True, return_counts=True)
+    return zip(found.tolist(), np.split(np.argsort(which.ravel(), kind="stable"), np.cumsum(counts)[:-1]))
+
+
+def _numbers(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [rows.column(n).to_numpy() for n in names]
+
+
+def _laid(window: np.ndarray, at: np.ndarray, parts: pa.Table, names: tuple[str, str, str, str], origin: tuple[int, int]) -> np.ndarray:
+    """Puts strips into the frames ``at`` of a window that begins at ``origin``, all of one place together; how many pixels each frame got."""
+    filled = np.zeros(len(window), dtype=np.int64)
+    data = parts.column("data").combine_chunks()
+    for (y, x, h, w), own in _alike(*_numbers(parts, *names)):
+        y, x = y - origin[0], x - origin[1]
+        window[at[own], y : y + h, x : x + w] = to_array(pa.chunked_array([data.take(pa.array(own))]), h, w)
+        filled += np.bincount(at[own], minlength=len(window)) * (h * w)
+    return filled
+
+
 def _cut(data: Column, stride: Column, y: Column, x: Column, height: Column, width: Column) -> Column:
     """Rows y.. and columns x.. of a flat array whose rows are ``stride`` long."""
     rows = F.transform(F.sequence(y, y + height - 1), lambda k: F.slice(data, k * stride + x + 1, width))
@@ -54,21 +81,25 @@ def cut(frames: DataFrame, side: int, columns: tuple[str, ...] = ("data",)) -> D
 def whole(tiles: DataFrame, side: int, column: str = "data") -> DataFrame:
     """Frames put together again; a frame whose tiles don't fill it is refused."""
     names = [c for c in tiles.columns if c not in ("ty", "tx")]
+    kept = [F.first(c).alias(c) for c in names if c not in ("seq", "idx", column)]
+    rows = tiles.groupBy("seq", "idx").agg(*kept, F.array_sort(F.collect_list(F.struct("ty", "tx", F.col(column).alias("data")))).alias("_tiles"))
+    down, across = (F.ceil(F.col(n) / side).cast("int") for n in ("height", "width"))
+    size = lambda t: F.least(F.lit(side), F.col("height") - t["ty"] * side) * F.least(F.lit(side), F.col("width") - t["tx"] * side)
+    fill = (F.transform("_tiles", lambda t: t["ty"] * across + t["tx"]) == F.sequence(F.lit(0), down * across - 1)) & F.forall("_tiles", lambda t: F.coalesce(F.size(t["data"]) == size(t), F.lit(False)))
 
-    def run(rows: pa.Table) -> pa.Table:
-        height, width = rows.column("height")[0].as_py(), rows.column("width")[0].as_py()
-        canvas, filled = np.empty((height, width), dtype=np.float32), 0
-        for ty, tx, data in zip(rows.column("ty").to_pylist(), rows.column("tx").to_pylist(), rows.column(column)):
-            part = data.values.to_numpy(zero_copy_only=False).reshape(min(side, height - ty * side), min(side, width - tx * side))
-            canvas[ty * side : ty * side + part.shape[0], tx * side : tx * side + part.shape[1]] = part
-            filled += part.size
-        if filled != height * width:
-            raise ValueError(f"{rows.column('seq')[0].as_py()}, frame {rows.column('idx')[0].as_py()}: its tiles don't fill it")
-        first = rows.select(names).slice(0, 1)
-        return first.set_column(names.index(column), column, to_lists(canvas[None], pa.float32()))
+    def line(y: Column) -> Column:
+        """A row of the frame from the tiles beside each other."""
+        ty = F.floor(y / side).cast("int")
+
+        def part(tx: Column) -> Column:
+            wide = F.least(F.lit(side), F.col("width") - tx * side)
+            return F.slice(F.get("_tiles", ty * across + tx)["data"], (y - ty * side) * wide + 1, wide)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), across - 1), part))
 
-    schema = ", ".join(f"`{f.name}` {'array<float>' if f.name == column else f.dataType.simpleString()}" for f in tiles.schema.fields if f.name in names)
-    return tiles.groupBy("seq", "idx").applyInArrow(run, schema)
+    frame = F.flatten(F.transform(F.sequence(F.lit(0), F.col("height") - 1), line))
+    refused = F.raise_error(F.concat(F.coalesce("seq", F.lit("null")), F.lit(", frame "), F.col("idx").cast("string"), F.lit(": its tiles don't fill it")))
+    return rows.withColumn(column, F.when(F.coalesce(fill, F.lit(False)), frame).otherwise(refused).cast("array<float>")).select(names)
 
 
 def _reached(low: Column, high: Column, side: int, size: Column) -> Column:
@@ -88,7 +119,9 @@ def over_tiles(tiles: DataFrame, side: int, reach: tuple[int, int, int], compute
     top, left = F.greatest(y0, F.col("_ty") * side - ry), F.greatest(x0, F.col("_tx") * side - rx)
     bottom, right = F.least(y0 + h, (F.col("_ty") + 1) * side + ry), F.least(x0 + w, (F.col("_tx") + 1) * side + rx)
     strip = _cut(F.col("data"), w, top - y0, left - x0, bottom - top, right - left)
-    sent = sent.withColumns({"data": strip, "_y": top, "_x": left, "_h": bottom - top, "_w": right - left})
+    own = (F.col("_ty") == F.col("ty")) & (F.col("_tx") == F.col("tx"))
+    others = {c: F.when(own, F.col(c)) for c in names if c not in ("seq", "idx", "height", "width", "ty", "tx", "data")}  # what only the tile itself needs
+    sent = sent.withColumns({"data": strip, "_y": top, "_x": left, "_h": bottom - top, "_w": right - left, **others})
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         block, ty, tx = (k.as_py() for k in key[1:])
@@ -97,11 +130,8 @@ def over_tiles(tiles: DataFrame, side: int, reach: tuple[int, int, int], compute
         c, d = max(0, tx * side - rx), min(width, (tx + 1) * side + rx)
         idx = np.unique(rows.column("idx").to_numpy())
         window = np.empty((len(idx), b - a, d - c), dtype=np.float32)
-        filled = np.zeros(len(idx), dtype=np.int64)
         at = np.searchsorted(idx, rows.column("idx").to_numpy())
-        for k, y, x, h, w, data in zip(at, *(rows.column(n).to_pylist() for n in ("_y", "_x", "_h", "_w")), rows.column("data")):
-            window[k, y - a : y - a + h, x - c : x - c + w] = data.values.to_numpy(zero_copy_only=False).reshape(h, w)
-            filled[k] += h * w
+        filled = _laid(window, at, rows, ("_y", "_x", "_h", "_w"), (a, c))
         if (filled != window[0].size).any():
             raise ValueError(f"{key[0].as_py()}: tiles around ({ty}, {tx}) are missing or repeat")
         own = (rows.column("ty").to_numpy() == ty) & (rows.column("tx").to_numpy() == tx) & (rows.column("idx").to_numpy() // chunk == block)
@@ -126,9 +156,12 @@ def reach_of(kernel: object) -> tuple[int, int, int]:
     return (*getattr(kernel, "around", (0, 0)), kernel.reach)
 
 
-def filter_tiles(tiles: DataFrame, side: int, kernel: object, chunk: int = CHUNK) -> DataFrame:
+def filter_tiles(tiles: DataFrame, side: int, kernel: object, chunk: int | None = None) -> DataFrame:
     """What ``filters.apply_filter`` gives, tile by tile."""
-    return tiles if isinstance(kernel, Identity) else over_tiles(tiles, side, reach_of(kernel), kernel.apply, chunk)
+    if isinstance(kernel, Identity):
+        return tiles
+    reach = reach_of(kernel)
+    return over_tiles(tiles, side, reach, kernel.apply, chunk or chunk_for(side, reach))
 
 
 def warp_tiles(images: DataFrame, flows: DataFrame, side: int, padding: Padding = "border") -> DataFrame:

@@ -72,3 +72,35 @@ def test_sides_from_bytes():
     assert 4 * 4 * 20 * (tiles.side_for(20, 5) + 10) ** 2 <= tiles.TASK_BYTES < 4 * 4 * 20 * (tiles.side_for(20, 5) + 11) ** 2
     with pytest.raises(ValueError):
         tiles.side_for(1000, 900, 1 << 20)
+
+
+def test_small_tiles_share_groups(spark):
+    """70 frames of small tiles are one block in time, a large tile's blocks stay short; putting frames together needs no group of Python's."""
+    from dataclasses import dataclass
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @dataclass(frozen=True)
+    class Counted:
+        kind: str = "counted"
+        reach = 1
+        around = (1, 1)
+
+        def apply(self, window):
+            calls.add(1)
+            return window + 1
+
+    stack = np.random.default_rng(5).random((70, 6, 6)).astype(np.float32)
+    some = tiles.cut(frames_of(spark, {"a": stack}), 3)
+    done = tiles.whole(tiles.filter_tiles(some, 3, Counted()), 3)
+    assert np.allclose(stacks(done)["a"], stack + 1) and calls.value == 4
+    assert "FlatMapGroups" not in tiles.whole(some, 3)._jdf.queryExecution().analyzed().toString()
+    assert tiles.chunk_for(1000, (2, 2, 2)) == tiles.CHUNK and 4 * 4 * (tiles.chunk_for(3, (2, 2, 2)) + 4) * 49 <= tiles.BLOCK_BYTES
+
+
+def test_a_tile_twice_does_not_stand_for_a_missing_one(frames):
+    """Two tiles of 4 x 4 pixels, one of them twice: as many pixels as the frame has."""
+    cut = tiles.cut(frames.where("seq = 'a' and idx = 0"), 4)
+    twice = cut.where("not (ty = 0 and tx = 0)").unionByName(cut.where("ty = 0 and tx = 1"))
+    with pytest.raises(Exception, match="don't fill it"):
+        tiles.whole(twice, 4).collect()
