@@ -23,6 +23,8 @@ from strobelake.operators.windows import gaussian_weights
 
 #: Frames of a block in time, at least; bytes that a task may hold of one tile with its halo, and up to which small tiles' blocks get longer.
 CHUNK, TASK_BYTES, BLOCK_BYTES = 16, 64 << 20, 1 << 20
+#: Pixels of frames whose flow tiles are warped together; a larger frame is by itself.
+WARPED = 1 << 16
 
 
 def side_for(depth: int, around: int, held: int = TASK_BYTES, copies: int = 4) -> int:
@@ -170,7 +172,8 @@ def warp_tiles(images: DataFrame, flows: DataFrame, side: int, padding: Padding
     Tiles whose flow is null are null.
     """
     check_padding(padding)
-    own = flows.select("seq", "idx", "height", "width", "ty", "tx", "dx", "dy")
+    together = F.greatest(F.floor(F.lit(WARPED) / (F.col("height") * F.col("width"))), F.lit(1))
+    own = flows.select("seq", "idx", "height", "width", "ty", "tx", "dx", "dy").withColumn("_block", F.floor(F.col("idx") / together))
 
     def span(place: str, offset: str, size: str) -> tuple[Column, Column]:
         """First and last row (or column) that a tile may take pixels from."""
@@ -182,35 +185,37 @@ def warp_tiles(images: DataFrame, flows: DataFrame, side: int, padding: Padding
 
     (top, bottom), (left, right) = span("ty", "dy", "height"), span("tx", "dx", "width")
     asked = own.where("dx is not null and dy is not null").withColumns({"_top": top, "_bottom": bottom, "_left": left, "_right": right})
-    want = asked.select("seq", "idx", F.col("ty").alias("_ty"), F.col("tx").alias("_tx"), "_top", "_bottom", "_left", "_right", "height", "width")
-    want = want.withColumn("ty", F.explode(_reached(F.col("_top"), F.col("_bottom"), side, F.col("height")))).withColumn("tx", F.explode(_reached(F.col("_left"), F.col("_right"), side, F.col("width")))).drop("height", "width")
+    want = asked.select("seq", "idx", F.col("ty").alias("_ty"), F.col("tx").alias("_tx"), "_top", "_bottom", "_left", "_right", F.col("height").alias("_height"), F.col("width").alias("_width"), "_block")
+    want = want.withColumn("ty", F.explode(_reached(F.col("_top"), F.col("_bottom"), side, F.col("_height")))).withColumn("tx", F.explode(_reached(F.col("_left"), F.col("_right"), side, F.col("_width"))))
     met = images.select("seq", "idx", "height", "width", "ty", "tx", "data").join(want, ["seq", "idx", "ty", "tx"])
     h, w = _extent(F.col("ty"), side, F.col("height")), _extent(F.col("tx"), side, F.col("width"))
     y, x = F.greatest(F.col("ty") * side, "_top"), F.greatest(F.col("tx") * side, "_left")
     high, wide = F.least(F.col("ty") * side + h, F.col("_bottom") + 1) - y, F.least(F.col("tx") * side + w, F.col("_right") + 1) - x
     # names of their own, for images and flows may come from one table
-    strips = met.select(F.col("seq").alias("_seq"), F.col("idx").alias("_idx"), "_ty", "_tx", y.alias("y"), x.alias("x"), high.alias("h"), wide.alias("w"), _cut(F.col("data"), w, y - F.col("ty") * side, x - F.col("tx") * side, high, wide).alias("data"))
-
-    def run(tile: pa.Table, parts: pa.Table) -> pa.Table:
-        row = tile.to_pylist()[0] if len(tile) else None
-        if row is None:
-            return pa.Table.from_pylist([], schema=out)
-        a, b, c, d = row["_top"], row["_bottom"] + 1, row["_left"], row["_right"] + 1
-        canvas, filled = np.empty((b - a, d - c), dtype=np.float32), 0
-        for y, x, h, w, data in zip(*(parts.column(n).to_pylist() for n in ("y", "x", "h", "w")), parts.column("data")):
-            canvas[y - a : y - a + h, x - c : x - c + w] = data.values.to_numpy(zero_copy_only=False).reshape(h, w)
-            filled += h * w
-        if filled != canvas.size:
-            raise ValueError(f"{row['seq']}, frame {row['idx']}: tiles that its flow points at are missing")
-        y0, x0 = row["ty"] * side, row["tx"] * side
-        size = min(side, row["height"] - y0), min(side, row["width"] - x0)
-        dx, dy = (np.array(row[n], dtype=np.float32).reshape(1, *size) for n in ("dx", "dy"))
-        py, px = targets(dx, dy, (row["height"], row["width"]), (y0, x0), padding)
-        warped = sampled(canvas[None].astype(np.float64), py, px, (row["height"], row["width"]), (a, c)).astype(np.float32)
-        return pa.Table.from_pylist([{n: row[n] for n in ("seq", "idx", "height", "width", "ty", "tx")} | {"data": warped.ravel()}], schema=out)
+    strips = met.select(F.col("seq").alias("_seq"), F.col("idx").alias("_idx"), F.col("_block").alias("_asked"), "_height", "_width", "_ty", "_tx", y.alias("y"), x.alias("x"), high.alias("h"), wide.alias("w"), _cut(F.col("data"), w, y - F.col("ty") * side, x - F.col("tx") * side, high, wide).alias("data"))
+
+    def run(tiles: pa.Table, parts: pa.Table) -> pa.Table:
+        names = [f.name for f in out if f.name != "data"]
+        if not len(tiles):
+            return out.empty_table()
+        tiles = tiles.sort_by("idx")
+        height, width, ty, tx = (n[0].item() for n in _numbers(tiles, "height", "width", "ty", "tx"))
+        idx, top, bottom, left, right = _numbers(tiles, "idx", "_top", "_bottom", "_left", "_right")
+        a, b, c, d = top.min(), bottom.max() + 1, left.min(), right.max() + 1  # pixels of it that a tile doesn't ask for are not looked at
+        canvas = np.zeros((len(idx), b - a, d - c), dtype=np.float32)
+        filled = _laid(canvas, np.searchsorted(idx, parts.column("_idx").to_numpy()), parts, ("y", "x", "h", "w"), (a, c)) if len(parts) else np.zeros(len(idx))
+        wrong = np.flatnonzero(filled != (bottom + 1 - top) * (right + 1 - left))
+        if len(wrong):
+            raise ValueError(f"{tiles.column('seq')[0].as_py()}, frame {idx[wrong[0]]}: tiles that its flow points at are missing")
+        y0, x0 = ty * side, tx * side
+        size = min(side, height - y0), min(side, width - x0)
+        dx, dy = (to_array(tiles.column(n), *size).astype(np.float32) for n in ("dx", "dy"))
+        py, px = targets(dx, dy, (height, width), (y0, x0), padding)
+        warped = sampled(canvas.astype(np.float64), py, px, (height, width), (a, c)).astype(np.float32)
+        return tiles.select(names).append_column("data", to_lists(warped, pa.float32())).cast(out)
 
     out = pa.schema([("seq", pa.string()), ("idx", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("ty", pa.int32()), ("tx", pa.int32()), ("data", pa.list_(pa.float32()))])
     schema = "seq string, idx int, height int, width int, ty int, tx int, data array<float>"
-    warped = asked.groupBy("seq", "idx", "ty", "tx").cogroup(strips.groupBy("_seq", "_idx", "_ty", "_tx")).applyInArrow(run, schema)
+    warped = asked.groupBy("seq", "_block", "height", "width", "ty", "tx").cogroup(strips.groupBy("_seq", "_asked", "_height", "_width", "_ty", "_tx")).applyInArrow(run, schema)
     still = own.where("dx is null or dy is null").select("seq", "idx", "height", "width", "ty", "tx", F.lit(None).cast("array<float>").alias("data"))
     return warped.unionByName(still)

@@ -104,3 +104,26 @@ def test_a_tile_twice_does_not_stand_for_a_missing_one(frames):
     twice = cut.where("not (ty = 0 and tx = 0)").unionByName(cut.where("ty = 0 and tx = 1"))
     with pytest.raises(Exception, match="don't fill it"):
         tiles.whole(twice, 4).collect()
+
+
+@pytest.mark.parametrize("pixels", [1, 5 * 117, tiles.WARPED])
+def test_flow_tiles_of_many_frames_are_warped_together(spark, monkeypatch, pixels):
+    """Small frames share a group, whose key is no frame; flows that point far in one frame and nowhere in the next change nothing."""
+    monkeypatch.setattr(tiles, "WARPED", pixels)
+    rng = np.random.default_rng(4)
+    stack = rng.random((12, 9, 13)).astype(np.float32)
+    rows, want = [], []
+    for k, image in enumerate(stack):
+        dx, dy = (rng.uniform(-wide, wide, image.shape).astype(np.float32) for wide in (9.0 * (k % 3), 0.5 * k))
+        rows.append(("a", k, *image.shape, dx.ravel().tolist(), dy.ravel().tolist()))
+        want.append(warp.backward_warp(image, dx, dy))
+    flows = tiles.cut(spark.createDataFrame(rows, "seq string, idx int, height int, width int, dx array<float>, dy array<float>"), 4, ("dx", "dy"))
+    images = tiles.cut(frames_of(spark, {"a": stack}), 4)
+    warped = tiles.warp_tiles(images, flows, 4)
+    assert np.array_equal(stacks(tiles.whole(warped, 4))["a"], np.stack(want).astype(float))
+    plan = warped._jdf.queryExecution().sparkPlan().toString()
+    own = [line for line in plan[plan.index("FlatMapCoGroupsInArrow") :].splitlines() if "Project [" in line][0]
+    assert "_block" in own.split("idx#")[0]
+    for gone in ("idx = 4 and ty = 1 and tx = 1", "idx = 5"):
+        with pytest.raises(Exception, match=r"frame \d+: tiles that its flow points at are missing"):
+            tiles.warp_tiles(images.where(f"not ({gone})"), flows, 4).collect()
