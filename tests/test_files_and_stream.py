@@ -149,3 +149,89 @@ def test_a_gap_that_never_closes_is_named_after_its_time(spark, tmp_path, rocks,
     assert third["a", 4] == ([9.0, 9.0], False) and ("a", 3) in third and third["b", 2] == ([1.0, 1.0], False)
     last = go(frames.where("seq = 'a' and idx = 6"), 4)
     assert last["a", 5] == ([11.0, 11.0], False) and len(last) == 8
+
+
+class Kept:
+    """States of one key in memory, with a count of the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.rows = 0, None, {}
+
+    def getValueState(self, name, schema):
+        return _Value(self)
+
+    def getMapState(self, name, *schemas):
+        return _Map(self)
+
+
+class _Value:
+    def __init__(self, kept):
+        self.kept = kept
+
+    exists = lambda self: self.kept.value is not None
+    get = lambda self: self.kept.value
+
+    def update(self, value):
+        self.kept.value = value
+
+
+class _Map:
+    def __init__(self, kept):
+        self.kept = kept
+
+    def _counted(self):
+        self.kept.calls += 1
+        return self.kept.rows
+
+    containsKey = lambda self, key: key in self._counted()
+    getValue = lambda self, key: self._counted()[key]
+
+    def removeKey(self, key):
+        del self._counted()[key]
+
+    def updateValue(self, key, value):
+        self._counted()[key] = value
+
+
+@pytest.mark.parametrize("page_bytes", [16, 160, push.PAGE_BYTES])
+def test_early_frames_wait_in_pages_and_pairs_are_computed_together(page_bytes):
+    """Half of a sequence arrives before the other half, both out of order: state and calc are called for pages and batches, not for frames."""
+    import pandas as pd
+
+    n, rng, calls = 3000, np.random.default_rng(0), []
+    stack = rng.random((n, 2, 2)).astype(np.float32)
+    own = push.Difference()
+    calc, own.page_bytes = own.calc, page_bytes
+    own.calc = lambda a, b: calls.append(len(a)) or calc(a, b)
+    kept = Kept()
+    own.init(kept)
+    order, got = rng.permutation(n), {}
+    for batch in (order[: n // 2], [*order[n // 2 :], *order[:9]]):
+        rows = pd.DataFrame({"seq": "a", "idx": batch, "height": 2, "width": 2, "data": [stack[k].ravel() for k in batch], "reset": [k == 70 for k in batch]})
+        for out in own.handleInputRows(("a",), iter([rows[:1000], rows[1000:]]), None):
+            for _, idx, change in out.itertuples(index=False):
+                assert idx not in got
+                got[idx] = change
+        assert kept.value[2] == sum(len(v[0]) for v in kept.rows.values()) and not any(len(v[0]) * 16 > page_bytes for v in kept.rows.values())
+    assert sorted(got) == [k for k in range(n - 1) if k != 69] and not kept.rows
+    assert all((got[k] == (stack[k + 1] - stack[k]).ravel()).all() for k in got)
+    assert len(calls) <= 8 and sum(calls) == n - 2
+    if page_bytes > 16:
+        assert kept.calls < 2 * n
+    if page_bytes == push.PAGE_BYTES:
+        assert kept.calls < 10
+
+
+def test_a_processor_of_single_pairs_and_frames_of_other_sizes():
+    import pandas as pd
+
+    shapes = [(2, 3), (2, 3), (3, 2), (3, 2)]
+    rows = pd.DataFrame({"seq": "a", "idx": range(4), "height": [h for h, _ in shapes], "width": [w for _, w in shapes], "data": [np.full(6, k, np.float32) for k in range(4)], "reset": False})
+    own = push.Push(lambda a, b: [np.full(1, a.shape[0] * 10 + a.shape[1] + b.sum())])
+    own.init(Kept())
+    got = {r[1]: r[2][0] for out in own.handleInputRows(("a",), iter([rows]), None) for r in out.itertuples(index=False)}
+    assert got == {0: 23 + 6, 1: 32 + 12, 2: 32 + 18}
+    rows.at[3, "data"], rows.at[3, "height"] = np.ones(8, np.float32), 4
+    own.init(Kept())
+    with pytest.raises(ValueError, match="frames 2 and 3 are not of one size"):
+        list(own.handleInputRows(("a",), iter([rows]), None))
